@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_dedup
+from .mixing import mix_sources
 from .tables import table
 
 
@@ -12,9 +13,50 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {"op4_exact_dedup": op4_exact_dedup}
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES = {"op3_mix_sources": op3_mix_sources, "op4_exact_dedup": op4_exact_dedup}
 
 ORACLE_SQL = {
+    "op3_mix_sources": r"""
+        WITH RECURSIVE sized AS (
+            SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+                   CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), text, '')), 1, 15) AS BIGINT) AS place
+            FROM documents
+        ), sums AS (
+            SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+                   [3.0, 1.0, 2.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS weight
+            FROM sized GROUP BY source
+        ), dealt AS (  -- one round after another: sources above their cap stay at it, the rest share what is left
+            SELECT 0 AS round, source, source_size, weight, FALSE AS capped,
+                   sum(source_size) OVER () * 1.5 / sum(weight) OVER () AS level
+            FROM sums
+            UNION ALL
+            SELECT round + 1, source, source_size, weight, capped OR level * weight > 2.0 * source_size,
+                   (sum(source_size) OVER () * 1.5 - sum(CASE WHEN capped OR level * weight > 2.0 * source_size THEN 2.0 * source_size ELSE 0 END) OVER ())
+                   / nullif(sum(CASE WHEN capped OR level * weight > 2.0 * source_size THEN 0 ELSE weight END) OVER (), 0)
+            FROM dealt WHERE round < (SELECT count(*) FROM sums)
+        ), targets AS (
+            SELECT source, source_size, CASE WHEN capped OR level IS NULL THEN 2.0 * source_size ELSE level * weight END AS target
+            FROM dealt WHERE round = (SELECT count(*) FROM sums)
+        ), edges AS (
+            SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS repeats FROM targets
+        ), places AS (
+            SELECT source, place, sum(size) AS words FROM sized GROUP BY source, place
+        ), running AS (
+            SELECT e.source, p.place, p.words, e.target - e.repeats * e.source_size AS budget,
+                   sum(p.words) OVER (PARTITION BY e.source ORDER BY p.place) AS upto
+            FROM edges e JOIN places p ON e.source IS NOT DISTINCT FROM p.source
+        ), chosen AS (
+            SELECT source, place, upto <= budget OR (upto - words <= budget AND (budget - upto + words) * 2 >= words) AS more FROM running
+        )
+        SELECT s.doc_id, s.size, e.source_size, e.target,
+               CAST(s.size * (e.repeats + CASE WHEN c.more THEN 1 ELSE 0 END) AS BIGINT) AS taken
+        FROM sized s JOIN edges e ON s.source IS NOT DISTINCT FROM e.source
+        JOIN chosen c ON s.source IS NOT DISTINCT FROM c.source AND s.place = c.place
+    """,
     "op4_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
