@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_dedup
 from .mixing import mix_sources
+from .packing import pack
 from .tables import table
 
 
@@ -17,7 +18,15 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op3_mix_sources": op3_mix_sources, "op4_exact_dedup": op4_exact_dedup}
+def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op3_mix_sources": op3_mix_sources,
+    "op4_exact_dedup": op4_exact_dedup,
+    "op5_pack": op5_pack,
+}
 
 ORACLE_SQL = {
     "op3_mix_sources": r"""
