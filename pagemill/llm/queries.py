@@ -8,6 +8,7 @@ from .embedding_dedup import near_vectors
 from .exact_dedup import exact_dedup
 from .language import identify_language
 from .mixing import mix_sources
+from .ngram_join import near_texts
 from .packing import pack
 from .tables import table
 
@@ -33,12 +34,17 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_texts(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "n_links", "n_shingles")
+
+
 QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_mix_sources": op3_mix_sources,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_pack": op5_pack,
     "op9_embedding_dedup": op9_embedding_dedup,
+    "op10_ngram_join": op10_ngram_join,
 }
 
 ORACLE_SQL = {
