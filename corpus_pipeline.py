@@ -1,4 +1,4 @@
-"""The corpus pipeline: documents through the operators of pagemill.llm, one written table after another."""
+"""The corpus pipeline: documents through five operators of pagemill.llm, each stage's rows written before the next reads them."""
 
 from __future__ import annotations
 
@@ -6,17 +6,51 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.llm.exact_dedup import exact_dedup
+from pagemill.llm.language import UNDETERMINED, identify_language
+from pagemill.llm.mixing import mix_sources
+from pagemill.llm.ngram_join import near_texts
+from pagemill.llm.packing import pack
 from pagemill.llm.tables import kept, table
 
+#: A document whose pooled language probability is below this is in none of the learnt languages.
+LEAST_SCORE = 0.4
+
+
+def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Language ID: documents without a letter, or that the network puts in no language with LEAST_SCORE, go."""
+    told = identify_language(docs)
+    return told.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+
 
 def drop_equal_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Exact dedup: of equal texts the row with the largest doc_id stays."""
     return exact_dedup(docs).where("kept").select(*docs.columns)
 
 
-STAGES = [("exact dedup", drop_equal_texts)]
+def drop_near_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """N-gram Jaccard join: of each group of near texts the smallest doc_id stays; a row with a null doc_id is in no group."""
+    return near_texts(docs).where("doc_id IS NULL OR doc_id = class_id").select(*docs.columns)
+
+
+def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mixing: each document comes as often as the mix takes it, from not at all to twice; one without words isn't taken."""
+    return mix_sources(docs).where("taken > 0").withColumn("taken", F.explode(F.sequence(F.lit(1).cast("long"), F.expr("taken div size")))).select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packing: the pieces of sequences of 1024 tokens."""
+    return pack(docs)
+
+
+STAGES = [
+    ("language id", keep_known_languages),
+    ("exact dedup", drop_equal_texts),
+    ("n-gram jaccard join", drop_near_texts),
+    ("mixing", mix_to_weights),
+    ("packing", pack_sequences),
+]
 
-#: Language prediction is a trained network, which SQL can't express.
+#: SQL can't express a trained network, nor the packing.
 ORACLE_SQL = None
 
 
