@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .embedding_dedup import near_vectors
 from .exact_dedup import exact_dedup
+from .html_text import extract_text
 from .language import identify_language
 from .mixing import mix_sources
 from .ngram_join import near_texts
@@ -30,6 +31,10 @@ def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
 
@@ -43,6 +48,7 @@ QUERIES = {
     "op3_mix_sources": op3_mix_sources,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_pack": op5_pack,
+    "op8_html_text": op8_html_text,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_ngram_join": op10_ngram_join,
 }
