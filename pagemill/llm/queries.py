@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .embedding_dedup import near_vectors
 from .exact_dedup import exact_dedup
@@ -12,6 +13,7 @@ from .mixing import mix_sources
 from .ngram_join import near_texts
 from .packing import pack
 from .tables import table
+from .unit_dedup import drop_repeated_units
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +33,13 @@ def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op6_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = drop_repeated_units(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.concat_ws(",", F.transform("removed", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))))
+    kept_text = F.coalesce("text_kept", F.lit(""))
+    return told.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"), "n_removed", "n_spans", spans.alias("spans"), F.sha2(kept_text, 256).alias("kept_sha256"))
+
+
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
@@ -48,6 +57,7 @@ QUERIES = {
     "op3_mix_sources": op3_mix_sources,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_pack": op5_pack,
+    "op6_unit_dedup": op6_unit_dedup,
     "op8_html_text": op8_html_text,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_ngram_join": op10_ngram_join,
@@ -96,6 +106,28 @@ ORACLE_SQL = {
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
     """,
+    "op6_unit_dedup": r"""
+        WITH pieces AS (
+            SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n.!?]*[\n.!?]+|[^\n.!?]+') AS p FROM documents
+        ), units AS (
+            SELECT doc_id, unnest(p) AS unit, unnest(range(1, len(p) + 1)) AS k FROM pieces
+        ), placed AS (
+            SELECT *, sum(length(unit)) OVER (PARTITION BY doc_id ORDER BY k) AS "end",
+                   lower(trim(regexp_replace(unit, '[\x20\x09-\x0D]+', ' ', 'g'))) AS norm
+            FROM units
+        ), ranked AS (
+            SELECT *, "end" - length(unit) AS start,
+                   len(norm) - len(replace(norm, ' ', '')) + 1 >= 6 AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, k) > 1 AS again
+            FROM placed
+        ), per_doc AS (
+            SELECT doc_id, sum(length(unit)) FILTER (again) AS n_removed, count(*) FILTER (again) AS n_spans,
+                   string_agg(start || ':' || "end", ',' ORDER BY k) FILTER (again) AS spans, string_agg(unit, '' ORDER BY k) FILTER (NOT again) AS kept
+            FROM ranked GROUP BY doc_id
+        )
+        SELECT p.doc_id, CAST(length(p.text) AS BIGINT) AS n_chars, CAST(coalesce(d.n_removed, 0) AS BIGINT) AS n_removed,
+               CAST(coalesce(d.n_spans, 0) AS BIGINT) AS n_spans, coalesce(d.spans, '') AS spans, sha256(coalesce(d.kept, '')) AS kept_sha256
+        FROM pieces p LEFT JOIN per_doc d ON p.doc_id = d.doc_id
+    """,
     "op9_embedding_dedup": """
         WITH RECURSIVE good AS (
             SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
