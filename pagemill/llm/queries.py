@@ -12,6 +12,7 @@ from .language import identify_language
 from .mixing import mix_sources
 from .ngram_join import near_texts
 from .packing import pack
+from .secrets import scan_secrets
 from .tables import table
 from .unit_dedup import drop_repeated_units
 
@@ -20,6 +21,14 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    joined = lambda spans: F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s["kind"] != "random")
+    return told.select("doc_id", *map(count, ("assign", "access", "hex", "random")), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return identify_language(docs).select("doc_id", "held_out", "lang_pred", "score", "label_share")
@@ -53,6 +62,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_secrets": op1_secrets,
     "op2_language_id": op2_language_id,
     "op3_mix_sources": op3_mix_sources,
     "op4_exact_dedup": op4_exact_dedup,
