@@ -12,6 +12,7 @@ from .language import identify_language
 from .mixing import mix_sources
 from .ngram_join import near_texts
 from .packing import pack
+from .repeats import drop_repeats
 from .secrets import scan_secrets
 from .tables import table
 from .unit_dedup import drop_repeated_units
@@ -49,6 +50,12 @@ def op6_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"), "n_removed", "n_spans", spans.alias("spans"), F.sha2(kept_text, 256).alias("kept_sha256"))
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = drop_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return told.select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
@@ -68,6 +75,7 @@ QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_pack": op5_pack,
     "op6_unit_dedup": op6_unit_dedup,
+    "op7_repeats": op7_repeats,
     "op8_html_text": op8_html_text,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_ngram_join": op10_ngram_join,
