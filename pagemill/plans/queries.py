@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,8 @@ from ..operators import messages as M
 from ..operators import ocr as O
 from ..operators import pages as P
 from ..operators import sheets as S
+from ..sources.folders import shared_folder
+from ..streaming.jobs import hourly_counts, run_once
 from . import tables as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -752,3 +755,16 @@ def job_state_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def job_result_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.result_view(T.job_records(spark, sf_dir))
+
+
+# --- streams ---------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT epoch_us(date_trunc('hour', ts)) // 1000 AS hour_ms, event_type, count(*) AS n FROM events GROUP BY ALL")
+def stream_hourly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of each kind in each hour, counted by a stream over the table's files that ends when it has read all."""
+    schema = T.table(spark, sf_dir, "events").schema
+    source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    counts = hourly_counts(source.withColumn("ts", F.col("ts").cast("timestamp")))
+    hour = F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', cast(hour_start as timestamp_ntz))")
+    return run_once(counts, f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}").select(hour.alias("hour_ms"), "event_type", "n")
