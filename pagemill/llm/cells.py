@@ -13,34 +13,44 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .components import connected_components
 from .tables import kept
 
 #: A cell above this is cut into blocks of about so many nodes, and each two blocks meet in a task.
 BLOCK = 256
 
 
-def distinct_cells(members: DataFrame) -> DataFrame:
+def distinct_cells(members: DataFrame, block: int = BLOCK) -> DataFrame:
     """(node, cell, cell_size) of members (key, rank, node): cells of one node are dropped, and of cells that hold the same
-    nodes the one with the least rank is kept. Cell numbers rise with rank."""
+    nodes one is kept. Large cells that are much the same are made one, so a large group isn't compared again and again."""
     cells = (
         members.groupBy("key", "rank")
         .agg(F.count("*").alias("cell_size"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
         .where("cell_size > 1")
         .groupBy("cell_size", "x", "y")
         .agg(F.min(F.struct("rank", "key")).alias("first"))
-        .select("first.key", "first.rank", "cell_size")
+        .select("first.key", "first.rank", "cell_size", F.monotonically_increasing_id().alias("cell"))
     )
-    numbered = kept(cells.select("*", F.monotonically_increasing_id().alias("n"))).select("key", "rank", "cell_size", F.struct("rank", "n").alias("cell"))
-    return kept(members.join(numbered, ["key", "rank"]).select("node", "cell", "cell_size"))
+    inside = kept(members.join(kept(cells), ["key", "rank"]).select("node", "cell", "cell_size"))
+    large = inside.where(F.col("cell_size") > block)
+    if not large.limit(1).count():
+        return inside
+    # a large cell goes into the first cell of most of its nodes
+    first = large.groupBy("node").agg(F.min("cell").alias("first"))
+    most = large.join(first, "node").where("cell <> first").groupBy("cell", "cell_size", "first").count().where("2 * count >= cell_size")
+    into = connected_components(most.select(F.col("cell").alias("a"), F.col("first").alias("b"))).select(F.col("node").alias("cell"), "component")
+    joined = kept(large.join(into, "cell", "left").select("node", F.coalesce("component", "cell").alias("cell")).distinct())
+    sizes = joined.groupBy("cell").agg(F.count("*").alias("cell_size"))
+    return kept(inside.where(F.col("cell_size") <= block).unionByName(joined.join(sizes, "cell").select("node", "cell", "cell_size")))
 
 
 def in_blocks(members: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(node, cells, rank, n, i, j, own): members dealt to the tasks where they are compared; cells are all of a node's."""
+    """(node, cells, cell, i, j, own): members dealt to the tasks where they are compared; cells are all of a node's."""
     dealt = members.withColumn("blocks", F.ceil(F.col("cell_size") / block).cast("int"))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = members.groupBy("node").agg(F.sort_array(F.collect_set("cell")).alias("cells"))
-    return dealt.join(cells, "node").select("node", "cells", F.col("cell.rank").alias("rank"), F.col("cell.n").alias("n"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
+    return dealt.join(cells, "node").select("node", "cells", "cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
@@ -66,9 +76,9 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterato
         yield pa.concat_tables(held).combine_chunks()
 
 
-def _first_meeting(cells: list[list[tuple]], here: tuple, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def _first_meeting(cells: list[list[int]], here: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Whether the nodes of a and those of b share no cell before here."""
-    number: dict[tuple, int] = {}
+    number: dict[int, int] = {}
     row, column = [], []
     for k, own in enumerate(cells):
         for cell in own:
@@ -93,7 +103,7 @@ def compare(blocks: DataFrame, linked: Callable[[pa.Table, np.ndarray, np.ndarra
 
     linked(rows, a, b) tells which rows of a and b are linked; it is asked once for each block, and never of a cell's whole.
     """
-    keys = ("rank", "n", "i", "j")
+    keys = ("cell", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -110,9 +120,7 @@ def compare(blocks: DataFrame, linked: Callable[[pa.Table, np.ndarray, np.ndarra
                 np.fill_diagonal(links, False)
             if not links.any():
                 continue
-            here = (rows["rank"][0].as_py(), rows["n"][0].as_py())
-            cells = [[(c["rank"], c["n"]) for c in own_cells] for own_cells in rows["cells"].to_pylist()]
-            counted = links & _first_meeting(cells, here, a, b)
+            counted = links & _first_meeting(rows["cells"].to_pylist(), rows["cell"][0].as_py(), a, b)
             node, weight = rows["node"].to_numpy(), rows["weight"].to_numpy()
             count, joined = np.zeros(len(node), np.int64), node.copy()
             count[a] += counted @ weight[b]

@@ -68,31 +68,37 @@ def _sets(docs: DataFrame, runs: int) -> DataFrame:
 
 
 def _split(texts: DataFrame) -> DataFrame:
-    """(node, key) one level below: texts has node, text and keys, the buckets to split."""
+    """(node, key, above) one level below: texts has node, text and buckets, the (key, count) to split; above is the count of the bucket split."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = shingle_sets(_texts(batch.column(1)))
-            keys = [chosen(s, np.array(k, np.int64).view(np.uint64)).view(np.int64) for s, k in zip(sets, batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64()))], names=["node", "keys"])
+            children = [
+                [{"key": int(k), "above": b["count"]} for b in own for k in chosen(s, np.array([b["key"]], np.int64).view(np.uint64)).view(np.int64)]
+                for s, own in zip(sets, batch.column(2).to_pylist(), strict=True)
+            ]
+            kind = pa.list_(pa.struct([pa.field("key", pa.int64()), pa.field("above", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(children, kind)], names=["node", "children"])
 
-    return texts.select("node", "text", "keys").mapInArrow(run, "node long, keys array<long>").select("node", F.explode("keys").alias("key"))
+    split = texts.select("node", "text", "buckets").mapInArrow(run, "node long, children array<struct<key:long,above:long>>")
+    return split.select("node", F.explode("children").alias("c")).select("node", "c.key", "c.above")
 
 
 def _buckets(docs: DataFrame, sets: DataFrame, small: int, depth: int) -> DataFrame:
-    """(node, key, rank): the buckets in which nodes are to be compared; rank is the level."""
-    level = sets.select("node", F.explode("nodes").alias("key")).distinct()
+    """(node, key, rank): the buckets in which nodes are to be compared; rank is the level. A large bucket is split again, but
+    not below the last level, nor where it still holds most of the bucket it comes from: what hardly differs isn't split by more shingles."""
+    level = sets.select("node", F.explode("nodes").alias("key")).distinct().withColumn("above", F.lit(None).cast("long"))
     leaves, texts = None, None
     for rank in range(1, depth + 1):
-        sizes = level.groupBy("key").count().where("count > 1")
-        sized = kept(level.join(sizes, "key"))
-        last = rank == depth
-        here = (sized if last else sized.where(F.col("count") <= small)).select("node", "key", F.lit(rank).cast("long").alias("rank"))
+        sizes = level.groupBy("key").agg(F.count("*").alias("count"), F.max("above").alias("above")).where("count > 1")
+        ends = F.lit(rank == depth) | (F.col("count") <= small) | F.coalesce(F.col("count") * 2 > F.col("above"), F.lit(False))
+        sized = kept(level.select("node", "key").join(sizes.withColumn("ends", ends), "key"))
+        here = sized.where("ends").select("node", "key", F.lit(rank).cast("long").alias("rank"))
         leaves = here if leaves is None else leaves.unionByName(here)
-        large = sized.where(F.col("count") > small)
-        if last or not large.limit(1).count():
+        large = sized.where("NOT ends")
+        if rank == depth or not large.limit(1).count():
             break
-        large = large.groupBy("node").agg(F.collect_set("key").alias("keys"))
+        large = large.groupBy("node").agg(F.collect_set(F.struct("key", "count")).alias("buckets"))
         if texts is None:
             texts = kept(docs.join(large.select(F.col("node").alias("id")), "id").select(F.col("id").alias("node"), "text"))
         level = _split(texts.join(large, "node")).distinct()
