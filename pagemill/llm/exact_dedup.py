@@ -2,27 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bloom import BLOCK_BITS, BROADCAST_BYTES, bit, blocks_for
 from .tables import free_name, kept
 
-#: Bits in one block of the filter: what bitmap_construct_agg holds, 4 KB.
-BLOCK_BITS = 32768
-#: A filter of up to so many bytes is broadcast.
-BROADCAST_BYTES = 64 << 20
-#: Filter bits for each row.
-BITS_A_ROW = 16
-
 RESULTS = ("keep_id", "group_size", "kept", "text_sha256")
 
 
-def _bit(bitmap: Column, position: Column) -> Column:
-    """Whether a bit of a bitmap is set, lowest bit of a byte first as bitmap_construct_agg has it."""
-    byte = F.conv(F.hex(F.substring(bitmap, (position / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.getbit(byte, (position % 8).cast("int")) == 1
-
-
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """docs with four columns more: keep_id, group_size, kept and text_sha256.
 
@@ -37,7 +25,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     docs = docs.drop(*RESULTS)
     sha, block, first, second, uid, best = (free_name(docs, x) for x in ("text_sha256", "block_", "first_", "second_", "uid_", "best_"))
-    blocks = max(1, -(-docs.count() * BITS_A_ROW // BLOCK_BITS))
+    blocks = blocks_for(docs.count())
     hashed = docs.withColumn(sha, F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
     places = hashed.withColumns(
         {
@@ -56,7 +44,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     if blocks * BLOCK_BITS // 8 <= broadcast_bytes:
         again = F.broadcast(again)
-    probed = places.join(again, block, "left").withColumn(best, F.coalesce(_bit(F.col(best), F.col(first)) & _bit(F.col(best), F.col(second)), F.lit(False)))
+    probed = places.join(again, block, "left").withColumn(best, F.coalesce(bit(F.col(best), F.col(first)) & bit(F.col(best), F.col(second)), F.lit(False)))
     out = [c for c in docs.columns]
     single = probed.where(~F.col(best)).select(*out, F.col(id_col).alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col(sha).alias("text_sha256"))
     maybe = kept(probed.where(best).select(*out, sha).withColumn(uid, F.monotonically_increasing_id()))

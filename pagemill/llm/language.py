@@ -192,7 +192,7 @@ def sample_windows(docs: DataFrame, learn: Column, id_col: str, text_col: str, l
     if not counts:
         return [], [], []
     share = docs.sparkSession.createDataFrame([(k, docs_a_language / v) for k, v in counts.items()], "l string, share double")
-    chosen = known.join(F.broadcast(share), F.col("lang") == F.col("l")).where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.col("share") * (1 << 20))
+    chosen = known.join(F.broadcast(share), F.col("lang") == F.col("l")).where(F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < F.col("share") * (1 << 40))
     places = F.expr(
         f"transform(sequence(1, {WINDOWS_A_DOC}), k -> substring(text, cast(1 + pmod(xxhash64(id, k), greatest(1, length(text) - {WINDOW_CHARS})) as int), {WINDOW_CHARS}))"
     )

@@ -3,8 +3,9 @@
 Every string of LENGTH bytes holds an anchor: a gram whose hash is the least in it. Equal strings have equal anchors at the same
 place, so two of them meet where anchors of one gram are compared: they are equal if what the anchors share to the left and what they share
 to the right come to LENGTH bytes. Anchors of grams that occur once are left out, contexts that are equal through and through are counted
-once, and the others are sorted: by gram and right context, and by gram and left context. Either order, dealt over partitions by
-range, is a suffix array; a scan with a stack of common-prefix lengths walks its tree of intervals.
+once, and the others are sorted: by gram and right context, and by gram and left context. Either order is a suffix array, in parts
+by gram, or by range where a gram is very common; a scan with a stack of common-prefix lengths walks its tree of intervals. Whether
+an interval's occurrences differ to the left, and how far they agree, is what the string at its depth tells.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.folders import shared_folder
+from .bloom import likely_in
 from .shingles import SIDE_BY_SIDE, mix, range_hashes
 from .tables import free_name, if_small, kept
 
@@ -28,6 +30,8 @@ LENGTH, GRAM = 200, 32
 REACH = LENGTH - GRAM
 #: So many repeated grams are broadcast.
 GRAMS_BROADCAST = 1_000_000
+#: A gram with more different contexts is dealt over several tasks; contexts of others are compared so many at a time, whole grams each.
+HOT, TOGETHER = 65536, 8192
 
 _MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -75,7 +79,7 @@ def _batches_of(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarra
 
 
 def _anchor_rows(docs: DataFrame, grams_only: bool) -> DataFrame:
-    """gram, or also doc, text_hash, pos and the hashes of what is left and right of the anchor, of docs (doc, text_hash, bytes)."""
+    """gram, or also doc, text_hash, pos and a digest of what is left and right of the anchor, of docs (doc, text_hash, bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,11 +91,12 @@ def _anchor_rows(docs: DataFrame, grams_only: bool) -> DataFrame:
                     continue
                 before = range_hashes(data, np.maximum(starts[text], place - REACH), place)
                 after = range_hashes(data, place, np.minimum(ends[text], place + LENGTH))
+                context = mix(before * np.uint64(31) + after)
                 rows = pa.array(text + first)
-                arrays = [batch.column(0).take(rows), batch.column(1).take(rows), pa.array((place - starts[text]).astype(np.int32)), *(pa.array(x.view(np.int64)) for x in (gram, before, after))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc", "text_hash", "pos", "gram", "before", "after"])
+                arrays = [batch.column(0).take(rows), batch.column(1).take(rows), pa.array((place - starts[text]).astype(np.int32)), *(pa.array(x.view(np.int64)) for x in (gram, context))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc", "text_hash", "pos", "gram", "context"])
 
-    schema = "gram long" if grams_only else "doc long, text_hash long, pos int, gram long, before long, after long"
+    schema = "gram long" if grams_only else "doc long, text_hash int, pos int, gram long, context long"
     return docs.mapInArrow(run, schema)
 
 
@@ -208,9 +213,88 @@ def _reaching(edges: list[tuple]) -> dict[int, tuple[list[int], list[int]]]:
     return {p: (first[p], then[p]) for p in first}
 
 
-def _strings_at_depths(rows: DataFrame, side: str) -> DataFrame:
-    """(context, delta, x, y): for each row and each depth of the tree that it hangs in, the string of LENGTH bytes that begins delta
-    bytes before the anchor, as a digest. Two contexts that share such a string share a gram, so the depth where they part is one of both."""
+def _key_strings(rows: pa.Table, depths: list[tuple[list[int], list[int]]], side: str) -> Iterator[tuple[np.ndarray, ...]]:
+    """(row, delta, x, y), some rows at a time: for each row and each depth of an interval that it hangs in, a digest of the string of
+    LENGTH bytes that begins delta bytes before the anchor. Contexts that share such a string part at a depth of both: it is theirs to find."""
+    befores, afters = rows["before"].to_pylist(), rows["after"].to_pylist()
+    for begin in range(0, len(befores), 4096):
+        buffer, at, row, delta, size = [], [], [], [], 0
+        for k in range(begin, min(begin + 4096, len(befores))):
+            before, after = befores[k], afters[k]
+            for depth in {*depths[k][0], *depths[k][1]}:
+                d = LENGTH - depth if side == "after" else depth
+                if 0 <= d <= len(before) and LENGTH - d <= len(after):
+                    at.append(size + len(before) - d)
+                    row.append(k)
+                    delta.append(d)
+            buffer += [before[::-1], after]
+            size += len(before) + len(after)
+        if at:
+            data, begins, deltas = np.frombuffer(b"".join(buffer), np.uint8), np.array(at), np.array(delta, np.int64)
+            x = mix(range_hashes(data, begins, begins + LENGTH) + deltas.astype(np.uint64))
+            y = mix(range_hashes(_OTHER[data], begins, begins + LENGTH) - deltas.astype(np.uint64))
+            yield np.array(row), deltas, x, y
+
+
+def _depths(rows: pa.Table, side: str, ahead: list[int], back: list[int]) -> list[tuple[list[int], list[int]]]:
+    """The depths of intervals that hold each of rows, in order of gram and side, and a row before it or after it."""
+    found = _prefixes(rows["gram"].to_numpy(), rows[side].to_pylist(), None)
+    before, _ = chains(found[1:], ahead.copy())
+    after, _ = chains(found[:0:-1], back.copy())
+    return list(zip([ahead, *before], [*after[::-1], back], strict=True))
+
+
+def _within(rows: DataFrame) -> DataFrame:
+    """(gram, context, least, most): of rows whose grams lie in one task each, the least and the greatest delta of a string that another has."""
+
+    def matched(some: pa.Table) -> pa.RecordBatch:
+        found = []
+        for side in ("after", "before"):
+            order = np.lexsort((np.array(some[side].to_pylist(), object), some["gram"].to_numpy()))
+            ordered = some.take(pa.array(order))
+            found += [(order[r], d, x, y) for r, d, x, y in _key_strings(ordered, _depths(ordered, side, [], []), side)]
+        least, most = np.full(some.num_rows, LENGTH + 1), np.full(some.num_rows, -1)
+        if found:
+            row, delta, x, y = (np.concatenate(c) for c in zip(*found, strict=True))
+            # a row has a string from either side: it counts once
+            order = np.lexsort((row, y, x))
+            row, delta, x, y = row[order], delta[order], x[order], y[order]
+            new = np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
+            other = np.concatenate(([True], new[1:] | (row[1:] != row[:-1])))
+            several = np.bincount(np.cumsum(new) - 1, weights=other) > 1
+            hit = several[np.cumsum(new) - 1]
+            np.minimum.at(least, row[hit], delta[hit])
+            np.maximum.at(most, row[hit], delta[hit])
+        hit = pa.array(np.flatnonzero(most >= 0))
+        return pa.RecordBatch.from_arrays(
+            [some["gram"].combine_chunks().take(hit), some["context"].combine_chunks().take(hit), pa.array(least[most >= 0].astype(np.int32)), pa.array(most[most >= 0].astype(np.int32))],
+            names=["gram", "context", "least", "most"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            if sum(b.num_rows for b in held) < TOGETHER:
+                continue
+            every = pa.Table.from_batches(held).combine_chunks()
+            grams = every["gram"].to_numpy()
+            whole = int(np.searchsorted(grams, grams[-1]))  # the last gram may go on in the next batch
+            if whole:
+                yield matched(every.slice(0, whole))
+            held = every.slice(whole).to_batches()
+        if held:
+            yield matched(pa.Table.from_batches(held).combine_chunks())
+
+    dealt = rows.repartition("gram").sortWithinPartitions("gram")
+    return dealt.mapInArrow(run, "gram long, context long, least int, most int")
+
+
+def _across(rows: DataFrame, side: str) -> DataFrame:
+    """(gram, context, delta, x, y): strings of rows of very common grams, dealt over partitions by range. An interval that reaches over
+    the edge of a partition is known on both sides by the stacks that scans from either side leave there."""
     spark = rows.sparkSession
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
@@ -218,64 +302,51 @@ def _strings_at_depths(rows: DataFrame, side: str) -> DataFrame:
     reaching = _reaching(_edges(dealt, side))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before_stack, after_stack = reaching.get(TaskContext.get().partitionId(), ([], []))
-        before_stack, after_stack = list(before_stack), list(after_stack)
         some = [b for b in batches if b.num_rows]
         if not some:
             return
-        every = pa.Table.from_batches(some)
-        grams, strings = every["gram"].to_numpy(), every[side].to_pylist()
-        found = _prefixes(grams, strings, None)
-        # the first row's stack came from the partitions before; the edge itself is on it
-        ahead, _ = chains(found[1:], before_stack.copy())
-        ahead = [before_stack, *ahead]
-        back, _ = chains(found[:0:-1], after_stack.copy())
-        back = [*back[::-1], after_stack]
-        contexts, befores, afters = every["context"].to_pylist(), every["before"].to_pylist(), every["after"].to_pylist()
-        for begin in range(0, every.num_rows, 4096):
-            buffer, at, context, delta = [], [], [], []
-            size = 0
-            for k in range(begin, min(begin + 4096, every.num_rows)):
-                before, after = befores[k], afters[k]
-                for depth in {*ahead[k], *back[k]}:
-                    d = LENGTH - depth if side == "after" else depth
-                    if 0 <= d <= len(before) and LENGTH - d <= len(after):
-                        at.append(size + len(before) - d)
-                        context.append(contexts[k])
-                        delta.append(d)
-                buffer += [before[::-1], after]
-                size += len(before) + len(after)
-            if at:
-                data, begins, deltas = np.frombuffer(b"".join(buffer), np.uint8), np.array(at), np.array(delta, np.int32)
-                x = mix(range_hashes(data, begins, begins + LENGTH) + deltas.astype(np.uint64))
-                y = mix(range_hashes(_OTHER[data], begins, begins + LENGTH) - deltas.astype(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(context, pa.int64()), pa.array(deltas), pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], names=["context", "delta", "x", "y"])
-
-    return dealt.mapInArrow(run, "context long, delta int, x long, y long")
+        every = pa.Table.from_batches(some).combine_chunks()
+        ahead, back = reaching[TaskContext.get().partitionId()]
+        for row, delta, x, y in _key_strings(every, _depths(every, side, list(ahead), list(back)), side):
+            at = pa.array(row)
+            columns = [every["gram"].combine_chunks().take(at), every["context"].combine_chunks().take(at), pa.array(delta.astype(np.int32)), pa.array(x.view(np.int64)), pa.array(y.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["gram", "context", "delta", "x", "y"])
+
+    return dealt.mapInArrow(run, "gram long, context long, delta int, x long, y long")
 
 
 #: Another value for each byte, for a second digest that is independent of the first.
 _OTHER = np.random.default_rng(7).permutation(256).astype(np.uint8)
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
+def repeated_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """(doc, text_hash, spans: sorted array of start and end) of docs (doc, text_hash, bytes): runs of bytes of strings that occur again."""
-    grams = _anchor_rows(docs, grams_only=True).groupBy("gram").count().where("count > 1").select("gram")
-    found = kept(_anchor_rows(docs, grams_only=False).join(if_small(kept(grams), GRAMS_BROADCAST), "gram"))
-    key = ["gram", "before", "after"]
-    contexts = kept(found.groupBy(*key).agg(F.count("*").alias("times"), F.min(F.struct("doc", "text_hash", "pos")).alias("at")).withColumn("context", F.monotonically_increasing_id()))
-    several = contexts.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
-    wanted = contexts.join(several, "gram").groupBy("at.doc", "at.text_hash").agg(F.collect_list(F.struct(F.col("at.pos").alias("pos"), "gram", "context")).alias("wanted"))
-    rows = kept(_contexts(docs.join(wanted, ["doc", "text_hash"]).select("bytes", "wanted")))
-    strings = kept(_strings_at_depths(rows, "after").unionByName(_strings_at_depths(rows, "before")).distinct())
-    again = strings.groupBy("x", "y").agg(F.count("*").alias("n")).where("n > 1").select("x", "y")
-    partly = strings.join(again, ["x", "y"]).groupBy("context").agg(F.min("delta").alias("least"), F.max("delta").alias("most"))
-    told = contexts.join(partly, "context", "left").where("times > 1 OR least IS NOT NULL").select(*key, "times", "least", "most")
+    grams = kept(_anchor_rows(docs, grams_only=True).groupBy("gram").count().where("count > 1").select("gram"))
+    found = kept(_anchor_rows(docs, grams_only=False).join(if_small(grams, GRAMS_BROADCAST), "gram"))
+    key = ["gram", "context"]
+    contexts = kept(found.groupBy(*key).agg(F.count("*").alias("times"), F.min(F.struct("doc", "text_hash", "pos")).alias("at")))
+    # grams all of whose contexts are alike, or all of whose contexts occur again, need no comparison
+    several = kept(contexts.groupBy("gram").agg(F.count("*").alias("n"), F.min("times").alias("rarest")).where("n > 1 AND rarest = 1").select("gram", "n"))
+
+    def rows_of(some: DataFrame) -> DataFrame:
+        wanted = contexts.join(some.select("gram"), "gram").groupBy("at.doc", "at.text_hash").agg(F.collect_list(F.struct(F.col("at.pos").alias("pos"), "gram", "context")).alias("wanted"))
+        wanted = kept(wanted)
+        likely, _ = likely_in(docs, ["doc", "text_hash"], wanted)
+        return _contexts(likely.join(wanted, ["doc", "text_hash"]).select("bytes", "wanted"))
+
+    partly = kept(_within(rows_of(several.where(F.col("n") <= hot))))
+    common = several.where(F.col("n") > hot)
+    if common.limit(1).count():
+        rows = kept(rows_of(common))
+        strings = kept(_across(rows, "after").unionByName(_across(rows, "before")).distinct())
+        again = strings.groupBy("x", "y").count().where("count > 1").select("x", "y")
+        partly = partly.unionByName(strings.join(again, ["x", "y"]).groupBy(*key).agg(F.min("delta").alias("least"), F.max("delta").alias("most")))
+    told = contexts.join(partly, key, "left").where("times > 1 OR least IS NOT NULL").select(*key, "times", "least", "most")
     hits = found.join(told, key)
     # of a context that occurs again as a whole, all strings count that it has room for; those are cut to the text's ends below
     begin = F.when(F.col("times") > 1, F.greatest(F.col("pos") - REACH, F.lit(0))).otherwise(F.col("pos") - F.col("most"))
     end = F.when(F.col("times") > 1, F.col("pos") + LENGTH).otherwise(F.col("pos") - F.col("least") + LENGTH)
-    return hits.groupBy("doc", "text_hash").agg(F.sort_array(F.collect_set(F.struct(begin.alias("start"), end.alias("end")))).alias("spans"))
+    return kept(hits.groupBy("doc", "text_hash").agg(F.sort_array(F.collect_set(F.struct(begin.alias("start"), end.alias("end")))).alias("spans")))
 
 
 def merged(spans: list[dict] | None, size: int) -> list[tuple[int, int]]:
@@ -306,7 +377,7 @@ def _cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         yield pa.array(out, kind)
 
 
-def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """docs with removed (array of start and end in UTF-8 bytes: maximal runs), n_bytes, kept_bytes and kept_sha256.
 
     Each byte of a string of LENGTH bytes that also starts elsewhere, in any document or in the same one, is removed, on all its
@@ -316,11 +387,17 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     docs = docs.drop("removed", "n_bytes", "kept_bytes", "kept_sha256")
     doc, text_hash, data, told = (free_name(docs, x) for x in ("doc_", "hash_", "bytes_", "told_"))
     own = docs.withColumn(data, F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8"))
-    own = own.withColumn(doc, F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)).cast("long"))).withColumn(text_hash, F.xxhash64(data))
-    spans = repeated_spans(own.where(F.length(data) >= LENGTH).select(F.col(doc).alias("doc"), F.col(text_hash).alias("text_hash"), F.col(data).alias("bytes")))
+    own = own.withColumn(text_hash, F.hash(data)).withColumn(doc, F.coalesce(F.col(id_col).cast("long"), F.xxhash64(data)))
+    spans = repeated_spans(own.where(F.length(data) >= LENGTH).select(F.col(doc).alias("doc"), F.col(text_hash).alias("text_hash"), F.col(data).alias("bytes")), hot)
     spans = spans.select(F.col("doc").alias(doc), F.col("text_hash").alias(text_hash), F.col("spans").alias(told))
     _cut.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
     cut = F.arrow_udf(_cut, "struct<removed:array<struct<start:long,end:long>>,kept_bytes:binary,sha:string>")
-    joined = own.join(spans, [doc, text_hash], "left").withColumn(told, cut(F.col(data), F.col(told)))
+    # a text without a repeat passes straight through; only the others are joined
+    likely, rest = likely_in(own, [doc, text_hash], spans)
+    joined = likely.join(spans, [doc, text_hash], "left").withColumn(told, cut(F.col(data), F.col(told)))
     r = F.col(told)
-    return joined.select(*docs.columns, r["removed"].alias("removed"), F.length(data).cast("long").alias("n_bytes"), r["kept_bytes"].alias("kept_bytes"), r["sha"].alias("kept_sha256"))
+    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
+    names = ("removed", "n_bytes", "kept_bytes", "kept_sha256")
+    with_spans = joined.select(*docs.columns, *(c.alias(n) for c, n in zip((r["removed"], F.length(data).cast("long"), r["kept_bytes"], r["sha"]), names, strict=True)))
+    without = rest.select(*docs.columns, *(c.alias(n) for c, n in zip((none, F.length(data).cast("long"), F.col(data), F.sha2(F.col(data), 256)), names, strict=True)))
+    return with_spans.unionByName(without)
