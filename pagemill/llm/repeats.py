@@ -15,7 +15,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -159,7 +158,7 @@ def _edges(rows: DataFrame, side: str) -> list[tuple]:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = last = None
+        first = last = part = None
         ahead: list[int] = []
         back: list[int] = []
         least, broken = LENGTH + 1, False
@@ -170,6 +169,7 @@ def _edges(rows: DataFrame, side: str) -> list[tuple]:
             found = _prefixes(grams, strings, last)
             if first is None:
                 first, found = (int(grams[0]), strings[0]), found[1:]
+                part = batch.column("part")[0].as_py()
             _, ahead = chains(found, ahead)
             for p in found:
                 if broken:
@@ -180,7 +180,7 @@ def _edges(rows: DataFrame, side: str) -> list[tuple]:
                     back.append(p)
             last = (int(grams[-1]), strings[-1])
         if first is not None:
-            columns = [[TaskContext.get().partitionId()], [first[0]], [first[1]], [last[0]], [last[1]], [ahead], [back[::-1]], [broken]]
+            columns = [[part], [first[0]], [first[1]], [last[0]], [last[1]], [ahead], [back[::-1]], [broken]]
             kinds = (pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["p", "g0", "s0", "g1", "s1", "ahead", "back", "broken"])
 
@@ -298,7 +298,7 @@ def _across(rows: DataFrame, side: str) -> DataFrame:
     spark = rows.sparkSession
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    dealt = rows.repartitionByRange("gram", side).sortWithinPartitions("gram", side).checkpoint()
+    dealt = rows.repartitionByRange("gram", side).sortWithinPartitions("gram", side).withColumn("part", F.spark_partition_id()).checkpoint()
     reaching = _reaching(_edges(dealt, side))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,7 +306,7 @@ def _across(rows: DataFrame, side: str) -> DataFrame:
         if not some:
             return
         every = pa.Table.from_batches(some).combine_chunks()
-        ahead, back = reaching[TaskContext.get().partitionId()]
+        ahead, back = reaching[every["part"][0].as_py()]
         for row, delta, x, y in _key_strings(every, _depths(every, side, list(ahead), list(back)), side):
             at = pa.array(row)
             columns = [every["gram"].combine_chunks().take(at), every["context"].combine_chunks().take(at), pa.array(delta.astype(np.int32)), pa.array(x.view(np.int64)), pa.array(y.view(np.int64))]
