@@ -32,10 +32,14 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words of a class or id that mark what is around an article, not of it.
 AROUND = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|nav\w*|menus?|breadcrumbs?|sidebar|side|widget|"
-    r"footer|masthead|comments?|disqus|respond|replies|related|recommend\w*|share|sharing|social|subscribe|newsletter|signup|login|search|pagination|pager|skip)(?=$|[\s_-])",
+    r"(?:^|[_-])(?:ads?|adsby\w*|adslot\w*|adbox|advert\w*|banners?|sponsor\w*|promo\w*|cookie\w*|consent\w*|gdpr|notices?|notification\w*|alerts?|popup\w*|modal|overlay|nav\w*|menu\w*|"
+    r"breadcrumbs?|sidebar\w*|widgets?|footer|masthead|comment\w*|disqus\w*|respond|replies|related|recommend\w*|share\w*|sharing|social\w*|subscribe\w*|newsletter\w*|signup|login|"
+    r"search\w*|pagination|pager|skip)(?=$|[_-])",
     re.IGNORECASE,
 )
+#: A name like has-sidebar tells of the layout; one like site-header counts outside an article alone.
+LAYOUT = re.compile(r"^(?:has|with|without|no|not|is)[_-]", re.IGNORECASE)
+PAGE_HEADER = re.compile(r"^(?:(?:site|page|top|main|global)[_-]?)?header$", re.IGNORECASE)
 AROUND_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.DOTALL)
@@ -49,7 +53,9 @@ def _around(name: str, attributes: str, in_article: bool) -> bool:
         return False
     for key, value in _MARKS.findall(attributes):
         key, value = key.lower(), value.strip("\"'")
-        if key in ("class", "id") and AROUND.search(value) or key == "role" and value.lower() in AROUND_ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
+        if key in ("class", "id") and any(AROUND.search(x) and not LAYOUT.match(x) or not in_article and PAGE_HEADER.match(x) for x in value.split()):
+            return True
+        if key == "role" and value.lower() in AROUND_ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
             return True
     return False
 

@@ -36,6 +36,7 @@ LONG = "Some long text here. " * 10
         ('<article><header><h1>T</h1></header><p>a<p class="ad-box">BUY<p>b<section id="comments"><article>c</article></section><p>e</article>', "T\na\nb\ne"),
         ('<script>var t="</p>";</script><main><p>x &lt;b&gt; <b>y<p>z<aside>no</aside></main>', "x <b> y\nz"),
         (f'<div class="header"><a>Home</a></div><div><h1>T</h1>{LONG}<ul><li>One<li>Two</ul></div><p class="ad">BUY<div id="comments">c</div>', f"T\n{LONG.strip()}\nOne\nTwo"),
+        (f'<div class="content has-sidebar"><p>{LONG}</p></div><div id="site-header">H</div><div class="commentList"><article>c</article></div>', LONG.strip()),
         ("<article><form>q</form><p>a<br>b</p><style>p{}</style><!-- c --></article><p>tail", "a b"),
         ("<article><p>1 < 2 and 3 > 2</p></article>", "1 < 2 and 3 > 2"),
     ],
