@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import LETTERS_DIGITS, SPACE, SPACE_SET, WORD, count, fragment_count, js_length, js_trim, lone_digit_count, repetition, trimmed_lines
+from .text import BOUNDARY, LETTERS_DIGITS, SPACE, SPACE_SET, WORD, count, fragment_count, js_length, js_trim, lone_digit_count, repetition, trimmed_lines
 
 #: Classes of a page's text. Fixed values.
 PAGE_CLASSES = ("empty", "short-text", "corrupted-text", "repetitive-text", "native-text", "ocr-candidate")
@@ -60,8 +60,6 @@ def any_of(patterns: tuple[tuple[str, bool], ...], boundary: str, ignore_case: s
 
 
 def _java(patterns: tuple[tuple[str, bool], ...]) -> str:
-    from .text import BOUNDARY
-
     return any_of(patterns, BOUNDARY, "iu")
 
 
