@@ -86,3 +86,9 @@ def lone_digit_count(text: Column) -> Column:
 def is_redundant_sidecar(text: Column) -> Column:
     """Whether a side file says nothing but its placeholder."""
     return F.upper(js_trim(text)) == "TEXTO"
+
+
+def natural_order(name: Column) -> Column:
+    """A sort key in which page-2 comes before page-10: what comes before the last number of a name, the number, the name."""
+    before, number = F.regexp_extract(name, r"^(.*?)(\d+)\D*$", 1), F.regexp_extract(name, r"(\d+)\D*$", 1)
+    return F.struct(before.alias("stem"), F.when(number != "", number.cast("decimal(38,0)")).alias("number"), name.alias("name"))

@@ -109,3 +109,11 @@ def result_view(jobs: DataFrame) -> DataFrame:
     """What a client that asks for a job's result gets: 202 while it is open, its error if it has failed, else the result."""
     open_, bad = F.col("status").isin(*OPEN), F.col("status").isin("failed", "expired")
     return jobs.select("id", "status", F.when(open_, 202).otherwise(200).alias("http_status"), F.when(bad, F.col("error")).alias("error"), F.when(~open_ & ~bad, F.col("result")).alias("result"))
+
+
+def new_jobs(requests: DataFrame, now_ms: int, host: str, protocol: str = "https") -> DataFrame:
+    """Queued records for requests (request: JSON), each with an id of its own. Ids differ from run to run: write the records before they are used twice."""
+    now = F.lit(now_ms).cast("long")
+    none = {c: F.lit(None).cast("string") for c in ("result", "error")} | {c: F.lit(None).cast("long") for c in ("started_ms", "finished_ms")}
+    named = {"id": F.expr("uuid()"), "type": F.lit("process-message"), "status": F.lit("queued"), "host": F.lit(host), "protocol": F.lit(protocol), "created_ms": now, "updated_ms": now}
+    return requests.select("request").withColumns(named | none).select(*[c.split()[0] for c in RECORD_SCHEMA.split(", ")])

@@ -24,6 +24,8 @@ ROUTES = {
 #: Audio types that a transcription accepts, and its size limit. Fixed values.
 AUDIO_TYPES = ("audio/webm", "audio/mpeg", "audio/mp3", "audio/wav", "audio/ogg", "audio/m4a", "audio/mp4")
 MAX_AUDIO_BYTES = 50 * 1024 * 1024
+#: Seconds that an extractor may take. Fixed values.
+TIMEOUT_SECONDS = {"txt": 10, "image": 45, "docx": 20, "doc": 20, "xlsx": 20, "pdf": 600, "audio": 120}
 FILE_SEPARATOR = "\n\n---\n\n"
 FILE_STRUCT = "struct<fileId:string,url:string,mimeType:string>"
 MESSAGE_SCHEMA = f"conversationId string, body struct<files:array<{FILE_STRUCT}>>, _corrupt_record string"
@@ -78,6 +80,12 @@ def size_error(n_bytes: Column, most: int = Limits.max_file_bytes) -> Column:
     return F.when((F.lit(most) > 0) & (n_bytes > most), "FILE_LIMIT_EXCEEDED")
 
 
+def timeout_error(extractor: Column) -> Column:
+    """What a file gets whose extractor took too long; it says that the time limit was exceeded, so its job expires."""
+    seconds = F.coalesce(*[F.when(extractor == k, str(v)) for k, v in TIMEOUT_SECONDS.items()], F.lit(None).cast("string"))
+    return F.concat(F.lit("O processamento deste arquivo "), F.upper(extractor), F.lit(" excedeu o tempo limite de "), seconds, F.lit(" segundos."))
+
+
 def file_block(url: Column, text: Column) -> Column:
     return F.concat(F.lit("## Transcricao do arquivo: "), basename(url), F.lit(":\n\n"), text)
 

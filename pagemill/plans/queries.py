@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import Limits, OcrKnobs
@@ -657,6 +657,22 @@ def image_data_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.table(spark, sf_dir, "pages").select("page_id", M.data_url(F.lit("image/png"), F.encode(F.substring("url", 1, 30), "UTF-8")).alias("data_url"))
 
 
+@query(
+    f"""WITH {_FILES}, {_ROUTED} SELECT file_id, 'O processamento deste arquivo ' || upper(extractor) || ' excedeu o tempo limite de ' || CASE extractor
+    {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in M.TIMEOUT_SECONDS.items())} END || ' segundos.' AS error FROM typed_ WHERE extractor IS NOT NULL"""
+)
+def timeout_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = T.message_files(spark, sf_dir).select("file_id", M.route(F.col("mime_type"))["extractor"].alias("extractor")).where("extractor IS NOT NULL")
+    return files.select("file_id", M.timeout_error(F.col("extractor")).alias("error"))
+
+
+@query("SELECT 'page-' || page_id || '.png' AS name, row_number() OVER (PARTITION BY page_id % 10 ORDER BY page_id) AS k FROM pages")
+def natural_page_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Image files of ten folders in the order of their numbers."""
+    files = T.table(spark, sf_dir, "pages").select((F.col("page_id") % 10).alias("folder"), F.concat(F.lit("page-"), F.col("page_id").cast("string"), F.lit(".png")).alias("name"))
+    return files.select("name", F.row_number().over(Window.partitionBy("folder").orderBy(X.natural_order(F.col("name")))).cast("long").alias("k"))
+
+
 # --- jobs ------------------------------------------------------------------------------------------------------------
 
 _STATUS = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in T.STATUS_OF.items())

@@ -145,3 +145,10 @@ def test_job_ids(spark):
     ids = ["123e4567-e89b-12d3-a456-426614174000", "123E4567-E89B-42D3-A456-426614174000", "../secret", "123e4567-e89b-62d3-a456-426614174000"]
     df = spark.createDataFrame([(i,) for i in ids], "i string").select(J.valid_job_id(F.col("i")))
     assert [r[0] for r in df.collect()] == [True, True, False, False]
+
+
+def test_new_jobs(spark):
+    df = spark.createDataFrame([("[]",), ("[1]",)], "request string")
+    rows = J.new_jobs(df, 7, "h").collect()
+    assert {(r.status, r.created_ms, r.host, r.error) for r in rows} == {("queued", 7, "h", None)} and len({r.id for r in rows}) == 2
+    assert all(r[0] for r in J.new_jobs(df, 7, "h").select(F.length("id") == 36).collect())
