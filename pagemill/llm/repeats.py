@@ -30,7 +30,7 @@ REACH = LENGTH - GRAM
 #: So many repeated grams are broadcast.
 GRAMS_BROADCAST = 1_000_000
 #: A gram with more different contexts is dealt over several tasks; contexts of others are compared so many at a time, whole grams each.
-HOT, TOGETHER = 65536, 8192
+HOT, TOGETHER = 65536, 4096
 
 _MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -248,21 +248,26 @@ def _within(rows: DataFrame) -> DataFrame:
     """(gram, context, least, most): of rows whose grams lie in one task each, the least and the greatest delta of a string that another has."""
 
     def matched(some: pa.Table) -> pa.RecordBatch:
-        found = []
+        rows, deltas, digests = [], [], []
         for side in ("after", "before"):
-            order = np.lexsort((np.array(some[side].to_pylist(), object), some["gram"].to_numpy()))
+            order = np.lexsort((np.array(some[side].to_pylist(), object), some["gram"].to_numpy())).astype(np.int32)
             ordered = some.take(pa.array(order))
-            found += [(order[r], d, x, y) for r, d, x, y in _key_strings(ordered, _depths(ordered, side, [], []), side)]
+            for r, d, x, _ in _key_strings(ordered, _depths(ordered, side, [], []), side):
+                rows.append(order[r])
+                deltas.append(d.astype(np.uint8))
+                digests.append(x)  # within a task 64 bits tell strings apart
         least, most = np.full(some.num_rows, LENGTH + 1), np.full(some.num_rows, -1)
-        if found:
-            row, delta, x, y = (np.concatenate(c) for c in zip(*found, strict=True))
-            # a row has a string from either side: it counts once
-            order = np.lexsort((row, y, x))
-            row, delta, x, y = row[order], delta[order], x[order], y[order]
-            new = np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
-            other = np.concatenate(([True], new[1:] | (row[1:] != row[:-1])))
-            several = np.bincount(np.cumsum(new) - 1, weights=other) > 1
-            hit = several[np.cumsum(new) - 1]
+        if rows:
+            row, delta, x = (np.concatenate(c) for c in (rows, deltas, digests))
+            del rows, deltas, digests
+            order = np.lexsort((row, x))
+            row, delta, x = row[order], delta[order], x[order]
+            del order
+            new = np.concatenate(([True], x[1:] != x[:-1]))
+            other = new.copy()
+            other[1:] |= row[1:] != row[:-1]  # a row has a string from either side: it counts once
+            group = np.cumsum(new, dtype=np.int32) - 1
+            hit = (np.bincount(group[other]) > 1)[group]
             np.minimum.at(least, row[hit], delta[hit])
             np.maximum.at(most, row[hit], delta[hit])
         hit = pa.array(np.flatnonzero(most >= 0))
