@@ -14,12 +14,14 @@ from .tables import free_name
 
 #: Lines in a window, and the text in one at which it surges.
 WINDOW, SURGE = 3, 86
-#: A line outside an article with a larger share of link text is a menu's.
+#: A line with a larger share of link text is a menu's outside an article, and weighs as one outside in an article.
 MOST_LINKED = 0.5
+#: A line in an article or main element weighs so much more, text in a form or under a listed name so much less for each it is in.
+RAISED, LOWERED = 2, 4
 
 #: Elements whose text is never the article's.
-SKIPPED = frozenset("script style noscript template head nav footer aside form button select textarea iframe object svg canvas dialog menu".split())
-#: Elements that hold the article where a page has them.
+SKIPPED = frozenset("script style noscript template head nav footer aside button select textarea iframe object svg canvas dialog menu".split())
+#: Elements that mostly hold the article where a page has them.
 HOLDS_ARTICLE = frozenset(("article", "main"))
 #: Elements whose content is text up to their end tag.
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
@@ -46,57 +48,82 @@ _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?
 _MARKS = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.IGNORECASE)
 
 
-def _around(name: str, attributes: str, in_article: bool) -> bool:
-    if name in SKIPPED or name == "header" and not in_article:
-        return True
-    if not attributes or name in ("html", "body"):
-        return False
-    for key, value in _MARKS.findall(attributes):
-        key, value = key.lower(), value.strip("\"'")
-        if key in ("class", "id") and any(AROUND.search(x) and not LAYOUT.match(x) or not in_article and PAGE_HEADER.match(x) for x in value.split()):
-            return True
-        if key == "role" and value.lower() in AROUND_ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
-            return True
-    return False
+def _removed(name: str, marks: list[tuple[str, str]], in_article: bool) -> bool:
+    return name in SKIPPED or name == "header" and not in_article or any(key == "hidden" or key == "aria-hidden" and value == "true" for key, value in marks)
+
+
+def _around(name: str, marks: list[tuple[str, str]], in_article: bool) -> str | None:
+    """What tells that an element is around the article rather than of it, or None."""
+    if name == "form":
+        return name
+    for key, value in marks:
+        if key in ("class", "id"):
+            for x in value.split():
+                if AROUND.search(x) and not LAYOUT.match(x) or not in_article and PAGE_HEADER.match(x):
+                    return x
+        if key == "role" and value.lower() in AROUND_ROLES:
+            return value
+    return None
 
 
 class _Lines:
-    """Lines of text of a page in order; each with its text, the characters of it in links, and whether it is in an article."""
+    """Lines of text of a page in order; each with its text, the characters of it in links, whether it is in an article, and its area.
+
+    Area 0 is the page. Elements that look to be around the article are areas in the one that they lie in, those of one mark the same.
+    """
 
     def __init__(self) -> None:
-        self.lines: list[tuple[str, int, bool]] = []
+        self.lines: list[tuple[str, int, bool, int]] = []
         self.parts: list[str] = []
         self.linked = 0
+        self.area, self.parents = 0, [0]
+        self.areas: dict[tuple[int, str], int] = {}
 
     def end(self, in_article: bool) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append((text, self.linked, in_article))
+            self.lines.append((text, self.linked, in_article, self.area))
         self.parts, self.linked = [], 0
 
     def gap(self, lines: int) -> None:
-        self.lines += [("", 0, False)] * lines
+        self.lines += [("", 0, False, self.area)] * lines
 
+    def enter(self, mark: str) -> None:
+        own = self.areas.setdefault((self.area, mark), len(self.parents))
+        if own == len(self.parents):
+            self.parents.append(self.area)
+        self.area = own
 
-def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """The page's markup stripped: what is around the article becomes an empty line, an article's edge WINDOW of them."""
-    out, stack = _Lines(), []  # stack: name, skips
+    def leave(self) -> None:
+        self.gap(1)
+        self.area = self.parents[self.area]
+
+
+def lines_of(page: str) -> tuple[list[tuple[str, int, bool, int]], list[int]]:
+    """The page's markup stripped, and for each area the one it lies in: what is removed or ends an area becomes an empty line, an
+    article's edge WINDOW of them."""
+    out, stack = _Lines(), []  # stack: name, skips, is an area
     skipping = articles = links = 0
     at, size = 0, len(page)
 
     def close(upto: int) -> None:
         nonlocal skipping, articles, links
         while len(stack) > upto:
-            name, skips = stack.pop()
+            name, skips, area = stack.pop()
             links -= name == "a"
             if skips:
                 skipping -= 1
                 if not skipping:
                     out.gap(1)
-            elif name in HOLDS_ARTICLE and not skipping:
+                continue
+            if area:
+                out.end(articles > 0)
+            if name in HOLDS_ARTICLE and not skipping:
                 articles -= 1
                 if not articles:
                     out.gap(WINDOW)
+            if area:
+                out.leave()
 
     while at < size:
         m = _TOKEN.search(page, at)
@@ -137,7 +164,8 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             out.parts.append(" ")
         if name in VOID or attributes.endswith("/") and name not in BLOCKS:
             continue
-        skips = _around(name, attributes, articles > 0)
+        marks = [(key.lower(), value.strip("\"'")) for key, value in _MARKS.findall(attributes)] if attributes and name not in ("html", "body") else []
+        skips = _removed(name, marks, articles > 0)
         if name in RAW:
             end = re.compile(rf"</{name}\b[^>]*>|\Z", re.IGNORECASE).search(page, at)
             if not skips and not skipping and name != "title":
@@ -148,19 +176,62 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             if not skipping:
                 out.end(articles > 0)
             skipping += 1
-        elif name in HOLDS_ARTICLE and not skipping:
+        mark = None if skipping else _around(name, marks, articles > 0)
+        if mark is not None:
+            out.end(articles > 0)
+            out.enter(f"{name} {mark}")
+        if name in HOLDS_ARTICLE and not skipping:
             if not articles:
                 out.gap(WINDOW)
             articles += 1
         links += name == "a"
-        stack.append((name, skips))
+        stack.append((name, skips, mark is not None))
     out.end(articles > 0)
-    return out.lines
+    return out.lines, out.parents
 
 
-def between_surge_and_dive(lengths: list[int], surge: int, window: int = WINDOW) -> list[tuple[int, int]]:
-    """Runs of lines: each begins where the text of a window of lines rises from nothing, ends where it dives to nothing, and surges
-    above so much text between."""
+def _weight(text: str, linked: int, in_article: bool) -> int:
+    mostly_linked = linked > MOST_LINKED * len(text)
+    return len(text) * (RAISED - mostly_linked if in_article else 1 - mostly_linked)
+
+
+def _within(lines: list[tuple[str, int, bool, int]], parents: list[int]) -> list[tuple[str, int, bool, int]]:
+    """The lines of the area that holds the densest run and of those it lies in; each other one becomes an empty line."""
+    if len(parents) == 1:
+        return lines
+    weights: list[list[int]] = [[] for _ in parents]
+    for text, linked, inside, area in lines:
+        weights[area].append(_weight(text, linked, inside))
+    depths, best, most = [0] * len(parents), 0, 0.0
+    for area, own in enumerate(weights):  # an area comes after the one that it lies in
+        if area:
+            depths[area] = depths[parents[area]] + 1
+        text = max((sum(own[a:b]) for a, b, _ in between_surge_and_dive(own, 0)), default=0) / LOWERED ** min(depths[area], 32)
+        if text > most:
+            best, most = area, text
+    holds = {0, best}
+    while best:
+        best = parents[best]
+        holds.add(best)
+    outer = list(range(len(parents)))
+    for area in outer[1:]:
+        if area not in holds and parents[area] not in holds:
+            outer[area] = outer[parents[area]]
+    out, before = [], -1
+    for line in lines:
+        area = line[3]
+        if area in holds:
+            out.append(line)
+            before = -1
+        elif outer[area] != before:
+            before = outer[area]
+            out.append(("", 0, False, before))
+    return out
+
+
+def between_surge_and_dive(lengths: list[int], surge: int, window: int = WINDOW) -> list[tuple[int, int, int]]:
+    """Runs of lines and the most text in a window of each: a run begins where the text of a window of lines rises from nothing, ends
+    where it dives to nothing, and surges above so much text between."""
     sums = [sum(lengths[k : k + window]) for k in range(len(lengths))]
     runs, begin, peak = [], None, 0
     for k, s in enumerate([*sums, 0]):
@@ -170,24 +241,27 @@ def between_surge_and_dive(lengths: list[int], surge: int, window: int = WINDOW)
             peak = max(peak, s)
         elif begin is not None:
             if peak > surge:
-                runs.append((begin, k))
+                runs.append((begin, k, peak))
             begin = None
     return runs
 
 
 def main_text(page: str | None) -> str:
-    """The article's blocks, one to a line. Where a page names its article, all runs of lines inside count; else those that surge,
-    without lines of links; and if none does, the run with the most text."""
-    lines = lines_of(page or "")
-    if any(x[2] for x in lines):
-        lengths = [len(text) if inside else 0 for text, _, inside in lines]
-        runs = between_surge_and_dive(lengths, 0)
-    else:
-        lengths = [len(text) if linked <= MOST_LINKED * len(text) else 0 for text, linked, _ in lines]
-        runs = between_surge_and_dive(lengths, SURGE)
-        if not runs:
-            runs = sorted(between_surge_and_dive(lengths, 0), key=lambda r: -sum(lengths[r[0] : r[1]]))[:1]
-    return "\n".join(lines[k][0] for a, b in runs for k in range(a, b) if lengths[k])
+    """The article's blocks, one to a line: the runs of lines that surge, and if none does, the run with the most text. Where there are
+    runs in articles and others, those that aren't like the densest must surge to more than half its height."""
+    lines = _within(*lines_of(page or ""))
+    weights = [_weight(text, linked, inside) for text, linked, inside, _ in lines]
+    every = between_surge_and_dive(weights, 0)
+    if not every:
+        return ""
+
+    def in_article(run: tuple[int, int, int]) -> bool:
+        return any(lines[k][2] for k in range(run[0], run[1]))
+
+    densest = max(every, key=lambda r: sum(weights[r[0] : r[1]]))
+    like = in_article(densest)
+    runs = [r for r in every if r[2] > SURGE and (in_article(r) == like or r[2] > densest[2] / RAISED)] or [densest]
+    return "\n".join(lines[k][0] for a, b, _ in runs for k in range(a, b) if weights[k])
 
 
 def _texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
