@@ -31,6 +31,8 @@ REACH = LENGTH - GRAM
 GRAMS_BROADCAST = 1_000_000
 #: A gram with more different contexts is dealt over several tasks; contexts of others are compared so many at a time, whole grams each.
 HOT, TOGETHER = 65536, 4096
+#: Contexts of very common grams in a partition, about.
+IN_PART = 16384
 
 _MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -299,11 +301,14 @@ def _within(rows: DataFrame) -> DataFrame:
 
 def _across(rows: DataFrame, side: str) -> DataFrame:
     """(gram, context, delta, x, y): strings of rows of very common grams, dealt over partitions by range. An interval that reaches over
-    the edge of a partition is known on both sides by the stacks that scans from either side leave there."""
+    the edge of a partition is known on both sides by the stacks that scans from either side leave there. No two rows have equal keys of
+    the range, so that it splits those of one string, and partitions grow in number rather than in size."""
     spark = rows.sparkSession
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    dealt = rows.repartitionByRange("gram", side).sortWithinPartitions("gram", side).withColumn("part", F.spark_partition_id()).checkpoint()
+    key = ["gram", side, "context"]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // IN_PART))
+    dealt = rows.repartitionByRange(parts, *key).sortWithinPartitions(*key).withColumn("part", F.spark_partition_id()).checkpoint()
     reaching = _reaching(_edges(dealt, side))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
