@@ -44,7 +44,8 @@ def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    told = drop_repeated_units(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    # the SQL leaves short units, so the query does as well
+    told = drop_repeated_units(table(spark, sf_dir, "documents").select("doc_id", "text"), join_short=False)
     spans = F.concat_ws(",", F.transform("removed", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))))
     kept_text = F.coalesce("text_kept", F.lit(""))
     return told.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"), "n_removed", "n_spans", spans.alias("spans"), F.sha2(kept_text, 256).alias("kept_sha256"))

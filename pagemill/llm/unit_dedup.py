@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from bisect import bisect
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,8 +19,10 @@ SENTENCES = r"[^\n.!?]*[\n.!?]+|[^\n.!?]+"
 #: Whole lines, and paragraphs between empty lines.
 LINES = r"[^\n]*\n|[^\n]+"
 PARAGRAPHS = r"(?:[^\n]+\n?)+\n*|\n+"
-#: A unit of fewer words is never removed.
+#: A unit of fewer words is never removed by itself.
 LEAST_WORDS = 6
+#: Characters of scripts without spaces; two count as a word where short units are joined.
+UNSPACED = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
 
@@ -31,12 +35,31 @@ def units_of(text: str, pattern: str = SENTENCES, least_words: int = LEAST_WORDS
             yield m.start(), m.end(), hashlib.blake2b(unit.encode(), digest_size=16).digest()
 
 
-def _units(docs: DataFrame, pattern: str, least_words: int) -> DataFrame:
+def joined_units_of(text: str, pattern: str = SENTENCES, least_words: int = LEAST_WORDS) -> Iterator[tuple[int, int, bytes]]:
+    """(start, end, digest) of units that are joined because they are short: from each one of too few words on, units until there are
+    enough. One starts at each short unit, so that equal passages have equal ones wherever they begin; a long unit alone is units_of's."""
+    units = []
+    for m in re.finditer(pattern, text):
+        unit = _SPACE.sub(" ", m[0]).strip(" ").lower()
+        if unit:
+            units.append((m.start(), m.end(), unit, unit.count(" ") + 1, len(UNSPACED.findall(unit)) // 2))
+    for k, (start, _, _, spaced, unspaced) in enumerate(units):
+        if spaced >= least_words:
+            continue
+        n, upto = max(spaced, unspaced), k
+        while n < least_words and upto + 1 < len(units):
+            upto += 1
+            n += max(units[upto][3:])
+        if n >= least_words:
+            yield start, units[upto][1], hashlib.blake2b("\n".join(["", *(u[2] for u in units[k : upto + 1])]).encode(), digest_size=16).digest()
+
+
+def _units(docs: DataFrame, pattern: str, least_words: int, of: Callable[[str, str, int], Iterator[tuple[int, int, bytes]]] = units_of) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: tuple[list, ...] = ([], [], [], [])
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for start, end, digest in units_of(text.as_py(), pattern, least_words):
+                for start, end, digest in of(text.as_py(), pattern, least_words):
                     for column, value in zip(rows, (doc, start, end, digest), strict=True):
                         column.append(value)
                 if len(rows[0]) > 100_000:
@@ -59,11 +82,60 @@ def _without(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]
         yield pa.array(out, pa.string())
 
 
-def drop_repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pattern: str = SENTENCES, least_words: int = LEAST_WORDS) -> DataFrame:
+def _settled(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Spans to remove: all long units that occur earlier, and of joined ones what none holds that is the first of its kind."""
+    kind = pa.list_(pa.struct([pa.field("start", pa.int32()), pa.field("end", pa.int32())]))
+    for batch in batches:
+        out = []
+        for spans in batch.to_pylist():
+            runs: list[list[int]] = []
+            upto = max((s["end"] for s in spans if s["joined"] and not s["again"]), default=0)
+            held = np.zeros(upto + 1, np.int32)
+            for s in spans:
+                if s["joined"] and not s["again"]:
+                    held[s["start"]] += 1
+                    held[s["end"]] -= 1
+            edges = np.diff(np.concatenate(([0], np.cumsum(held) > 0, [0])).astype(np.int8))
+            kept_runs = list(zip(np.flatnonzero(edges == 1).tolist(), np.flatnonzero(edges == -1).tolist(), strict=True))
+            begins = [a for a, _ in kept_runs]
+            for s in spans:
+                if not s["again"]:
+                    continue
+                at, end = s["start"], s["end"]
+                if s["joined"]:
+                    for a, b in kept_runs[max(0, bisect(begins, at) - 1) :]:
+                        if a >= end:
+                            break
+                        if b > at:
+                            if a > at:
+                                runs.append([at, a])
+                            at = b
+                if at < end:
+                    runs.append([at, end])
+            merged: list[list[int]] = []
+            for a, b in sorted(runs):
+                if merged and a < merged[-1][1]:
+                    merged[-1][1] = max(b, merged[-1][1])
+                else:
+                    merged.append([a, b])
+            out.append([{"start": a, "end": b} for a, b in merged])
+        yield pa.array(out, kind)
+
+
+def _repeated(units: DataFrame) -> DataFrame:
+    """units of digests that occur again, with again: whether one of a smaller id or place is equal."""
+    first = units.groupBy("digest").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("times")).where("times > 1").drop("times")
+    return units.join(first, "digest").withColumn("again", (F.col("doc") != F.col("first.doc")) | (F.col("start") != F.col("first.start")))
+
+
+def drop_repeated_units(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pattern: str = SENTENCES, least_words: int = LEAST_WORDS, join_short: bool = True
+) -> DataFrame:
     """docs with removed (array of start and end, in code points of the text as it was), n_removed (characters), n_spans and text_kept.
 
     Units are compared over all documents and within one. Of equal units the one of the smallest id, and there the first, stays;
-    the others are removed. Units of fewer than least_words words stay. A null text stays null and has no units; a row with a null id stays
+    the others are removed. Units of fewer than least_words words are compared joined with those after them, unless join_short is false:
+    then they stay. A null text stays null and has no units; a row with a null id stays
     as it is and takes no part. Rows that share an id are one document whose units aren't compared with each other's, as
     long as their texts are equal. Digests are counted before they are joined, and that join is one Spark splits where a unit is
     very common. Columns of docs that have the name of a result are replaced by it.
@@ -71,10 +143,16 @@ def drop_repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     docs = docs.drop("removed", "n_removed", "n_spans", "text_kept")
     own = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     units = _units(own, pattern, least_words)
-    first = units.groupBy("digest").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("times")).where("times > 1").drop("times")
-    again = units.join(first, "digest").where((F.col("doc") != F.col("first.doc")) | (F.col("start") != F.col("first.start")))
+    again = _repeated(units).where("again")
     spans, key = free_name(docs, "spans_"), free_name(docs, "id_")
-    cut = kept(again.groupBy(F.col("doc").alias(key)).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias(spans)))
+    if join_short:
+        _settled.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+        settled = F.arrow_udf(_settled, "array<struct<start:int,end:int>>")
+        joined = _repeated(_units(own, pattern, least_words, joined_units_of)).withColumn("joined", F.lit(True))
+        every = again.withColumn("joined", F.lit(False)).unionByName(joined).groupBy(F.col("doc").alias(key)).agg(F.collect_set(F.struct("start", "end", "joined", "again")).alias(spans))
+        cut = kept(every.withColumn(spans, settled(spans)).where(F.size(spans) > 0))
+    else:
+        cut = kept(again.groupBy(F.col("doc").alias(key)).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias(spans)))
     _without.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
     joined = docs.join(cut, F.col(id_col) == F.col(key), "left")
     removed = F.coalesce(F.col(spans), F.array().cast("array<struct<start:int,end:int>>"))

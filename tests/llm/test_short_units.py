@@ -1,0 +1,18 @@
+from pagemill.llm.unit_dedup import drop_repeated_units
+
+
+def test_passages_of_short_units(spark):
+    verse = "".join(f"line {k} of it\n" for k in range(20))
+    chinese = "我们今天在这里学习如何处理大量的文件\n"
+    rows = [
+        (1, f"A start of its own.\n{verse}"),
+        (2, f"Other\nwords\n{verse}The end comes here and it is long enough.\n"),
+        (3, verse[13:]),
+        (4, "la la\n" * 30),
+        (5, f"Yes\n{chinese}"),
+        (6, f"No\n{chinese}Wait\n"),
+        (7, "Too short.\n"),
+        (8, "Too short.\n"),
+    ]
+    got = {r.doc_id: r.text_kept for r in drop_repeated_units(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: "Other\nwords\nThe end comes here and it is long enough.\n", 3: "", 4: "la la\n" * 3, 5: rows[4][1], 6: "No\nWait\n", 7: rows[6][1], 8: rows[7][1]}
