@@ -14,6 +14,8 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 #: What may hold an encoded random string: a whole run of such characters.
 TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+"
+#: What is tested of a run that no encoding fits: its parts between + / - _ that are long enough.
+PART = r"(?<![A-Za-z0-9])[A-Za-z0-9]{20,}+"
 KINDS = ("assign", "access", "hex", "random")
 
 #: Encodings in the order in which they are inferred: what a token must match, and the alphabet in order.
@@ -28,6 +30,7 @@ ENCODINGS = (
     (r"^[0-9A-Za-z+/]+$", _UPPER + _LOWER + _DIGITS + "+/"),
     (r"^[0-9A-Za-z_-]+$", _UPPER + _LOWER + _DIGITS + "-_"),
 )
+_FITS = "|".join(pattern for pattern, _ in ENCODINGS)
 #: A token of less than so many bits, at its alphabet's size, is too short to tell.
 LEAST_BITS = 80.0
 #: Of the tokens dismissed as not random, the share that are random is held below this in each band of lengths.
@@ -65,7 +68,7 @@ def _both_tails(z: Column) -> Column:
 
 
 def tested(spans: Column) -> Column:
-    """array of (start, end, band, bin) of token spans that an encoding fits and that are long enough: band is the power of two of
+    """array of (start, end, band, bin) of token spans, or of their parts where no encoding fits, that are long enough: band is the power of two of
     the length, bin tells how improbable the token would be if its characters were drawn evenly and independently."""
     def alphabet(t: Column) -> Column:
         found = F.lit(None).cast("string")
@@ -116,7 +119,12 @@ def tested(spans: Column) -> Column:
         p = F.least(F.greatest(F.exp(-x / 2) * (1 + x / 2 + x * x / 8), F.lit(10.0**-LEAST_POWER)), F.lit(1.0))
         return F.struct(s["start"].alias("start"), s["end"].alias("end"), F.floor(F.log2(n)).cast("int").alias("band"), F.floor(-F.log10(p) * BINS).cast("int").alias("bin"))
 
-    fitting = F.filter(F.transform(spans, encoding), lambda s: s["a"].isNotNull() & (F.length(s["t"]) * F.log2(F.length(s["a"]).cast("double")) >= LEAST_BITS))
+    def parts(s: Column) -> Column:
+        moved = F.transform(_spans(s["match"], PART), lambda m: F.struct((s["start"] + m["start"]).alias("start"), (s["start"] + m["end"]).alias("end"), m["match"].alias("match")))
+        return F.when(s["match"].rlike(_FITS), F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"), s["match"].alias("match")))).otherwise(moved)
+
+    whole = F.flatten(F.transform(spans, parts))
+    fitting = F.filter(F.transform(whole, encoding), lambda s: s["a"].isNotNull() & (F.length(s["t"]) * F.log2(F.length(s["a"]).cast("double")) >= LEAST_BITS))
     return F.transform(F.transform(F.transform(fitting, counted), measured), judged)
 
 
@@ -146,7 +154,7 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", false_discoveries: flo
     """docs with spans: array of (start, rank, kind, end) in order, offsets in code points, end exclusive.
 
     Kinds assign, access and hex are the base patterns' leftmost matches. Kind random adds tokens of 20 characters or more that hold
-    letters and digits, fit an encoding, aren't dismissed by the randomness tests, and don't overlap a base span. A null or
+    letters and digits, fit an encoding or are part of a run that none fits, aren't dismissed by the randomness tests, and don't overlap a base span. A null or
     empty text has no spans. Repeated rows get the same spans, and count as often as they come in the false-discovery control. A column
     of docs called spans is replaced.
     """
