@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,7 +17,7 @@ from ..operators import messages as M
 from ..operators import ocr as O
 from ..operators import pages as P
 from ..operators import sheets as S
-from ..sources.folders import shared_folder
+from ..sources.folders import scratch_path
 from ..streaming.jobs import hourly_counts, run_once
 from . import tables as T
 
@@ -783,4 +782,4 @@ def stream_hourly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     counts = hourly_counts(source.withColumn("ts", F.col("ts").cast("timestamp")))
     hour = F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', cast(hour_start as timestamp_ntz))")
-    return run_once(counts, f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}").select(hour.alias("hour_ms"), "event_type", "n")
+    return run_once(counts, scratch_path(spark, "streams")).select(hour.alias("hour_ms"), "event_type", "n")

@@ -1,16 +1,49 @@
-"""The folder that the driver and all executors share."""
+"""The folder that the driver and all executors share, and what a job keeps in it for a while."""
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
+_SCOPES: list[list[str]] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; only where it is unset (tests, one machine) a new temporary folder."""
+    """The cluster's spark.checkpoint.dir. Where it is unset, a new temporary folder if driver and executors are one process; else an
+    error, as executors would write to disks of their own and rows would be missed without a word."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is not set: it must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def scratch_path(spark: SparkSession, kind: str) -> str:
+    """A new path in the shared folder, removed at the end of the scratch() that it is made in, if any."""
+    path = f"{shared_folder(spark)}/{kind}/{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is kept inside is removed at the end, so results made of it must be written or collected before."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            remove(spark, path)
