@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.folders import shared_folder
+from ..sources.folders import scratch_path
 
 
 def kept(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
-    """df written as Parquet in the shared folder and read again: its lineage ends here, and a lost executor takes none of it."""
+    """df written as Parquet in the shared folder and read again: its lineage ends here, and a lost executor takes none of it.
+
+    It stays until the end of the scratch() that it is made in, if any."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
+    path = scratch_path(spark, "tables")
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -36,3 +36,18 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = "_" + name
     return name
+
+
+#: More groups than this can't each hold more than a MOST_HEAVY-th of all rows.
+MOST_HEAVY = 2048
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+    """rows (total of them) joined with groups, which have one row a key and its number of rows in size.
+
+    Groups that hold more than a MOST_HEAVY-th of all rows are fewer than MOST_HEAVY, so they can be broadcast, and
+    their rows stay where they are; the others meet in a shuffle in which no key is heavy. Both tables are read twice, so they should be kept.
+    """
+    heavy = F.broadcast(groups.where(F.col(size) * MOST_HEAVY > total))
+    light = groups.where(F.col(size) * MOST_HEAVY <= total)
+    return rows.join(heavy, keys).unionByName(rows.join(heavy.select(*keys), keys, "left_anti").join(light, keys))
