@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -10,6 +11,9 @@ import numpy as np
 #: Splits a text before the merges, as the byte-level pre-tokenizer of such files does.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: White space as the pattern's \s has it, in a run that its engine would have to go back through; runs of this length are cut by hand.
+LONG_SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{4096,}")
+
 
 def default_path() -> str:
     import public_tokenizers
@@ -40,6 +44,13 @@ def encoder(path: str):
         ends[i] = token.endswith((b".", b"!", b"?")) or b"\n" in token
 
     def encode(text: str) -> np.ndarray:
-        return np.array(core.encode(text, allowed_special="all", disallowed_special=()), dtype="<u4")
+        ids, at = [], 0
+        for run in LONG_SPACE.finditer(text):
+            # all of a run is one word, but for the last space of it where something follows
+            end = run.end() - (run.end() < len(text))
+            ids += core.encode(text[at : run.start()], allowed_special="all", disallowed_special=())
+            ids += core._encode_single_piece(text[run.start() : end])
+            at = end
+        return np.array(ids + core.encode(text[at:], allowed_special="all", disallowed_special=()), dtype="<u4")
 
     return encode, ends

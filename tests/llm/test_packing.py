@@ -17,6 +17,16 @@ def test_ids_are_those_of_the_tokenizers_library():
         assert encode(text).tolist() == own.encode(text, add_special_tokens=False).ids
 
 
+def test_long_white_space(spark):
+    encode, _ = encoder(default_path())
+    own = Tokenizer.from_file(default_path())
+    n = 2_000_000
+    for text in (" " * n, "\n" * n, "x" + " " * n + "y", "\t \n\r" * (n // 4) + "z", "a" + "\u3000\xa0 " * (n // 3), "\x1c" * 5000, " " * 4096 + "'s", "\n" * 4097 + "<|endoftext|>" + " " * 5000 + "12"):
+        assert np.array_equal(encode(text), np.array(own.encode(text, add_special_tokens=False).ids, "<u4"))
+    rows = pack(spark.createDataFrame([(1, " " * n + "end"), (2, "after")], "doc_id long, text string")).collect()
+    assert sum(r.length for r in rows if r.doc_id == 1) == len(encode(" " * n + "end")) + 1
+
+
 def test_cuts_cost_least():
     r = np.random.default_rng(3)
     for _ in range(60):
