@@ -32,38 +32,114 @@ BLOCKS = frozenset(
 )
 #: Elements without an end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Words of a class or id that mark what is around an article, not of it.
-AROUND = re.compile(
-    r"(?:^|[_-])(?:ads?|adsby\w*|adslot\w*|adbox|advert\w*|banners?|sponsor\w*|promo\w*|cookie\w*|consent\w*|gdpr|notices?|notification\w*|alerts?|popup\w*|modal|overlay|nav\w*|menu\w*|"
-    r"breadcrumbs?|sidebar\w*|widgets?|footer|masthead|comment\w*|disqus\w*|respond|replies|related|recommend\w*|share\w*|sharing|social\w*|subscribe\w*|newsletter\w*|signup|login|"
-    r"search\w*|pagination|pager|skip)(?=$|[_-])",
-    re.IGNORECASE,
+#: Words of a class or id that tell what is around an article, and words that may stand beside them in a name. A name counts if each
+#: of its words is one of these or a number, and one at least is of the first kind: share-buttons does, share-price doesn't.
+AROUND = frozenset(
+    "ad ads adbox adsbygoogle adslot advert advertisement advertisements advertising adverts alert alerts banner banners breadcrumb breadcrumbs comment comments commentlist consent cookie "
+    "cookies disqus footer gdpr login masthead menu menus modal nav navbar navigation newsletter notice notices notification notifications overlay pager pagination popup promo promotion "
+    "promotions recommendations recommended related replies respond search share sharing sidebar signup skip social sponsor sponsored sponsors subscribe subscription widget widgets".split()
+)
+BESIDE = frozenset(
+    "area article articles author bar block body bottom box btn button buttons col column container content desktop dropdown fixed floating foot form global grid group head header heading "
+    "holder icon icons inner item items left link links list main media message meta mobile outer page panel policy post posts primary reply right row secondary section site slot sticky "
+    "stories story sub text thread title toggle tool tools top unit wrap wrapper zone".split()
 )
-#: A name like has-sidebar tells of the layout; one like site-header counts outside an article alone.
-LAYOUT = re.compile(r"^(?:has|with|without|no|not|is)[_-]", re.IGNORECASE)
 PAGE_HEADER = re.compile(r"^(?:(?:site|page|top|main|global)[_-]?)?header$", re.IGNORECASE)
 AROUND_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.DOTALL)
-_MARKS = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.IGNORECASE)
-
-
-def _removed(name: str, marks: list[tuple[str, str]], in_article: bool) -> bool:
-    return name in SKIPPED or name == "header" and not in_article or any(key == "hidden" or key == "aria-hidden" and value == "true" for key, value in marks)
-
-
-def _around(name: str, marks: list[tuple[str, str]], in_article: bool) -> str | None:
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_PLAIN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)>")
+#: What ends a tag, or begins a quoted value in which > ends nothing.
+_END_OR_QUOTE = re.compile(r""">|=\s*(["'])""")
+_ATTRIBUTE = re.compile(r"""([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*))?)?""")
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+|[^\W\d_]+")
+
+
+def is_around(name: str) -> bool:
+    """Whether a class or id names what is around an article."""
+    words = [w.lower() for w in _WORD.findall(name) if not w.isdigit()]
+    return any(w in AROUND for w in words) and all(w in AROUND or w in BESIDE for w in words)
+
+
+def attributes(text: str) -> dict[str, str]:
+    """The attributes of a tag by name in lower case; of several of one name the first counts. A value is what its quotes hold."""
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(text):
+        found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return found
+
+
+class _Tags:
+    """Tags of a page one after another, in time linear in the page: what wasn't found once isn't looked for again."""
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self.missing: set[str] = set()
+
+    def find(self, what: str, at: int) -> int:
+        """The place of what from at on, or -1."""
+        if what in self.missing:
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.missing.add(what)
+        return found
+
+    def end(self, at: int) -> int:
+        """The place of the > that ends the tag whose name ends at at, or -1. A quote that is never closed doesn't count."""
+        while m := _END_OR_QUOTE.search(self.page, at):
+            if m[0] == ">":
+                return m.start()
+            closed = self.find(m[1], m.end())
+            if closed < 0:
+                return self.find(">", m.end())
+            at = closed + 1
+        return -1
+
+    def next(self, at: int) -> tuple[int, int, str, bool, str]:
+        """(begin, end, name, whether it is an end tag, attributes) of the next tag or comment from at on; a comment's name is empty.
+
+        A tag or comment that isn't ended goes to the page's end. A < that begins nothing is text.
+        """
+        page, size = self.page, len(self.page)
+        while True:
+            begin = self.find("<", at)
+            if begin < 0:
+                return size, size, "", False, ""
+            if m := _PLAIN.match(page, begin):
+                return begin, m.end(), m[2].lower(), m[1] == "/", ""
+            c = page[begin + 1 : begin + 2]
+            if c in ("!", "?"):
+                if page.startswith("<!--", begin) and not page.startswith(("<!-->", "<!--->"), begin):
+                    end = self.find("-->", begin + 4)
+                    return begin, size if end < 0 else end + 3, "", False, ""
+                end = self.find(">", begin)
+                return begin, size if end < 0 else end + 1, "", False, ""
+            closes = c == "/"
+            m = _NAME.match(page, begin + 1 + closes)
+            if m:
+                end = self.end(m.end())
+                return (begin, size, "", False, "") if end < 0 else (begin, end + 1, m[0].lower(), closes, page[m.end() : end])
+            if closes:
+                end = self.find(">", begin)
+                return begin, size if end < 0 else end + 1, "", False, ""
+            at = begin + 1
+
+
+def _removed(name: str, marks: dict[str, str], in_article: bool) -> bool:
+    return name in SKIPPED or name == "header" and not in_article or "hidden" in marks or marks.get("aria-hidden", "").lower() == "true"
+
+
+def _around(name: str, marks: dict[str, str], in_article: bool) -> str | None:
     """What tells that an element is around the article rather than of it, or None."""
     if name == "form":
         return name
-    for key, value in marks:
-        if key in ("class", "id"):
-            for x in value.split():
-                if AROUND.search(x) and not LAYOUT.match(x) or not in_article and PAGE_HEADER.match(x):
-                    return x
-        if key == "role" and value.lower() in AROUND_ROLES:
-            return value
-    return None
+    for key in ("class", "id"):
+        for x in marks.get(key, "").split():
+            if is_around(x) or not in_article and PAGE_HEADER.match(x):
+                return x
+    role = marks.get("role", "")
+    return role if role.lower() in AROUND_ROLES else None
 
 
 class _Lines:
@@ -102,7 +178,9 @@ class _Lines:
 def lines_of(page: str) -> tuple[list[tuple[str, int, bool, int]], list[int]]:
     """The page's markup stripped, and for each area the one it lies in: what is removed or ends an area becomes an empty line, an
     article's edge WINDOW of them."""
-    out, stack = _Lines(), []  # stack: name, skips, is an area
+    out, tags = _Lines(), _Tags(page)
+    stack: list[tuple[str, bool, bool]] = []  # name, skips, is an area
+    opened: dict[str, list[int]] = {}  # places in the stack by name
     skipping = articles = links = 0
     at, size = 0, len(page)
 
@@ -110,6 +188,7 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool, int]], list[int]]:
         nonlocal skipping, articles, links
         while len(stack) > upto:
             name, skips, area = stack.pop()
+            opened[name].pop()
             links -= name == "a"
             if skips:
                 skipping -= 1
@@ -126,30 +205,25 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool, int]], list[int]]:
                 out.leave()
 
     while at < size:
-        m = _TOKEN.search(page, at)
-        text = page[at : m.start() if m else size]
+        begin, end, name, closes, inside = tags.next(at)
+        text = page[at:begin]
         if text and not skipping:
             text = html.unescape(text)
             out.parts.append(text)
             if links:
                 out.linked += len(text.strip())
-        if not m:
-            break
-        at = m.end()
-        name = (m[2] or m[5] or "").lower()
+        at = end
         if not name:
             continue
-        if m[1] or m[4]:
+        if closes:
             if name in BLOCKS and not skipping:
                 out.end(articles > 0)
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
+            if opened.get(name):
+                k = opened[name][-1]
+                # a stray end tag closes nothing around the article
+                if not articles or name in HOLDS_ARTICLE or name in ("body", "html") or all(not opened.get(x) or opened[x][-1] < k for x in HOLDS_ARTICLE):
                     close(k)
-                    break
-                if stack[k][0] in HOLDS_ARTICLE and name not in HOLDS_ARTICLE | {"body", "html"}:
-                    break  # a stray end tag closes nothing around the article
             continue
-        attributes = m[3] or m[6] or ""
         if name in BLOCKS:
             if not skipping:
                 out.end(articles > 0)
@@ -162,21 +236,23 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool, int]], list[int]]:
                     break
         if name == "br":
             out.parts.append(" ")
-        if name in VOID or attributes.endswith("/") and name not in BLOCKS:
+        if name in VOID or inside.endswith("/") and name not in BLOCKS and not inside.rstrip("/").endswith("="):
             continue
-        marks = [(key.lower(), value.strip("\"'")) for key, value in _MARKS.findall(attributes)] if attributes and name not in ("html", "body") else []
-        skips = _removed(name, marks, articles > 0)
+        marks = attributes(inside) if inside and name not in ("html", "body") else None
+        skips = _removed(name, marks or {}, articles > 0)
         if name in RAW:
-            end = re.compile(rf"</{name}\b[^>]*>|\Z", re.IGNORECASE).search(page, at)
+            m = re.compile(rf"</{name}(?=[\s/>])", re.IGNORECASE).search(page, at)
+            upto = m.start() if m else size
             if not skips and not skipping and name != "title":
-                out.parts.append(html.unescape(page[at : end.start()]))
-            at = end.end()
+                out.parts.append(html.unescape(page[at:upto]))
+            over = tags.find(">", upto) if m else -1
+            at = size if over < 0 else over + 1
             continue
         if skips:
             if not skipping:
                 out.end(articles > 0)
             skipping += 1
-        mark = None if skipping else _around(name, marks, articles > 0)
+        mark = None if skipping or not marks and name != "form" else _around(name, marks or {}, articles > 0)
         if mark is not None:
             out.end(articles > 0)
             out.enter(f"{name} {mark}")
@@ -185,6 +261,7 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool, int]], list[int]]:
                 out.gap(WINDOW)
             articles += 1
         links += name == "a"
+        opened.setdefault(name, []).append(len(stack))
         stack.append((name, skips, mark is not None))
     out.end(articles > 0)
     return out.lines, out.parents
