@@ -44,8 +44,7 @@ def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the SQL leaves short units, so the query does as well
-    told = drop_repeated_units(table(spark, sf_dir, "documents").select("doc_id", "text"), join_short=False)
+    told = drop_repeated_units(table(spark, sf_dir, "documents").select("doc_id", "text"))
     spans = F.concat_ws(",", F.transform("removed", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))))
     kept_text = F.coalesce("text_kept", F.lit(""))
     return told.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"), "n_removed", "n_spans", spans.alias("spans"), F.sha2(kept_text, 256).alias("kept_sha256"))
@@ -128,24 +127,30 @@ ORACLE_SQL = {
     "op6_unit_dedup": r"""
         WITH pieces AS (
             SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n.!?]*[\n.!?]+|[^\n.!?]+') AS p FROM documents
-        ), units AS (
+        ), cut AS (
             SELECT doc_id, unnest(p) AS unit, unnest(range(1, len(p) + 1)) AS k FROM pieces
         ), placed AS (
             SELECT *, sum(length(unit)) OVER (PARTITION BY doc_id ORDER BY k) AS "end",
                    lower(trim(regexp_replace(unit, '[\x20\x09-\x0D]+', ' ', 'g'))) AS norm
-            FROM units
-        ), ranked AS (
-            SELECT *, "end" - length(unit) AS start,
-                   len(norm) - len(replace(norm, ' ', '')) + 1 >= 6 AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, k) > 1 AS again
-            FROM placed
+            FROM cut
+        ), units AS (  -- those that aren't blank, in order; again: an equal one comes earlier
+            SELECT doc_id, norm, k, "end" - length(unit) AS start, "end", row_number() OVER (PARTITION BY norm ORDER BY doc_id, k) > 1 AS again,
+                   greatest(len(norm) - len(replace(norm, ' ', '')) + 1, len(regexp_extract_all(norm,
+                       '[\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{3FFFF}]')) // 2) AS words
+            FROM placed WHERE norm <> ''
+        ), islands AS (
+            SELECT *, count(*) FILTER (NOT again) OVER (PARTITION BY doc_id ORDER BY k) AS island FROM units
+        ), runs AS (
+            SELECT doc_id, min(start) AS start, max("end") AS "end" FROM islands WHERE again GROUP BY doc_id, island HAVING sum(words) >= 20
         ), per_doc AS (
-            SELECT doc_id, sum(length(unit)) FILTER (again) AS n_removed, count(*) FILTER (again) AS n_spans,
-                   string_agg(start || ':' || "end", ',' ORDER BY k) FILTER (again) AS spans, string_agg(unit, '' ORDER BY k) FILTER (NOT again) AS kept
-            FROM ranked GROUP BY doc_id
+            SELECT doc_id, sum("end" - start) AS n_removed, count(*) AS n_spans, string_agg(start || ':' || "end", ',' ORDER BY start) AS spans FROM runs GROUP BY doc_id
+        ), left_over AS (
+            SELECT p.doc_id, string_agg(p.unit, '' ORDER BY p.k) AS kept FROM placed p
+            LEFT JOIN runs r ON p.doc_id = r.doc_id AND p."end" - length(p.unit) >= r.start AND p."end" <= r."end" WHERE r.doc_id IS NULL GROUP BY p.doc_id
         )
         SELECT p.doc_id, CAST(length(p.text) AS BIGINT) AS n_chars, CAST(coalesce(d.n_removed, 0) AS BIGINT) AS n_removed,
-               CAST(coalesce(d.n_spans, 0) AS BIGINT) AS n_spans, coalesce(d.spans, '') AS spans, sha256(coalesce(d.kept, '')) AS kept_sha256
-        FROM pieces p LEFT JOIN per_doc d ON p.doc_id = d.doc_id
+               CAST(coalesce(d.n_spans, 0) AS BIGINT) AS n_spans, coalesce(d.spans, '') AS spans, sha256(coalesce(k.kept, '')) AS kept_sha256
+        FROM pieces p LEFT JOIN per_doc d ON p.doc_id = d.doc_id LEFT JOIN left_over k ON p.doc_id = k.doc_id
     """,
     "op9_embedding_dedup": """
         WITH RECURSIVE good AS (

@@ -1,73 +1,85 @@
-"""Substring dedup by units: lines and their sentences are normalised and hashed; of equal units the earliest stays."""
+"""Substring dedup by units: lines, cut at sentence ends, are normalised and hashed; of equal units the earliest stays."""
 
 from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import free_name, kept
+from .bloom import likely_in
+from .tables import free_name, join_groups, kept
 
 #: Units follow one another without a gap: a line, cut again after each run of sentence ends.
 SENTENCES = r"[^\n.!?]*[\n.!?]+|[^\n.!?]+"
 #: Whole lines, and paragraphs between empty lines.
 LINES = r"[^\n]*\n|[^\n]+"
 PARAGRAPHS = r"(?:[^\n]+\n?)+\n*|\n+"
-#: A unit of fewer words is never removed by itself.
-LEAST_WORDS = 6
-#: Characters of scripts without spaces; two count as a word where short units are joined.
-UNSPACED = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+#: Repeated units that follow one another are removed if they come to so many words together.
+LEAST_WORDS = 20
+#: Characters of scripts without spaces; two count as a word.
+UNSPACED = r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]"
 
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
+_UNSPACED = re.compile(UNSPACED)
+_SPANS = pa.list_(pa.struct([pa.field("start", pa.int32()), pa.field("end", pa.int32())]))
 
 
-def units_of(text: str, pattern: str = SENTENCES, least_words: int = LEAST_WORDS) -> Iterator[tuple[int, int, bytes]]:
-    """(start, end, digest) of the text's units that have words enough. A digest is of the unit in lower case, each white space one space."""
+def units_of(text: str, pattern: str = SENTENCES) -> Iterator[tuple[int, int, int, bytes]]:
+    """(start, end, words, digest) of the text's units that aren't blank. A digest is of the unit in lower case, each white space one space."""
     for m in re.finditer(pattern, text):
         unit = _SPACE.sub(" ", m[0]).strip(" ").lower()
-        if unit.count(" ") + 1 >= least_words:
-            yield m.start(), m.end(), hashlib.blake2b(unit.encode(), digest_size=16).digest()
+        if unit:
+            words = unit.count(" ") + 1
+            if not unit.isascii():
+                words = max(words, len(_UNSPACED.findall(unit)) // 2)
+            yield m.start(), m.end(), words, hashlib.blake2b(unit.encode(), digest_size=16).digest()
 
 
-def joined_units_of(text: str, pattern: str = SENTENCES, least_words: int = LEAST_WORDS) -> Iterator[tuple[int, int, bytes]]:
-    """(start, end, digest) of units that are joined because they are short: from each one of too few words on, units until there are
-    enough. One starts at each short unit, so that equal passages have equal ones wherever they begin; a long unit alone is units_of's."""
-    units = []
-    for m in re.finditer(pattern, text):
-        unit = _SPACE.sub(" ", m[0]).strip(" ").lower()
-        if unit:
-            units.append((m.start(), m.end(), unit, unit.count(" ") + 1, len(UNSPACED.findall(unit)) // 2))
-    for k, (start, _, _, spaced, unspaced) in enumerate(units):
-        if spaced >= least_words:
-            continue
-        n, upto = max(spaced, unspaced), k
-        while n < least_words and upto + 1 < len(units):
-            upto += 1
-            n += max(units[upto][3:])
-        if n >= least_words:
-            yield start, units[upto][1], hashlib.blake2b("\n".join(["", *(u[2] for u in units[k : upto + 1])]).encode(), digest_size=16).digest()
-
-
-def _units(docs: DataFrame, pattern: str, least_words: int, of: Callable[[str, str, int], Iterator[tuple[int, int, bytes]]] = units_of) -> DataFrame:
+def _units(docs: DataFrame, pattern: str) -> DataFrame:
+    """(doc, h, pos, start, end, words, x, y): the units of docs (doc, h, text) by their ordinal in the text, x and y being the digest."""
+    names = ["doc", "h", "pos", "start", "end", "words", "x", "y"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: tuple[list, ...] = ([], [], [], [])
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for start, end, digest in of(text.as_py(), pattern, least_words):
-                    for column, value in zip(rows, (doc, start, end, digest), strict=True):
-                        column.append(value)
-                if len(rows[0]) > 100_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.int32()), pa.array(rows[3], pa.binary())], names=["doc", "start", "end", "digest"])
-                    rows = ([], [], [], [])
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.int32()), pa.array(rows[3], pa.binary())], names=["doc", "start", "end", "digest"])
-
-    return docs.mapInArrow(run, "doc long, start int, end int, digest binary")
+            row, units, counts = [], [], []
+            held = 0
+            for k in range(batch.num_rows):
+                own = list(units_of(batch.column(2)[k].as_py(), pattern))
+                row.append(k)
+                counts.append(len(own))
+                units += own
+                held += len(own)
+                if held < 100_000 and k + 1 < batch.num_rows:
+                    continue
+                of = pa.array(np.repeat(row, counts))
+                pos = np.arange(held, dtype=np.int32) - np.repeat(np.cumsum(counts) - counts, counts).astype(np.int32)
+                starts, ends, words, digests = zip(*units, strict=True) if units else ((), (), (), ())
+                xy = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+                arrays = [batch.column(0).take(of), batch.column(1).take(of), pa.array(pos), *(pa.array(c, pa.int32()) for c in (starts, ends, words)), pa.array(xy[:, 0].copy()), pa.array(xy[:, 1].copy())]
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
+                row, units, counts, held = [], [], [], 0
+
+    return docs.mapInArrow(run, "doc long, h long, pos int, start int, end int, words int, x long, y long")
+
+
+def runs_of(again: list[dict], least_words: int) -> list[tuple[int, int]]:
+    """The spans of runs of units, given in order, whose ordinals follow one another and that have words enough."""
+    out, begin, words, last = [], 0, 0, None
+    for u in again:
+        if last is None or u["pos"] != last["pos"] + 1:
+            if last is not None and words >= least_words:
+                out.append((begin, last["end"]))
+            begin, words = u["start"], 0
+        words += u["words"]
+        last = u
+    if last is not None and words >= least_words:
+        out.append((begin, last["end"]))
+    return out
 
 
 def _without(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -82,84 +94,50 @@ def _without(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]
         yield pa.array(out, pa.string())
 
 
-def _settled(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    """Spans to remove: all long units that occur earlier, and of joined ones what none holds that is the first of its kind."""
-    kind = pa.list_(pa.struct([pa.field("start", pa.int32()), pa.field("end", pa.int32())]))
-    for batch in batches:
-        out = []
-        for spans in batch.to_pylist():
-            runs: list[list[int]] = []
-            upto = max((s["end"] for s in spans if s["joined"] and not s["again"]), default=0)
-            held = np.zeros(upto + 1, np.int32)
-            for s in spans:
-                if s["joined"] and not s["again"]:
-                    held[s["start"]] += 1
-                    held[s["end"]] -= 1
-            edges = np.diff(np.concatenate(([0], np.cumsum(held) > 0, [0])).astype(np.int8))
-            kept_runs = list(zip(np.flatnonzero(edges == 1).tolist(), np.flatnonzero(edges == -1).tolist(), strict=True))
-            begins = [a for a, _ in kept_runs]
-            for s in spans:
-                if not s["again"]:
-                    continue
-                at, end = s["start"], s["end"]
-                if s["joined"]:
-                    for a, b in kept_runs[max(0, bisect(begins, at) - 1) :]:
-                        if a >= end:
-                            break
-                        if b > at:
-                            if a > at:
-                                runs.append([at, a])
-                            at = b
-                if at < end:
-                    runs.append([at, end])
-            merged: list[list[int]] = []
-            for a, b in sorted(runs):
-                if merged and a < merged[-1][1]:
-                    merged[-1][1] = max(b, merged[-1][1])
-                else:
-                    merged.append([a, b])
-            out.append([{"start": a, "end": b} for a, b in merged])
-        yield pa.array(out, kind)
-
-
-def _repeated(units: DataFrame) -> DataFrame:
-    """units of digests that occur again, with again: whether one of a smaller id or place is equal."""
-    first = units.groupBy("digest").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("times")).where("times > 1").drop("times")
-    return units.join(first, "digest").withColumn("again", (F.col("doc") != F.col("first.doc")) | (F.col("start") != F.col("first.start")))
-
-
-def drop_repeated_units(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pattern: str = SENTENCES, least_words: int = LEAST_WORDS, join_short: bool = True
-) -> DataFrame:
+def repeated_runs(docs: DataFrame, pattern: str = SENTENCES, least_words: int = LEAST_WORDS) -> DataFrame:
+    """(doc, h, spans: array of start and end) of docs (doc, h, text): runs of units that occur earlier, in order of doc, h and place.
+
+    Texts are cut once. Half of each digest is counted; only units that a Bloom filter of the repeated ones lets pass are grouped and joined.
+    """
+    units = kept(_units(docs, pattern))
+    repeated = kept(units.groupBy("x").count().where("count > 1").select("x"))
+    maybe = kept(likely_in(units, ["x"], repeated)[0])
+    firsts = kept(maybe.groupBy("x", "y").agg(F.min(F.struct("doc", "h", "pos")).alias("first"), F.count("*").alias("times")).where("times > 1"))
+    again = join_groups(maybe, firsts, ["x", "y"], "times", maybe.count()).where(F.struct("doc", "h", "pos") != F.col("first"))
+
+    def spans(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([[{"start": a, "end": b} for a, b in runs_of(own, least_words)] for own in batch.to_pylist()], _SPANS)
+
+    spans.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    listed = again.groupBy("doc", "h").agg(F.sort_array(F.collect_set(F.struct("pos", "start", "end", "words"))).alias("again"))
+    return kept(listed.select("doc", "h", F.arrow_udf(spans, "array<struct<start:int,end:int>>")("again").alias("spans")).where("size(spans) > 0"))
+
+
+def drop_repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pattern: str = SENTENCES, least_words: int = LEAST_WORDS) -> DataFrame:
     """docs with removed (array of start and end, in code points of the text as it was), n_removed (characters), n_spans and text_kept.
 
-    Units are compared over all documents and within one. Of equal units the one of the smallest id, and there the first, stays;
-    the others are removed. Units of fewer than least_words words are compared joined with those after them, unless join_short is false:
-    then they stay. A null text stays null and has no units; a row with a null id stays
-    as it is and takes no part. Rows that share an id are one document whose units aren't compared with each other's, as
-    long as their texts are equal. Digests are counted before they are joined, and that join is one Spark splits where a unit is
-    very common. Columns of docs that have the name of a result are replaced by it.
+    Units are compared over all documents and within one, however short. Of equal units the first of the smallest id stays; others
+    go where those that follow one another (blank ones between them don't count) have least_words words together, so a passage of short
+    lines goes as a whole, and a phrase that many documents share by chance stays. A null text stays null and has no units;
+    a row with a null id stays as it is and takes no part. Rows that share an id are documents of their own if their texts
+    differ, in an order of the texts' hashes, and one document if they are equal. Documents without a repeat aren't shuffled. Columns of docs that
+    have the name of a result are replaced by it.
     """
     docs = docs.drop("removed", "n_removed", "n_spans", "text_kept")
-    own = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    units = _units(own, pattern, least_words)
-    again = _repeated(units).where("again")
-    spans, key = free_name(docs, "spans_"), free_name(docs, "id_")
-    if join_short:
-        _settled.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-        settled = F.arrow_udf(_settled, "array<struct<start:int,end:int>>")
-        joined = _repeated(_units(own, pattern, least_words, joined_units_of)).withColumn("joined", F.lit(True))
-        every = again.withColumn("joined", F.lit(False)).unionByName(joined).groupBy(F.col("doc").alias(key)).agg(F.collect_set(F.struct("start", "end", "joined", "again")).alias(spans))
-        cut = kept(every.withColumn(spans, settled(spans)).where(F.size(spans) > 0))
-    else:
-        cut = kept(again.groupBy(F.col("doc").alias(key)).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias(spans)))
+    spans, key, h = free_name(docs, "spans_"), free_name(docs, "id_"), free_name(docs, "h_")
+    hashed = docs.withColumns({key: F.col(id_col).cast("long"), h: F.xxhash64(F.col(text_col).cast("string"))})
+    own = hashed.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(key).alias("doc"), F.col(h).alias("h"), F.col(text_col).cast("string").alias("text"))
+    cut = repeated_runs(own, pattern, least_words).select(F.col("doc").alias(key), F.col("h").alias(h), F.col("spans").alias(spans))
+    likely, rest = likely_in(hashed, [key, h], cut)
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    # in the join a null id or text meets nothing
+    joined = likely.join(cut, [key, h], "left").withColumn(spans, F.coalesce(spans, none)).unionByName(rest.withColumn(spans, none))
     _without.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
-    joined = docs.join(cut, F.col(id_col) == F.col(key), "left")
-    removed = F.coalesce(F.col(spans), F.array().cast("array<struct<start:int,end:int>>"))
     return joined.select(
         *docs.columns,
-        removed.alias("removed"),
-        F.aggregate(removed, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]).alias("n_removed"),
-        F.size(removed).cast("long").alias("n_spans"),
+        F.col(spans).alias("removed"),
+        F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]).alias("n_removed"),
+        F.size(spans).cast("long").alias("n_spans"),
         F.arrow_udf(_without, "string")(F.col(text_col).cast("string"), F.col(spans)).alias("text_kept"),
     )

@@ -1,26 +1,6 @@
 import pytest
 
 from pagemill.llm.html_text import extract_text, main_text
-from pagemill.llm.unit_dedup import LINES, PARAGRAPHS, drop_repeated_units, units_of
-
-
-def test_units_cover_the_text():
-    text = "One two three. Four!\nFive?? six\n\nseven"
-    for pattern in (LINES, PARAGRAPHS):
-        spans = [(a, b) for a, b, _ in units_of(text, pattern, 1)]
-        assert spans[0][0] == 0 and spans[-1][1] == len(text)
-
-
-def test_repeated_units(spark):
-    s = "this sentence has words enough here."
-    rows = [(2, f"{s} Short one.", "x"), (1, f"Intro. {s.upper()}\n{s}", "x"), (3, None, "x"), (4, "", None), (None, s, None), (5, "short one. short one.", None), (5, "short one. short one.", None)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, removed string")
-    got = sorted(((r.doc_id, r.n_removed, r.n_spans, r.text_kept) for r in drop_repeated_units(df).collect()), key=repr)
-    long = len(s)
-    assert got == sorted(
-        [(2, long, 1, " Short one."), (1, long, 1, f"Intro. {s.upper()}\n"), (3, 0, 0, None), (4, 0, 0, ""), (None, 0, 0, s), (5, 0, 0, "short one. short one.")] + [(5, 0, 0, "short one. short one.")], key=repr
-    )
-    assert drop_repeated_units(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
 LONG = "Some long text here. " * 10
