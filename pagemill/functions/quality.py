@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import BOUNDARY, LETTERS_DIGITS, SPACE, SPACE_SET, WORD, count, fragment_count, js_length, js_trim, lone_digit_count, repetition, trimmed_lines
+from .text import NO_LETTERS_DIGITS, NOT_AFTER_WORD, NOT_BEFORE_WORD, SPACE_SET, blank_count, count_without, fragment_count, js_length, js_trim, lone_digit_count, repetition, trimmed_lines, white_count, word_count
 
 #: Classes of a page's text. Fixed values.
 PAGE_CLASSES = ("empty", "short-text", "corrupted-text", "repetitive-text", "native-text", "ocr-candidate")
@@ -53,14 +53,14 @@ HEADER_PATTERNS = (
 )
 
 
-def any_of(patterns: tuple[tuple[str, bool], ...], boundary: str, ignore_case: str) -> str:
-    """One pattern for lines in which any of patterns is found."""
-    parts = (p.replace(r"\b", boundary).replace(r"\s", f"[{SPACE_SET}]") for p, _ in patterns)
+def any_of(patterns: tuple[tuple[str, bool], ...], before: str, after: str, ignore_case: str) -> str:
+    """One pattern for lines in which any of patterns is found; before and after are what tells a boundary before and after a digit."""
+    parts = (p.replace(r"\b\d", before + r"\d").replace(r"\b", after).replace(r"\s", f"[{SPACE_SET}]") for p, _ in patterns)
     return "|".join(p if exact else f"(?{ignore_case}:{p})" for p, (_, exact) in zip(parts, patterns, strict=True))
 
 
 def _java(patterns: tuple[tuple[str, bool], ...]) -> str:
-    return any_of(patterns, BOUNDARY, "iu")
+    return any_of(patterns, NOT_AFTER_WORD, NOT_BEFORE_WORD, "iu")
 
 
 CONTENT = _java(CONTENT_PATTERNS)
@@ -79,14 +79,14 @@ def with_page_diagnostics(df, text: str = "text"):
     df = df.withColumns(
         {
             "page_n_": js_length(t),
-            "page_words_": count(t, WORD),
-            "page_alnum_": count(t, LETTERS_DIGITS),
-            "page_white_": count(t, SPACE),
-            "page_blank_": count(t, " "),
-            "page_rep_": repetition(trimmed_lines(t)),
+            "page_words_": word_count(t),
+            "page_alnum_": count_without(t, NO_LETTERS_DIGITS),
+            "page_white_": white_count(t),
+            "page_blank_": blank_count(t),
+            "page_lines_": trimmed_lines(t),
             "page_bad_": t.contains("�"),
         }
-    )
+    ).withColumn("page_rep_", repetition(F.col("page_lines_")))
     n, words, rep = F.col("page_n_"), F.col("page_words_"), F.col("page_rep_")
     over = F.greatest(n, F.lit(1))
     alnum, density = F.col("page_alnum_") / over, F.col("page_blank_") / over
@@ -118,24 +118,29 @@ def with_page_diagnostics(df, text: str = "text"):
         substantial.alias("has_substantial_content"),
         score.alias("quality_score"),
     )
-    return df.withColumn("diag", diag).drop("page_raw_", "page_t_", "page_n_", "page_words_", "page_alnum_", "page_white_", "page_blank_", "page_rep_", "page_bad_")
+    return df.withColumn("diag", diag).drop("page_raw_", "page_t_", "page_n_", "page_words_", "page_alnum_", "page_white_", "page_blank_", "page_lines_", "page_rep_", "page_bad_")
+
+
+def matching_lines(text: Column, lines: Column, pattern: str) -> Column:
+    """How many lines a pattern is found in. What is found in a line is found in its text, so most texts are read once and not line by line."""
+    return F.when(text.rlike(pattern), F.size(F.filter(lines, lambda x: x.rlike(pattern)))).otherwise(F.lit(0)).cast("long")
 
 
 def with_document_analysis(df, text: str = "text"):
     """df with quality: struct of a whole document's text analysis."""
     t, raw = F.col("doc_t_"), F.col("doc_raw_")
     df = df.withColumn("doc_raw_", F.coalesce(F.col(text), F.lit(""))).withColumn("doc_t_", js_trim(F.col("doc_raw_")))
-    df = df.withColumns({"doc_n_": js_length(raw), "doc_size_": js_length(t), "doc_lines_": F.filter(F.split(t, "\n"), lambda x: js_length(js_trim(x)) > 5)})
+    df = df.withColumns({"doc_n_": js_length(raw), "doc_size_": js_length(t), "doc_lines_": trimmed_lines(t, longer_than=5)})
     long_enough = (F.col("doc_size_") > 0) & (F.col("doc_n_") >= 2000)
     lines_ = F.col("doc_lines_")
     df = df.withColumns(
         {
             "doc_count_": F.size(lines_).cast("long"),
-            "doc_content_": F.size(F.filter(lines_, lambda x: x.rlike(CONTENT))).cast("long"),
-            "doc_header_": F.size(F.filter(lines_, lambda x: x.rlike(HEADER))).cast("long"),
-            "doc_rep_": repetition(F.transform(lines_, js_trim)),
-            "doc_alnum_": count(t, LETTERS_DIGITS),
-            "doc_blank_": count(t, " "),
+            "doc_content_": matching_lines(t, lines_, CONTENT),
+            "doc_header_": matching_lines(t, lines_, HEADER),
+            "doc_rep_": repetition(lines_),
+            "doc_alnum_": count_without(t, NO_LETTERS_DIGITS),
+            "doc_blank_": blank_count(t),
             "doc_fragments_": fragment_count(t),
             "doc_digits_": lone_digit_count(t),
         }

@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 #: White space, as the inside of a character class; RE2 and Java read it alike.
 SPACE_SET = r"\t-\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 SPACE = f"[{SPACE_SET}]"
+#: The same white space, character by character.
+SPACES = "\t\n\v\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 WORD = f"[^{SPACE_SET}]+"
 ASTRAL = r"[\x{10000}-\x{10FFFF}]"
 LETTERS_DIGITS = r"[A-Za-z0-9\x{00C0}-\x{00FF}]"
-#: An ASCII word boundary; Java's own knows more letters.
-BOUNDARY = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+NO_LETTERS_DIGITS = r"[^A-Za-z0-9\x{00C0}-\x{00FF}]++"
+#: Whether an ASCII word character comes before, or after; Java's own boundary knows more letters.
+NOT_AFTER_WORD, NOT_BEFORE_WORD = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 _LETTER = r"[a-zA-Z\x{00C0}-\x{00FF}]"
 #: Three letters apart, and a digit alone; they begin at a word boundary.
 FRAGMENTS = rf"{_LETTER}{SPACE}+{_LETTER}{SPACE}+{_LETTER}"
@@ -36,27 +39,50 @@ def replace(text: Column, pattern: str, by: str) -> Column:
 
 
 def js_trim(text: Column) -> Column:
-    return replace(text, rf"\A{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def js_length(text: Column) -> Column:
     """Length in UTF-16 units."""
-    return (F.length(text) + F.regexp_count(text, F.lit(ASTRAL))).cast("long")
+    return F.when(F.octet_length(text) == F.length(text), F.length(text)).otherwise(F.length(F.encode(text, "UTF-16BE")) / 2).cast("long")
 
 
 def count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern)).cast("long")
 
 
+def count_without(text: Column, others: str) -> Column:
+    """How many characters aren't matched by a pattern."""
+    return F.length(replace(text, others, "")).cast("long")
+
+
+def blank_count(text: Column) -> Column:
+    return (F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))).cast("long")
+
+
+def white_count(text: Column) -> Column:
+    return (F.length(text) - F.length(replace(text, SPACE + "++", ""))).cast("long")
+
+
+def word_count(trimmed: Column) -> Column:
+    """Words of a text that is trimmed already."""
+    return F.when(trimmed == "", F.lit(0)).otherwise(F.size(F.split(trimmed, SPACE + "++"))).cast("long")
+
+
 def sanitize(text: Column) -> Column:
     """White space to single spaces, trimmed; null is empty."""
     return F.coalesce(js_trim(replace(text, SPACE + "+", " ")), F.lit(""))
 
 
+#: What step 5 leaves of SANITIZE_STEPS is none of step 2's characters, and both put a space for each: one step does for both.
+_SPACED_BY_TWO = 1
+
+
 def sanitize_text(text: Column) -> Column:
     """The steps of SANITIZE_STEPS, trimmed; null is empty."""
-    for pattern, by in SANITIZE_STEPS:
-        text = replace(text, pattern, by)
+    for k, (pattern, by) in enumerate(SANITIZE_STEPS):
+        if k != _SPACED_BY_TWO:
+            text = replace(text, pattern, by)
     return F.coalesce(js_trim(text), F.lit(""))
 
 
@@ -66,21 +92,26 @@ def lines(text: Column) -> Column:
 
 def trimmed_lines(text: Column, longer_than: int = 0) -> Column:
     """The text's lines, trimmed, that are then longer than so many units."""
-    return F.filter(F.transform(lines(text), js_trim), lambda line: js_length(line) > longer_than)
+    return F.filter(F.transform(lines(text), js_trim), lambda line: line != "" if longer_than == 0 else js_length(line) > longer_than)
 
 
 def repetition(of_lines: Column) -> Column:
-    """The share of lines that repeat another; 0 without lines."""
+    """The share of lines that repeat another; 0 without lines. It reads its argument several times, so that should be a column set out before."""
     n = F.size(of_lines)
     return F.when(n == 0, F.lit(0.0)).otherwise((n - F.size(F.array_distinct(of_lines))) / n)
 
 
+#: FRAGMENTS at a word boundary: an ASCII letter begins a word, and another letter is none of it, so it ends one.
+_FRAGMENTS_AT_BOUNDARY = rf"(?:{NOT_AFTER_WORD}[a-zA-Z]|(?<=[A-Za-z0-9_])[\x{{00C0}}-\x{{00FF}}]){SPACE}+{_LETTER}{SPACE}+{_LETTER}"
+_LONE_DIGIT_AT_BOUNDARIES = rf"{LONE_DIGIT}(?<![A-Za-z0-9_]{LONE_DIGIT}){NOT_BEFORE_WORD}"
+
+
 def fragment_count(text: Column) -> Column:
-    return count(text, BOUNDARY + FRAGMENTS)
+    return count(text, _FRAGMENTS_AT_BOUNDARY)
 
 
 def lone_digit_count(text: Column) -> Column:
-    return count(text, BOUNDARY + LONE_DIGIT + BOUNDARY)
+    return count(text, _LONE_DIGIT_AT_BOUNDARIES)
 
 
 def is_redundant_sidecar(text: Column) -> Column:

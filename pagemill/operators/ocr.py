@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import OcrKnobs
@@ -25,21 +25,21 @@ def tsv_text(words: DataFrame, keys: list[str], order: str) -> DataFrame:
     Words of a line are joined by spaces, and a line ends where the key changes from one word to the next. A confidence counts if it is
     finite and not negative; the word itself always counts.
     """
-    by = Window.partitionBy(*keys).orderBy(order)
-    key = F.struct("page", "block", "par", "tsv_line")
-    changed = F.when(F.lag(key).over(by) != key, 1).otherwise(0)
-    numbered = words.withColumn("c", changed).withColumn("n", F.sum("c").over(by))
-    usable = (F.col("conf") >= 0) & (F.col("conf") < float("inf"))
-    line = numbered.groupBy(*keys, "n").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "word"))), lambda x: x["word"]), " ").alias("text"),
-        F.sum(F.when(usable, F.col("conf"))).alias("conf_sum"),
-        F.count(F.when(usable, 1)).alias("conf_n"),
-        F.count("*").alias("words"),
-    )
-    return line.groupBy(*keys).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda x: x["text"]), "\n").alias("text"),
-        F.coalesce(F.sum("conf_sum") / F.nullif(F.sum("conf_n"), F.lit(0)), F.lit(0.0)).alias("mean_confidence"),
-        F.sum("words").alias("word_count"),
+    row = F.struct(F.col(order).alias("o"), F.struct("page", "block", "par", "tsv_line").alias("at"), "conf", "word")
+    listed = words.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    rows = F.col("rows")
+
+    def joined(x: Column, i: Column) -> Column:
+        before = F.when(i == 0, "").when(F.get(rows, i - 1)["at"] == x["at"], " ").otherwise("\n")
+        return F.concat(before, x["word"])
+
+    usable = F.transform(F.filter("rows", lambda x: (x["conf"] >= 0) & (x["conf"] < float("inf"))), lambda x: x["conf"])
+    total = F.aggregate("confs", F.lit(0.0), lambda s, c: s + c)
+    return listed.withColumn("confs", usable).select(
+        *keys,
+        F.array_join(F.transform("rows", joined), "").alias("text"),
+        F.coalesce(total / F.nullif(F.size("confs"), F.lit(0)), F.lit(0.0)).alias("mean_confidence"),
+        F.size("rows").cast("long").alias("word_count"),
     )
 
 

@@ -112,7 +112,7 @@ DECIDED = (
 )
 MIXED = f"WITH {PAGES}, {FILES}, {SPINE}, {DECIDED}"
 
-_CONTENT, _HEADER = Q.any_of(Q.CONTENT_PATTERNS, r"\b", "i"), Q.any_of(tuple((p, False) for p in Q.HEADER_PATTERNS), r"\b", "i")
+_CONTENT, _HEADER = Q.any_of(Q.CONTENT_PATTERNS, r"\b", r"\b", "i"), Q.any_of(tuple((p, False) for p in Q.HEADER_PATTERNS), r"\b", r"\b", "i")
 DOCUMENTS = f"""WITH docs_ AS (
     SELECT doc_id AS file_id, coalesce(text, '') AS text, greatest(CAST(ceil(n_chars / 1800) AS BIGINT), 1) AS total_pages,
            greatest(CAST(ceil(n_chars / 1800) AS BIGINT), 1) * (doc_id * 7919 % 90000) AS n_bytes, {_trim("coalesce(text, '')")} AS t FROM documents
@@ -146,17 +146,17 @@ DOCUMENTS = f"""WITH docs_ AS (
 
 @query(f"SELECT doc_id, {_sanitize('text')} AS clean FROM documents")
 def sanitize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.table(spark, sf_dir, "documents").select("doc_id", X.sanitize(F.col("text")).alias("clean"))
+    return T.spread(T.table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", X.sanitize(F.col("text")).alias("clean"))
 
 
 @query(f"SELECT doc_id, {_sanitize_text('text')} AS clean FROM documents")
 def sanitize_text_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.table(spark, sf_dir, "documents").select("doc_id", X.sanitize_text(F.col("text")).alias("clean"))
+    return T.spread(T.table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", X.sanitize_text(F.col("text")).alias("clean"))
 
 
 @query(f"SELECT page_id, {_sanitize_text('html')} AS clean FROM pages")
 def sanitize_text_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.table(spark, sf_dir, "pages").select("page_id", X.sanitize_text(F.col("html")).alias("clean"))
+    return T.spread(T.table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", X.sanitize_text(F.col("html")).alias("clean"))
 
 
 @query(f"SELECT page_id, CAST({_len('html')} - {_len(_sanitize_text('html'))} AS BIGINT) AS removed_chars FROM pages WHERE {_len('html')} - {_len(_sanitize_text('html'))} > 100")
@@ -208,8 +208,8 @@ def page_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _document_diagnosed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = T.table(spark, sf_dir, "documents")
-    return Q.with_page_diagnostics(docs.select("doc_id", "source", "text"))
+    docs = T.table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return Q.with_page_diagnostics(T.spread(docs))
 
 
 @query(

@@ -14,6 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over all cores where a small table lies in fewer files than that; a table of many parts is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def native_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """file_id, page_number, text: a turn of a conversation is a page."""
     return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("file_id"), (F.col("turn") + 1).alias("page_number"), "text")
@@ -46,7 +52,7 @@ def ocr_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def native_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """file_id, text, total_pages, n_bytes: a document of documents is a PDF file's native text."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     total = F.greatest(F.ceil(F.col("n_chars") / 1800), F.lit(1)).cast("long")
     return docs.select(F.col("doc_id").alias("file_id"), "text", total.alias("total_pages"), (total * (F.col("doc_id") * 7919 % 90000)).alias("n_bytes"))
 
