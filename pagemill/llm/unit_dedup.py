@@ -54,7 +54,7 @@ def _units(docs: DataFrame, pattern: str) -> DataFrame:
                 counts.append(len(own))
                 units += own
                 held += len(own)
-                if held < 100_000 and k + 1 < batch.num_rows:
+                if held < 20_000 and k + 1 < batch.num_rows:
                     continue
                 of = pa.array(np.repeat(row, counts))
                 pos = np.arange(held, dtype=np.int32) - np.repeat(np.cumsum(counts) - counts, counts).astype(np.int32)
@@ -67,19 +67,21 @@ def _units(docs: DataFrame, pattern: str) -> DataFrame:
     return docs.mapInArrow(run, "doc long, h long, pos int, start int, end int, words int, x long, y long")
 
 
-def runs_of(again: list[dict], least_words: int) -> list[tuple[int, int]]:
-    """The spans of runs of units, given in order, whose ordinals follow one another and that have words enough."""
-    out, begin, words, last = [], 0, 0, None
-    for u in again:
-        if last is None or u["pos"] != last["pos"] + 1:
-            if last is not None and words >= least_words:
-                out.append((begin, last["end"]))
-            begin, words = u["start"], 0
-        words += u["words"]
-        last = u
-    if last is not None and words >= least_words:
-        out.append((begin, last["end"]))
-    return out
+def runs_of(again: pa.Array, least_words: int) -> pa.Array:
+    """For each list of units in order, the spans of its runs of units whose ordinals follow one another and that have words enough."""
+    units, offsets = again.flatten(), again.offsets.to_numpy().astype(np.int64)
+    offsets = offsets - offsets[0]
+    pos, start, end, words = (units.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("pos", "start", "end", "words"))
+    if not len(pos):
+        return pa.array([[]] * len(again), _SPANS)
+    new = np.concatenate(([True], pos[1:] != pos[:-1] + 1))
+    new[offsets[:-1][offsets[:-1] < len(pos)]] = True
+    first = np.flatnonzero(new)
+    last = np.concatenate((first[1:], [len(pos)])) - 1
+    use = np.add.reduceat(words, first) >= least_words
+    first, last = first[use], last[use]
+    spans = pa.StructArray.from_arrays([pa.array(start[first].astype(np.int32)), pa.array(end[last].astype(np.int32))], fields=list(_SPANS.value_type))
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(first, offsets).astype(np.int32)), spans)
 
 
 def _without(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -107,7 +109,7 @@ def repeated_runs(docs: DataFrame, pattern: str = SENTENCES, least_words: int =
 
     def spans(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array([[{"start": a, "end": b} for a, b in runs_of(own, least_words)] for own in batch.to_pylist()], _SPANS)
+            yield runs_of(batch, least_words)
 
     spans.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     listed = again.groupBy("doc", "h").agg(F.sort_array(F.collect_set(F.struct("pos", "start", "end", "words"))).alias("again"))
