@@ -120,6 +120,12 @@ def is_redundant_sidecar(text: Column) -> Column:
 
 
 def natural_order(name: Column) -> Column:
-    """A sort key in which page-2 comes before page-10: what comes before the last number of a name, the number, the name."""
-    before, number = F.regexp_extract(name, r"^(.*?)(\d+)\D*$", 1), F.regexp_extract(name, r"(\d+)\D*$", 1)
-    return F.struct(before.alias("stem"), F.when(number != "", number.cast("decimal(38,0)")).alias("number"), name.alias("name"))
+    """A sort key in which page-2 comes before page-10, by each run of digits of a name and without case; the name itself parts what is left."""
+    parts = F.regexp_extract_all(name, F.lit(r"(\d+|\D+)"), F.lit(1))
+
+    def key(part: Column) -> Column:
+        digits = part.rlike(r"^\d")
+        number = F.ltrim(part, F.lit("0"))
+        return F.struct((~digits).alias("is_text"), F.when(digits, F.length(number)).alias("size"), F.when(digits, number).otherwise(F.lower(part)).alias("part"))
+
+    return F.struct(F.transform(parts, key).alias("parts"), name.alias("name"))

@@ -111,6 +111,27 @@ def result_view(jobs: DataFrame) -> DataFrame:
     return jobs.select("id", "status", F.when(open_, 202).otherwise(200).alias("http_status"), F.when(bad, F.col("error")).alias("error"), F.when(~open_ & ~bad, F.col("result")).alias("result"))
 
 
+#: Names of a record's fields as clients see them. Fixed values.
+RECORD_FIELDS = ("id", "type", "status", "request", "host", "protocol", "result", "error", "createdAt", "updatedAt", "startedAt", "finishedAt")
+
+
+def record_json(jobs: DataFrame) -> DataFrame:
+    """(id, json): each record as the JSON of its file, times in ISO 8601, without fields that are null; request and result hold JSON themselves."""
+
+    def field(name: str) -> Column:
+        if name.endswith("At"):
+            return F.date_format(F.timestamp_millis(name[:-2] + "_ms"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+        return F.col(name)
+
+    own = [f for f in RECORD_FIELDS if (f[:-2] + "_ms" if f.endswith("At") else f) in jobs.columns]
+    return jobs.select("id", F.to_json(F.struct(*[field(f).alias(f) for f in own])).alias("json"))
+
+
+def error_json(name: Column, message: Column, stack: Column) -> Column:
+    """An error as JSON: its name, message and stack; one without a name is a value."""
+    return F.when(name.isNotNull(), F.to_json(F.struct(name.alias("name"), message.alias("message"), stack.alias("stack")))).otherwise(F.to_json(F.struct(F.coalesce(message, F.lit("null")).alias("value"))))
+
+
 def new_jobs(requests: DataFrame, now_ms: int, host: str, protocol: str = "https") -> DataFrame:
     """Queued records for requests (request: JSON), each with an id of its own. Ids differ from run to run: write the records before they are used twice."""
     now = F.lit(now_ms).cast("long")

@@ -80,6 +80,16 @@ def size_error(n_bytes: Column, most: int = Limits.max_file_bytes) -> Column:
     return F.when((F.lit(most) > 0) & (n_bytes > most), "FILE_LIMIT_EXCEEDED")
 
 
+def download_error(status: Column, status_text: Column, failure: Column) -> Column:
+    """What a file gets that couldn't be fetched: failure is the client's own error, which is also what it makes of a status of 500 or more. Fixed values."""
+    return (
+        F.when(failure.isNotNull(), F.concat(F.lit("Failed to fetch file: "), failure))
+        .when(status >= 500, F.concat(F.lit("Failed to fetch file: Request failed with status code "), status.cast("string")))
+        .when(status == 404, "Arquivo não encontrado no bucket. Verifique se o arquivo existe.")
+        .when(status >= 400, F.concat(F.lit("Erro HTTP "), status.cast("string"), F.lit(": "), F.coalesce(status_text, F.lit(""))))
+    )
+
+
 def timeout_error(extractor: Column) -> Column:
     """What a file gets whose extractor took too long; it says that the time limit was exceeded, so its job expires."""
     seconds = F.coalesce(*[F.when(extractor == k, str(v)) for k, v in TIMEOUT_SECONDS.items()], F.lit(None).cast("string"))
@@ -139,8 +149,8 @@ def accepted_audio(mime: Column, n_bytes: Column) -> Column:
 
 
 def data_url(mime: Column, content: Column) -> Column:
-    """An image as a data URL."""
-    return F.concat(F.lit("data:"), mime, F.lit(";base64,"), F.base64(content))
+    """An image as a data URL, in one line (Spark breaks what it encodes after 76 characters)."""
+    return F.concat(F.lit("data:"), mime, F.lit(";base64,"), F.replace(F.base64(content), F.lit("\r\n"), F.lit("")))
 
 
 def needs_token(path: Column, public: tuple[str, ...] = ("/texts", "/api/process-message", "/api-docs", "/favicon.ico")) -> Column:

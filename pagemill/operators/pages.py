@@ -61,6 +61,11 @@ def selected_chunks(selected: DataFrame, per_chunk: int = Limits.ocr_pages_per_c
     return bucket.groupBy("file_id", "island", "bucket").agg(F.min("page_number").alias("first"), F.max("page_number").alias("last")).select("file_id", "first", "last")
 
 
+def probed_pages(selected: DataFrame, probes: DataFrame) -> DataFrame:
+    """The selected pages that a probe of the file (file_id, valid, page_count) knows of: none of a file that it finds invalid."""
+    return selected.join(probes.where("valid").select("file_id", "page_count"), "file_id").where(F.col("page_number") <= F.col("page_count")).drop("page_count")
+
+
 def full_chunks(files: DataFrame, workers: int, most: int = 50) -> DataFrame:
     """(file_id, first, last): all pages in chunks of equal size, about two for each worker, of 1 to most pages."""
     total = F.col("total_pages").cast("int")
@@ -139,6 +144,15 @@ def ocr_overlay(pages: DataFrame, ocr: DataFrame) -> DataFrame:
     return pages.join(ocr, ["file_id", "page_number"], "left").withColumn("text", text).drop("ocr_text")
 
 
+def mixed_result(native: Column, merged: Column, ocr_pages: Column, ocr_error: Column) -> Column:
+    """struct of value and error of a file looked at page by page: an error of OCR counts only where pages were selected, and then the whole
+    native text stands, or the error where that is blank; else it is the pages' merged text."""
+    failed = (ocr_pages > 0) & ocr_error.isNotNull()
+    has_native = js_trim(native) != ""
+    value = F.when(failed, F.when(has_native, sanitize(js_trim(native)))).otherwise(sanitize(merged))
+    return F.struct(value.alias("value"), F.when(failed & ~has_native, ocr_error).alias("error"))
+
+
 def ocr_fallback(native: Column, ocr_text: Column, ocr_error: Column) -> Column:
     """struct of value and error: OCR text, or native text where OCR failed or found nothing; an error only where neither has text."""
     has_native = js_trim(native) != ""

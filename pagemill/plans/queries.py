@@ -18,7 +18,7 @@ from ..operators import ocr as O
 from ..operators import pages as P
 from ..operators import sheets as S
 from ..sources.folders import scratch_path
-from ..streaming.jobs import hourly_counts, run_once
+from ..streaming.jobs import hourly_counts, run_once, table_stream
 from . import tables as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,7 +79,7 @@ SPINE = """spine_ AS (
     SELECT f.file_id, g.page_number, coalesce(p.text, '') AS text,
            CASE WHEN p.text IS NOT NULL AND (f.file_id * 7 + g.page_number * 3) % 5 = 0 THEN f.file_id % 3 + 1 ELSE 0 END AS embedded_image_count,
            CASE WHEN p.text IS NOT NULL AND (f.file_id + g.page_number) % 11 = 0 THEN 1 ELSE 0 END AS table_count
-    FROM files_ f JOIN (SELECT unnest(range(1, 400)) AS page_number) g ON g.page_number <= f.total_pages
+    FROM files_ f JOIN (SELECT unnest(range(1, (SELECT max(total_pages) FROM files_) + 1)) AS page_number) g ON g.page_number <= f.total_pages
     LEFT JOIN pages_ p ON p.file_id = f.file_id AND p.page_number = g.page_number
 )"""
 
@@ -309,7 +309,7 @@ def direct_ocr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _OCR_TEXT = """, ocr_ AS (SELECT p.file_id, p.page_number, CASE WHEN (p.file_id + p.page_number) % 6 = 0 THEN ' ' || chr(10) || ' ' ELSE coalesce(b.text, '') END AS ocr_text
-    FROM pages_ p LEFT JOIN benchmark b ON b.item_id = (p.file_id * 8 + p.page_number - 1) % 40)"""
+    FROM pages_ p LEFT JOIN benchmark b ON b.item_id = (p.file_id * 8 + p.page_number - 1) % (SELECT max(item_id) + 1 FROM benchmark))"""
 _OVERLAY = (
     _OCR_TEXT
     + f""", overlay_ AS (SELECT c.file_id, c.page_number, c.should_ocr, coalesce(CASE WHEN c.should_ocr THEN nullif({_trim("o.ocr_text")}, '') END, c.text) AS merged, c.text
@@ -391,6 +391,47 @@ def ocr_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.withColumn("r", P.ocr_fallback(F.col("text"), F.col("ocr_text"), error)).select("file_id", "page_number", "r.value", "r.error")
 
 
+@query(
+    MIXED
+    + """, counts_ AS (SELECT file_id, count(*) FILTER (should_ocr) AS ocr_pages FROM chosen_ GROUP BY file_id)
+    SELECT file_id, ocr_pages, CASE WHEN ocr_pages > 3 THEN 'PDF requer OCR em ' || ocr_pages || ' páginas, acima do limite configurado de 3.' END AS error FROM counts_"""
+)
+def pages_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The limit of pages that OCR may take of one file."""
+    counts = P.page_counts(_decided(spark, sf_dir), "file_id").select("file_id", "ocr_pages")
+    return counts.withColumn("error", P.pages_limit_error(F.col("ocr_pages"), 3))
+
+
+@query(
+    MIXED
+    + """, probes_ AS (SELECT file_id, file_id % 7 <> 3 AS valid, greatest(total_pages - file_id % 2, 0) AS page_count FROM files_)
+    SELECT c.file_id, c.page_number FROM chosen_ c JOIN probes_ p ON p.file_id = c.file_id WHERE c.should_ocr AND p.valid AND c.page_number <= p.page_count"""
+)
+def probed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Selected pages that the probe of their file knows of."""
+    files = T.pdf_files(spark, sf_dir)
+    probes = files.select("file_id", (F.col("file_id") % 7 != 3).alias("valid"), F.greatest(F.col("total_pages") - F.col("file_id") % 2, F.lit(0)).alias("page_count"))
+    return P.probed_pages(_decided(spark, sf_dir).where("should_ocr").select("file_id", "page_number"), probes)
+
+
+@query(
+    MIXED
+    + _OVERLAY
+    + f""", native_ AS (SELECT file_id, string_agg(text, chr(10) || chr(10) ORDER BY page_number) FILTER ({_trim('text')} <> '') AS text FROM pages_ GROUP BY file_id),
+    merged_ AS (SELECT file_id, count(*) FILTER (should_ocr) > 0 AND file_id % 3 = 1 AS failed, string_agg(merged, chr(10) || chr(10) ORDER BY page_number) FILTER ({_trim('merged')} <> '') AS text FROM overlay_ GROUP BY file_id),
+    ladder_ AS (SELECT m.file_id, m.failed, coalesce(n.text, '') AS native, m.text AS merged FROM merged_ m LEFT JOIN native_ n ON n.file_id = m.file_id)
+    SELECT file_id, CASE WHEN NOT failed THEN {_sanitize('merged')} WHEN {_trim('native')} <> '' THEN {_sanitize(_trim('native'))} END AS value, CASE WHEN failed AND {_trim('native')} = '' THEN 'ocr' END AS error FROM ladder_"""
+)
+def mixed_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of which OCR fails on a third: their whole native text stands, if there is any."""
+    native = P.ordered_text(T.native_pages(spark, sf_dir), ["file_id"], "page_number", "text", "\n\n").withColumnRenamed("text", "native")
+    merged = P.ordered_text(_overlaid(spark, sf_dir), ["file_id"], "page_number", "text", "\n\n")
+    counts = P.page_counts(_decided(spark, sf_dir), "file_id").select("file_id", "ocr_pages")
+    told = merged.join(counts, "file_id").join(native, "file_id", "left")
+    result = P.mixed_result(F.coalesce("native", F.lit("")), F.col("text"), F.col("ocr_pages"), F.when(F.col("file_id") % 3 == 1, "ocr"))
+    return told.withColumn("r", result).select("file_id", "r.value", "r.error")
+
+
 # --- whole documents -------------------------------------------------------------------------------------------------
 
 
@@ -495,7 +536,7 @@ def tsv_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- spreadsheets ----------------------------------------------------------------------------------------------------
 
-_SHEETS = """WITH rows_ AS (SELECT c_nationkey AS file_id, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 0 WHEN 'BUILDING' THEN 1 WHEN 'FURNITURE' THEN 2 WHEN 'HOUSEHOLD' THEN 3 WHEN 'MACHINERY' THEN 4 ELSE 5 END AS sheet_index,
+_SHEETS = """WITH rows_ AS (SELECT c_custkey // 1000 AS file_id, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 0 WHEN 'BUILDING' THEN 1 WHEN 'FURNITURE' THEN 2 WHEN 'HOUSEHOLD' THEN 3 WHEN 'MACHINERY' THEN 4 ELSE 5 END AS sheet_index,
     c_mktsegment AS sheet, c_custkey AS row_index, c_custkey % 7 <> 0 AS filled, c_name || chr(9) || c_custkey || chr(9) AS line FROM customer),
     sheets_ AS (SELECT file_id, sheet_index, sheet, coalesce(string_agg(line, chr(10) ORDER BY row_index) FILTER (filled), '') AS text, count(*) FILTER (filled) AS n_rows, count(*) FILTER (filled) * 3 AS n_cells
     FROM rows_ GROUP BY ALL)"""
@@ -578,6 +619,17 @@ def size_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.withColumn("code", M.size_error(F.col("n_bytes"), 5000))
 
 
+@query(
+    """WITH d AS (SELECT page_id, [200, 404, 403, 500, 302][1 + page_id % 5] AS status, CASE WHEN page_id % 11 = 0 THEN 'timeout of 30000ms exceeded' END AS failure FROM pages)
+    SELECT 'f' || page_id AS file_id, CASE WHEN failure IS NOT NULL THEN 'Failed to fetch file: ' || failure WHEN status >= 500 THEN 'Failed to fetch file: Request failed with status code ' || status
+    WHEN status = 404 THEN 'Arquivo não encontrado no bucket. Verifique se o arquivo existe.' WHEN status >= 400 THEN 'Erro HTTP ' || status || ': Forbidden' END AS error FROM d"""
+)
+def download_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = T.message_files(spark, sf_dir)
+    status = F.element_at(F.array(*map(F.lit, (200, 404, 403, 500, 302))), (F.col("page_id") % 5 + 1).cast("int"))
+    return f.select("file_id", M.download_error(status, F.lit("Forbidden"), F.when(F.col("page_id") % 11 == 0, "timeout of 30000ms exceeded")).alias("error"))
+
+
 def _processed(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = T.message_files(spark, sf_dir).withColumn("r", M.route(F.col("mime_type")))
     value = F.when(F.col("r.error").isNull(), X.sanitize(F.col("html")))
@@ -635,10 +687,10 @@ def validation_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.validated(T.messages(spark, sf_dir)).where(F.size("issues") > 0).select("request_id", "message_index", F.array_join("issues", "; ").alias("issues"))
 
 
-@query("SELECT 'c' || (page_id // 8) AS conversation_id, string_agg('f' || page_id || '.txt', ',' ORDER BY page_id) AS deleted_files, count(*) AS deleted_count FROM pages WHERE (page_id // 8) % 2 = 0 GROUP BY 1")
+@query("SELECT 'c' || (page_id // 8) AS conversation_id, string_agg('f' || page_id || '.txt', ',' ORDER BY page_id) AS deleted_files, count(*) AS deleted_count FROM pages GROUP BY 1")
 def delete_texts_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What deleting the outputs of every second conversation takes away."""
-    f = T.message_files(spark, sf_dir).where(F.floor(F.col("page_id") / 8) % 2 == 0)
+    """What deleting the outputs of all conversations takes away."""
+    f = T.message_files(spark, sf_dir)
     listed = F.array_sort(F.collect_list(F.struct("page_id", F.concat("file_id", F.lit(".txt")).alias("n"))))
     return f.groupBy("conversation_id").agg(F.array_join(F.transform(listed, lambda x: x["n"]), ",").alias("deleted_files"), F.count("*").alias("deleted_count"))
 
@@ -651,9 +703,9 @@ def transcription_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.message_files(spark, sf_dir).select("file_id", M.accepted_audio(F.col("mime_type"), F.length("html")).alias("accepted"), M.needs_token(path).alias("token"))
 
 
-@query("SELECT page_id, 'data:image/png;base64,' || to_base64(encode(substr(url, 1, 30))) AS data_url FROM pages")
+@query("SELECT page_id, 'data:image/png;base64,' || to_base64(encode(html)) AS data_url FROM pages")
 def image_data_url(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.table(spark, sf_dir, "pages").select("page_id", M.data_url(F.lit("image/png"), F.encode(F.substring("url", 1, 30), "UTF-8")).alias("data_url"))
+    return T.table(spark, sf_dir, "pages").select("page_id", M.data_url(F.lit("image/png"), F.encode("html", "UTF-8")).alias("data_url"))
 
 
 @query(
@@ -665,10 +717,10 @@ def timeout_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.select("file_id", M.timeout_error(F.col("extractor")).alias("error"))
 
 
-@query("SELECT 'page-' || page_id || '.png' AS name, row_number() OVER (PARTITION BY page_id % 10 ORDER BY page_id) AS k FROM pages")
+@query("SELECT 'page-' || page_id || '.png' AS name, row_number() OVER (PARTITION BY page_id // 1000 ORDER BY page_id) AS k FROM pages")
 def natural_page_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Image files of ten folders in the order of their numbers."""
-    files = T.table(spark, sf_dir, "pages").select((F.col("page_id") % 10).alias("folder"), F.concat(F.lit("page-"), F.col("page_id").cast("string"), F.lit(".png")).alias("name"))
+    """Image files of folders of a thousand in the order of their numbers."""
+    files = T.table(spark, sf_dir, "pages").select(F.floor(F.col("page_id") / 1000).alias("folder"), F.concat(F.lit("page-"), F.col("page_id").cast("string"), F.lit(".png")).alias("name"))
     return files.select("name", F.row_number().over(Window.partitionBy("folder").orderBy(X.natural_order(F.col("name")))).cast("long").alias("k"))
 
 
@@ -715,13 +767,13 @@ def maintenance_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     _JOBS
-    + f""", queue_ AS (SELECT id + id % 2 * 1000000 AS job_id, created_ms AS position FROM jobs_ WHERE id % 3 = 0)
+    + f""", queue_ AS (SELECT id + id % 2 * 1000000 AS job_id, created_ms AS position FROM jobs_)
     SELECT q.job_id, q.position, CASE WHEN j.status = 'queued' AND {T.NOW_MS} - j.created_ms > {_TEN_DAYS} THEN 'expired' WHEN j.status = 'queued' THEN 'kept' ELSE 'dropped' END AS outcome
     FROM queue_ q LEFT JOIN jobs_ j ON j.id = q.job_id"""
 )
 def queue_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs = T.job_records(spark, sf_dir)
-    queue = jobs.where("id % 3 = 0").select((F.col("id") + F.col("id") % 2 * 1000000).alias("job_id"), F.col("created_ms").alias("position"))
+    queue = jobs.select((F.col("id") + F.col("id") % 2 * 1000000).alias("job_id"), F.col("created_ms").alias("position"))
     return J.pruned_queue(queue, jobs, T.NOW_MS, _TEN_DAYS)
 
 
@@ -772,6 +824,19 @@ def job_result_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.result_view(T.job_records(spark, sf_dir))
 
 
+_ISO = "strftime(make_timestamp({} * 1000), '%Y-%m-%dT%H:%M:%S.%g') || 'Z'"
+
+
+@query(
+    _JOBS
+    + f""" SELECT id, '{{"id":' || id || ',"status":"' || status || '"' || coalesce(',"result":"' || result || '"', '') || coalesce(',"error":"' || error || '"', '')
+    || ',"createdAt":"' || {_ISO.format("created_ms")} || '","updatedAt":"' || {_ISO.format("updated_ms")} || '"' || coalesce(',"startedAt":"' || {_ISO.format("started_ms")} || '"', '')
+    || coalesce(',"finishedAt":"' || {_ISO.format("finished_ms")} || '"', '') || '}}' AS json FROM jobs_"""
+)
+def job_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return J.record_json(T.job_records(spark, sf_dir))
+
+
 # --- streams ---------------------------------------------------------------------------------------------------------
 
 
@@ -779,7 +844,7 @@ def job_result_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_hourly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of each kind in each hour, counted by a stream over the table's files that ends when it has read all."""
     schema = T.table(spark, sf_dir, "events").schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    source = table_stream(spark, sf_dir, "events.parquet", schema)
     counts = hourly_counts(source.withColumn("ts", F.col("ts").cast("timestamp")))
     hour = F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', cast(hour_start as timestamp_ntz))")
     return run_once(counts, scratch_path(spark, "streams")).select(hour.alias("hour_ms"), "event_type", "n")

@@ -43,9 +43,11 @@ def table_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ocr_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """file_id, page_number, ocr_text of every page: an item of benchmark, blank for some."""
-    pages = native_pages(spark, sf_dir).select("file_id", "page_number", ((F.col("file_id") * 8 + F.col("page_number") - 1) % 40).alias("item_id"))
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"))
+    """file_id, page_number, ocr_text of every page: an item of benchmark, all of them in turn, blank for some."""
+    benchmark = table(spark, sf_dir, "benchmark")
+    n_items = benchmark.agg(F.max("item_id") + 1).first()[0]  # one number
+    pages = native_pages(spark, sf_dir).select("file_id", "page_number", ((F.col("file_id") * 8 + F.col("page_number") - 1) % F.lit(n_items).cast("long")).alias("item_id"))
+    items = benchmark.select("item_id", F.col("text").alias("item"))
     blank = (F.col("file_id") + F.col("page_number")) % 6 == 0
     return pages.join(items, "item_id", "left").select("file_id", "page_number", F.when(blank, " \n ").otherwise(F.coalesce("item", F.lit(""))).alias("ocr_text"))
 
@@ -87,13 +89,13 @@ def tsv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sheet_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """file_id, sheet_index, sheet, row_index, cells: customers of a segment are rows of a sheet, some of them blank."""
+    """file_id, sheet_index, sheet, row_index, cells: a thousand customers are a file, those of a segment rows of a sheet, some of them blank."""
     blank = F.col("c_custkey") % 7 == 0
     cells = F.when(blank, F.array(F.lit(""), F.lit(" \t"), F.lit(None).cast("string"))).otherwise(F.array("c_name", F.col("c_custkey").cast("string"), F.lit("")))
     segments = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
     index = F.coalesce(*[F.when(F.col("c_mktsegment") == s, i) for i, s in enumerate(segments)], F.lit(len(segments)))
     return table(spark, sf_dir, "customer").select(
-        F.col("c_nationkey").alias("file_id"), index.alias("sheet_index"), F.col("c_mktsegment").alias("sheet"), F.col("c_custkey").alias("row_index"), cells.alias("cells")
+        F.floor(F.col("c_custkey") / 1000).alias("file_id"), index.alias("sheet_index"), F.col("c_mktsegment").alias("sheet"), F.col("c_custkey").alias("row_index"), cells.alias("cells")
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Limits
 from ..operators.jobs import RECORD_SCHEMA, valid_job_id
-from ..operators.messages import MESSAGE_SCHEMA, validated
+from ..operators.messages import MESSAGE_SCHEMA, download_error, validated
 
 
 def read_requests(spark: SparkSession, path: str) -> DataFrame:
@@ -34,8 +34,8 @@ def with_staged_content(files: DataFrame, staged: DataFrame) -> DataFrame:
     """files (url) with the content of the staged file of that path; error where there is none, code where it is too large."""
     by = staged.select(F.col("path").alias("staged_path"), "length", "content", "code")
     joined = files.join(by, F.col("url") == F.col("staged_path"), "left")
-    missing = F.when(F.col("staged_path").isNull(), "Arquivo não encontrado").when(F.col("code").isNotNull(), "Arquivo acima do limite configurado")
-    return joined.withColumn("error", missing).drop("staged_path")
+    fetched = download_error(F.when(F.col("staged_path").isNull(), F.lit(404)), F.lit(None).cast("string"), F.lit(None).cast("string"))
+    return joined.withColumn("error", F.coalesce(fetched, F.when(F.col("code").isNotNull(), "Arquivo acima do limite configurado"))).drop("staged_path")
 
 
 def read_job_files(spark: SparkSession, path: str) -> DataFrame:

@@ -17,6 +17,20 @@ def write_texts(texts: DataFrame, path: str) -> None:
     safe.repartition("conversation_id").write.mode("append").partitionBy("conversation_id").text(path)
 
 
+def name_texts(spark: SparkSession, path: str, run_ms: int) -> int:
+    """The texts that write_texts has left under path get the names that their addresses promise, {conversation}-{ms}.txt; how many. For
+    the conversations of a run: each one is a rename."""
+    jvm, named = spark._jvm, 0
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for folder in fs.listStatus(root):
+        conversation = folder.getPath().getName().removeprefix("conversation_id=")
+        for k, part in enumerate(s for s in fs.listStatus(folder.getPath()) if s.getPath().getName().startswith("part-")) if folder.isDirectory() else ():
+            name = f"{conversation}-{run_ms}{f'-{k}' if k else ''}.txt"
+            named += fs.rename(part.getPath(), jvm.org.apache.hadoop.fs.Path(folder.getPath(), name))
+    return named
+
+
 def sidecars(texts: DataFrame, text: str = "text", more_than: int = 100) -> DataFrame:
     """Sanitized texts that lost more than so many characters."""
     clean = texts.withColumn("clean", sanitize_text(F.col(text)))

@@ -10,29 +10,44 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from ..config import Limits
 from ..operators.jobs import FINISHED, OPEN, RECORD_SCHEMA, admitted, dispatched, maintain, updated
 from ..sources.sinks import JobTable
 
 
-def merge_arrivals(table: JobTable, arrivals: DataFrame, now_ms: int, limits: Limits = Limits()) -> None:
-    """One tick: maintenance, then new jobs as far as the queue has room, then the next ones start. A batch that is run again adds nothing twice."""
+#: What a client is told whose job the queue has no room for. Fixed values.
+QUEUE_FULL = (503, "JobQueueFullError")
+
+
+def merge_arrivals(table: JobTable, arrivals: DataFrame, now_ms: int, limits: Limits = Limits(), rejections: str | None = None) -> None:
+    """One tick: maintenance, then new jobs as far as the queue has room, then the next ones start. A batch that is run again adds nothing twice.
+
+    Jobs that the queue has no room for are written to rejections (id, http_status, error, at_ms), a Parquet folder that a batch that is run
+    again replaces; they have no record.
+    """
     jobs = maintain(table.read(), now_ms, limits).drop("expired_now")
     fresh = arrivals.dropDuplicates(["id"]).join(jobs.select("id"), "id", "left_anti")
-    room = admitted(fresh, jobs.where("status = 'queued'").count(), limits.jobs_max_queue).where("accepted").drop("accepted")
+    told = admitted(fresh, jobs.where("status = 'queued'").count(), limits.jobs_max_queue)
+    room = told.where("accepted").drop("accepted")
+    if rejections:
+        status, error = QUEUE_FULL
+        refused = told.where("NOT accepted").select("id", F.lit(status).alias("http_status"), F.lit(error).alias("error"), F.lit(now_ms).cast("long").alias("at_ms"))
+        refused.write.mode("overwrite").parquet(rejections)
     every = jobs.unionByName(room.withColumns({"status": F.lit("queued"), "updated_ms": F.lit(now_ms).cast("long")}).select(*jobs.columns))
     slots = max(0, limits.jobs_max_concurrency - jobs.where("status = 'processing'").count())
     starts = dispatched(every, slots).select("id", F.lit("processing").alias("status"), F.lit(now_ms).cast("long").alias("started_ms"))
     table.replace(updated(every, starts, now_ms))
 
 
-def job_stream(spark: SparkSession, arrivals_path: str, table_path: str, checkpoint: str, limits: Limits = Limits(), clock: Callable[[], int] | None = None, once: bool = False) -> StreamingQuery:
-    """Job files that arrive in a folder, merged into the job table; the checkpoint makes the queue survive a restart."""
+def job_stream(spark: SparkSession, arrivals_path: str, table_path: str, checkpoint: str, limits: Limits = Limits(), clock: Callable[[], int] | None = None, once: bool = False, rejections: str | None = None) -> StreamingQuery:
+    """Job files that arrive in a folder, merged into the job table; the checkpoint makes the queue survive a restart. What each batch
+    rejects is in a folder batch=<number> of rejections."""
     clock = clock or (lambda: int(time.time() * 1000))
     table = JobTable(spark, table_path, RECORD_SCHEMA)
     arrivals = spark.readStream.schema(RECORD_SCHEMA).option("maxFilesPerTrigger", 1000).json(arrivals_path)
-    writer = arrivals.writeStream.foreachBatch(lambda batch, _: merge_arrivals(table, batch, clock(), limits)).option("checkpointLocation", checkpoint)
+    writer = arrivals.writeStream.foreachBatch(lambda batch, n: merge_arrivals(table, batch, clock(), limits, f"{rejections}/batch={n}" if rejections else None)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{limits.maintenance_seconds} seconds")).start()
 
 
@@ -73,6 +88,15 @@ def hourly_counts(events: DataFrame, time_col: str = "ts", kind_col: str = "even
     return events.withWatermark(time_col, lateness).groupBy(window.alias("w"), kind_col).agg(F.count("*").alias("n")).select(F.col("w.start").alias("hour_start"), kind_col, "n")
 
 
+def table_stream(spark: SparkSession, folder: str, name: str, schema: StructType) -> DataFrame:
+    """A stream of a Parquet table's files, be it one file of the folder or a folder of its own."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    reader = spark.readStream.schema(schema)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        return reader.parquet(f"{folder}/{name}")
+    return reader.option("pathGlobFilter", name).parquet(folder)
+
+
 def run_once(counts: DataFrame, path: str) -> DataFrame:
     """The rows of an aggregating stream when it has read all that is there, written to path by the executors and read again."""
     spark = counts.sparkSession
