@@ -1,11 +1,12 @@
-"""Suffix-array dedup: bytes of strings that occur again, found with a sampled enhanced suffix array over all documents.
+"""Suffix-array dedup: maximal repeats found with a sampled enhanced suffix array over all documents, and the bytes of strings that occur again.
 
 Every string of LENGTH bytes holds an anchor: a gram whose hash is the least in it. Equal strings have equal anchors at the same
 place, so two of them meet where anchors of one gram are compared: they are equal if what the anchors share to the left and what they share
-to the right come to LENGTH bytes. Anchors of grams that occur once are left out, contexts that are equal through and through are counted
-once, and the others are sorted: by gram and right context, and by gram and left context. Either order is a suffix array, in parts
-by gram, or by range where a gram is very common; a scan with a stack of common-prefix lengths walks its tree of intervals. Whether
-an interval's occurrences differ to the left, and how far they agree, is what the string at its depth tells.
+to the right come to LENGTH bytes. Anchors of grams that occur once are left out, and contexts that are equal through and through are one leaf
+with its number of occurrences. The others are sorted: by gram and right context, and by gram and left context. Either order is a
+suffix array, in parts by gram, or by range where a gram is very common; a scan with a stack of common-prefix lengths walks its tree of intervals.
+The occurrences of an interval part where they differ to the left: those that agree for LENGTH bytes are a group, how far all
+of it agree to the left, and to the right, tells the maximal repeat, and what is removed comes of the groups that an occurrence is in.
 """
 
 from __future__ import annotations
@@ -21,14 +22,12 @@ from pyspark.sql import functions as F
 from ..sources.folders import shared_folder
 from .bloom import likely_in
 from .shingles import SIDE_BY_SIDE, mix, range_hashes
-from .tables import free_name, if_small, kept
+from .tables import free_name, join_groups, kept
 
 #: Bytes of a string that may not occur again, and of the gram at an anchor.
 LENGTH, GRAM = 200, 32
 #: An anchor lies so many bytes after a string's start at most.
 REACH = LENGTH - GRAM
-#: So many repeated grams are broadcast.
-GRAMS_BROADCAST = 1_000_000
 #: A gram with more different contexts is dealt over several tasks; contexts of others are compared so many at a time, whole grams each.
 HOT, TOGETHER = 65536, 4096
 #: Contexts of very common grams in a partition, about.
@@ -79,42 +78,40 @@ def _batches_of(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarra
         yield first, np.frombuffer(b"".join(texts[first:k]), np.uint8), ends - np.array([len(x) for x in texts[first:k]]), ends
 
 
-def _anchor_rows(docs: DataFrame, grams_only: bool) -> DataFrame:
-    """gram, or also doc, text_hash, pos and a digest of what is left and right of the anchor, of docs (doc, text_hash, bytes)."""
+def _anchor_rows(docs: DataFrame) -> DataFrame:
+    """(doc, text_hash, pos, before, after, gram, context) of docs (doc, text_hash, bytes): each anchor, how many bytes of its context
+    the text has left and right of it, and digests of the gram and of the context."""
+    names = ["doc", "text_hash", "pos", "before", "after", "gram", "context"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(2).to_pylist()
             for first, data, starts, ends in _batches_of(texts):
                 text, place, gram = anchors(data, starts, ends)
-                if grams_only:
-                    yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64))], names=["gram"])
-                    continue
-                before = range_hashes(data, np.maximum(starts[text], place - REACH), place)
-                after = range_hashes(data, place, np.minimum(ends[text], place + LENGTH))
-                context = mix(before * np.uint64(31) + after)
+                begin, end = np.maximum(starts[text], place - REACH), np.minimum(ends[text], place + LENGTH)
+                context = mix(range_hashes(data, begin, place) * np.uint64(31) + range_hashes(data, place, end))
                 rows = pa.array(text + first)
-                arrays = [batch.column(0).take(rows), batch.column(1).take(rows), pa.array((place - starts[text]).astype(np.int32)), *(pa.array(x.view(np.int64)) for x in (gram, context))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc", "text_hash", "pos", "gram", "context"])
+                sizes = (pa.array(x.astype(np.int16)) for x in (place - begin, end - place))
+                arrays = [batch.column(0).take(rows), batch.column(1).take(rows), pa.array((place - starts[text]).astype(np.int32)), *sizes, *(pa.array(x.view(np.int64)) for x in (gram, context))]
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    schema = "gram long" if grams_only else "doc long, text_hash int, pos int, gram long, context long"
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, "doc long, text_hash int, pos int, before short, after short, gram long, context long")
 
 
 def _contexts(wanted: DataFrame) -> DataFrame:
-    """(gram, context, before, after) as bytes, the left one backwards, of (bytes, wanted: array of pos, gram, context)."""
+    """(gram, context, times, before, after), the last two as bytes and the left one backwards, of (bytes, wanted: array of pos, gram, context, times)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [
-                (w["gram"], w["context"], text[max(0, w["pos"] - REACH) : w["pos"]][::-1], text[w["pos"] : w["pos"] + LENGTH])
+                (w["gram"], w["context"], w["times"], text[max(0, w["pos"] - REACH) : w["pos"]][::-1], text[w["pos"] : w["pos"] + LENGTH])
                 for text, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
                 for w in own
             ]
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["gram", "context", "before", "after"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["gram", "context", "times", "before", "after"])
 
-    return wanted.mapInArrow(run, "gram long, context long, before binary, after binary")
+    return wanted.mapInArrow(run, "gram long, context long, times long, before binary, after binary")
 
 
 def common_prefixes(strings: list[bytes]) -> np.ndarray:
@@ -246,10 +243,97 @@ def _depths(rows: pa.Table, side: str, ahead: list[int], back: list[int]) -> lis
     return list(zip([ahead, *before], [*after[::-1], back], strict=True))
 
 
-def _within(rows: DataFrame) -> DataFrame:
-    """(gram, context, least, most): of rows whose grams lie in one task each, the least and the greatest delta of a string that another has."""
+def _square(strings: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Strings of width bytes at most as rows of bytes, and their lengths."""
+    lengths = np.array([len(x) for x in strings])
+    rows = np.zeros((len(strings), width), np.uint8)
+    rows[np.arange(width)[None] < lengths[:, None]] = np.frombuffer(b"".join(strings), np.uint8)
+    return rows, lengths
+
+
+def _shared(rows: np.ndarray, lengths: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The length of the common prefix of each row of a with that of b."""
+    out = np.zeros(len(a), np.int64)
+    for k in range(0, len(a), 16384):
+        one, two = a[k : k + 16384], b[k : k + 16384]
+        differ = rows[one] != rows[two]
+        first = np.where(differ.any(axis=1), differ.argmax(axis=1), rows.shape[1])
+        out[k : k + 16384] = np.minimum(first, np.minimum(lengths[one], lengths[two]))
+    return out
+
+
+def _anchored(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the gram at a place of each string data[begins:ends] is the least of some LENGTH bytes of it: then all that hold the string have that anchor."""
+    n = int((ends - begins).max()) - GRAM + 1
+    place = begins[:, None] + np.arange(n)[None]
+    inside = place + GRAM <= ends[:, None]
+    start = np.where(inside, place, begins[:, None])
+    grams = (range_hashes(data, start.ravel(), start.ravel() + GRAM) >> np.uint64(1)).reshape(start.shape)
+    own = grams[np.arange(len(at)), at]
+    smaller = (grams < own[:, None]) & inside
+    column = np.arange(n)[None]
+    before = np.where(smaller & (column < at[:, None]), column, -1).max(axis=1)
+    after = np.where((smaller | ~inside) & (column > at[:, None]), column, n).min(axis=1)
+    return after - before - 1 > REACH
+
+
+def maximal_groups(befores: list[bytes], afters: list[bytes], row: np.ndarray, delta: np.ndarray, x: np.ndarray, complete: bool = False) -> tuple[np.ndarray, ...]:
+    """(row, group, left, right) of the maximal repeats among the strings of LENGTH bytes that begin delta bytes before the anchors of rows.
+
+    If complete, only those are given whose anchor comes of what is repeated, so that no occurrence has other anchors alone.
+    Strings with equal digests are compared byte by byte. How far their occurrences all agree to the left and to the right of the anchor is
+    where the repeat ends: beyond it they are diverse. Strings of the same occurrences thus tell the same repeat, which is given once.
+    """
+    none = (np.zeros(0, np.int64),) * 4
+    order = np.lexsort((row, x))
+    row, delta, x = row[order], delta[order].astype(np.int64), x[order]
+    other = np.concatenate(([True], (x[1:] != x[:-1]) | (row[1:] != row[:-1]))) if len(x) else np.zeros(0, bool)
+    row, delta, x = row[other], delta[other], x[other]  # a row has a string from either side: it counts once
+    if len(x) < 2:
+        return none
+    before, after = _square(befores, REACH), _square(afters, LENGTH)
+    for _ in range(2):  # those that meet in the first pass, and of them those that are equal indeed
+        new = np.concatenate(([True], x[1:] != x[:-1]))
+        group = np.cumsum(new) - 1
+        several = (np.bincount(group) > 1)[group]
+        row, delta, x = row[several], delta[several], x[several]
+        if not len(x):
+            return none
+        begins = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
+        sizes = np.diff(np.append(begins, len(x)))
+        first = np.repeat(row[begins], sizes)
+        left, right = _shared(*before, row, first), _shared(*after, row, first)
+        equal = (left >= delta) & (right >= LENGTH - delta)
+        if equal.all():
+            break
+        row, delta, x = row[equal], delta[equal], x[equal]
+    # of rows that all agree with the first one, the least agreement is that of any two
+    left, right = np.minimum.reduceat(left, begins), np.minimum.reduceat(right, begins)
+    chosen = row[begins]
+    strings = b"".join(befores[k][:a][::-1] + afters[k][:b] for k, a, b in zip(chosen.tolist(), left.tolist(), right.tolist(), strict=True))
+    ends = np.cumsum(left + right)
+    data = np.frombuffer(strings, np.uint8)
+    name = mix(range_hashes(data, ends - left - right, ends) + left.astype(np.uint64))
+    _, use = np.unique(name, return_index=True)
+    keep = np.zeros(len(begins), bool)
+    keep[use] = True
+    for k in range(0, len(begins) if complete else 0, 4096):
+        keep[k : k + 4096] &= _anchored(data, (ends - left - right)[k : k + 4096], ends[k : k + 4096], left[k : k + 4096])
+    of = np.repeat(np.arange(len(begins)), sizes)
+    hit = keep[of]
+    return row[hit], name.view(np.int64)[of[hit]], left[of[hit]], right[of[hit]]
+
+
+def _within(rows: DataFrame, twins: bool) -> DataFrame:
+    """(group, gram, context, left, right): the maximal repeats of rows whose grams lie in one task each. With twins a context that
+    occurs several times counts as two rows, so it repeats even what no other context has."""
 
     def matched(some: pa.Table) -> pa.RecordBatch:
+        own = np.arange(some.num_rows)
+        if twins:
+            own = np.concatenate((own, np.flatnonzero(some["times"].to_numpy() > 1)))
+            own.sort()
+            some = some.take(pa.array(own))
         rows, deltas, digests = [], [], []
         for side in ("after", "before"):
             order = np.lexsort((np.array(some[side].to_pylist(), object), some["gram"].to_numpy())).astype(np.int32)
@@ -257,26 +341,15 @@ def _within(rows: DataFrame) -> DataFrame:
             for r, d, x, _ in _key_strings(ordered, _depths(ordered, side, [], []), side):
                 rows.append(order[r])
                 deltas.append(d.astype(np.uint8))
-                digests.append(x)  # within a task 64 bits tell strings apart
-        least, most = np.full(some.num_rows, LENGTH + 1), np.full(some.num_rows, -1)
-        if rows:
-            row, delta, x = (np.concatenate(c) for c in (rows, deltas, digests))
-            del rows, deltas, digests
-            order = np.lexsort((row, x))
-            row, delta, x = row[order], delta[order], x[order]
-            del order
-            new = np.concatenate(([True], x[1:] != x[:-1]))
-            other = new.copy()
-            other[1:] |= row[1:] != row[:-1]  # a row has a string from either side: it counts once
-            group = np.cumsum(new, dtype=np.int32) - 1
-            hit = (np.bincount(group[other]) > 1)[group]
-            np.minimum.at(least, row[hit], delta[hit])
-            np.maximum.at(most, row[hit], delta[hit])
-        hit = pa.array(np.flatnonzero(most >= 0))
-        return pa.RecordBatch.from_arrays(
-            [some["gram"].combine_chunks().take(hit), some["context"].combine_chunks().take(hit), pa.array(least[most >= 0].astype(np.int32)), pa.array(most[most >= 0].astype(np.int32))],
-            names=["gram", "context", "least", "most"],
-        )
+                digests.append(x)
+        row, delta, x = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (rows, deltas, digests))
+        row, group, left, right = maximal_groups(some["before"].to_pylist(), some["after"].to_pylist(), row, delta, x, twins)
+        if twins and len(row):  # a row and its twin are one
+            _, first = np.unique(np.stack((own[row], group)), axis=1, return_index=True)
+            row, group, left, right = row[first], group[first], left[first], right[first]
+        at = pa.array(row)
+        columns = [pa.array(group), some["gram"].combine_chunks().take(at), some["context"].combine_chunks().take(at), pa.array(left.astype(np.int32)), pa.array(right.astype(np.int32))]
+        return pa.RecordBatch.from_arrays(columns, names=["group", "gram", "context", "left", "right"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -296,7 +369,7 @@ def _within(rows: DataFrame) -> DataFrame:
             yield matched(pa.Table.from_batches(held).combine_chunks())
 
     dealt = rows.repartition("gram").sortWithinPartitions("gram")
-    return dealt.mapInArrow(run, "gram long, context long, least int, most int")
+    return dealt.mapInArrow(run, "group long, gram long, context long, left int, right int")
 
 
 def _across(rows: DataFrame, side: str) -> DataFrame:
@@ -329,34 +402,73 @@ def _across(rows: DataFrame, side: str) -> DataFrame:
 _OTHER = np.random.default_rng(7).permutation(256).astype(np.uint8)
 
 
-def repeated_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """(doc, text_hash, spans: sorted array of start and end) of docs (doc, text_hash, bytes): runs of bytes of strings that occur again."""
-    grams = kept(_anchor_rows(docs, grams_only=True).groupBy("gram").count().where("count > 1").select("gram"))
-    found = kept(_anchor_rows(docs, grams_only=False).join(if_small(grams, GRAMS_BROADCAST), "gram"))
+def repeats_of(docs: DataFrame, hot: int = HOT, every: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The anchors (doc, text_hash, pos, gram, context) of docs (doc, text_hash, bytes), and the repeats (group, gram, context, times, left, right): each
+    context, of so many anchors, that a group's string runs through, from left bytes before the anchor to right bytes after it.
+
+    A context that occurs several times is a group of its own, with all that the texts have of it. Contexts of a gram none of which occurs
+    once are compared with each other only if every: what they share lies within what each of them repeats.
+    """
+    anchored = kept(_anchor_rows(docs))
+    grams = kept(anchored.groupBy("gram").count().where("count > 1").select("gram"))
+    found, _ = likely_in(anchored, ["gram"], grams)
     key = ["gram", "context"]
-    contexts = kept(found.groupBy(*key).agg(F.count("*").alias("times"), F.min(F.struct("doc", "text_hash", "pos")).alias("at")))
-    # grams all of whose contexts are alike, or all of whose contexts occur again, need no comparison
-    several = kept(contexts.groupBy("gram").agg(F.count("*").alias("n"), F.min("times").alias("rarest")).where("n > 1 AND rarest = 1").select("gram", "n"))
+    contexts = kept(found.groupBy(*key).agg(F.count("*").alias("times"), F.min(F.struct("doc", "text_hash", "pos", "before", "after")).alias("at")))
+    several = contexts.groupBy("gram").agg(F.count("*").alias("n"), F.min("times").alias("rarest")).where("n > 1")
+    several = kept((several if every else several.where("rarest = 1")).select("gram", "n"))
+    n_contexts = contexts.count()
 
     def rows_of(some: DataFrame) -> DataFrame:
-        wanted = contexts.join(some.select("gram"), "gram").groupBy("at.doc", "at.text_hash").agg(F.collect_list(F.struct(F.col("at.pos").alias("pos"), "gram", "context")).alias("wanted"))
+        wanted = join_groups(contexts, some, ["gram"], "n", n_contexts).groupBy("at.doc", "at.text_hash").agg(F.collect_list(F.struct(F.col("at.pos").alias("pos"), "gram", "context", "times")).alias("wanted"))
         wanted = kept(wanted)
         likely, _ = likely_in(docs, ["doc", "text_hash"], wanted)
         return _contexts(likely.join(wanted, ["doc", "text_hash"]).select("bytes", "wanted"))
 
-    partly = kept(_within(rows_of(several.where(F.col("n") <= hot))))
+    groups = _within(rows_of(several.where(F.col("n") <= hot)), twins=every)
     common = several.where(F.col("n") > hot)
     if common.limit(1).count():
-        rows = kept(rows_of(common))
+        rows = kept(rows_of(common).drop("times"))
         strings = kept(_across(rows, "after").unionByName(_across(rows, "before")).distinct())
-        again = strings.groupBy("x", "y").count().where("count > 1").select("x", "y")
-        partly = partly.unionByName(strings.join(again, ["x", "y"]).groupBy(*key).agg(F.min("delta").alias("least"), F.max("delta").alias("most")))
-    told = contexts.join(partly, key, "left").where("times > 1 OR least IS NOT NULL").select(*key, "times", "least", "most")
-    hits = found.join(told, key)
-    # of a context that occurs again as a whole, all strings count that it has room for; those are cut to the text's ends below
-    begin = F.when(F.col("times") > 1, F.greatest(F.col("pos") - REACH, F.lit(0))).otherwise(F.col("pos") - F.col("most"))
-    end = F.when(F.col("times") > 1, F.col("pos") + LENGTH).otherwise(F.col("pos") - F.col("least") + LENGTH)
-    return kept(hits.groupBy("doc", "text_hash").agg(F.sort_array(F.collect_set(F.struct(begin.alias("start"), end.alias("end")))).alias("spans")))
+        again = kept(strings.groupBy("x", "y").agg(F.count("*").alias("n")).where("n > 1"))
+        met = join_groups(strings, again, ["x", "y"], "n", strings.count())
+        groups = groups.unionByName(met.select(F.col("x").alias("group"), *key, F.col("delta").alias("left"), (LENGTH - F.col("delta")).alias("right")))
+    groups = kept(groups)
+    leaves = contexts.where(F.col("times") > 1)
+    if every:  # the others have met theirs by their twins
+        leaves = leaves.join(several.where(F.col("n") <= hot).select("gram"), "gram", "left_anti")
+    leaves = leaves.select(F.xxhash64(*key).alias("group"), *key, "times", F.col("at.before").cast("int").alias("left"), F.col("at.after").cast("int").alias("right"))
+    # a context is in a bounded number of groups, so neither side of this join has a heavy key
+    inner = groups.join(contexts.select(*key, "times"), key).select("group", *key, "times", "left", "right")
+    return found.select("doc", "text_hash", "pos", *key), kept(leaves.where(F.col("left") + F.col("right") >= LENGTH).unionByName(inner))
+
+
+def maximal_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
+    """(group, length, id, start): repeats of LENGTH bytes or more, in UTF-8, each with all its occurrences and as long as they all agree, as far as
+    an anchor's context goes (REACH bytes before it, LENGTH after it).
+
+    There is one for each string of LENGTH bytes at which the tree of right or of left contexts branches, if the anchor is the least gram of
+    some LENGTH bytes of the repeat; strings with the same occurrences tell the same repeat. A longer repeat has one for each anchor in it. Repeats about a gram of more than hot different contexts are told
+    by such strings themselves, and there equal contexts that end with their texts stand apart. A null text or id takes no part; repeated rows count as one.
+    """
+    own = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.encode(F.col(text_col).cast("string"), "UTF-8").alias("bytes"))
+    own = own.where(F.length("bytes") >= LENGTH).select("doc", F.hash("bytes").alias("text_hash"), "bytes")
+    found, repeats = repeats_of(own, hot, every=True)
+    key = ["gram", "context"]
+    sized = kept(repeats.groupBy(*key).agg(F.max("times").alias("times"), F.collect_set(F.struct("group", "left", "right")).alias("all")))
+    told = join_groups(kept(found), sized, key, "times", found.count()).withColumn("g", F.explode("all"))
+    out = told.select("g.group", (F.col("g.left") + F.col("g.right")).alias("length"), F.col("doc").alias("id"), (F.col("pos") - F.col("g.left")).alias("start"))
+    return out.distinct()
+
+
+def repeated_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
+    """(doc, text_hash, spans: sorted array of start and end) of docs (doc, text_hash, bytes): runs of bytes of strings that occur again.
+    About an anchor these are all bytes from the farthest left to the farthest right that a repeat through it goes."""
+    found, repeats = repeats_of(docs, hot)
+    key = ["gram", "context"]
+    told = kept(repeats.groupBy(*key).agg(F.max("times").alias("times"), F.max("left").alias("left"), F.max("right").alias("right")))
+    hits = join_groups(found, told, key, "times", found.count())
+    span = F.struct((F.col("pos") - F.col("left")).alias("start"), (F.col("pos") + F.col("right")).alias("end"))
+    return kept(hits.groupBy("doc", "text_hash").agg(F.sort_array(F.collect_set(span)).alias("spans")))
 
 
 def merged(spans: list[dict] | None, size: int) -> list[tuple[int, int]]:
