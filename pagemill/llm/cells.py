@@ -44,16 +44,26 @@ def distinct_cells(members: DataFrame, block: int = BLOCK) -> DataFrame:
     return kept(inside.where(F.col("cell_size") <= block).unionByName(joined.join(sizes, "cell").select("node", "cell", "cell_size")))
 
 
-def in_blocks(members: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(node, cells, cell, i, j, own): members dealt to the tasks where they are compared; cells are all of a node's."""
+def blocks_of(members: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(node, cells, cell, cell_size, blocks, own): the block of its cell that each member is in; cells are all of a node's."""
     dealt = members.withColumn("blocks", F.ceil(F.col("cell_size") / block).cast("int"))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = members.groupBy("node").agg(F.sort_array(F.collect_set("cell")).alias("cells"))
-    return dealt.join(cells, "node").select("node", "cells", "cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
+    return dealt.join(cells, "node").select("node", "cells", "cell", "cell_size", "blocks", "own")
+
+
+def in_pairs(dealt: DataFrame) -> DataFrame:
+    """dealt (blocks, own, ...) once for each block that its own one meets, in a task for each pair of blocks i and j."""
+    other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return other.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other", "blocks")
+
+
+def in_blocks(members: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(node, cells, cell, i, j, own): members dealt to the tasks where they are compared."""
+    return in_pairs(blocks_of(members, block)).select("node", "cells", "cell", "i", "j", "own")
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+def groups_of(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
     """Runs of rows with equal keys, over the ends of batches."""
     held: list[pa.Table] = []
     last = None
@@ -97,6 +107,27 @@ def _first_meeting(cells: list[list[int]], here: int, a: np.ndarray, b: np.ndarr
     return inside[a] @ inside[b].T == 0
 
 
+def met_here(links: np.ndarray, a: np.ndarray, b: np.ndarray, same: bool, cells: list[list[int]], here: int, node: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(node, links, joined) of the nodes with a link, where links tells which of a and of b have one; same: both are one block."""
+    if same:
+        np.fill_diagonal(links, False)
+    count, joined = np.zeros(len(node), np.int64), node.copy()
+    if links.any():
+        counted = links & _first_meeting(cells, here, a, b)
+        count[a] += counted @ weight[b]
+        if not same:
+            count[b] += weight[a] @ counted
+        most = np.iinfo(np.int64).max
+        while True:
+            before = joined.copy()
+            joined[a] = np.minimum(joined[a], np.where(links, joined[b][None], most).min(axis=1))
+            joined[b] = np.minimum(joined[b], np.where(links, joined[a][:, None], most).min(axis=0))
+            if (joined == before).all():
+                break
+    told = (joined != node) | (count > 0)
+    return node[told], count[told], joined[told]
+
+
 def compare(blocks: DataFrame, linked: Callable[[pa.Table, np.ndarray, np.ndarray], np.ndarray], payload: list[str], partitions: int | None = None) -> DataFrame:
     """(node, links, joined) of blocks with a weight column and payload columns: the weights of a node's links that are first met
     in this cell, and the smallest node that it is joined to there.
@@ -108,7 +139,7 @@ def compare(blocks: DataFrame, linked: Callable[[pa.Table, np.ndarray, np.ndarra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         rows_out = 0
-        for rows in _groups(batches, keys):
+        for rows in groups_of(batches, keys):
             i, j = rows["i"][0].as_py(), rows["j"][0].as_py()
             own = rows["own"].to_numpy()
             a = np.flatnonzero(own == i)
@@ -116,26 +147,9 @@ def compare(blocks: DataFrame, linked: Callable[[pa.Table, np.ndarray, np.ndarra
             if not len(a) or not len(b) or rows.num_rows < 2:
                 continue
             links = linked(rows, a, b)
-            if i == j:
-                np.fill_diagonal(links, False)
-            if not links.any():
-                continue
-            counted = links & _first_meeting(rows["cells"].to_pylist(), rows["cell"][0].as_py(), a, b)
-            node, weight = rows["node"].to_numpy(), rows["weight"].to_numpy()
-            count, joined = np.zeros(len(node), np.int64), node.copy()
-            count[a] += counted @ weight[b]
-            if i != j:
-                count[b] += weight[a] @ counted
-            most = np.iinfo(np.int64).max
-            while True:
-                before = joined.copy()
-                joined[a] = np.minimum(joined[a], np.where(links, joined[b][None], most).min(axis=1))
-                joined[b] = np.minimum(joined[b], np.where(links, joined[a][:, None], most).min(axis=0))
-                if (joined == before).all():
-                    break
-            told = (joined != node) | (count > 0)
-            out.append((node[told], count[told], joined[told]))
-            rows_out += int(told.sum())
+            found = met_here(links, a, b, i == j, rows["cells"].to_pylist(), rows["cell"][0].as_py(), rows["node"].to_numpy(), rows["weight"].to_numpy())
+            out.append(found)
+            rows_out += len(found[0])
             if rows_out > 20_000:
                 yield pa.RecordBatch.from_arrays([np.concatenate(x) for x in zip(*out, strict=True)], names=["node", "links", "joined"])
                 out, rows_out = [], 0

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cells import compare, distinct_cells, in_blocks
+from .cells import BLOCK, blocks_of, compare, distinct_cells, groups_of, in_pairs, met_here
 from .components import connected_components
 from .shingles import intersections, mix, shingle_sets
 from .tables import free_name, kept
@@ -105,6 +105,85 @@ def _buckets(docs: DataFrame, sets: DataFrame, small: int, depth: int) -> DataFr
     return leaves
 
 
+PACKED = "cell long, own int, blocks int, nodes array<long>, weights array<long>, cells array<array<long>>, shingles binary, dense boolean, members binary"
+
+
+def _packed(dealt: DataFrame) -> DataFrame:
+    """One row for each block of dealt (cell, own, blocks, node, weight, cells, text): its distinct shingles, and which of them each node has, as bits
+    or as places, whichever is less. Near copies share most of theirs, so a block is small, and it is shingled once however many others it meets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in groups_of(batches, ("cell", "own")):
+            sets = shingle_sets(_texts(rows["text"].combine_chunks()))
+            shingles, place = np.unique(np.concatenate(sets), return_inverse=True)
+            owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+            dense = len(sets) * len(shingles) // 8 < 4 * len(place)
+            if dense:
+                inside = np.zeros((len(sets), len(shingles)), bool)
+                inside[owner, place] = True
+                members = np.packbits(inside, axis=1).tobytes()
+            else:
+                members = np.concatenate(([len(x) for x in sets], place)).astype(np.int32).tobytes()
+            first = rows.slice(0, 1)
+            columns = [first["cell"].combine_chunks(), first["own"].combine_chunks(), first["blocks"].combine_chunks()]
+            columns += [pa.array([rows[c].to_pylist()]) for c in ("node", "weight")] + [pa.array([rows["cells"].to_pylist()], pa.list_(pa.list_(pa.int64())))]
+            columns += [pa.array([shingles.tobytes()], pa.binary()), pa.array([dense]), pa.array([members], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["cell", "own", "blocks", "nodes", "weights", "cells", "shingles", "dense", "members"])
+
+    columns = dealt.select("cell", "own", "blocks", "node", "weight", "cells", "text")
+    return columns.repartition("cell", "own").sortWithinPartitions("cell", "own").mapInArrow(run, PACKED)
+
+
+def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A block's shingles, and the node and the place of each member."""
+    shingles = np.frombuffer(row["shingles"], np.uint64)
+    n = len(row["nodes"])
+    if row["dense"]:
+        owner, place = np.nonzero(np.unpackbits(np.frombuffer(row["members"], np.uint8).reshape(n, -1), axis=1, count=len(shingles)))
+        return shingles, owner, place
+    members = np.frombuffer(row["members"], np.int32)
+    return shingles, np.repeat(np.arange(n), members[:n]), members[n:]
+
+
+def _overlaps(one: tuple[np.ndarray, ...], two: tuple[np.ndarray, ...], n: int, m: int, width: int = 8192) -> np.ndarray:
+    """Sizes of the intersections of n sets with m others, some shared shingles at a time."""
+    _, ours, theirs = np.intersect1d(one[0], two[0], assume_unique=True, return_indices=True)
+    total = np.zeros((n, m))
+    for begin in range(0, len(ours), width):
+        sides = []
+        for (shingles, owner, place), common, size in ((one, ours, n), (two, theirs, m)):
+            column = np.full(len(shingles), -1)
+            column[common[begin : begin + width]] = np.arange(len(common[begin : begin + width]))
+            use = column[place] >= 0
+            inside = np.zeros((size, min(width, len(ours) - begin)), np.float32)
+            inside[owner[use], column[place[use]]] = 1
+            sides.append(inside)
+        total += sides[0] @ sides[1].T
+    return total
+
+
+def _compared(pairs: DataFrame, threshold: float) -> DataFrame:
+    """(node, links, joined) of packed blocks, each two of them (or one with itself) in one task: what cells.compare gives."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in groups_of(batches, ("cell", "i", "j")):
+            blocks = sorted(rows.to_pylist(), key=lambda r: r["own"])
+            same = blocks[0]["i"] == blocks[0]["j"]
+            if not same and len(blocks) < 2:
+                continue  # no node is dealt to the other block
+            unpacked = [_unpacked(r) for r in blocks]
+            sizes = [np.bincount(owner, minlength=len(r["nodes"])) for (_, owner, _), r in zip(unpacked, blocks, strict=True)]
+            node, weight = (np.concatenate([np.array(r[c]) for r in blocks]) for c in ("nodes", "weights"))
+            n = len(blocks[0]["nodes"])
+            a, b = np.arange(n), np.arange(n) if same else np.arange(n, len(node))
+            both = _overlaps(unpacked[0], unpacked[-1], n, len(b))
+            links = both / (sizes[0][:, None] + sizes[-1][None] - both) >= threshold
+            found = met_here(links, a, b, same, [c for r in blocks for c in r["cells"]], blocks[0]["cell"], node, weight)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["node", "links", "joined"])
+
+    return pairs.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j").mapInArrow(run, "node long, links long, joined long")
+
+
 def near_texts(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", small: int = SMALL, depth: int = DEPTH, miss: float = MISS) -> DataFrame:
     """docs with class_id, n_links and n_shingles: a link is a pair of documents whose sets of five-word shingles have Jaccard
     similarity >= threshold, verified exactly; class_id is the smallest id that links reach.
@@ -112,7 +191,7 @@ def near_texts(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc
     Words are runs of characters other than ASCII white space, as they are written. A text of one to four words is one shingle; a null
     text, or one without words, links with nothing. Equal sets are compared once and count as links of one another. A pair at the
     threshold is found with probability 1 - miss at least, nearer ones with more. Large buckets that can't be split are compared
-    in blocks, and pairs are never listed, so no row, partner or bucket is dropped. Rows that share an id are one document (the
+    in blocks, each block packed once, and pairs are never listed, so no row, partner or bucket is dropped. Rows that share an id are one document (the
     greatest text of them) and get the same result; a row with a null id has no links and a null class. Columns of docs
     that have the name of a result are replaced by it.
     """
@@ -130,8 +209,7 @@ def near_texts(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc
     nodes = of.where("id = node")
     first = every.select("id", "nodes").join(nodes.where("n > 0").select("id"), "id").select(F.col("id").alias("node"), "nodes")
     members = distinct_cells(_buckets(own, first, small, depth))
-    blocks = in_blocks(members).join(nodes.select("node", "weight"), "node")
-    blocks = blocks.join(own.select(F.col("id").alias("node"), "text"), "node")
+    weighed = nodes.select("node", "weight").join(own.select(F.col("id").alias("node"), "text"), "node")
 
     def linked(rows: pa.Table, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         sets = shingle_sets(_texts(rows["text"].combine_chunks()))
@@ -139,7 +217,13 @@ def near_texts(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc
         both = intersections(sets, a, b)
         return both / (sizes[a][:, None] + sizes[b][None] - both) >= threshold
 
-    met = kept(compare(blocks, linked, ["text"]))
+    # a node counts a link in the first cell that it shares, so all of its cells go with it into either kind of comparison
+    dealt = kept(blocks_of(members))
+    met = compare(in_pairs(dealt.where(F.col("cell_size") <= BLOCK)).join(weighed, "node"), linked, ["text"])
+    large = dealt.where(F.col("cell_size") > BLOCK)
+    if large.limit(1).count():
+        met = met.unionByName(_compared(in_pairs(kept(_packed(large.join(weighed, "node")))), threshold))
+    met = kept(met)
     counts = met.groupBy("node").agg(F.sum("links").alias("links"))
     roots = connected_components(met.select(F.col("node").alias("a"), F.col("joined").alias("b")))
     result, key = free_name(docs, "result_"), free_name(docs, "id_")
