@@ -29,7 +29,7 @@ LENGTH, GRAM = 200, 32
 #: An anchor lies so many bytes after a string's start at most.
 REACH = LENGTH - GRAM
 #: A gram with more different contexts is dealt over several tasks; contexts of others are compared so many at a time, whole grams each.
-HOT, TOGETHER = 65536, 4096
+HOT, TOGETHER = 16384, 2048
 #: Contexts of very common grams in a partition, about.
 IN_PART = 16384
 
@@ -253,12 +253,12 @@ def _square(strings: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _shared(rows: np.ndarray, lengths: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The length of the common prefix of each row of a with that of b."""
-    out = np.zeros(len(a), np.int64)
-    for k in range(0, len(a), 16384):
-        one, two = a[k : k + 16384], b[k : k + 16384]
+    out = np.zeros(len(a), np.int16)
+    for k in range(0, len(a), 4096):
+        one, two = a[k : k + 4096], b[k : k + 4096]
         differ = rows[one] != rows[two]
         first = np.where(differ.any(axis=1), differ.argmax(axis=1), rows.shape[1])
-        out[k : k + 16384] = np.minimum(first, np.minimum(lengths[one], lengths[two]))
+        out[k : k + 4096] = np.minimum(first, np.minimum(lengths[one], lengths[two]))
     return out
 
 
@@ -280,13 +280,15 @@ def _anchored(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, at: np.nda
 def maximal_groups(befores: list[bytes], afters: list[bytes], row: np.ndarray, delta: np.ndarray, x: np.ndarray, complete: bool = False) -> tuple[np.ndarray, ...]:
     """(row, group, left, right) of the maximal repeats among the strings of LENGTH bytes that begin delta bytes before the anchors of rows.
 
-    If complete, only those are given whose anchor comes of what is repeated, so that no occurrence has other anchors alone.
+    If complete, all are given whose anchor comes of what is repeated, so that no occurrence has other anchors alone. Else each row gets two at
+    most: those that go farthest to the left and to the right of its anchor, between which all others lie.
     Strings with equal digests are compared byte by byte. How far their occurrences all agree to the left and to the right of the anchor is
     where the repeat ends: beyond it they are diverse. Strings of the same occurrences thus tell the same repeat, which is given once.
     """
     none = (np.zeros(0, np.int64),) * 4
     order = np.lexsort((row, x))
-    row, delta, x = row[order], delta[order].astype(np.int64), x[order]
+    row, delta, x = row[order].astype(np.int32), delta[order].astype(np.int16), x[order]
+    del order
     other = np.concatenate(([True], (x[1:] != x[:-1]) | (row[1:] != row[:-1]))) if len(x) else np.zeros(0, bool)
     row, delta, x = row[other], delta[other], x[other]  # a row has a string from either side: it counts once
     if len(x) < 2:
@@ -294,7 +296,7 @@ def maximal_groups(befores: list[bytes], afters: list[bytes], row: np.ndarray, d
     before, after = _square(befores, REACH), _square(afters, LENGTH)
     for _ in range(2):  # those that meet in the first pass, and of them those that are equal indeed
         new = np.concatenate(([True], x[1:] != x[:-1]))
-        group = np.cumsum(new) - 1
+        group = np.cumsum(new, dtype=np.int32) - 1
         several = (np.bincount(group) > 1)[group]
         row, delta, x = row[several], delta[several], x[several]
         if not len(x):
@@ -302,6 +304,7 @@ def maximal_groups(befores: list[bytes], afters: list[bytes], row: np.ndarray, d
         begins = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
         sizes = np.diff(np.append(begins, len(x)))
         first = np.repeat(row[begins], sizes)
+        del new, group, several
         left, right = _shared(*before, row, first), _shared(*after, row, first)
         equal = (left >= delta) & (right >= LENGTH - delta)
         if equal.all():
@@ -309,19 +312,30 @@ def maximal_groups(befores: list[bytes], afters: list[bytes], row: np.ndarray, d
         row, delta, x = row[equal], delta[equal], x[equal]
     # of rows that all agree with the first one, the least agreement is that of any two
     left, right = np.minimum.reduceat(left, begins), np.minimum.reduceat(right, begins)
-    chosen = row[begins]
+    of = np.repeat(np.arange(len(begins), dtype=np.int32), sizes)
+    if not complete:
+        farthest = []
+        for reach in (left, right):
+            order = np.lexsort((-reach[of], row))
+            farthest.append(order[np.concatenate(([True], row[order][1:] != row[order][:-1]))])
+        hit = np.unique(np.concatenate(farthest))
+        row, of = row[hit], of[hit]
+        use, of = np.unique(of, return_inverse=True)
+        begins, left, right, chosen = begins[use], left[use], right[use], first[begins[use]]
+    else:
+        chosen = first[begins]
     strings = b"".join(befores[k][:a][::-1] + afters[k][:b] for k, a, b in zip(chosen.tolist(), left.tolist(), right.tolist(), strict=True))
-    ends = np.cumsum(left + right)
-    data = np.frombuffer(strings, np.uint8)
-    name = mix(range_hashes(data, ends - left - right, ends) + left.astype(np.uint64))
-    _, use = np.unique(name, return_index=True)
-    keep = np.zeros(len(begins), bool)
-    keep[use] = True
-    for k in range(0, len(begins) if complete else 0, 4096):
-        keep[k : k + 4096] &= _anchored(data, (ends - left - right)[k : k + 4096], ends[k : k + 4096], left[k : k + 4096])
-    of = np.repeat(np.arange(len(begins)), sizes)
-    hit = keep[of]
-    return row[hit], name.view(np.int64)[of[hit]], left[of[hit]], right[of[hit]]
+    data, ends = np.frombuffer(strings, np.uint8), np.cumsum(left.astype(np.int64) + right)
+    starts = ends - left - right
+    name = mix(range_hashes(data, starts, ends) + left.astype(np.uint64))
+    if complete:
+        _, use = np.unique(name, return_index=True)
+        keep = np.zeros(len(begins), bool)
+        keep[use] = True
+        for k in range(0, len(begins), 4096):
+            keep[k : k + 4096] &= _anchored(data, starts[k : k + 4096], ends[k : k + 4096], left[k : k + 4096].astype(np.int64))
+        row, of = row[keep[of]], of[keep[of]]
+    return row, name.view(np.int64)[of], left[of], right[of]
 
 
 def _within(rows: DataFrame, twins: bool) -> DataFrame:
@@ -407,7 +421,8 @@ def repeats_of(docs: DataFrame, hot: int = HOT, every: bool = False) -> tuple[Da
     context, of so many anchors, that a group's string runs through, from left bytes before the anchor to right bytes after it.
 
     A context that occurs several times is a group of its own, with all that the texts have of it. Contexts of a gram none of which occurs
-    once are compared with each other only if every: what they share lies within what each of them repeats.
+    once are compared with each other only if every: what they share lies within what each of them repeats. Without it a context is told of the two
+    groups that go farthest, to the left and to the right.
     """
     anchored = kept(_anchor_rows(docs))
     grams = kept(anchored.groupBy("gram").count().where("count > 1").select("gram"))
