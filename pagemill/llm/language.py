@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tables import free_name
@@ -19,6 +19,8 @@ STRETCH = 128
 SIDE_BY_SIDE = 1024
 #: The sample to learn from: so many documents of each language, so many windows of each, so many characters of a window.
 DOCS_A_LANGUAGE, WINDOWS_A_DOC, WINDOW_CHARS = 400, 3, 96
+#: Languages that are learnt, the most frequent ones.
+MOST_LANGUAGES = 256
 #: Training: stretches in a step, bytes of each, steps, and Adam's rate.
 BATCH, LEARN_BYTES, STEPS, RATE = 128, 64, 160, 0.02
 #: Returned for a text without any letter.
@@ -183,20 +185,28 @@ def _read(w: Weights, data: np.ndarray, begin: np.ndarray, length: np.ndarray) -
 
 
 def sample_windows(docs: DataFrame, learn: Column, id_col: str, text_col: str, lang_col: str, docs_a_language: int = DOCS_A_LANGUAGE) -> tuple[list[bytes], list[int], list[str]]:
-    """Windows of text to learn from, their labels and the languages in order. Chosen by a hash of the id, about docs_a_language
-    documents of each language and at most twice as many, so what comes to the driver is bounded by the number of languages."""
+    """Windows of text to learn from, their labels and the languages in order. Chosen by a hash of id and text, about docs_a_language
+    documents of each language and at most twice as many, those of the least hashes, of MOST_LANGUAGES languages at most: that bounds what comes to the driver."""
     known = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")
     )
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
     if not counts:
         return [], [], []
     share = docs.sparkSession.createDataFrame([(k, docs_a_language / v) for k, v in counts.items()], "l string, share double")
-    chosen = known.join(F.broadcast(share), F.col("lang") == F.col("l")).where(F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < F.col("share") * (1 << 40))
+    known = known.join(F.broadcast(share), F.col("lang") == F.col("l")).withColumn("h", F.xxhash64("id", "text"))
     places = F.expr(
-        f"transform(sequence(1, {WINDOWS_A_DOC}), k -> substring(text, cast(1 + pmod(xxhash64(id, k), greatest(1, length(text) - {WINDOW_CHARS})) as int), {WINDOW_CHARS}))"
+        f"transform(sequence(1, {WINDOWS_A_DOC}), k -> substring(text, cast(1 + pmod(xxhash64(h, k), greatest(1, length(text) - {WINDOW_CHARS})) as int), {WINDOW_CHARS}))"
     )
-    rows = chosen.select("lang", F.xxhash64("id").alias("h"), places.alias("windows")).limit(2 * docs_a_language * len(counts)).collect()
+
+    def least(some: DataFrame) -> list:
+        ranked = some.select("lang", "h", places.alias("windows")).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
+        return ranked.where(F.col("rank") <= 2 * docs_a_language).select("lang", "h", "windows").collect()
+
+    rows = least(known.where(F.pmod("h", F.lit(1 << 40)) < F.col("share") * (1 << 40)))
+    missed = sorted(counts.keys() - {r["lang"] for r in rows})
+    if missed:  # languages of few different rows, all of whose hashes are above their share
+        rows += least(known.where(F.col("lang").isin(missed)))
     languages = sorted({r["lang"] for r in rows})
     rows.sort(key=lambda r: (r["lang"], r["h"], r["windows"]))
     pairs = [(x.encode(), languages.index(r["lang"])) for r in rows for x in r["windows"] if x]
@@ -233,7 +243,8 @@ def identify_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     positions labelled with it.
 
     The network learns from documents with a language whose crc32(id as text) mod 4 is not 2; held_out says that it is 2. A document
-    with a null id is neither. Every byte of the text counts; language, source and id have no part in a prediction. A text that is
+    with a null id is neither. Every byte of the text counts; both directions begin anew every STRETCH bytes, which may cut a character, so
+    memory doesn't grow with the text; language, source and id have no part in a prediction. A text that is
     null or has no letter is 'und' with score 0, and so is every text if nothing can be learnt. Repeated rows are predicted
     alike. Columns of docs that have the name of a result are replaced by it, but a result may not be called like lang_col.
     """

@@ -49,3 +49,10 @@ def test_components(spark):
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {k: 100 for k in range(100, 141)} | {7: 7} | {k: 7 for k in range(200, 400)}
     assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_one_id_with_different_vectors(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.01], 0), (3, [0.0, 1.0], 0), (3, [0.0, 1.0], 1)]
+    got = sorted((x.vec_id, x.n_links, x.component_id) for x in near_vectors(spark.createDataFrame([(*x, "i", "k") for x in rows], SCHEMA)).collect())
+    # the greatest label and vector of an id stand for it: [1, 0] for 1, and label 1 for 3
+    assert got == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 0, 3), (3, 0, 3)]

@@ -57,6 +57,18 @@ def test_held_out_accuracy(spark):
     assert np.mean([r.lang == r.lang_pred for r in tested]) > 0.97
 
 
+def test_many_rows_of_one_id_and_many_languages(spark, monkeypatch):
+    monkeypatch.setattr(L, "MOST_LANGUAGES", 3)
+    rows = [(7, f"der die und das {k} " * 9, "de") for k in range(3000)] + [(100 + k, f"the and of that {k} " * 9, "en") for k in range(60)] + [(500 + k, f"le la les une {k} " * 9, "fr") for k in range(50)]
+    rows += [(900 + k, "rare words", f"l{k}") for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    from pyspark.sql import functions as F
+
+    a, b = (L.sample_windows(x, F.lit(True), "doc_id", "text", "lang", docs_a_language=20) for x in (df, df.repartition(7)))
+    assert a == b and a[2] == ["de", "en", "fr"]
+    assert all(0 < a[1].count(k) <= 40 * L.WINDOWS_A_DOC for k in range(3))
+
+
 def test_nothing_to_learn_from(spark):
     schema = "doc_id long, text string, lang string"
     assert L.identify_language(spark.createDataFrame([], schema)).collect() == []

@@ -91,3 +91,11 @@ def test_empty(spark):
 
 def test_runs():
     assert runs_needed(miss=1e-6) > runs_needed() >= 5
+
+
+def test_one_id_with_different_texts(spark):
+    a, b = " ".join("abcdefghij"), " ".join("zyxwvutsrq")
+    rows = [(1, a), (1, b), (2, a), (3, b), (3, None)]
+    got = sorted((r.doc_id, r.class_id, r.n_links, r.text or "") for r in near_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    # the greatest text of an id stands for it, and both of its rows get the result
+    assert [x[:3] for x in got] == [(1, 1, 1), (1, 1, 1), (2, 2, 0), (3, 1, 1), (3, 1, 1)] and {x[3] for x in got} == {a, b, ""}
