@@ -19,6 +19,10 @@ RECORD_SCHEMA = (
 )
 
 
+#: Room for so many jobs is broadcast.
+ROOM_BROADCAST = 100_000
+
+
 def valid_job_id(job_id: Column) -> Column:
     return job_id.rlike(JOB_ID)
 
@@ -81,7 +85,9 @@ def admitted(arrivals: DataFrame, waiting: int, most: int = Limits.jobs_max_queu
     """arrivals with accepted: those that a queue with so many waiting has room for, in order of arrival. The room is bounded, so it is a top-k."""
     room = max(0, most - waiting)
     inside = arrivals.orderBy("created_ms", "id").limit(room).select("id", F.lit(True).alias("accepted"))
-    return arrivals.join(F.broadcast(inside), "id", "left").withColumn("accepted", F.coalesce("accepted", F.lit(False)))
+    if room <= ROOM_BROADCAST:
+        inside = F.broadcast(inside)
+    return arrivals.join(inside, "id", "left").withColumn("accepted", F.coalesce("accepted", F.lit(False)))
 
 
 def updated(jobs: DataFrame, updates: DataFrame, now_ms: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import js_length, sanitize_text
+from .folders import remove
 
 #: A conversation's id becomes a folder, so it may hold nothing that leads elsewhere.
 SAFE_ID = r"^[A-Za-z0-9][A-Za-z0-9._-]*$"
@@ -38,28 +39,34 @@ def sidecars(texts: DataFrame, text: str = "text", more_than: int = 100) -> Data
 
 
 class JobTable:
-    """Job records kept as versions of a Parquet table: a version is written whole and committed by its folder, readers see the last one."""
+    """Job records kept as versions of a Parquet table: a version is written whole and committed by its folder, readers see the last one.
+    The last KEEP versions stay, so that a reader of one isn't cut off."""
+
+    KEEP = 3
 
     def __init__(self, spark: SparkSession, path: str, schema: str):
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
 
-    def versions(self) -> list[int]:
+    def versions(self, committed: bool = True) -> list[int]:
         jvm = self.spark._jvm
         folder = jvm.org.apache.hadoop.fs.Path(self.path)
         fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
         if not fs.exists(folder):
             return []
         names = [s.getPath() for s in fs.listStatus(folder)]
-        return sorted(int(p.getName()[1:]) for p in names if p.getName().startswith("v") and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+        return sorted(int(p.getName()[1:]) for p in names if p.getName().startswith("v") and (not committed or fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))))
 
     def read(self) -> DataFrame:
         found = self.versions()
         return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{found[-1]}") if found else self.spark.createDataFrame([], self.schema)
 
     def replace(self, jobs: DataFrame) -> int:
-        """jobs become the next version."""
-        version = max(self.versions(), default=0) + 1
-        jobs.write.mode("overwrite").parquet(f"{self.path}/v{version}")
+        """jobs become the next version. Of two writers at once the second fails, as the version is there already."""
+        version = max(self.versions(committed=False), default=0) + 1
+        jobs.write.mode("error").parquet(f"{self.path}/v{version}")
+        for old in self.versions(committed=False):
+            if old <= version - self.KEEP:
+                remove(self.spark, f"{self.path}/v{old}")
         return version
 
     def delete(self, job_ids: DataFrame) -> int:
