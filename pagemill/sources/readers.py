@@ -2,19 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Limits
 from ..operators.jobs import RECORD_SCHEMA, valid_job_id
-from ..operators.messages import MESSAGE_SCHEMA, download_error, validated
+from ..operators.messages import download_error, validated
 
 
 def read_requests(spark: SparkSession, path: str) -> DataFrame:
-    """Messages of JSON requests, an object or an array in a file, with their issues. What isn't JSON comes as a row with an issue."""
-    raw = spark.read.schema(MESSAGE_SCHEMA).option("mode", "PERMISSIVE").json(path, multiLine=True)
-    told = raw.withColumn("source_file", F.input_file_name())
-    return validated(told)
+    """Messages of JSON requests, an object or an array in a file, with their issues. What isn't JSON comes as a row with an issue, and so
+    does a number or the like where a string is asked for: the schema alone would read it as one."""
+    files = spark.read.text(path, wholetext=True).withColumn("source_file", F.input_file_name())
+    parsed = files.withColumn("v", F.try_parse_json("value"))
+    bad = parsed.where("v IS NULL").select("source_file", F.lit(None).cast("variant").alias("v"), F.col("value").alias("_corrupt_record"))
+    good = parsed.where("v IS NOT NULL").select("source_file", F.when(F.schema_of_variant("v").startswith("ARRAY"), F.col("v")).otherwise(F.try_parse_json(F.concat(F.lit("["), "value", F.lit("]")))).alias("v"))
+    good.createOrReplaceTempView("requests_")
+    each = spark.sql("SELECT source_file, m.value AS v, CAST(NULL AS STRING) AS _corrupt_record FROM requests_, LATERAL variant_explode(v) AS m")
+    told = each.unionByName(bad)
+    files_of = F.try_variant_get("v", "$.body.files", "array<struct<fileId:variant,url:variant,mimeType:variant>>")
+    typed = told.withColumns({"conversationId": F.try_variant_get("v", "$.conversationId", "string"), "files_": files_of})
+    body = F.when(F.schema_of_variant(F.try_variant_get("v", "$.body", "variant")).startswith("OBJECT"), F.struct(F.transform("files_", _file).alias("files")))
+    checked = validated(typed.withColumn("body", body))
+    wrong = F.array(
+        _not_a_string(F.try_variant_get("v", "$.conversationId", "variant"), F.lit("conversationId")),
+    )
+    of_files = F.flatten(F.transform("files_", lambda f, i: F.array(*[_not_a_string(f[c], F.concat(F.lit("files."), i.cast("string"), F.lit("." + c))) for c in ("fileId", "url", "mimeType")])))
+    return checked.withColumn("issues", F.concat("issues", F.array_compact(F.concat(wrong, F.coalesce(of_files, F.array().cast("array<string>")))))).drop("v", "files_")
+
+
+def _file(f: Column) -> Column:
+    return F.struct(*[F.try_variant_get(f[c], "$", "string").alias(c) for c in ("fileId", "url", "mimeType")])
+
+
+def _not_a_string(value: Column, name: Column) -> Column:
+    return F.when(~F.schema_of_variant(value).isin("STRING", "VOID"), F.concat(name, F.lit(": not a string")))
 
 
 def split_valid(messages: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -120,3 +120,21 @@ def test_rejected_jobs_and_streamed_folders(spark, tmp_path):
         stream = table_stream(spark, f"file://{tmp_path}/{folder}", "events.parquet", spark.range(1).schema)
         stream.writeStream.format("memory").queryName(f"rows_{folder}").trigger(availableNow=True).start().awaitTermination()
         assert spark.table(f"rows_{folder}").count() == n
+
+
+def test_requests_with_wrong_types(spark, tmp_path):
+    good = {"conversationId": "c", "body": {"files": [{"fileId": "f", "url": "https://a.b/c", "mimeType": "text/plain", "extra": 1}]}}
+    wrong = {"conversationId": 5, "body": {"files": [{"fileId": 7, "url": "https://a.b/c", "mimeType": "text/plain"}, {"fileId": "g", "url": True, "mimeType": None}]}}
+    (tmp_path / "a.json").write_text(json.dumps([good, wrong, {"conversationId": None}, {"body": 5}]))
+    (tmp_path / "b.json").write_text(json.dumps(good, indent=2))
+    (tmp_path / "c.json").write_text("{nothing")
+    ok, bad = readers.split_valid(readers.read_requests(spark, str(tmp_path)))
+    assert [(r.conversationId, r.body.files[0].fileId, r.body.files[0].mimeType) for r in ok.collect()] == [("c", "f", "text/plain")] * 2
+    assert sorted(r.issues for r in bad.select("issues").collect()) == sorted(
+        [
+            ["files.1.url: invalid", "files.1.mimeType: required", "conversationId: not a string", "files.0.fileId: not a string", "files.1.url: not a string"],
+            ["conversationId: required", "body: required"],
+            ["conversationId: required", "body: required"],
+            ["body: invalid JSON", "conversationId: required", "body: required"],
+        ]
+    )
