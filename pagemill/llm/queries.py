@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.tables import spread
 from .embedding_dedup import near_vectors
 from .exact_dedup import exact_dedup
 from .html_text import extract_text
@@ -23,7 +24,7 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    told = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    told = scan_secrets(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     joined = lambda spans: F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("spans", lambda s: s["kind"] != "random")
@@ -31,7 +32,7 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return identify_language(docs).select("doc_id", "held_out", "lang_pred", "score", "label_share")
 
 
@@ -44,20 +45,20 @@ def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    told = drop_repeated_units(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    told = drop_repeated_units(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     spans = F.concat_ws(",", F.transform("removed", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))))
     kept_text = F.coalesce("text_kept", F.lit(""))
     return told.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"), "n_removed", "n_spans", spans.alias("spans"), F.sha2(kept_text, 256).alias("kept_sha256"))
 
 
 def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    told = drop_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    told = drop_repeats(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return told.select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
 
 
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+    return extract_text(spread(table(spark, sf_dir, "pages").select("page_id", "url", "html"))).select("page_id", "url", "text", "n_chars")
 
 
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +66,7 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_texts(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "n_links", "n_shingles")
+    return near_texts(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).select("doc_id", "class_id", "n_links", "n_shingles")
 
 
 QUERIES = {
