@@ -11,6 +11,7 @@ from pagemill.llm.mixing import mix_sources
 from pagemill.llm.ngram_join import near_texts
 from pagemill.llm.packing import pack
 from pagemill.llm.tables import kept, table
+from pagemill.plans.tables import spread
 
 #: A document whose pooled language probability is below this is in none of the learnt languages.
 LEAST_SCORE = 0.4
@@ -55,7 +56,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
