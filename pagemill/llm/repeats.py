@@ -29,7 +29,9 @@ LENGTH, GRAM = 200, 32
 #: An anchor lies so many bytes after a string's start at most.
 REACH = LENGTH - GRAM
 #: A gram with more different contexts is dealt over several tasks; contexts of others are compared so many at a time, whole grams each.
-HOT, TOGETHER = 16384, 2048
+HOT, TOGETHER = 65536, 4096
+#: Strings of more contexts than this are compared in PARTS parts by their digests, one after another.
+WHOLE, PARTS = 8192, 16
 #: Contexts of very common grams in a partition, about.
 IN_PART = 16384
 
@@ -277,6 +279,15 @@ def _anchored(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, at: np.nda
     return after - before - 1 > REACH
 
 
+def farthest_of(row: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Places of the entries that go farthest to the left, and to the right, of those of their row."""
+    out = []
+    for reach in (left, right) if len(row) else ():
+        order = np.lexsort((-reach, row))
+        out.append(order[np.concatenate(([True], row[order][1:] != row[order][:-1]))])
+    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
+
+
 def maximal_groups(befores: list[bytes], afters: list[bytes], row: np.ndarray, delta: np.ndarray, x: np.ndarray, complete: bool = False) -> tuple[np.ndarray, ...]:
     """(row, group, left, right) of the maximal repeats among the strings of LENGTH bytes that begin delta bytes before the anchors of rows.
 
@@ -314,11 +325,7 @@ def maximal_groups(befores: list[bytes], afters: list[bytes], row: np.ndarray, d
     left, right = np.minimum.reduceat(left, begins), np.minimum.reduceat(right, begins)
     of = np.repeat(np.arange(len(begins), dtype=np.int32), sizes)
     if not complete:
-        farthest = []
-        for reach in (left, right):
-            order = np.lexsort((-reach[of], row))
-            farthest.append(order[np.concatenate(([True], row[order][1:] != row[order][:-1]))])
-        hit = np.unique(np.concatenate(farthest))
+        hit = farthest_of(row, left[of], right[of])
         row, of = row[hit], of[hit]
         use, of = np.unique(of, return_inverse=True)
         begins, left, right, chosen = begins[use], left[use], right[use], first[begins[use]]
@@ -348,16 +355,30 @@ def _within(rows: DataFrame, twins: bool) -> DataFrame:
             own = np.concatenate((own, np.flatnonzero(some["times"].to_numpy() > 1)))
             own.sort()
             some = some.take(pa.array(own))
-        rows, deltas, digests = [], [], []
+        parts: list[list[tuple]] = [[] for _ in range(PARTS if some.num_rows > WHOLE else 1)]
         for side in ("after", "before"):
             order = np.lexsort((np.array(some[side].to_pylist(), object), some["gram"].to_numpy())).astype(np.int32)
             ordered = some.take(pa.array(order))
             for r, d, x, _ in _key_strings(ordered, _depths(ordered, side, [], []), side):
-                rows.append(order[r])
-                deltas.append(d.astype(np.uint8))
-                digests.append(x)
-        row, delta, x = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (rows, deltas, digests))
-        row, group, left, right = maximal_groups(some["before"].to_pylist(), some["after"].to_pylist(), row, delta, x, twins)
+                of = x % np.uint64(len(parts))
+                for k, part in enumerate(parts):
+                    use = slice(None) if len(parts) == 1 else of == k
+                    part.append((order[r[use]], d[use].astype(np.uint8), x[use]))
+            del ordered
+        befores, afters = some["before"].to_pylist(), some["after"].to_pylist()
+        found = []
+        while parts:
+            part = parts.pop()
+            columns = [np.concatenate(c) for c in zip(*part, strict=True)] if part else [np.zeros(0, np.int64)] * 3
+            del part
+            found.append(maximal_groups(befores, afters, *columns, twins))
+        row, group, left, right = (np.concatenate(c) for c in zip(*found, strict=True))
+        if twins and len(found) > 1:
+            _, use = np.unique(np.stack((row, group)), axis=1, return_index=True)
+            row, group, left, right = row[use], group[use], left[use], right[use]
+        elif len(found) > 1:
+            use = farthest_of(row, left, right)
+            row, group, left, right = row[use], group[use], left[use], right[use]
         if twins and len(row):  # a row and its twin are one
             _, first = np.unique(np.stack((own[row], group)), axis=1, return_index=True)
             row, group, left, right = row[first], group[first], left[first], right[first]
