@@ -4,6 +4,7 @@ from collections import Counter
 
 import pytest
 
+from pagemill.llm import repeats
 from pagemill.llm.repeats import drop_repeats
 
 
@@ -32,8 +33,9 @@ def words(r, n):
     return "".join(r.choice("abcdé ") for _ in range(n))
 
 
-@pytest.mark.parametrize("partitions, hot", [("3", 65536), ("3", 8), ("40", 8)])
-def test_against_all_strings(spark, partitions, hot):
+@pytest.mark.parametrize("partitions, hot, whole", [("3", 65536, 8192), ("3", 65536, 6), ("3", 8, 8192), ("40", 8, 4)])
+def test_against_all_strings(spark, monkeypatch, partitions, hot, whole):
+    monkeypatch.setattr(repeats, "WHOLE", whole)
     r = random.Random(9)
     passage, short, group = words(r, 320), words(r, 195), words(r, 900)
     rows = [(k, words(r, r.randint(0, 500)) + passage[r.randint(0, 40) : r.randint(230, 320)] + words(r, r.randint(0, 300))) for k in range(40)]
