@@ -10,10 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bloom import likely_in
 from .cells import BLOCK, blocks_of, compare, distinct_cells, groups_of, in_pairs, met_here
 from .components import connected_components
 from .shingles import intersections, mix, shingle_sets
-from .tables import free_name, kept
+from .tables import free_name, join_groups, kept
 
 #: Jaccard similarity of a link.
 THRESHOLD = 0.8
@@ -204,12 +205,13 @@ def near_texts(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc
         own = kept(own.join(again, "id", "left_anti").unionByName(twice))
         every = kept(_sets(own, runs_needed(threshold, depth, miss)))
     classes = kept(every.where("n > 0").groupBy("n", "x", "y").agg(F.min("id").alias("node"), F.count("*").alias("weight")))
-    of = every.select("id", "n", "x", "y").join(classes.where("weight > 1"), ["n", "x", "y"], "left")
-    of = kept(of.select("id", F.coalesce("node", "id").alias("node"), F.coalesce("weight", F.lit(1)).alias("weight"), "n"))
+    rows, key = every.count(), ["n", "x", "y"]
+    full = join_groups(every.where("n > 0").select("id", *key), classes, key, "weight", rows).select("id", "node", "weight", "n")
+    of = kept(full.unionByName(every.where("n = 0").select("id", F.col("id").alias("node"), F.lit(1).cast("long").alias("weight"), "n")))
     nodes = of.where("id = node")
     first = every.select("id", "nodes").join(nodes.where("n > 0").select("id"), "id").select(F.col("id").alias("node"), "nodes")
     members = distinct_cells(_buckets(own, first, small, depth))
-    weighed = nodes.select("node", "weight").join(own.select(F.col("id").alias("node"), "text"), "node")
+    weights = nodes.select("node", "weight")
 
     def linked(rows: pa.Table, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         sets = shingle_sets(_texts(rows["text"].combine_chunks()))
@@ -219,18 +221,22 @@ def near_texts(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc
 
     # a node counts a link in the first cell that it shares, so all of its cells go with it into either kind of comparison
     dealt = kept(blocks_of(members))
-    met = compare(in_pairs(dealt.where(F.col("cell_size") <= BLOCK)).join(weighed, "node"), linked, ["text"])
-    large = dealt.where(F.col("cell_size") > BLOCK)
+
+    def with_texts(some: DataFrame) -> DataFrame:
+        likely, _ = likely_in(own, ["id"], some.select(F.col("node").alias("id")).distinct())
+        return some.join(weights, "node").join(likely.select(F.col("id").alias("node"), "text"), "node")
+
+    small_cells, large = dealt.where(F.col("cell_size") <= BLOCK), dealt.where(F.col("cell_size") > BLOCK)
+    met = compare(in_pairs(with_texts(small_cells)), linked, ["text"])
     if large.limit(1).count():
-        met = met.unionByName(_compared(in_pairs(kept(_packed(large.join(weighed, "node")))), threshold))
+        met = met.unionByName(_compared(in_pairs(kept(_packed(with_texts(large)))), threshold))
     met = kept(met)
     counts = met.groupBy("node").agg(F.sum("links").alias("links"))
     roots = connected_components(met.select(F.col("node").alias("a"), F.col("joined").alias("b")))
     result, key = free_name(docs, "result_"), free_name(docs, "id_")
-    found = (
-        of.join(counts, "node", "left")
-        .join(roots, "node", "left")
-        .select(F.col("id").alias(key), F.struct((F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("component", "node").alias("c"), "n").alias(result))
+    told = kept(weights.join(counts, "node", "left").join(roots, "node", "left").select("node", "weight", "links", "component"))
+    found = join_groups(of.select("id", "node", "n"), told, ["node"], "weight", rows).select(
+        F.col("id").alias(key), F.struct((F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("component", "node").alias("c"), "n").alias(result)
     )
     joined = docs.join(found, F.col(id_col) == F.col(key), "left")
     r = F.col(result)
