@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NOW_MS = 1706745600000  # 2024-02-01T00:00:00Z
+#: What a core reads at a time, as Spark has it by default.
+PART_BYTES = 128 << 20
 #: Status and content of a job record by the kind of event that it is made from.
 STATUS_OF = {"signup": "queued", "view": "processing", "click": "completed", "error": "failed", "purchase": "expired"}
 
@@ -15,9 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df dealt over all cores where a small table lies in fewer files than that; a table of many parts is left as it is."""
+    """df dealt over all cores if it is a small table in fewer files than those: less than PART_BYTES for each by Spark's own estimate. A
+    larger one, or one of many files, is left as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(cores) if size < cores * PART_BYTES and len(df.inputFiles()) < cores else df
 
 
 def native_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,3 +14,15 @@ def test_entry_module(spark):
     assert set(e.oracle_sql()) <= set(e.queries())
     assert set(QUERIES) <= set(e.queries())
     assert e.entry(spark).count() > 0
+
+
+def test_only_small_tables_in_few_files_are_dealt_anew(spark, tmp_path, monkeypatch):
+    from pagemill.plans import tables
+
+    for name, n in (("one", 1), ("many", 9)):
+        spark.range(1000).repartition(n).write.parquet(str(tmp_path / name))
+    one, many = (spark.read.parquet(str(tmp_path / name)) for name in ("one", "many"))
+    cores = spark.sparkContext.defaultParallelism
+    assert tables.spread(one).rdd.getNumPartitions() == cores and tables.spread(many) is many
+    monkeypatch.setattr(tables, "PART_BYTES", 10)
+    assert tables.spread(one) is one
