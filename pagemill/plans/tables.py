@@ -20,7 +20,7 @@ def spread(df: DataFrame) -> DataFrame:
     """df dealt over all cores if it is a small table in fewer files than those: less than PART_BYTES for each by Spark's own estimate. A
     larger one, or one of many files, is left as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size < cores * PART_BYTES and len(df.inputFiles()) < cores else df
 
 
