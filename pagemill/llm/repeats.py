@@ -447,7 +447,7 @@ def repeats_of(docs: DataFrame, hot: int = HOT, every: bool = False) -> tuple[Da
     """
     anchored = kept(_anchor_rows(docs))
     grams = kept(anchored.groupBy("gram").count().where("count > 1").select("gram"))
-    found, _ = likely_in(anchored, ["gram"], grams)
+    found = kept(likely_in(anchored, ["gram"], grams)[0])
     key = ["gram", "context"]
     contexts = kept(found.groupBy(*key).agg(F.count("*").alias("times"), F.min(F.struct("doc", "text_hash", "pos", "before", "after")).alias("at")))
     several = contexts.groupBy("gram").agg(F.count("*").alias("n"), F.min("times").alias("rarest")).where("n > 1")
@@ -491,7 +491,7 @@ def maximal_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found, repeats = repeats_of(own, hot, every=True)
     key = ["gram", "context"]
     sized = kept(repeats.groupBy(*key).agg(F.max("times").alias("times"), F.collect_set(F.struct("group", "left", "right")).alias("all")))
-    told = join_groups(kept(found), sized, key, "times", found.count()).withColumn("g", F.explode("all"))
+    told = join_groups(found, sized, key, "times", found.count()).withColumn("g", F.explode("all"))
     out = told.select("g.group", (F.col("g.left") + F.col("g.right")).alias("length"), F.col("doc").alias("id"), (F.col("pos") - F.col("g.left")).alias("start"))
     return out.distinct()
 
