@@ -120,9 +120,9 @@ def _packed(dealt: DataFrame) -> DataFrame:
             owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
             dense = len(sets) * len(shingles) // 8 < 4 * len(place)
             if dense:
-                inside = np.zeros((len(sets), len(shingles)), bool)
-                inside[owner, place] = True
-                members = np.packbits(inside, axis=1).tobytes()
+                bits = np.zeros((len(sets), -(-len(shingles) // 8)), np.uint8)
+                np.bitwise_or.at(bits, (owner, place >> 3), (128 >> (place & 7)).astype(np.uint8))
+                members = bits.tobytes()
             else:
                 members = np.concatenate(([len(x) for x in sets], place)).astype(np.int32).tobytes()
             first = rows.slice(0, 1)
