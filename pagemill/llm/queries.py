@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.tables import spread
@@ -14,6 +14,7 @@ from .mixing import mix_sources
 from .ngram_join import near_texts
 from .packing import pack
 from .repeats import drop_repeats
+from .runs import find_runs, strongest
 from .secrets import scan_secrets
 from .tables import table
 from .unit_dedup import drop_repeated_units
@@ -69,6 +70,27 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_texts(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).select("doc_id", "class_id", "n_links", "n_shingles")
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    h = F.crc32(F.col("doc_id").cast("string"))
+
+    def repeated(words: Column) -> Column:
+        n, g = F.size(words), F.floor(h / 10)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        return F.transform(words, lambda x, i: F.when(i < a, x).otherwise(F.get(words, (a + (i - a) % p).cast("int"))))
+
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    damaged = F.array_join(F.transform(F.array(words), lambda w: F.array_join(F.when(F.size(w) > 0, repeated(w)), " ")), "")  # one array, so that words are taken once
+    told = find_runs(docs.withColumn("text", F.when(h % 10 == 0, damaged).otherwise(F.col("text"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], F.concat(r["period"].cast("string"), F.lit("\n")))), "")
+    best = told.withColumn("best", strongest(F.col("runs")))
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.floor(F.col("best.length") * 1000 / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_language_id": op2_language_id,
@@ -80,6 +102,7 @@ QUERIES = {
     "op8_html_text": op8_html_text,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_ngram_join": op10_ngram_join,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 ORACLE_SQL = {
