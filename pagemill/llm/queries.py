@@ -18,6 +18,7 @@ from .runs import find_runs, strongest
 from .secrets import scan_secrets
 from .tables import table
 from .unit_dedup import drop_repeated_units
+from .warc import archive_pages, page_of, read_archives
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +71,13 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_texts(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).select("doc_id", "class_id", "n_links", "n_shingles")
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record that doesn't read back fails the query."""
+    records = read_archives(archive_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html")), payloads=False)
+    sound = F.when(F.col("error").isNotNull(), F.raise_error("error").cast("boolean")).otherwise(F.col("record_type").isin("response", "revisit"))
+    return records.where(sound).select(page_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", page_of(F.col("refers_to")).alias("refers_to"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     h = F.crc32(F.col("doc_id").cast("string"))
@@ -102,6 +110,7 @@ QUERIES = {
     "op8_html_text": op8_html_text,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_ngram_join": op10_ngram_join,
+    "op11_warc": op11_warc,
     "op12_periodic_runs": op12_periodic_runs,
 }
 
@@ -193,4 +202,12 @@ ORACLE_SQL = {
         SELECT e.vec_id, coalesce(c.n, 0) AS n_links, r.component_id, e.vec_id = r.component_id AS kept
         FROM embeddings e JOIN roots r ON e.vec_id = r.a LEFT JOIN counts c ON e.vec_id = c.a
     """,
+    "op11_warc": """
+        WITH told AS (
+            SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest,
+                   row_number() OVER w > 1 AND strlen(coalesce(html, '')) >= 100 AS again, min(page_id) OVER w AS first
+            FROM pages WINDOW w AS (PARTITION BY coalesce(html, '') ORDER BY page_id NULLS LAST)
+        )
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first END AS refers_to FROM told
+    """,
 }
