@@ -13,6 +13,7 @@ from .language import identify_language
 from .mixing import mix_sources
 from .ngram_join import near_texts
 from .packing import pack
+from .repair import repair_conversations
 from .repeats import drop_repeats
 from .runs import find_runs, strongest
 from .secrets import scan_secrets
@@ -99,6 +100,20 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = table(spark, sf_dir, "conversations").select("conv_id", "turn", *[F.coalesce(c, F.lit(" ")).alias(c) for c in ("role", "text")])
+    key = F.concat(*[F.coalesce(F.col(c).cast("string"), F.lit(" ")) if c != ":" else F.lit(c) for c in ("conv_id", ":", "turn")])
+    kind = F.crc32(key) % 20
+    damaged = told.withColumns(
+        {
+            "role": F.when(kind == 4, "user").otherwise(F.col("role")),
+            "text": F.when(kind == 1, "").when(kind == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text")),
+            "times": F.when(kind == 0, 0).when(kind == 3, 2).otherwise(1),
+        }
+    )
+    return repair_conversations(damaged, times_col="times").drop("n_rows", "n_repaired")
+
+
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_language_id": op2_language_id,
@@ -112,6 +127,7 @@ QUERIES = {
     "op10_ngram_join": op10_ngram_join,
     "op11_warc": op11_warc,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLE_SQL = {
@@ -210,4 +226,52 @@ ORACLE_SQL = {
         )
         SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first END AS refers_to FROM told
     """,
+    "op13_conversation_repair": r"""
+        WITH RECURSIVE keyed AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                   coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations
+        ), hashed AS (  -- the CRC by its bits
+            SELECT *, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, len(k) + 1), lambda i: CAST(unicode(k[i]) AS BIGINT))),
+                lambda c, b: list_reduce(list_prepend(xor(c, b), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])), lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 20 AS d FROM keyed
+        ), damaged AS (
+            SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role,
+                   CASE d WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE d WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM hashed
+        ), ordered AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS r, substr(role, 1, 1) AS initial,
+                   right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS last FROM damaged
+        ), faulted AS (
+            SELECT *, CASE WHEN last = '' THEN 'blank' WHEN r > min(r) OVER (PARTITION BY conv_id, role, text) THEN 'duplicate' WHEN last NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'sound' END AS fault,
+                   lag(initial) OVER (PARTITION BY conv_id ORDER BY r) || initial AS pair FROM ordered
+        ), facts AS (
+            SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+                   count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM faulted GROUP BY conv_id
+        ), inserts(q, letters, q1, price, added) AS (
+            VALUES ('0', '', '0', 0, []), ('s', '', 's', 0, []), ('u', '', 'u', 0, []), ('a', '', 'a', 0, []),
+                   ('0', 'I', 'u', 3, ['user:']), ('s', 'I', 'u', 3, ['user:']), ('u', 'I', 'a', 3, ['assistant:']), ('a', 'I', 'u', 3, ['user:']),
+                   ('0', 'II', 'a', 6, ['user:', 'assistant:']), ('s', 'II', 'a', 6, ['user:', 'assistant:']), ('u', 'II', 'u', 6, ['assistant:', 'user:']), ('a', 'II', 'a', 6, ['user:', 'assistant:'])
+        ), ways(q, letter, q2, price, initial) AS (  -- initial: of the row that is kept
+            VALUES ('0', 'D', '0', 4, NULL), ('s', 'D', 's', 4, NULL), ('u', 'D', 'u', 4, NULL), ('a', 'D', 'a', 4, NULL),
+                   ('0', 'K', 's', 0, 's'), ('0', 'K', 'u', 0, 'u'), ('s', 'K', 'u', 0, 'u'), ('u', 'K', 'a', 0, 'a'), ('a', 'K', 'u', 0, 'u'),
+                   ('0', 'R', 'u', 3, NULL), ('s', 'R', 'u', 3, NULL), ('u', 'R', 'a', 3, NULL), ('a', 'R', 'u', 3, NULL)
+        ), steps AS (
+            SELECT i.q, i.letters || w.letter AS letters, w.letter, w.q2, i.price + w.price AS price, i.added, w.initial FROM inserts i JOIN ways w ON w.q = i.q1
+        ), best AS (  -- of each state after each row the cheapest edits, and the first of those by their letters
+            SELECT conv_id, CAST(0 AS BIGINT) AS r, '0' AS q, CAST(0 AS BIGINT) AS cost, '' AS audit, CAST([] AS VARCHAR[]) AS lines FROM (SELECT DISTINCT conv_id FROM conversations)
+            UNION ALL
+            SELECT conv_id, r, q, cost, audit, lines FROM (
+                SELECT b.conv_id, b.r + 1 AS r, s.q2 AS q, b.cost + s.price + CASE WHEN s.letter <> 'D' AND f.fault = 'truncated' THEN 3 ELSE 0 END AS cost, b.audit || s.letters AS audit,
+                       b.lines || CAST(s.added AS VARCHAR[]) || CASE s.letter WHEN 'K' THEN [f.role || ':' || f.text] WHEN 'R' THEN [CASE s.q2 WHEN 'u' THEN 'user:' ELSE 'assistant:' END || f.text] ELSE CAST([] AS VARCHAR[]) END AS lines,
+                       row_number() OVER (PARTITION BY b.conv_id, s.q2 ORDER BY b.cost + s.price + CASE WHEN s.letter <> 'D' AND f.fault = 'truncated' THEN 3 ELSE 0 END, b.audit || s.letters) AS k
+                FROM best b JOIN faulted f ON f.conv_id IS NOT DISTINCT FROM b.conv_id AND f.r = b.r + 1
+                JOIN steps s ON s.q = b.q AND (s.letter = 'D' OR f.fault NOT IN ('blank', 'duplicate')) AND (s.initial IS NULL OR s.initial = f.initial)
+            ) WHERE k = 1
+        ), ended AS (
+            SELECT b.conv_id, b.cost + i.price AS cost, b.audit || i.letters AS audit, b.lines || CAST(i.added AS VARCHAR[]) AS lines,
+                   row_number() OVER (PARTITION BY b.conv_id ORDER BY b.cost + i.price, b.audit || i.letters) AS k
+            FROM best b LEFT JOIN facts f ON f.conv_id IS NOT DISTINCT FROM b.conv_id JOIN inserts i ON i.q = b.q AND i.q1 IN ('0', 'a') WHERE b.r = coalesce(f.n, 0)
+        )
+        SELECT e.conv_id, coalesce(f.gaps, 0) AS gaps, coalesce(f.blank, 0) AS blank, coalesce(f.duplicate, 0) AS duplicate, coalesce(f.truncated, 0) AS truncated, coalesce(f.illegal, 0) AS illegal,
+               e.cost, e.audit, sha256(array_to_string(e.lines, chr(10))) AS repaired_sha256
+        FROM ended e LEFT JOIN facts f ON f.conv_id IS NOT DISTINCT FROM e.conv_id WHERE e.k = 1
+    """,
 }
