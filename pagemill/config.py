@@ -33,6 +33,8 @@ class OcrKnobs:
     """Fixed values that choose among OCR attempts and rotations."""
 
     max_attempts: int = 2
+    mode: int = 4
+    second_mode: int = 6
     good_confidence: float = 78.0
     good_words: int = 30
     good_chars: int = 300

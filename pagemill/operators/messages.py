@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,9 +92,9 @@ def download_error(status: Column, status_text: Column, failure: Column) -> Colu
     )
 
 
-def timeout_error(extractor: Column) -> Column:
+def timeout_error(extractor: Column, limits: Mapping[str, float] = TIMEOUT_SECONDS) -> Column:
     """What a file gets whose extractor took too long; it says that the time limit was exceeded, so its job expires."""
-    seconds = F.coalesce(*[F.when(extractor == k, str(v)) for k, v in TIMEOUT_SECONDS.items()], F.lit(None).cast("string"))
+    seconds = F.coalesce(*[F.when(extractor == k, f"{v:g}") for k, v in limits.items()], F.lit(None).cast("string"))
     return F.concat(F.lit("O processamento deste arquivo "), F.upper(extractor), F.lit(" excedeu o tempo limite de "), seconds, F.lit(" segundos."))
 
 

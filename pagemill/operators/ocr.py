@@ -71,3 +71,15 @@ def rotation_choice(best: DataFrame, rotated: DataFrame, keys: list[str], angles
     counts = F.col("eligible") & (F.col("rot_score") - F.col("base_score") >= knobs.rotate_min_gain)
     top = F.max_by(F.struct("angle", F.col("rot_score").alias("score")), F.when(counts, F.struct("rot_score", (-F.col("rank")).alias("first"))))
     return taken.groupBy(*keys, "base_score").agg(top.alias("r")).select(*keys, F.coalesce("r.angle", F.lit(0)).cast("int").alias("angle"), F.coalesce("r.score", "base_score").alias("score"))
+
+
+#: How a failed chunk's error is told of its file. Fixed value.
+CHUNK_ERROR = "Erro no processamento OCR: "
+
+
+def chunk_errors(outcomes: DataFrame) -> DataFrame:
+    """(file_id, chunks, failed_chunks, ocr_error) of outcomes (file_id, first, error), a row or more for each chunk: one chunk that fails makes the
+    OCR of its file fail, with the error of the first such chunk. Attempts that failed within a chunk aren't errors."""
+    told = outcomes.groupBy("file_id", "first").agg(F.min("error").alias("error"))
+    first = F.min_by("error", F.when(F.col("error").isNotNull(), F.col("first")))
+    return told.groupBy("file_id").agg(F.count("*").alias("chunks"), F.count("error").alias("failed_chunks"), F.concat(F.lit(CHUNK_ERROR), first).alias("ocr_error"))

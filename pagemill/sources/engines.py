@@ -5,19 +5,31 @@ A file that an engine fails on gets a row with the error and fails nothing else.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Iterator
+from typing import BinaryIO
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..config import OcrKnobs
+from ..functions.text import SPACES
+from .deadline import Failed, Guard, Overdue
+from .ladder import Rung, climb, reading_of
 
 #: Pages of a file in order: text, embedded images and tables of each.
 PageEngine = Callable[[bytes], Iterable[tuple[str, int, int]]]
 #: Whether a file's structure is sound, and its number of pages.
 Probe = Callable[[bytes], tuple[bool, int]]
-#: Images of pages first to last of a file.
-Raster = Callable[[bytes, int, int], Iterable[bytes]]
-#: Attempts at an image, each a table of words as tab-separated lines.
-Recogniser = Callable[[bytes], Iterable[str]]
+#: Images of pages first to last of a file that it reads ranges of.
+Raster = Callable[[BinaryIO, int, int], Iterable[bytes]]
+#: An attempt at an image: a table of words as tab-separated lines.
+Recogniser = Callable[[bytes, Rung], str]
+#: The image that a rung looks at, made of the page's; None if it can't be made.
+Prepare = Callable[[bytes, Rung], bytes | None]
 
 
 def _told(e: Exception) -> str:
@@ -62,21 +74,71 @@ def probe_files(files: DataFrame, probe: Probe) -> DataFrame:
     return files.select("file_id", "content").mapInPandas(run, f"file_id {files.schema['file_id'].dataType.simpleString()}, valid boolean, page_count long")
 
 
-def recognised_lines(chunks: DataFrame, files: DataFrame, raster: Raster, recogniser: Recogniser) -> DataFrame:
-    """(file_id, page_number, attempt, k, line, error) of chunks (file_id, first, last) of files (file_id, content): lines of each attempt's
-    table, which tsv_words reads. A chunk is a task's unit of work, so chunks are dealt out before their files are joined."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for file_id, first, last, content in zip(batch["file_id"], batch["first"], batch["last"], batch["content"], strict=True):
-                rows: list[tuple] = []
-                try:
-                    for page, image in enumerate(raster(bytes(content), int(first), int(last)), int(first)):
-                        for attempt, table in enumerate(recogniser(image), 1):
-                            rows += [(file_id, page, attempt, k, line, None) for k, line in enumerate(table.splitlines())]
-                except Exception as e:
-                    rows = [(file_id, int(first), None, None, None, _told(e))]
-                yield pd.DataFrame(rows, columns=["file_id", "page_number", "attempt", "k", "line", "error"]).astype({"page_number": "Int64", "attempt": "Int64", "k": "Int64"})
-
-    joined = chunks.repartition("file_id", "first").join(files.select("file_id", "content"), "file_id").select("file_id", "first", "last", "content")
-    return joined.mapInPandas(run, f"file_id {files.schema['file_id'].dataType.simpleString()}, page_number long, attempt long, k long, line string, error string")
+def recognise_pages(
+    chunks: DataFrame,
+    raster: Raster,
+    recogniser: Recogniser,
+    prepare: Prepare | None = None,
+    knobs: OcrKnobs = OcrKnobs(),
+    seconds: float | None = None,
+    tasks: int | None = None,
+) -> DataFrame:
+    """(file_id, first, last, page_number, text, confidence, words, score, rung, mode, angle, attempts, failed, error) of chunks (file_id, path, first, last).
+
+    A row for each page that something was read on: the attempt that climb takes, how many were made and how many of those failed, which are skipped.
+    A chunk that fails as a whole (its file isn't there, the raster engine raises, its time is up) is one row with an error and without a page
+    number; one without any text is a row with neither, so every chunk has a row. chunk_errors makes a file's outcome of these rows.
+
+    Only paths and ranges are dealt out, by a hash of file and chunk: chunks of one file go to different tasks, and no file content is in a shuffle.
+    A task opens the path itself and gives the raster engine a file to read ranges from. prepare makes the images of later rungs, only when one is
+    climbed; without it those are left out. With seconds, a chunk runs in a child process that is ended then, with the error of the time limit.
+    """
+    angles = rotations_of(knobs.rotate_angles)
+
+    def pages_of(path: str, first: int, last: int) -> list[tuple]:
+        system, place = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+        rows = []
+        with system.open_input_file(place) as file:
+            for page, image in enumerate(raster(file, first, last), first):
+                made: dict[tuple[str, int], bytes | None] = {("orig", 0): image}
+
+                def look(rung: Rung, image: bytes = image, made: dict = made) -> bytes | None:
+                    key = (rung.label, rung.angle)
+                    if key not in made:
+                        try:
+                            made[key] = prepare(image, rung) if prepare else None
+                        except Exception:
+                            made[key] = None
+                    return made[key]
+
+                found = climb(lambda rung: reading_of(recogniser(look(rung), rung)), lambda rung: look(rung) is not None, knobs, angles)
+                if found.reading and (text := found.reading.text.strip(SPACES)):
+                    rows.append((page, text, found.reading.confidence, found.reading.words, found.score, found.rung.label, found.rung.mode, found.rung.angle, found.made, found.failed, None))
+        return rows or [(*[None] * 10, None)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with Guard({"chunk": pages_of}) as guard:
+            for batch in batches:
+                for file_id, path, first, last in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                    try:
+                        rows = guard.call("chunk", path, first, last, seconds=seconds)
+                    except Overdue:
+                        rows = [(*[None] * 10, f"OCR processing timed out after {seconds / 60:g} minutes")]
+                    except Failed as e:
+                        rows = [(*[None] * 10, str(e))]
+                    yield pa.RecordBatch.from_arrays([pa.array([v for _ in rows], t) for v, t in ((file_id, batch.schema.types[0]), (first, pa.int64()), (last, pa.int64()))] + [pa.array([r[k] for r in rows], t) for k, t in enumerate(_PAGE_TYPES)], names=["file_id", "first", "last", *_PAGE_NAMES])
+
+    n = tasks or chunks.sparkSession.sparkContext.defaultParallelism
+    asked = chunks.select("file_id", "path", F.col("first").cast("long"), F.col("last").cast("long")).repartition(n, "file_id", "first")
+    schema = f"file_id {chunks.schema['file_id'].dataType.simpleString()}, first long, last long, page_number long, text string, confidence double, words long, score double, rung string, mode long, angle long, attempts long, failed long, error string"
+    return asked.mapInArrow(run, schema)
+
+
+_PAGE_NAMES = ("page_number", "text", "confidence", "words", "score", "rung", "mode", "angle", "attempts", "failed", "error")
+_PAGE_TYPES = (pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.float64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+
+
+def rotations_of(setting: str) -> list[int]:
+    """The quarter turns that a comma-separated setting names, each once, in its order; rotation_angles says the same of a column."""
+    numbers = (re.match(r"\s*([+-]?\d{1,9})", x) for x in setting.split(","))
+    return list(dict.fromkeys(n for m in numbers if m and (n := int(m[1])) in (90, 180, 270)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 from datetime import datetime, timedelta
 from xml.etree import ElementTree
 
@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import sanitize
+from ..operators.messages import TIMEOUT_SECONDS, timeout_error
+from .deadline import Failed, Guard, Overdue
 
 Extractor = Callable[[bytes], str]
 Rows = Iterator[tuple[int, str, int, list[str]]]
@@ -168,23 +170,33 @@ def registry(**engines: Extractor) -> dict[str, Extractor]:
     return {k: absent(k) for k in ("pdf", "image", "audio", "doc")} | own | engines
 
 
-def extract_texts(files: DataFrame, extractors: dict[str, Extractor], clean: bool = True) -> DataFrame:
-    """files (file_id, extractor, content) with value and error; a file that can't be read gets an error and fails nothing else."""
+def extract_texts(files: DataFrame, extractors: dict[str, Extractor], clean: bool = True, limits: Mapping[str, float] | None = TIMEOUT_SECONDS) -> DataFrame:
+    """(file_id, value, error, overdue) of files (file_id, extractor, content); a file that can't be read gets an error and fails nothing else.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            values, errors = [], []
-            for kind, content in zip(batch["extractor"], batch["content"], strict=True):
-                value = error = None
-                try:
-                    value = extractors[kind](bytes(content))
-                except Exception as e:
-                    error = str(e) or type(e).__name__
-                values.append(value)
-                errors.append(error)
-            yield pd.DataFrame({"file_id": batch["file_id"], "value": values, "error": errors})
+    An extractor runs in a child process of the task that is ended after the seconds that limits has for its name: that file is overdue and has
+    the error of timeout_error, the others of its task go on. A process that dies (for want of memory, by a fault in foreign code) is an error, too.
+    limits of None call extractors within the task itself, without a limit.
+    """
 
-    found = files.where("extractor IS NOT NULL AND content IS NOT NULL").select("file_id", "extractor", "content").mapInPandas(run, "file_id string, value string, error string")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with Guard(extractors) as guard:
+            for batch in batches:
+                rows = []
+                for file_id, kind, content in zip(batch["file_id"], batch["extractor"], batch["content"], strict=True):
+                    value = error = None
+                    overdue = False
+                    try:
+                        value = guard.call(kind, bytes(content), seconds=limits.get(kind) if limits else None)
+                    except Overdue:
+                        overdue = True
+                    except Failed as e:
+                        error = str(e)
+                    rows.append((file_id, kind, value, error, overdue))
+                yield pd.DataFrame(rows, columns=["file_id", "extractor", "value", "error", "overdue"]).astype({"overdue": "bool"})
+
+    asked = files.where("extractor IS NOT NULL AND content IS NOT NULL").select("file_id", "extractor", "content")
+    found = asked.mapInPandas(run, "file_id string, extractor string, value string, error string, overdue boolean")
+    found = found.withColumn("error", F.when(F.col("overdue"), timeout_error(F.col("extractor"), limits or {})).otherwise(F.col("error"))).drop("extractor")
     return found.withColumn("value", F.when(F.col("value").isNotNull(), sanitize(F.col("value")))) if clean else found
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from pagemill.functions.text import natural_order
 from pagemill.operators.jobs import RECORD_SCHEMA, error_json, record_json
-from pagemill.operators.ocr import tsv_text, tsv_words
 from pagemill.operators.pages import page_spine, probed_pages, selected_chunks, with_visuals
 from pagemill.operators.sheets import sheet_texts, workbook_texts
 from pagemill.sources import engines, extract, readers, sinks
@@ -65,14 +64,6 @@ def test_pages_of_an_engine_feed_the_spine(spark):
     chunks = selected_chunks(chosen)
     assert [tuple(r) for r in chunks.collect()] == [("a", 1, 2)]
     word = lambda w: "5\t1\t1\t1\t1\t1\t0\t0\t9\t9\t90\t" + w
-    lines = engines.recognised_lines(chunks, files, lambda c, a, b: c.split(b"|")[a - 1 : b], lambda image: [f"level\n{word(image.decode())}\n{word('again')}", word("two")])
-    texts = tsv_text(tsv_words(lines.where("error IS NULL")), ["file_id", "page_number", "attempt"], "k")
-    assert {(r.page_number, r.attempt, r.text, r.mean_confidence) for r in texts.collect()} == {(1, 1, "one again", 90.0), (2, 1, "it again", 90.0), (1, 2, "two", 90.0), (2, 2, "two", 90.0)}
-
-    def no_raster(content, first, last):
-        raise RuntimeError("no raster")
-
-    assert [(r.page_number, r.error) for r in engines.recognised_lines(chunks, files, no_raster, lambda image: []).collect()] == [(1, "no raster")]
 
 
 def test_staged_content_and_names(spark, tmp_path):

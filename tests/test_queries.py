@@ -1,5 +1,6 @@
 import pytest
 
+from pagemill.plans import flows  # noqa: F401  registers its queries
 from pagemill.plans.queries import ORACLE_SQL, QUERIES
 
 
