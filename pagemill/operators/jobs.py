@@ -138,9 +138,10 @@ def error_json(name: Column, message: Column, stack: Column) -> Column:
     return F.when(name.isNotNull(), F.to_json(F.struct(name.alias("name"), message.alias("message"), stack.alias("stack")))).otherwise(F.to_json(F.struct(F.coalesce(message, F.lit("null")).alias("value"))))
 
 
-def new_jobs(requests: DataFrame, now_ms: int, host: str, protocol: str = "https") -> DataFrame:
-    """Queued records for requests (request: JSON), each with an id of its own. Ids differ from run to run: write the records before they are used twice."""
+def new_jobs(requests: DataFrame, now_ms: int, host: str, protocol: str = "https", job_id: Column | None = None) -> DataFrame:
+    """Queued records for requests (request: JSON), each with an id of its own. Without job_id ids differ from run to run: write the records before they
+    are used twice."""
     now = F.lit(now_ms).cast("long")
     none = {c: F.lit(None).cast("string") for c in ("result", "error")} | {c: F.lit(None).cast("long") for c in ("started_ms", "finished_ms")}
-    named = {"id": F.expr("uuid()"), "type": F.lit("process-message"), "status": F.lit("queued"), "host": F.lit(host), "protocol": F.lit(protocol), "created_ms": now, "updated_ms": now}
-    return requests.select("request").withColumns(named | none).select(*[c.split()[0] for c in RECORD_SCHEMA.split(", ")])
+    named = {"id": F.expr("uuid()") if job_id is None else job_id, "type": F.lit("process-message"), "status": F.lit("queued"), "host": F.lit(host), "protocol": F.lit(protocol), "created_ms": now, "updated_ms": now}
+    return requests.withColumns(named | none).select(*[c.split()[0] for c in RECORD_SCHEMA.split(", ")])

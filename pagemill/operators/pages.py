@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,18 +111,29 @@ def legacy_decision(quality: Column, total_pages: Column, n_bytes: Column, limit
 
 def reserve_pages(requests: DataFrame, budget: int, key: str = "job_id", order: str = "file_order", pages: str = "ocr_pages") -> DataFrame:
     """(key, order, pages, accepted, remaining): requests in order take pages of a job's budget. One that doesn't fit takes
-    nothing, and a later, smaller one may fit; so this is a fold over a job's requests and not a running sum. A job has a bounded number of files."""
-    ordered = requests.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(pages).cast("long").alias("p")))).alias("all"))
-    none = F.array().cast("array<struct<o:bigint,p:bigint,accepted:boolean,remaining:bigint>>")
-
-    def step(state: Column, r: Column) -> Column:
-        fits = (F.lit(budget) <= 0) | (state["used"] + r["p"] <= budget)
-        used = state["used"] + F.when(fits, r["p"]).otherwise(0)
-        row = F.struct(r["o"].cast("long").alias("o"), r["p"].alias("p"), fits.alias("accepted"), F.greatest(F.lit(budget).cast("long") - used, F.lit(0).cast("long")).alias("remaining"))
-        return F.struct(used.alias("used"), F.concat(state["out"], F.array(row)).alias("out"))
-
-    folded = F.aggregate("all", F.struct(F.lit(0).cast("long").alias("used"), none.alias("out")), step, lambda state: state["out"])
-    return ordered.select(key, F.explode(folded).alias("r")).select(key, F.col("r.o").alias(order), F.col("r.p").alias(pages), "r.accepted", "r.remaining")
+    nothing, and a later, smaller one may fit; so this is a fold over a job's requests and not a running sum.
+
+    The fold runs over rows that are sorted by job and order, batch after batch: all that is held is the job's count so far, whatever its
+    number of requests. Of equal orders the one with fewer pages comes first; null pages are none. A budget of 0 is no limit.
+    """
+    own = requests.select(key, order, F.coalesce(F.col(pages).cast("long"), F.lit(0)).alias(pages))
+    sorted_ = own.repartition(key).sortWithinPartitions(key, order, pages)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        job, used, begun = None, 0, False
+        for batch in batches:
+            accepted, remaining = [], []
+            for k, n in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if not begun or k != job:
+                    job, used, begun = k, 0, True
+                fits = budget <= 0 or used + n <= budget
+                used += n if fits else 0
+                accepted.append(fits)
+                remaining.append(max(budget - used, 0))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(accepted), pa.array(remaining, pa.int64())], names=[key, order, pages, "accepted", "remaining"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema)
+    return sorted_.mapInArrow(run, f"{kinds}, accepted boolean, remaining long")
 
 
 def pages_limit_error(pages: Column, most: int = Limits.max_ocr_pages_per_pdf) -> Column:

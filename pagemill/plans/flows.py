@@ -7,15 +7,20 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import OcrKnobs
+from ..config import Limits, OcrKnobs
 from ..operators import jobs as J
 from ..operators import messages as M
 from ..operators import ocr as O
 from ..operators import pages as P
 from ..operators.attempts import climbed
 from ..sources.extract import extract_texts, plain_text, registry
+from ..sources.folders import scratch_path
+from ..sources.joblog import JobLog
+from ..sources.sinks import write_texts
+from ..streaming.jobs import follow_jobs, merge_requests, sink_batch, table_stream
 from . import tables as T
-from .queries import _ATTEMPTS, _CHUNKS, _FILES, _JOBS, _OVERLAY, _ROUTED, MIXED, _chunks, _decided, _overlaid, _sanitize, _trim, query
+from .queries import _ATTEMPTS, _BLOCKS, _CHUNKS, _FILES, _JOBS, _JOINED, _MESSAGES, _OVERLAY, _ROUTED, _STATUS, MIXED
+from .queries import _chunks, _decided, _overlaid, _processed, _sanitize, _sanitize_text, _trim, query
 
 #: Seconds that the image engine of timed_extraction may take.
 LIMIT = 1.5
@@ -89,3 +94,84 @@ def chunk_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = merged.join(counts, "file_id").join(native, "file_id", "left").join(errors, "file_id", "left").fillna(0, ["chunks", "failed_chunks"])
     result = P.mixed_result(F.coalesce("native", F.lit("")), F.col("text"), F.col("ocr_pages"), F.col("ocr_error"))
     return told.withColumn("r", result).select("file_id", "chunks", "failed_chunks", "r.value", "r.error")
+
+
+@query(
+    f"""WITH changes_ AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS at_ms, epoch_us(ts) // 86400000000 % 4 AS batch, CASE event_type {_STATUS} ELSE 'queued' END AS status FROM events),
+    latest_ AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY batch DESC, at_ms DESC, event_id DESC) AS k FROM changes_)
+    SELECT CAST(user_id AS VARCHAR) AS id, status, at_ms AS updated_ms FROM latest_ WHERE k = 1 AND status <> 'failed'"""
+)
+def job_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of jobs logged in four batches, folded together in between, and read as records; a failed job is deleted."""
+    log = JobLog(spark, scratch_path(spark, "logs"), J.RECORD_SCHEMA)
+    jobs = T.job_records(spark, sf_dir).withColumn("day", F.floor(F.col("created_ms") / 86_400_000) % 4)
+    row = F.struct("created_ms", "id", "status")
+    changed = jobs.groupBy("day", F.col("user_id").cast("string").alias("user")).agg(F.max(row).alias("r"))
+    null = {c: F.lit(None).cast(t) for c, t in (x.split() for x in J.RECORD_SCHEMA.split(", "))}
+    known = {"id": F.col("user"), "status": F.col("r.status"), "updated_ms": F.col("r.created_ms")}
+    for day in range(4):
+        log.write(day, changed.where(F.col("day") == day).withColumn("deleted", F.col("r.status") == "failed").select("deleted", *[(known.get(c, v)).alias(c) for c, v in null.items()]))
+        if day == 2:
+            log.compact(day)
+    return log.read().select("id", "status", "updated_ms")
+
+
+_STALE_MS, _RETENTION_MS, _LATE_MS = 3_600_000, 7_200_000, 600_000
+
+
+@query(
+    f"""WITH seen_ AS (SELECT user_id, epoch_us(ts) // 1000 AS at_ms, CASE event_type {_STATUS} ELSE 'queued' END AS status FROM events),
+    ends_ AS (SELECT user_id, min((at_ms, status)) FILTER (status IN ('completed', 'failed', 'expired')) AS e, max((at_ms, status)) AS l FROM seen_ GROUP BY user_id),
+    now_ AS (SELECT user_id, e IS NULL AS open, coalesce(e, l)[1] AS at_ms, coalesce(e, l)[2] AS status FROM ends_),
+    mark_ AS (SELECT max(at_ms) - {_LATE_MS} AS mark FROM seen_)
+    SELECT CAST(user_id AS VARCHAR) AS id, status, at_ms FROM now_
+    UNION ALL SELECT CAST(user_id AS VARCHAR), 'expired', at_ms + {_STALE_MS} FROM now_, mark_ WHERE open AND at_ms + {_STALE_MS} <= mark
+    UNION ALL SELECT CAST(user_id AS VARCHAR), 'deleted', at_ms + {_RETENTION_MS} FROM now_, mark_ WHERE NOT open AND at_ms + {_RETENTION_MS} <= mark"""
+)
+def followed_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a stream of changes tells of jobs: each one's state, then, as event time goes on, which expire and which finished ones are forgotten."""
+    source = table_stream(spark, sf_dir, "events.parquet", T.table(spark, sf_dir, "events").schema)
+    status = F.coalesce(*[F.when(F.col("event_type") == k, v) for k, v in T.STATUS_OF.items()], F.lit("queued"))
+    changes = source.select(F.col("user_id").cast("string").alias("id"), status.alias("status"), F.col("ts").cast("timestamp").alias("at"))
+    told = follow_jobs(changes, _STALE_MS, _RETENTION_MS, f"{_LATE_MS} milliseconds")
+    path = scratch_path(spark, "streams")
+    write = lambda batch, n: sink_batch(batch, f"{path}/rows", n)
+    told.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("id string, status string, at_ms long, batch int").parquet(f"{path}/rows").drop("batch")
+
+
+@query(
+    _MESSAGES
+    + """, bad_ AS (SELECT request_id, conversation_id IS NULL OR NOT has_body OR (n >= 1 AND (NOT has_id OR NOT has_url)) OR (n >= 2 AND NOT has_second) AS bad FROM messages_),
+    requests_ AS (SELECT request_id, bool_or(bad) AS bad, sha256('request-' || request_id) AS h FROM bad_ GROUP BY request_id),
+    named_ AS (SELECT *, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-8' || h[18:20] || '-' || h[21:32] AS id FROM requests_),
+    placed_ AS (SELECT *, row_number() OVER (PARTITION BY bad ORDER BY id) AS k FROM named_)
+    SELECT CASE WHEN bad THEN 'request-' || request_id ELSE id END AS place, CASE WHEN bad THEN 'invalid' WHEN k > 20 THEN 'refused' WHEN k = 1 THEN 'processing' ELSE 'queued' END AS outcome,
+    CASE WHEN bad THEN 400 WHEN k > 20 THEN 503 ELSE 202 END AS http_status FROM placed_"""
+)
+def request_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of one batch into their three sinks: jobs in the log, quarantine, rejections."""
+    m = T.messages(spark, sf_dir)
+    listed = F.array_sort(F.collect_list(F.struct("message_index", F.struct("conversationId", "body").alias("m"))))
+    value = F.to_json(F.transform(listed, lambda x: x["m"]))
+    requests = m.groupBy(F.concat(F.lit("request-"), F.col("request_id").cast("string")).alias("source_file")).agg(value.alias("value"))
+    path = scratch_path(spark, "requests")
+    log = JobLog(spark, f"{path}/log", J.RECORD_SCHEMA)
+    merge_requests(log, 0, requests, T.NOW_MS, "files.example.com", f"{path}/bad", f"{path}/no", Limits(jobs_max_queue=20))
+    bad = spark.read.schema("source_file string, http_status int, error string, issues array<string>").parquet(f"{path}/bad")
+    no = spark.read.schema("id string, http_status int, error string, at_ms long").parquet(f"{path}/no")
+    jobs = log.read().select(F.col("id").alias("place"), F.col("status").alias("outcome"), F.lit(202).alias("http_status"))
+    refused = no.select(F.col("id").alias("place"), F.lit("refused").alias("outcome"), "http_status")
+    return jobs.unionByName(refused).unionByName(bad.select(F.col("source_file").alias("place"), F.lit("invalid").alias("outcome"), "http_status"))
+
+
+@query(
+    f"WITH {_BLOCKS}, listed_ AS (SELECT conversation_id, {_JOINED} AS joined FROM blocks_ GROUP BY conversation_id) "
+    f"SELECT conversation_id, conversation_id || '-{T.NOW_MS}.txt' AS file_name, sha256({_sanitize_text(_trim('joined'))}) AS text_sha256 FROM listed_"
+)
+def written_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts of conversations written as files under the names that their addresses promise, and read again."""
+    path = scratch_path(spark, "texts")
+    write_texts(M.assembled(_processed(spark, sf_dir), T.NOW_MS, "files.example.com").select("conversation_id", "text"), path, T.NOW_MS)
+    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.txt", recursiveFileLookup=True).select("value", F.split(F.input_file_name(), "/").alias("parts"))
+    return files.select(F.element_at("parts", -2).alias("conversation_id"), F.element_at("parts", -1).alias("file_name"), F.sha2("value", 256).alias("text_sha256"))

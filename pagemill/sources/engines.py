@@ -11,7 +11,6 @@ from typing import BinaryIO
 
 import pandas as pd
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +18,7 @@ from ..config import OcrKnobs
 from ..functions.text import SPACES
 from .deadline import Failed, Guard, Overdue
 from .ladder import Rung, climb, reading_of
+from .sinks import opened
 
 #: Pages of a file in order: text, embedded images and tables of each.
 PageEngine = Callable[[bytes], Iterable[tuple[str, int, int]]]
@@ -96,7 +96,7 @@ def recognise_pages(
     angles = rotations_of(knobs.rotate_angles)
 
     def pages_of(path: str, first: int, last: int) -> list[tuple]:
-        system, place = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+        system, place = opened(path)
         rows = []
         with system.open_input_file(place) as file:
             for page, image in enumerate(raster(file, first, last), first):

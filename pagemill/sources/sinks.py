@@ -1,74 +1,94 @@
-"""Sinks: texts of conversations, side files, and a table of job records that is replaced version by version."""
+"""Sinks: texts of conversations as files that tasks name, and side files."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import contextlib
+import uuid
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+from pyarrow import fs
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.types import StructType
 
 from ..functions.text import js_length, sanitize_text
-from .folders import remove
 
 #: A conversation's id becomes a folder, so it may hold nothing that leads elsewhere.
 SAFE_ID = r"^[A-Za-z0-9][A-Za-z0-9._-]*$"
 
 
-def write_texts(texts: DataFrame, path: str) -> None:
-    """The text of each conversation as a text file in a folder of its own; rows with an unsafe id aren't written."""
-    safe = texts.where(F.col("conversation_id").rlike(SAFE_ID)).select("conversation_id", F.col("text").alias("value"))
-    safe.repartition("conversation_id").write.mode("append").partitionBy("conversation_id").text(path)
+def write_texts(texts: DataFrame, path: str, run_ms: int) -> None:
+    """The text of each conversation of texts (conversation_id, text) as {conversation}/{conversation}-{run_ms}.txt under path; rows with an unsafe id
+    aren't written. Tasks write the files under their names; of a conversation's further rows the names end in -1, -2 and so on."""
+    texts.sparkSession.dataSource.register(TextFiles)
+    safe = texts.where(F.col("conversation_id").rlike(SAFE_ID)).select("conversation_id", F.coalesce("text", F.lit("")).alias("text"))
+    dealt = safe.repartition("conversation_id").sortWithinPartitions("conversation_id", "text")
+    dealt.write.format(TextFiles.name()).mode("append").option("run_ms", run_ms).save(path)
+
+
+def opened(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or address, and the path within it."""
+    return fs.FileSystem.from_uri(path) if ":" in path.split("/")[0] else (fs.LocalFileSystem(), path)
+
+
+class TextFiles(DataSource):
+    """A sink of text files that are named after their conversation and the run."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "conversation_texts"
+
+    def writer(self, schema: StructType, overwrite: bool) -> TextWriter:
+        return TextWriter(self.options["path"], int(self.options["run_ms"]))
+
 
+@dataclass
+class Written(WriterCommitMessage):
+    files: list[str]
 
-def name_texts(spark: SparkSession, path: str, run_ms: int) -> int:
-    """The texts that write_texts has left under path get the names that their addresses promise, {conversation}-{ms}.txt; how many. For
-    the conversations of a run: each one is a rename."""
-    jvm, named = spark._jvm, 0
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    for folder in fs.listStatus(root):
-        conversation = folder.getPath().getName().removeprefix("conversation_id=")
-        for k, part in enumerate(s for s in fs.listStatus(folder.getPath()) if s.getPath().getName().startswith("part-")) if folder.isDirectory() else ():
-            name = f"{conversation}-{run_ms}{f'-{k}' if k else ''}.txt"
-            named += fs.rename(part.getPath(), jvm.org.apache.hadoop.fs.Path(folder.getPath(), name))
-    return named
+
+class TextWriter(DataSourceWriter):
+    """Each task writes its files beside their places and moves each there when it is whole, so that a task that failed leaves no part of a text under
+    its name, and one that runs again replaces its own. Names depend on the rows alone. When the job fails, what tasks tell to have written goes."""
+
+    def __init__(self, path: str, run_ms: int):
+        self.path, self.run_ms = path.rstrip("/"), run_ms
+
+    def write(self, rows: Iterator[Row]) -> Written:
+        system, root = opened(self.path)
+        done: list[str] = []
+        before, k = None, 0
+        for row in rows:
+            conversation, text = row["conversation_id"], row["text"]
+            before, k = conversation, k + 1 if conversation == before else 0
+            name = f"{conversation}/{conversation}-{self.run_ms}{f'-{k}' if k else ''}.txt"
+            draft = f"{root}/{conversation}/.{uuid.uuid4().hex}"
+            system.create_dir(f"{root}/{conversation}", recursive=True)
+            try:
+                with system.open_output_stream(draft) as out:
+                    out.write(text.encode())
+                system.move(draft, f"{root}/{name}")
+            except BaseException:
+                with contextlib.suppress(OSError):
+                    system.delete_file(draft)
+                raise
+            done.append(name)
+        return Written(done)
+
+    def commit(self, messages: list[Written | None]) -> None:
+        """Nothing is left to do: every file has its name."""
+
+    def abort(self, messages: list[Written | None]) -> None:
+        system, root = opened(self.path)
+        for message in messages:
+            for name in message.files if message else ():
+                with contextlib.suppress(OSError):
+                    system.delete_file(f"{root}/{name}")
 
 
 def sidecars(texts: DataFrame, text: str = "text", more_than: int = 100) -> DataFrame:
     """Sanitized texts that lost more than so many characters."""
     clean = texts.withColumn("clean", sanitize_text(F.col(text)))
     return clean.where(js_length(F.col(text)) - js_length(F.col("clean")) > more_than)
-
-
-class JobTable:
-    """Job records kept as versions of a Parquet table: a version is written whole and committed by its folder, readers see the last one.
-    The last KEEP versions stay, so that a reader of one isn't cut off."""
-
-    KEEP = 3
-
-    def __init__(self, spark: SparkSession, path: str, schema: str):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
-
-    def versions(self, committed: bool = True) -> list[int]:
-        jvm = self.spark._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(folder):
-            return []
-        names = [s.getPath() for s in fs.listStatus(folder)]
-        return sorted(int(p.getName()[1:]) for p in names if p.getName().startswith("v") and (not committed or fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))))
-
-    def read(self) -> DataFrame:
-        found = self.versions()
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{found[-1]}") if found else self.spark.createDataFrame([], self.schema)
-
-    def replace(self, jobs: DataFrame) -> int:
-        """jobs become the next version. Of two writers at once the second fails, as the version is there already."""
-        version = max(self.versions(committed=False), default=0) + 1
-        jobs.write.mode("error").parquet(f"{self.path}/v{version}")
-        for old in self.versions(committed=False):
-            if old <= version - self.KEEP:
-                remove(self.spark, f"{self.path}/v{old}")
-        return version
-
-    def delete(self, job_ids: DataFrame) -> int:
-        """A version without the jobs of job_ids (id); ids that aren't there don't matter."""
-        return self.replace(self.read().join(job_ids.select("id"), "id", "left_anti"))

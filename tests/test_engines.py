@@ -8,7 +8,7 @@ from pagemill.functions.text import natural_order
 from pagemill.operators.jobs import RECORD_SCHEMA, error_json, record_json
 from pagemill.operators.pages import page_spine, probed_pages, selected_chunks, with_visuals
 from pagemill.operators.sheets import sheet_texts, workbook_texts
-from pagemill.sources import engines, extract, readers, sinks
+from pagemill.sources import engines, extract, readers
 
 
 def workbook(formats):
@@ -66,7 +66,7 @@ def test_pages_of_an_engine_feed_the_spine(spark):
     word = lambda w: "5\t1\t1\t1\t1\t1\t0\t0\t9\t9\t90\t" + w
 
 
-def test_staged_content_and_names(spark, tmp_path):
+def test_staged_content(spark, tmp_path):
     (tmp_path / "s").mkdir()
     (tmp_path / "s" / "one.txt").write_bytes(b"x" * 10)
     (tmp_path / "s" / "two.txt").write_bytes(b"x" * 20)
@@ -74,11 +74,6 @@ def test_staged_content_and_names(spark, tmp_path):
     files = spark.createDataFrame([(f"file:{tmp_path}/s/{n}.txt",) for n in ("one", "two", "none")], "url string")
     got = {r.url.rpartition("/")[2]: (r.content is not None, r.code, r.error) for r in readers.with_staged_content(files, staged).collect()}
     assert got == {"one.txt": (True, None, None), "two.txt": (False, "FILE_LIMIT_EXCEEDED", "Arquivo acima do limite configurado"), "none.txt": (False, None, "Arquivo não encontrado no bucket. Verifique se o arquivo existe.")}
-    texts = spark.createDataFrame([("c1", "a\nb"), ("c2", "x")], "conversation_id string, text string")
-    sinks.write_texts(texts, str(tmp_path / "texts"))
-    assert sinks.name_texts(spark, str(tmp_path / "texts"), 99) == 2
-    listed = readers.list_outputs(spark, str(tmp_path / "texts")).collect()
-    assert {(r.conversation_id, r.file_name) for r in listed} == {("c1", "c1-99.txt"), ("c2", "c2-99.txt")}
 
 
 def test_names_in_natural_order(spark):
@@ -94,15 +89,9 @@ def test_records_and_errors_as_json(spark):
     assert [json.loads(r.j) for r in e.select(error_json(F.col("name"), F.col("message"), F.col("stack")).alias("j")).collect()] == [{"name": "TypeError", "message": "bad", "stack": "at x"}, {"value": "plain"}, {"value": "null"}]
 
 
-def test_rejected_jobs_and_streamed_folders(spark, tmp_path):
-    from pagemill.config import Limits
-    from pagemill.streaming.jobs import job_stream, table_stream
+def test_streamed_folders(spark, tmp_path):
+    from pagemill.streaming.jobs import table_stream
 
-    (tmp_path / "in").mkdir()
-    for k in range(3):
-        (tmp_path / "in" / f"{k}.json").write_text(json.dumps({"id": f"j{k}", "created_ms": k}))
-    job_stream(spark, str(tmp_path / "in"), str(tmp_path / "t"), str(tmp_path / "ck"), Limits(jobs_max_queue=2), clock=lambda: 7, once=True, rejections=str(tmp_path / "no")).awaitTermination()
-    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "no")).select("id", "http_status", "error", "at_ms").collect()] == [("j2", 503, "JobQueueFullError", 7)]
     spark.range(10).repartition(3).write.parquet(str(tmp_path / "e" / "events.parquet"))
     spark.range(4).coalesce(1).write.parquet(str(tmp_path / "f"))
     one = next((tmp_path / "f").glob("part-*"))

@@ -2,12 +2,7 @@ import io
 import json
 import zipfile
 
-from pyspark.sql import functions as F
-
-from pagemill.config import Limits
-from pagemill.operators.jobs import RECORD_SCHEMA
 from pagemill.sources import extract, readers, sinks
-from pagemill.streaming.jobs import follow_jobs, job_stream
 
 
 def zipped(parts):
@@ -61,54 +56,12 @@ def test_requests_and_files(spark, tmp_path):
     assert {(r.length, r.content is None, r.code) for r in staged.collect()} == {(10, False, None), (20, True, "FILE_LIMIT_EXCEEDED")}
 
 
-def test_job_files_and_texts(spark, tmp_path):
+def test_job_files_and_side_files(spark, tmp_path):
     good = "123e4567-e89b-12d3-a456-426614174000"
     (tmp_path / "jobs").mkdir()
     (tmp_path / "jobs" / f"{good}.json").write_text(json.dumps({"id": good, "status": "queued"}))
     (tmp_path / "jobs" / "223e4567-e89b-12d3-a456-426614174000.json").write_text("{broken")
     (tmp_path / "jobs" / "other.json").write_text(json.dumps({"id": "x", "status": "queued"}))
     assert [r.id for r in readers.read_job_files(spark, str(tmp_path / "jobs")).collect()] == [good]
-    texts = spark.createDataFrame([("c1", "a\nb"), ("../up", "x")], "conversation_id string, text string")
-    sinks.write_texts(texts, str(tmp_path / "texts"))
-    listed = readers.list_outputs(spark, str(tmp_path / "texts")).collect()
-    assert {r.conversation_id for r in listed} == {"c1"}
     side = spark.createDataFrame([("x" + "€" * 5,), ("a" + "\x01" * 101,)], "text string")
     assert [r.clean for r in sinks.sidecars(side).collect()] == ["a"]
-
-
-def test_job_stream(spark, tmp_path):
-    (tmp_path / "in").mkdir()
-    run = lambda now: job_stream(
-        spark, str(tmp_path / "in"), str(tmp_path / "table"), str(tmp_path / "ck"), Limits(jobs_max_queue=2, jobs_stale_ms=1000), clock=lambda: now, once=True
-    ).awaitTermination()
-    for k in range(3):
-        (tmp_path / "in" / f"{k}.json").write_text(json.dumps({"id": f"j{k}", "created_ms": k}))
-    run(100)
-    table = sinks.JobTable(spark, str(tmp_path / "table"), RECORD_SCHEMA)
-    assert {r.id: r.status for r in table.read().collect()} == {"j0": "processing", "j1": "queued"}
-    (tmp_path / "in" / "3.json").write_text(json.dumps({"id": "j3", "created_ms": 5}))
-    run(5000)  # a new stream on the same checkpoint: both old jobs are stale by now
-    assert {r.id: r.status for r in table.read().collect()} == {"j0": "expired", "j1": "expired", "j3": "processing"}
-    table.delete(spark.createDataFrame([("j0",), ("none",)], "id string"))
-    assert {r.id for r in table.read().collect()} == {"j1", "j3"}
-
-
-def test_followed_jobs(spark, tmp_path):
-    def write(k, rows):
-        df = spark.createDataFrame(rows, "id string, status string, s long").select("id", "status", F.timestamp_seconds(F.col("s") + 1000).alias("at"))
-        df.coalesce(1).write.parquet(str(tmp_path / "in" / f"b{k}"))
-
-    def run():
-        stream = spark.readStream.schema("id string, status string, at timestamp").option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
-        told = follow_jobs(stream, stale_ms=60_000, lateness="1 second")
-        keep = lambda batch, n: batch.write.mode("append").parquet(str(tmp_path / "out"))
-        told.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
-
-    write(1, [("a", "queued", 0), ("b", "queued", 0)])
-    run()
-    write(2, [("b", "completed", 30), ("c", "queued", 500)])
-    run()
-    write(3, [("b", "processing", 501)])
-    run()
-    rows = {(r.id, r.status) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert ("a", "expired") in rows and ("b", "completed") in rows and ("b", "processing") not in rows and ("c", "expired") not in rows
