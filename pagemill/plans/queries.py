@@ -590,9 +590,44 @@ def url_basename(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.table(spark, sf_dir, "pages").select("page_id", U.basename(F.col("url")).alias("name"))
 
 
-@query(f"WITH {_urls('pages')} SELECT page_id, {_REDACTED} AS redacted FROM urls_")
+_ODD = f"odd_ AS (SELECT page_id, CASE page_id % 8 {' '.join(f'WHEN {k} THEN ' + v for k, v in T.ODD_URLS_SQL.items())} ELSE url END AS url FROM pages)"
+
+
+def _by_bytes(x: str, kinds: str) -> str:
+    """Characters of some kinds by their bytes."""
+    return f"list_aggregate(list_transform(regexp_extract_all({x}, '(?s).'), lambda c: CASE WHEN regexp_matches(c, {_lit(kinds)}) THEN regexp_replace(hex(encode(c)), '(..)', '%\\1', 'g') ELSE c END), 'string_agg', '')"
+
+
+_KIND = "replace(lower(s[1]), '%2e', '.')"
+_DOTLESS = f"""'/' || array_to_string(list_reduce(list_prepend(CAST([] AS VARCHAR[]), list_transform(range(1, len(parts) + 1), lambda i: [parts[i], CASE WHEN i = len(parts) THEN 'last' ELSE '' END])),
+    lambda acc, s: CASE WHEN {_KIND} = '..' THEN acc[:-2] || CASE WHEN s[2] = 'last' THEN [''] ELSE [] END WHEN {_KIND} = '.' THEN acc || CASE WHEN s[2] = 'last' THEN [''] ELSE [] END ELSE acc || [s[1]] END), '/')"""
+#: Punycode of each label, one column after another: code points, those beyond ASCII in order, their distances, the thresholds' bias, the digits.
+_HOSTS = f"""labels_ AS (SELECT page_id, unnest(string_split(regexp_replace(lower(u.host), '[。．｡]', '.', 'g'), '.')) AS label, unnest(range(len(string_split(regexp_replace(lower(u.host), '[。．｡]', '.', 'g'), '.')))) AS k FROM split_),
+    points_ AS (SELECT page_id, k, label, list_transform(range(1, length(label) + 1), lambda i: {{'c': unicode(label[i]), 'p': i}}) AS cps FROM labels_),
+    beyond_ AS (SELECT *, list_sort(list_filter(cps, lambda x: x.c >= 128)) AS rest, len(list_filter(cps, lambda x: x.c < 128)) AS n, array_to_string(list_transform(list_filter(cps, lambda x: x.c < 128), lambda x: chr(x.c)), '') AS plain FROM points_),
+    placed_ AS (SELECT *, list_transform(rest, lambda x: len(list_filter(cps, lambda y: y.p < x.p AND y.c <= x.c))) AS place FROM beyond_),
+    deltas_ AS (SELECT *, list_transform(range(1, len(rest) + 1), lambda i: CAST((rest[i].c - CASE WHEN i = 1 THEN 128 ELSE rest[i - 1].c END) * (n + i) + place[i] - CASE WHEN i = 1 THEN 0 ELSE place[i - 1] + 1 END AS BIGINT)) AS d FROM placed_),
+    halved_ AS (SELECT *, list_transform(range(1, len(d)), lambda i: d[i] // (CASE WHEN i = 1 THEN 700 ELSE 2 END) + d[i] // (CASE WHEN i = 1 THEN 700 ELSE 2 END) // (n + i)) AS e FROM deltas_),
+    biased_ AS (SELECT *, list_prepend(72, list_transform(e, lambda x: CASE WHEN x <= 455 THEN 36 * x // (x + 38) WHEN x // 35 <= 455 THEN 36 + 36 * (x // 35) // (x // 35 + 38) ELSE 72 + 36 * (x // 1225) // (x // 1225 + 38) END)) AS bias FROM halved_),
+    numbers_ AS (SELECT *, list_transform(range(1, len(d) + 1), lambda i: list_reduce(list_prepend([d[i]], list_transform(range(1, 10), lambda k: [least(greatest(36 * k - bias[i], 1), 26)])),
+        lambda s, t: CASE WHEN s[1] < 0 THEN s WHEN s[1] < t[1] THEN [-1] || s[2:] || [s[1]] ELSE [(s[1] - t[1]) // (36 - t[1])] || s[2:] || [t[1] + (s[1] - t[1]) % (36 - t[1])] END)[2:]) AS digits FROM biased_),
+    hosts_ AS (SELECT page_id, string_agg(CASE WHEN len(rest) = 0 THEN label ELSE 'xn--' || plain || CASE WHEN n > 0 THEN '-' ELSE '' END
+        || array_to_string(list_transform(flatten(digits), lambda x: substr({_lit(U.DIGITS)}, CAST(x + 1 AS BIGINT), 1)), '') END, '.' ORDER BY k) AS host FROM numbers_ GROUP BY page_id)"""
+
+
+@query(
+    f"""WITH {_ODD}, split_ AS (SELECT page_id, {_URL_PARTS} AS u FROM odd_), {_HOSTS},
+    paths_ AS (SELECT page_id, string_split(replace(u.path, chr(92), '/'), '/')[2:] AS parts, u FROM split_),
+    told_ AS (SELECT p.page_id, lower(u.scheme) AS scheme, h.host || CASE WHEN ltrim(u.port, '0') IN ('', CASE lower(u.scheme) WHEN 'http' THEN '80' WHEN 'https' THEN '443' END) THEN '' ELSE ':' || ltrim(u.port, '0') END AS host,
+        CASE WHEN u.path = '' THEN '/' ELSE {_by_bytes(_DOTLESS, U.IN_PATH)} END AS path, CASE WHEN u.fragment = '' THEN '' ELSE {_by_bytes('u.fragment', U.IN_FRAGMENT)} END AS fragment,
+        CASE WHEN u.login = '' THEN '' ELSE {_by_bytes('split_part(u.login, chr(58), 1)', U.IN_LOGIN)} || coalesce(':' || nullif({_by_bytes("split_part(u.login, chr(58), 2)", U.IN_LOGIN)}, ''), '') || '@' END AS login, u.query AS query
+        FROM paths_ p JOIN hosts_ h ON h.page_id = p.page_id)
+    SELECT page_id, CASE WHEN scheme = '' THEN '[invalid-url]' WHEN length(query) <= 1 THEN scheme || '://' || login || host || path || CASE WHEN query = '?' THEN '?' ELSE '' END || fragment
+        ELSE scheme || '://' || host || path || '?[redacted-query]' || CASE WHEN fragment = '#' THEN '' ELSE fragment END END AS redacted FROM told_"""
+)
 def redact_url(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.table(spark, sf_dir, "pages").select("page_id", U.redact_url(F.col("url")).alias("redacted"))
+    """Addresses of pages, some with dots, odd characters, ports, logins and international hosts, in their normal form and with their query hidden."""
+    return T.odd_urls(spark, sf_dir).select("page_id", U.redact_url(F.col("url")).alias("redacted"))
 
 
 @query(

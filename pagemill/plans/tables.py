@@ -163,3 +163,33 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("text").alias("content"),
         body.alias("body"),
     )
+
+
+#: What becomes of the address of every eighth page, by the number modulo eight: in SQL and in Spark, whose regexp_replace reads the same.
+ODD_URLS_SQL = {
+    1: "regexp_replace(url, '^(https?://)', '\\1b' || chr(252) || 'cher-' || page_id || '.')",
+    2: "regexp_replace(url, '([?#]|$)', '/./' || chr(231) || page_id || '/../%2E%2e/d e/..\\1')",
+    3: "upper(url)",
+    4: "regexp_replace(url, '^(https?://)', '\\1us er:p' || chr(233) || 'w@')",
+    5: "regexp_replace(url, '^(https?)://([^/?#]+)', '\\1://' || chr(20363) || chr(12360) || '.\\2:0443')",
+    6: "url || '#' || chr(128512) || '<>'",
+    7: "'no ' || url",
+}
+
+
+def odd_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url: addresses of pages, seven of eight made odd."""
+    page = F.col("page_id").cast("string")
+    u, sub = F.col("url"), F.regexp_replace
+    odd = {
+        1: sub(u, F.lit("^(https?://)"), F.concat(F.lit("$1bücher-"), page, F.lit("."))),
+        2: F.concat(sub(u, "[?#].*$", ""), F.lit("/./ç"), page, F.lit("/../%2E%2e/d e/.."), F.regexp_extract(u, "[?#].*$", 0)),
+        3: F.upper(u),
+        4: sub(u, "^(https?://)", "$1us er:péw@"),
+        5: sub(u, "^(https?)://([^/?#]+)", "$1://例え.$2:0443"),
+        6: F.concat(u, F.lit("#\U0001f600<>")),
+        7: F.concat(F.lit("no "), u),
+    }
+    kind = F.col("page_id") % 8
+    url = F.coalesce(*[F.when(kind == k, v) for k, v in odd.items()], u)
+    return table(spark, sf_dir, "pages").select("page_id", url.alias("url"))
