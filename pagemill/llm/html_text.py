@@ -44,6 +44,14 @@ BESIDE = frozenset(
     "holder icon icons inner item items left link links list main media message meta mobile outer page panel policy post posts primary reply right row secondary section site slot sticky "
     "stories story sub text thread title toggle tool tools top unit wrap wrapper zone".split()
 )
+#: Of the words of the first kind those that a page's own text may stand under too: such an area, a form, and one of these roles, gives way to the
+#: article by its weight; the others come out whatever their size, as long as there is an article without them.
+WEIGHED = frozenset("alert alerts banner banners login modal notice notices notification notifications overlay popup search signup skip widget widgets".split())
+WEIGHED_ROLES = frozenset("form search dialog alert".split())
+#: Words of areas in which readers write. Their text is the page's only where it has no other.
+READERS = frozenset("comment comments commentlist disqus replies respond".split())
+#: Removed elements that set apart what stands before and after them, outside an article.
+SETS_APART = frozenset("nav footer header head menu".split())
 PAGE_HEADER = re.compile(r"^(?:(?:site|page|top|main|global)[_-]?)?header$", re.IGNORECASE)
 AROUND_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 
@@ -153,6 +161,7 @@ class _Lines:
         self.parts: list[str] = []
         self.linked = 0
         self.area, self.parents = 0, [0]
+        self.kinds = ["page"]
         self.areas: dict[tuple[int, str], int] = {}
 
     def end(self, in_article: bool) -> None:
@@ -164,20 +173,31 @@ class _Lines:
     def gap(self, lines: int) -> None:
         self.lines += [("", 0, False, self.area)] * lines
 
-    def enter(self, mark: str) -> None:
+    def enter(self, mark: str, kind: str) -> None:
         own = self.areas.setdefault((self.area, mark), len(self.parents))
         if own == len(self.parents):
             self.parents.append(self.area)
+            around = self.kinds[self.area]
+            self.kinds.append(around if around == "readers" or around == "strict" and kind != "readers" else kind)
         self.area = own
 
-    def leave(self) -> None:
-        self.gap(1)
+    def leave(self, in_article: bool) -> None:
+        if not in_article:
+            self.gap(1)
         self.area = self.parents[self.area]
 
 
-def lines_of(page: str) -> tuple[list[tuple[str, int, bool, int]], list[int]]:
-    """The page's markup stripped, and for each area the one it lies in: what is removed or ends an area becomes an empty line, an
-    article's edge WINDOW of them."""
+def kind_of(mark: str) -> str:
+    """What gives way to an article: an area of readers, a strict one, or one that is weighed."""
+    words = {w.lower() for w in _WORD.findall(mark)}
+    if words & READERS:
+        return "readers"
+    return "strict" if words & (AROUND - WEIGHED) or mark.lower() in AROUND_ROLES - WEIGHED_ROLES or PAGE_HEADER.match(mark) else "weighed"
+
+
+def lines_of(page: str) -> tuple[list[tuple[str, int, bool, int]], list[int], list[str]]:
+    """The page's markup stripped, and for each area the one it lies in and its kind. Outside an article a removed menu, header or footer and the end of an
+    area become an empty line, an article's edge WINDOW of them; what else is removed leaves none, and inside an article nothing does."""
     out, tags = _Lines(), _Tags(page)
     stack: list[tuple[str, bool, bool]] = []  # name, skips, is an area
     opened: dict[str, list[int]] = {}  # places in the stack by name
@@ -192,7 +212,7 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool, int]], list[int]]:
             links -= name == "a"
             if skips:
                 skipping -= 1
-                if not skipping:
+                if not skipping and not articles and name in SETS_APART:
                     out.gap(1)
                 continue
             if area:
@@ -202,7 +222,7 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool, int]], list[int]]:
                 if not articles:
                     out.gap(WINDOW)
             if area:
-                out.leave()
+                out.leave(articles > 0)
 
     while at < size:
         begin, end, name, closes, inside = tags.next(at)
@@ -255,7 +275,7 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool, int]], list[int]]:
         mark = None if skipping or not marks and name != "form" else _around(name, marks or {}, articles > 0)
         if mark is not None:
             out.end(articles > 0)
-            out.enter(f"{name} {mark}")
+            out.enter(f"{name} {mark}", kind_of(mark))
         if name in HOLDS_ARTICLE and not skipping:
             if not articles:
                 out.gap(WINDOW)
@@ -264,7 +284,7 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool, int]], list[int]]:
         opened.setdefault(name, []).append(len(stack))
         stack.append((name, skips, mark is not None))
     out.end(articles > 0)
-    return out.lines, out.parents
+    return out.lines, out.parents, out.kinds
 
 
 def _weight(text: str, linked: int, in_article: bool) -> int:
@@ -272,20 +292,36 @@ def _weight(text: str, linked: int, in_article: bool) -> int:
     return len(text) * (RAISED - mostly_linked if in_article else 1 - mostly_linked)
 
 
-def _within(lines: list[tuple[str, int, bool, int]], parents: list[int]) -> list[tuple[str, int, bool, int]]:
-    """The lines of the area that holds the densest run and of those it lies in; each other one becomes an empty line."""
-    if len(parents) == 1:
-        return lines
+def _chosen(lines: list[tuple[str, int, bool, int]], parents: list[int], kinds: list[str]) -> int:
+    """The area that holds the main text: the one with the densest run, each area weighing a LOWERED-th of the one that it lies in. As long as a run
+    outside of the strict ones and those of readers is like an article (it surges, or is in an article element), none of these is it; and one of
+    readers is only if no other has any text."""
     weights: list[list[int]] = [[] for _ in parents]
+    articles = [False] * len(parents)
     for text, linked, inside, area in lines:
         weights[area].append(_weight(text, linked, inside))
-    depths, best, most = [0] * len(parents), 0, 0.0
+        articles[area] |= inside and weights[area][-1] > 0
+    depths, found = [0] * len(parents), []
     for area, own in enumerate(weights):  # an area comes after the one that it lies in
         if area:
             depths[area] = depths[parents[area]] + 1
-        text = max((sum(own[a:b]) for a, b, _ in between_surge_and_dive(own, 0)), default=0) / LOWERED ** min(depths[area], 32)
-        if text > most:
-            best, most = area, text
+        runs = between_surge_and_dive(own, 0)
+        dense = max((sum(own[a:b]) for a, b, _ in runs), default=0) / LOWERED ** min(depths[area], 32)
+        found.append((dense, -area, articles[area] or any(peak > SURGE for _, _, peak in runs)))
+    open_ = [f for f, kind in zip(found, kinds, strict=True) if kind in ("page", "weighed")]
+    if not any(like for _, _, like in open_):
+        open_ = [f for f, kind in zip(found, kinds, strict=True) if kind != "readers"]
+        if not any(dense for dense, _, _ in open_):
+            open_ = found
+    dense, area, _ = max(open_)
+    return -area if dense else 0
+
+
+def _within(lines: list[tuple[str, int, bool, int]], parents: list[int], kinds: list[str]) -> list[tuple[str, int, bool, int]]:
+    """The lines of the area that holds the main text and of those it lies in; each other one becomes an empty line, in an article nothing."""
+    if len(parents) == 1:
+        return lines
+    best = _chosen(lines, parents, kinds)
     holds = {0, best}
     while best:
         best = parents[best]
@@ -302,7 +338,8 @@ def _within(lines: list[tuple[str, int, bool, int]], parents: list[int]) -> list
             before = -1
         elif outer[area] != before:
             before = outer[area]
-            out.append(("", 0, False, before))
+            if not line[2]:
+                out.append(("", 0, False, before))
     return out
 
 
@@ -325,7 +362,8 @@ def between_surge_and_dive(lengths: list[int], surge: int, window: int = WINDOW)
 
 def main_text(page: str | None) -> str:
     """The article's blocks, one to a line: the runs of lines that surge, and if none does, the run with the most text. Where there are
-    runs in articles and others, those that aren't like the densest must surge to more than half its height."""
+    runs in articles and others, those that aren't like the densest must surge to more than half its height. A line within a run stays whatever its
+    weight, and so do linked lines between two chosen runs if nothing sets these apart."""
     lines = _within(*lines_of(page or ""))
     weights = [_weight(text, linked, inside) for text, linked, inside, _ in lines]
     every = between_surge_and_dive(weights, 0)
@@ -338,7 +376,19 @@ def main_text(page: str | None) -> str:
     densest = max(every, key=lambda r: sum(weights[r[0] : r[1]]))
     like = in_article(densest)
     runs = [r for r in every if r[2] > SURGE and (in_article(r) == like or r[2] > densest[2] / RAISED)] or [densest]
-    return "\n".join(lines[k][0] for a, b, _ in runs for k in range(a, b) if weights[k])
+    ranges = [_ends(weights, a, b) for a, b, _ in runs]
+    between = [range(x.stop, y.start) for x, y in zip(ranges, ranges[1:], strict=False)]
+    rows = [k for r in ranges for k in r] + [k for r in between if all(lines[k][0] for k in r) for k in r]
+    return "\n".join(lines[k][0] for k in sorted(rows) if lines[k][0])
+
+
+def _ends(weights: list[int], a: int, b: int) -> range:
+    """The lines of a run from the first to the last that weighs something: a window rises WINDOW - 1 lines before the text that it sees."""
+    while not weights[a]:
+        a += 1
+    while not weights[b - 1]:
+        b -= 1
+    return range(a, b)
 
 
 def _texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
