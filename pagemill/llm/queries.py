@@ -134,7 +134,8 @@ ORACLE_SQL = {
     "op3_mix_sources": r"""
         WITH RECURSIVE sized AS (
             SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-                   CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), text, '')), 1, 15) AS BIGINT) AS place
+                   CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), text, '')), 1, 15) AS BIGINT) AS place,
+                   CAST('0x' || substr(md5(coalesce(text, '')), 1, 15) AS BIGINT) AS second
             FROM documents
         ), sums AS (
             SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
@@ -154,19 +155,14 @@ ORACLE_SQL = {
             FROM dealt WHERE round = (SELECT count(*) FROM sums)
         ), edges AS (
             SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS repeats FROM targets
-        ), places AS (
-            SELECT source, place, sum(size) AS words FROM sized GROUP BY source, place
-        ), running AS (
-            SELECT e.source, p.place, p.words, e.target - e.repeats * e.source_size AS budget,
-                   sum(p.words) OVER (PARTITION BY e.source ORDER BY p.place) AS upto
-            FROM edges e JOIN places p ON e.source IS NOT DISTINCT FROM p.source
-        ), chosen AS (
-            SELECT source, place, upto <= budget OR (upto - words <= budget AND (budget - upto + words) * 2 >= words) AS more FROM running
+        ), running AS (  -- of rows that share both places, which are alike, any order gives the same
+            SELECT s.doc_id, s.size, e.source_size, e.target, e.repeats, e.target - e.repeats * e.source_size AS budget,
+                   sum(s.size) OVER (PARTITION BY s.source ORDER BY s.place, s.second ROWS UNBOUNDED PRECEDING) AS upto
+            FROM edges e JOIN sized s ON e.source IS NOT DISTINCT FROM s.source
         )
-        SELECT s.doc_id, s.size, e.source_size, e.target,
-               CAST(s.size * (e.repeats + CASE WHEN c.more THEN 1 ELSE 0 END) AS BIGINT) AS taken
-        FROM sized s JOIN edges e ON s.source IS NOT DISTINCT FROM e.source
-        JOIN chosen c ON s.source IS NOT DISTINCT FROM c.source AND s.place = c.place
+        SELECT doc_id, size, source_size, target,
+               CAST(size * (repeats + CASE WHEN upto <= budget OR (upto - size <= budget AND (budget - upto + size) * 2 >= size) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+        FROM running
     """,
     "op4_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,

@@ -47,6 +47,39 @@ def test_mix(spark):
     assert again == {(r.doc_id, r.text): r.taken for r in got}
 
 
+def test_repeated_ids_and_rows(spark, monkeypatch):
+    """A source of rows of one id, with texts of their own, with some equal, and with all equal: the target is met within half a document."""
+    rows = [(7, "w " * (k % 9 + 1), "a", "x", 1) for k in range(750)]  # one id
+    rows += [(8, "same " * 6, "b", "x", 1) for _ in range(750)]  # one row again and again
+    rows += [(9, "w " * (k % 3 + 1) + ("z" if k % 2 else ""), "c", "x", 1) for k in range(600)] + [(k, "w " * 5, "c", "x", 1) for k in range(1000, 1300)]
+    rows += [(k, "u " * 4, None, "x", 1) for k in range(2000, 2300)]
+    got = mix_sources(spark.createDataFrame(rows, SCHEMA).repartition(7)).collect()
+    assert len(got) == len(rows)
+    for s in ("a", "b", "c", None):
+        own = [r for r in got if r.source == s]
+        assert all(r.taken in (0, r.size, 2 * r.size) for r in own)
+        assert abs(sum(r.taken for r in own) - own[0].target) <= max(r.size for r in own), s
+    order = lambda rs: sorted(((r.doc_id, r.text, r.taken) for r in rs), key=repr)
+    assert order(mix_sources(spark.createDataFrame(rows[::-1], SCHEMA)).collect()) == order(got)
+
+
+def test_query_with_repeated_ids_gives_what_its_sql_gives(spark, tmp_path):
+    import duckdb
+
+    from pagemill.llm.queries import ORACLE_SQL, op3_mix_sources
+
+    rows = [(k % 5, "w " * (k % 7), f"s{k % 3}") for k in range(700)] + [(99, "same text", "s4")] * 300 + [(100, None, None), (None, "x y", None), (None, "x y", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    df.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((tuple(r) for r in op3_mix_sources(spark, str(tmp_path)).collect()), key=repr)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = con.execute(ORACLE_SQL["op3_mix_sources"])
+    names = [d[0] for d in want.description]
+    assert names == ["doc_id", "size", "source_size", "target", "taken"]
+    assert got == sorted(want.fetchall(), key=repr)
+
+
 def test_nothing_to_take(spark):
     assert mix_sources(spark.createDataFrame([], SCHEMA)).collect() == []
     (r,) = mix_sources(spark.createDataFrame([(1, None, None, None, 0)], SCHEMA)).collect()
