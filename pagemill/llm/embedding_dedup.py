@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .cells import compare, distinct_cells, in_blocks
 from .components import connected_components
-from .tables import free_name, kept
+from .tables import free_name, join_by_id, join_groups, kept
 
 #: The probability that a pair just at the threshold shares no table.
 MISS = 1e-4
@@ -78,7 +78,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec
     bits, tables = shape(vectors.count(), threshold, miss)
     hashed = kept(_hashed(one, bits, tables, label_type))
     classes = kept(hashed.groupBy("label", "embedding").agg(F.min("id").alias("node"), F.count("*").alias("weight")))
-    of = kept(hashed.join(classes.where("weight > 1"), ["label", "embedding"], "left").select("id", F.coalesce("node", "id").alias("node"), F.coalesce("weight", F.lit(1)).alias("weight"), "label", "dim", "embedding", "signatures"))
+    rows = hashed.count()
+    of = kept(join_groups(hashed, classes.where("weight > 1"), ["label", "embedding"], "weight", rows, "left").select("id", F.coalesce("node", "id").alias("node"), F.coalesce("weight", F.lit(1)).alias("weight"), "label", "dim", "embedding", "signatures"))
     nodes = of.where("id = node")
     members = nodes.select("node", "label", "dim", F.posexplode("signatures").alias("rank", "signature")).select("node", F.struct("label", "dim", "signature").alias("key"), F.col("rank").cast("long"))
     blocks = in_blocks(distinct_cells(members)).join(nodes.select("node", "weight", "embedding"), "node")
@@ -94,13 +95,11 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec
     counts = met.groupBy("node").agg(F.sum("links").alias("links"))
     roots = connected_components(met.select(F.col("node").alias("a"), F.col("joined").alias("b")))
     result, component = free_name(vectors, "result_"), free_name(vectors, "id_")
-    found = (
-        of.select("id", "node", "weight")
-        .join(counts, "node", "left")
-        .join(roots, "node", "left")
-        .select(F.col("id").alias(component), F.struct((F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("component", "node").alias("c")).alias(result))
+    told = kept(nodes.select("node", "weight").join(counts, "node", "left").join(roots, "node", "left").select("node", "weight", "links", "component"))
+    found = join_groups(of.select("id", "node"), told, ["node"], "weight", rows).select(
+        F.col("id").alias(component), F.struct((F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("component", "node").alias("c")).alias(result)
     )
-    joined = vectors.join(found, F.col(id_col) == F.col(component), "left")
+    joined = join_by_id(vectors, found, id_col, component, result)
     root = F.coalesce(F.col(result)["c"], F.col(id_col).cast("long"))
     return joined.select(
         *vectors.columns, F.coalesce(F.col(result)["n"], F.lit(0)).alias("n_links"), root.alias("component_id"), F.coalesce(root == F.col(id_col), F.lit(True)).alias("kept")

@@ -14,7 +14,7 @@ from .bloom import likely_in
 from .cells import BLOCK, blocks_of, compare, distinct_cells, groups_of, in_pairs, met_here
 from .components import connected_components
 from .shingles import intersections, mix, shingle_sets
-from .tables import free_name, join_groups, kept
+from .tables import free_name, join_by_id, join_groups, kept
 
 #: Jaccard similarity of a link.
 THRESHOLD = 0.8
@@ -197,6 +197,28 @@ def near_texts(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc
     that have the name of a result are replaced by it.
     """
     docs = docs.drop("class_id", "n_links", "n_shingles")
+    result, key = free_name(docs, "result_"), free_name(docs, "id_")
+    told = near_classes(docs, threshold, id_col, text_col, small, depth, miss)
+    found = told.select(F.col("id").alias(key), F.struct("class_id", "n_links", "n_shingles").alias(result))
+    joined = join_by_id(docs, found, id_col, key, result)
+    r = F.col(result)
+    return joined.select(
+        *docs.columns, F.coalesce(r["class_id"], F.col(id_col).cast("long")).alias("class_id"), F.coalesce(r["n_links"], F.lit(0)).alias("n_links"), F.coalesce(r["n_shingles"], F.lit(0)).alias("n_shingles")
+    )
+
+
+def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
+    """The rows of docs that stay: of each class of near_texts those of its smallest id, and those without an id. Only rows that a Bloom filter of the
+    dropped ids lets pass are shuffled."""
+    gone = kept(near_classes(docs, id_col=id_col, text_col=text_col, **more).where("id <> class_id").select("id"))
+    key = free_name(docs, "id_")
+    likely, rest = likely_in(docs.where(F.col(id_col).isNotNull()).withColumn(key, F.col(id_col).cast("long")), [key], gone.withColumnRenamed("id", key))
+    stays = likely.join(gone.withColumnRenamed("id", key), key, "left_anti").unionByName(rest).select(*docs.columns)
+    return stays.unionByName(docs.where(F.col(id_col).isNull()))
+
+
+def near_classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", small: int = SMALL, depth: int = DEPTH, miss: float = MISS) -> DataFrame:
+    """(id, class_id, n_links, n_shingles) of the ids of docs, as near_texts has it; other columns take no part in any shuffle."""
     own = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     every = kept(_sets(own, runs_needed(threshold, depth, miss)))
     again = every.groupBy("id").count().where("count > 1")
@@ -233,13 +255,7 @@ def near_texts(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc
     met = kept(met)
     counts = met.groupBy("node").agg(F.sum("links").alias("links"))
     roots = connected_components(met.select(F.col("node").alias("a"), F.col("joined").alias("b")))
-    result, key = free_name(docs, "result_"), free_name(docs, "id_")
     told = kept(weights.join(counts, "node", "left").join(roots, "node", "left").select("node", "weight", "links", "component"))
-    found = join_groups(of.select("id", "node", "n"), told, ["node"], "weight", rows).select(
-        F.col("id").alias(key), F.struct((F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("component", "node").alias("c"), "n").alias(result)
-    )
-    joined = docs.join(found, F.col(id_col) == F.col(key), "left")
-    r = F.col(result)
-    return joined.select(
-        *docs.columns, F.coalesce(r["c"], F.col(id_col).cast("long")).alias("class_id"), F.coalesce(r["links"], F.lit(0)).alias("n_links"), F.coalesce(r["n"], F.lit(0)).alias("n_shingles")
+    return join_groups(of.select("id", "node", "n"), told, ["node"], "weight", rows).select(
+        "id", F.coalesce("component", "node").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.col("n").alias("n_shingles")
     )

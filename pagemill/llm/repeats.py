@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.folders import shared_folder
@@ -32,6 +32,8 @@ REACH = LENGTH - GRAM
 HOT, TOGETHER = 65536, 4096
 #: Strings of more contexts than this are compared in PARTS parts by their digests, one after another.
 WHOLE, PARTS = 8192, 16
+#: Bytes of a text whose spans are joined first.
+STRETCH = 4096
 #: Contexts of very common grams in a partition, about.
 IN_PART = 16384
 
@@ -214,7 +216,7 @@ def _reaching(edges: list[tuple]) -> dict[int, tuple[list[int], list[int]]]:
     return {p: (first[p], then[p]) for p in first}
 
 
-def _key_strings(rows: pa.Table, depths: list[tuple[list[int], list[int]]], side: str) -> Iterator[tuple[np.ndarray, ...]]:
+def _key_strings(rows: pa.Table, depths: list[tuple[list[int], list[int]]], side: str, anchored: bool = False) -> Iterator[tuple[np.ndarray, ...]]:
     """(row, delta, x, y), some rows at a time: for each row and each depth of an interval that it hangs in, a digest of the string of
     LENGTH bytes that begins delta bytes before the anchor. Contexts that share such a string part at a depth of both: it is theirs to find."""
     befores, afters = rows["before"].to_pylist(), rows["after"].to_pylist()
@@ -232,6 +234,12 @@ def _key_strings(rows: pa.Table, depths: list[tuple[list[int], list[int]]], side
             size += len(before) + len(after)
         if at:
             data, begins, deltas = np.frombuffer(b"".join(buffer), np.uint8), np.array(at), np.array(delta, np.int64)
+            if anchored:
+                parts = [_anchored(data, begins[k : k + 4096], begins[k : k + 4096] + LENGTH, deltas[k : k + 4096]) for k in range(0, len(begins), 4096)]
+                keep = np.concatenate(parts)
+                begins, deltas, row = begins[keep], deltas[keep], np.array(row)[keep]
+                if not len(begins):
+                    continue
             x = mix(range_hashes(data, begins, begins + LENGTH) + deltas.astype(np.uint64))
             y = mix(range_hashes(_OTHER[data], begins, begins + LENGTH) - deltas.astype(np.uint64))
             yield np.array(row), deltas, x, y
@@ -407,10 +415,13 @@ def _within(rows: DataFrame, twins: bool) -> DataFrame:
     return dealt.mapInArrow(run, "group long, gram long, context long, left int, right int")
 
 
-def _across(rows: DataFrame, side: str) -> DataFrame:
+def _across(rows: DataFrame, side: str, twins: bool = False) -> DataFrame:
     """(gram, context, delta, x, y): strings of rows of very common grams, dealt over partitions by range. An interval that reaches over
     the edge of a partition is known on both sides by the stacks that scans from either side leave there. No two rows have equal keys of
-    the range, so that it splits those of one string, and partitions grow in number rather than in size."""
+    the range, so that it splits those of one string, and partitions grow in number rather than in size.
+
+    With twins a context that occurs several times hangs in an interval of its own, as deep as it goes, and a string counts only if its anchor is
+    the least gram in it, so that all its occurrences have that anchor."""
     spark = rows.sparkSession
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
@@ -425,7 +436,11 @@ def _across(rows: DataFrame, side: str) -> DataFrame:
             return
         every = pa.Table.from_batches(some).combine_chunks()
         ahead, back = reaching[every["part"][0].as_py()]
-        for row, delta, x, y in _key_strings(every, _depths(every, side, list(ahead), list(back)), side):
+        depths = _depths(every, side, list(ahead), list(back))
+        if twins:
+            own = [len(s.as_py()) for s in every[side]]
+            depths = [(a, [*b, n]) if t > 1 else (a, b) for (a, b), n, t in zip(depths, own, every["times"].to_pylist(), strict=True)]
+        for row, delta, x, y in _key_strings(every, depths, side, anchored=twins):
             at = pa.array(row)
             columns = [every["gram"].combine_chunks().take(at), every["context"].combine_chunks().take(at), pa.array(delta.astype(np.int32)), pa.array(x.view(np.int64)), pa.array(y.view(np.int64))]
             yield pa.RecordBatch.from_arrays(columns, names=["gram", "context", "delta", "x", "y"])
@@ -463,37 +478,114 @@ def repeats_of(docs: DataFrame, hot: int = HOT, every: bool = False) -> tuple[Da
     groups = _within(rows_of(several.where(F.col("n") <= hot)), twins=every)
     common = several.where(F.col("n") > hot)
     if common.limit(1).count():
-        rows = kept(rows_of(common).drop("times"))
-        strings = kept(_across(rows, "after").unionByName(_across(rows, "before")).distinct())
-        again = kept(strings.groupBy("x", "y").agg(F.count("*").alias("n")).where("n > 1"))
+        rows = kept(rows_of(common) if every else rows_of(common).drop("times"))
+        strings = kept(_across(rows, "after", every).unionByName(_across(rows, "before", every)).distinct())
+        counted = strings.join(rows.select("gram", "context", "times"), ["gram", "context"]) if every else strings.withColumn("times", F.lit(1))
+        again = kept(counted.groupBy("x", "y").agg(F.sum("times").alias("n")).where("n > 1"))
         met = join_groups(strings, again, ["x", "y"], "n", strings.count())
         groups = groups.unionByName(met.select(F.col("x").alias("group"), *key, F.col("delta").alias("left"), (LENGTH - F.col("delta")).alias("right")))
     groups = kept(groups)
     leaves = contexts.where(F.col("times") > 1)
     if every:  # the others have met theirs by their twins
-        leaves = leaves.join(several.where(F.col("n") <= hot).select("gram"), "gram", "left_anti")
+        leaves = leaves.join(several.select("gram"), "gram", "left_anti")
     leaves = leaves.select(F.xxhash64(*key).alias("group"), *key, "times", F.col("at.before").cast("int").alias("left"), F.col("at.after").cast("int").alias("right"))
     # a context is in a bounded number of groups, so neither side of this join has a heavy key
     inner = groups.join(contexts.select(*key, "times"), key).select("group", *key, "times", "left", "right")
     return found.select("doc", "text_hash", "pos", *key), kept(leaves.where(F.col("left") + F.col("right") >= LENGTH).unionByName(inner))
 
 
+#: Bytes beyond a repeat that are compared at first, how much more each time, and the most.
+FIRST_CHUNK, CHUNK_GROWS, MOST_CHUNK = 1024, 8, 1 << 20
+
+
+def _chunks(wanted: DataFrame, size: int) -> DataFrame:
+    """(group, side, chunk) of (bytes, wanted: array of group, start, left, right): for each side of an occurrence that is still looked at
+    (-1 if not), the bytes beyond what is known to be shared before and from its start, size at most; those to the left are backwards."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for k in range(0, len(own), 1000):
+                    some = own[k : k + 1000]
+                    left = [(w["group"], False, text[max(0, w["start"] - w["left"] - size) : w["start"] - w["left"]][::-1]) for w in some if w["left"] >= 0]
+                    right = [(w["group"], True, text[w["start"] + w["right"] : w["start"] + w["right"] + size]) for w in some if w["right"] >= 0]
+                    rows = left + right
+                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.bool_(), pa.binary()))], names=["group", "side", "chunk"])
+
+    return wanted.mapInArrow(run, "group long, side boolean, chunk binary")
+
+
+def _common(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """The length of the common prefix of two strings each."""
+    for one, two in batches:
+        yield pa.array([next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b))) if a != b else len(a) for a, b in zip(one.to_pylist(), two.to_pylist(), strict=True)], pa.int64())
+
+
+def extended(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """(group, length, doc, start): the repeats found (group, doc, text_hash, start, stop) as far as all occurrences of each agree to the left and to
+    the right in the texts of docs (doc, text_hash, bytes), each of them once.
+
+    What all agree on is what the least and the greatest of the strings beyond them share, so a group's strings are pre-aggregated and never meet. Rounds
+    look at ever longer strings, only for the sides of groups that agreed on all before; what is added is compared byte by byte, and so is the
+    repeat itself. Repeats of the same occurrences, one for each anchor in it, become the same one: they have the same first
+    occurrence and length.
+    """
+    _common.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
+    common = F.arrow_udf(_common, "long")
+    sizes = kept(found.groupBy("group").agg(F.count("*").alias("n"), F.first(F.col("stop") - F.col("start")).alias("length")))
+    rows = found.count()
+    known = sizes.select("group", "n", "length", *[F.lit(0).cast("long").alias(c) for c in ("left", "right")], *[F.lit(True).alias(f"more_{c}") for c in ("left", "right")])
+    size = FIRST_CHUNK
+    done = None
+    while True:
+        # the right side begins at the repeat's own start, so the repeat is compared, too
+        asked = join_groups(found, known, ["group"], "n", rows)
+        looked = [F.when(F.col(f"more_{c}"), F.col(c)).otherwise(-1).alias(c) for c in ("left", "right")]
+        wanted = kept(asked.groupBy("doc", "text_hash").agg(F.collect_list(F.struct("group", "start", *looked)).alias("wanted")))
+        likely, _ = likely_in(docs, ["doc", "text_hash"], wanted)
+        chunks = _chunks(likely.join(wanted, ["doc", "text_hash"]).select("bytes", "wanted"), size)
+        ends = chunks.groupBy("group", "side").agg(F.min("chunk").alias("a"), F.max("chunk").alias("b")).select("group", "side", common("a", "b").alias("shared"))
+        told = ends.groupBy("group").agg(F.max(F.when(~F.col("side"), F.col("shared"))).alias("l"), F.max(F.when(F.col("side"), F.col("shared"))).alias("r"))
+        after = kept(
+            known.join(told, "group").select(
+                "group", "n", "length",
+                (F.col("left") + F.coalesce("l", F.lit(0))).alias("left"), (F.col("right") + F.coalesce("r", F.lit(0))).alias("right"),
+                F.coalesce(F.col("l") == size, F.lit(False)).alias("more_left"), F.coalesce(F.col("r") == size, F.lit(False)).alias("more_right"),
+            )
+        )
+        ended = after.where("NOT more_left AND NOT more_right")
+        done = ended if done is None else done.unionByName(ended)
+        known = after.where("more_left OR more_right")
+        if not known.limit(1).count():
+            break
+        size = min(size * CHUNK_GROWS, MOST_CHUNK)
+    done = kept(done.where("right >= length"))  # below that two strings had one digest
+    whole = join_groups(found, done, ["group"], "n", rows).select("group", (F.col("left") + F.col("right")).alias("size"), "doc", "text_hash", (F.col("start") - F.col("left")).alias("start"), "n")
+    named = kept(whole.groupBy("group").agg(F.count("*").alias("n"), F.min(F.struct("doc", "text_hash", "start")).alias("first"), F.first("size").alias("length")))
+    name = F.xxhash64("first.doc", "first.text_hash", "first.start", "length")
+    # of the groups that are the same repeat the occurrences of one are taken
+    one = named.select(name.alias("name"), "length", "n", "group").groupBy("name", "length").agg(F.min(F.struct("group", "n")).alias("g"))
+    chosen = kept(one.select("name", "length", "g.group", "g.n"))
+    return join_groups(whole.drop("n", "size"), chosen, ["group"], "n", rows).select(F.col("name").alias("group"), "length", "doc", "start")
+
+
 def maximal_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
-    """(group, length, id, start): repeats of LENGTH bytes or more, in UTF-8, each with all its occurrences and as long as they all agree, as far as
-    an anchor's context goes (REACH bytes before it, LENGTH after it).
+    """(group, length, id, start): repeats of LENGTH bytes or more, in UTF-8, of any length, each with all its occurrences: no byte more to the left or to
+    the right is the same in all of them.
 
-    There is one for each string of LENGTH bytes at which the tree of right or of left contexts branches, if the anchor is the least gram of
-    some LENGTH bytes of the repeat; strings with the same occurrences tell the same repeat. A longer repeat has one for each anchor in it. Repeats about a gram of more than hot different contexts are told
-    by such strings themselves, and there equal contexts that end with their texts stand apart. A null text or id takes no part; repeated rows count as one.
+    There is one for each string of LENGTH bytes at which the tree of right or of left contexts branches, if its anchor is the least gram of
+    some LENGTH bytes of it, as far as its occurrences agree; the same for grams of more than hot contexts, which are dealt over tasks. So a repeat is told unless
+    each such string in it occurs elsewhere, too; then longer lists of shorter repeats tell it. A null text or id takes no part; repeated rows count as one.
     """
     own = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.encode(F.col(text_col).cast("string"), "UTF-8").alias("bytes"))
     own = own.where(F.length("bytes") >= LENGTH).select("doc", F.hash("bytes").alias("text_hash"), "bytes")
+    own = own.distinct() if own.groupBy("doc", "text_hash").count().where("count > 1").limit(1).count() else own
     found, repeats = repeats_of(own, hot, every=True)
     key = ["gram", "context"]
     sized = kept(repeats.groupBy(*key).agg(F.max("times").alias("times"), F.collect_set(F.struct("group", "left", "right")).alias("all")))
     told = join_groups(found, sized, key, "times", found.count()).withColumn("g", F.explode("all"))
-    out = told.select("g.group", (F.col("g.left") + F.col("g.right")).alias("length"), F.col("doc").alias("id"), (F.col("pos") - F.col("g.left")).alias("start"))
-    return out.distinct()
+    at = told.select("g.group", "doc", "text_hash", (F.col("pos") - F.col("g.left")).cast("long").alias("start"), (F.col("pos") + F.col("g.right")).cast("long").alias("stop")).distinct()
+    return extended(own, kept(at)).withColumnRenamed("doc", "id").select("group", "length", "id", "start")
 
 
 def repeated_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
@@ -503,8 +595,21 @@ def repeated_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
     key = ["gram", "context"]
     told = kept(repeats.groupBy(*key).agg(F.max("times").alias("times"), F.max("left").alias("left"), F.max("right").alias("right")))
     hits = join_groups(found, told, key, "times", found.count())
+    # spans of one stretch of a text are joined before those of all its stretches meet: a periodic text has a span for each of its bytes
     span = F.struct((F.col("pos") - F.col("left")).alias("start"), (F.col("pos") + F.col("right")).alias("end"))
-    return kept(hits.groupBy("doc", "text_hash").agg(F.sort_array(F.collect_set(span)).alias("spans")))
+    stretch = hits.groupBy("doc", "text_hash", F.floor(F.col("pos") / STRETCH).alias("stretch")).agg(F.sort_array(F.collect_set(span)).alias("spans"))
+    return kept(stretch.groupBy("doc", "text_hash").agg(F.sort_array(F.flatten(F.collect_list(_joined(F.col("spans"))))).alias("spans")))
+
+
+def _joined(spans: Column) -> Column:
+    """Sorted spans joined where they meet."""
+
+    def step(acc: Column, s: Column) -> Column:
+        last = F.try_element_at(acc, F.lit(-1))
+        longer = F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end")))
+        return F.when((F.size(acc) > 0) & (s["start"] <= last["end"]), F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), longer)).otherwise(F.concat(acc, F.array(s)))
+
+    return F.aggregate(spans, F.array().cast("array<struct<start:int,end:int>>"), step)
 
 
 def merged(spans: list[dict] | None, size: int) -> list[tuple[int, int]]:

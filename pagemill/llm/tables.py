@@ -42,12 +42,18 @@ def free_name(df: DataFrame, name: str) -> str:
 MOST_HEAVY = 2048
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
-    """rows (total of them) joined with groups, which have one row a key and its number of rows in size.
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, how: str = "inner") -> DataFrame:
+    """rows (total of them) joined with groups, which have one row a key and its number of rows in size; how: inner, or left.
 
     Groups that hold more than a MOST_HEAVY-th of all rows are fewer than MOST_HEAVY, so they can be broadcast, and
     their rows stay where they are; the others meet in a shuffle in which no key is heavy. Both tables are read twice, so they should be kept.
     """
     heavy = F.broadcast(groups.where(F.col(size) * MOST_HEAVY > total))
     light = groups.where(F.col(size) * MOST_HEAVY <= total)
-    return rows.join(heavy, keys).unionByName(rows.join(heavy.select(*keys), keys, "left_anti").join(light, keys))
+    return rows.join(heavy, keys).unionByName(rows.join(heavy.select(*keys), keys, "left_anti").join(light, keys, how))
+
+
+def join_by_id(rows: DataFrame, found: DataFrame, id_col: str, key: str, result: str) -> DataFrame:
+    """rows with the result that found (key, result) has for their id, null where it has none. Rows without an id meet nothing and aren't shuffled."""
+    with_id = rows.where(F.col(id_col).isNotNull()).join(found, F.col(id_col) == F.col(key), "left").drop(key)
+    return with_id.unionByName(rows.where(F.col(id_col).isNull()).withColumn(result, F.lit(None).cast(found.schema[result].dataType)))

@@ -56,3 +56,37 @@ def test_one_id_with_different_vectors(spark):
     got = sorted((x.vec_id, x.n_links, x.component_id) for x in near_vectors(spark.createDataFrame([(*x, "i", "k") for x in rows], SCHEMA)).collect())
     # the greatest label and vector of an id stand for it: [1, 0] for 1, and label 1 for 3
     assert got == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 0, 3), (3, 0, 3)]
+
+
+def test_a_third_of_all_rows_in_one_class_is_no_task(spark, monkeypatch):
+    """Rows of a hot class stay where they are, whatever meets them: no partition of what is kept holds a third of the rows."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from pagemill.llm import embedding_dedup
+
+    r = random.Random(2)
+    n = 3000
+    rows = [(k, "a", [1.0, 2.0, 3.0, 4.0] if k % 3 == 0 else [r.gauss(0, 1) for _ in range(4)]) for k in range(n)] + [(None, "a", [1.0, 2.0, 3.0, 4.0])] * 500
+    df = spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>").repartition(12)
+    most = {}
+
+    def spy(rows_, *a, keep=embedding_dedup.kept):
+        if "id" in rows_.columns and "node" in rows_.columns:
+            counts = [x["count"] for x in rows_.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+            most[len(rows_.columns)] = (max(counts), sum(counts))
+        return keep(rows_, *a)
+
+    monkeypatch.setattr(embedding_dedup, "kept", spy)
+    for key, value in (("spark.sql.shuffle.partitions", "12"), ("spark.sql.adaptive.coalescePartitions.enabled", "false")):
+        spark.conf.set(key, value)
+    try:
+        found = embedding_dedup.near_vectors(df)
+        sizes = [x["count"] for x in found.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        got = {x.vec_id: x for x in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert most and all(m < total / 4 for m, total in most.values()) and max(sizes) < n / 4
+    assert all(got[k].n_links >= n // 3 - 1 and got[k].component_id == 0 for k in range(0, n, 3)) and (got[None].n_links, got[None].component_id) == (0, None)

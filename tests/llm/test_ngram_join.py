@@ -99,3 +99,17 @@ def test_one_id_with_different_texts(spark):
     got = sorted((r.doc_id, r.class_id, r.n_links, r.text or "") for r in near_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     # the greatest text of an id stands for it, and both of its rows get the result
     assert [x[:3] for x in got] == [(1, 1, 1), (1, 1, 1), (2, 2, 0), (3, 1, 1), (3, 1, 1)] and {x[3] for x in got} == {a, b, ""}
+
+
+def test_dropping_near_texts(spark):
+    """drop_near gives the rows that near_texts' classes keep, with every column and rows without an id."""
+    from pagemill.llm.ngram_join import drop_near, near_texts
+
+    words = [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join(words[: 40 + k % 7]) if k % 2 else f"other text {k} " * (k + 1), k % 3) for k in range(40)] + [(None, " ".join(words[:40]), 1), (None, None, 2), (7, "twice " * 9, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, id_ long")
+    want = near_texts(df).where("doc_id IS NULL OR doc_id = class_id").select(*df.columns)
+    got = drop_near(df)
+    order = lambda d: sorted(map(tuple, d.collect()), key=repr)
+    assert got.columns == df.columns and order(got) == order(want) and got.count() < df.count()
+    assert drop_near(df.where("false")).count() == 0

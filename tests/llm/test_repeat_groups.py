@@ -3,7 +3,8 @@ import random
 import pytest
 from test_repeats import words
 
-from pagemill.llm.repeats import LENGTH, REACH, maximal_repeats
+from pagemill.llm import repeats
+from pagemill.llm.repeats import LENGTH, maximal_repeats
 
 
 def corpus():
@@ -29,12 +30,11 @@ def test_groups_hold_all_occurrences_and_are_maximal(spark, hot):
         assert len(strings) == 1
         [string] = strings
         every = {(i, s) for i, b in data.items() for s in range(len(b) - n + 1) if b.startswith(string, s)}
-        assert len(own) == len(set(own)) and (set(own) == every if hot > 6 else set(own) <= every)
-        if hot > 6:  # it can't go on to either side, or has come to the end of what is looked at
-            before = {data[i][s - 1] if s else -1 - k for k, (i, s) in enumerate(own)}
-            after = {data[i][s + n] if s + n < len(data[i]) else -1 - k for k, (i, s) in enumerate(own)}
-            assert len(before) > 1 or len(after) > 1 or n >= LENGTH + 32
-            assert n <= LENGTH + REACH
+        assert len(own) == len(set(own)) and set(own) == every
+        # it can't go on to either side
+        before = {data[i][s - 1] if s else -1 - k for k, (i, s) in enumerate(own)}
+        after = {data[i][s + n] if s + n < len(data[i]) else -1 - k for k, (i, s) in enumerate(own)}
+        assert len(before) > 1 and len(after) > 1
     # each string of LENGTH bytes that occurs again lies within a repeat, wherever it occurs
     seen = {}
     for i, b in data.items():
@@ -49,3 +49,35 @@ def test_groups_hold_all_occurrences_and_are_maximal(spark, hot):
         for i, s in own if len(own) > 1 else ():
             want[i][s : s + LENGTH] = b"\1" * LENGTH
     assert marks == want
+
+
+@pytest.mark.parametrize("hot", [65536, 1])
+@pytest.mark.parametrize("first", [1024, 16])
+def test_a_long_passage_is_one_group(spark, monkeypatch, hot, first):
+    monkeypatch.setattr(repeats, "FIRST_CHUNK", first)
+    r = random.Random(8)
+    passage, copy = words(r, 1500), words(r, 9000)
+    rows = [(1, words(r, 300) + passage + words(r, 200)), (2, words(r, 90) + passage), (3, copy), (4, copy), (5, copy + "!"), (6, words(r, 500))]
+    told = maximal_repeats(spark.createDataFrame(rows, "doc_id long, text string"), hot=hot).collect()
+    groups = {}
+    for x in told:
+        groups.setdefault((x.group, x.length), set()).add((x.id, x.start))
+    n, m = len(passage.encode()), len(copy.encode())
+    at = {i: t.encode().index(passage.encode()) for i, t in rows[:2]}
+    # at the edges a byte may be shared by chance
+    [long] = [own for (_, k), own in groups.items() if n <= k < n + 8]
+    assert {i for i, _ in long} == {1, 2} and all(at[i] - 8 < s <= at[i] for i, s in long)
+    assert sorted(k for _, k in groups) == sorted([*(k for _, k in groups if n <= k < n + 8), m]) and len(groups) == 2
+    assert groups[next(g for g in groups if g[1] == m)] == {(3, 0), (4, 0), (5, 0)}
+
+
+def test_spans_of_a_periodic_text_are_joined_first(spark, monkeypatch):
+    from test_repeats import brute, run
+
+    rows = [(1, "ab" * 30_000), (2, "ab" * 150), (3, "x" * 500)]
+    seen = []
+    cut = repeats._joined
+    monkeypatch.setattr(repeats, "_joined", lambda spans: seen.append(1) or cut(spans))
+    got = run(spark, rows)
+    assert seen and [r[2:4] for r in got] == [(60_000, 1), (300, 1), (500, 1)]
+    assert run(spark, [(1, "ab" * 3000), (2, "ab" * 150)]) == brute([(1, "ab" * 3000), (2, "ab" * 150)])
