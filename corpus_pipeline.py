@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pagemill.llm.exact_dedup import exact_dedup
 from pagemill.llm.language import UNDETERMINED, identify_language
 from pagemill.llm.mixing import mix_sources
-from pagemill.llm.ngram_join import near_texts
+from pagemill.llm.ngram_join import drop_near
 from pagemill.llm.packing import pack
 from pagemill.llm.tables import kept, table
 from pagemill.plans.tables import spread
@@ -30,7 +30,7 @@ def drop_equal_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_near_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join: of each group of near texts the smallest doc_id stays; a row with a null doc_id is in no group."""
-    return near_texts(docs).where("doc_id IS NULL OR doc_id = class_id").select(*docs.columns)
+    return drop_near(docs).select(*docs.columns)
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
