@@ -14,13 +14,13 @@ from ..operators import ocr as O
 from ..operators import pages as P
 from ..operators.attempts import climbed
 from ..sources.extract import extract_texts, plain_text, registry
-from ..sources.folders import scratch_path
+from ..sources.folders import kept, scratch_path
 from ..sources.joblog import JobLog
 from ..sources.sinks import write_texts
 from ..streaming.jobs import follow_jobs, merge_requests, sink_batch, table_stream
 from . import tables as T
 from .queries import _ATTEMPTS, _BLOCKS, _CHUNKS, _FILES, _JOBS, _JOINED, _MESSAGES, _OVERLAY, _ROUTED, _STATUS, MIXED
-from .queries import _chunks, _decided, _overlaid, _processed, _sanitize, _sanitize_text, _trim, query
+from .queries import _decided, _overlaid, _processed, _sanitize, _sanitize_text, _trim, query
 
 #: Seconds that the image engine of timed_extraction may take.
 LIMIT = 1.5
@@ -86,11 +86,13 @@ def attempt_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def chunk_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcomes of chunks folded by file: one failed chunk fails the file's OCR, and then its native text stands, or the error."""
-    outcomes = _chunks(spark, sf_dir).withColumn("error", F.when((F.col("file_id") + F.col("first")) % 5 == 0, F.concat(F.lit("no raster of page "), F.col("first").cast("string"))))
+    decided = kept(_decided(spark, sf_dir).select("file_id", "page_number", "text", "should_ocr", "has_visual_content", "embedded_image_count", "table_count"))
+    chunks = P.selected_chunks(decided.where("should_ocr"))
+    outcomes = chunks.withColumn("error", F.when((F.col("file_id") + F.col("first")) % 5 == 0, F.concat(F.lit("no raster of page "), F.col("first").cast("string"))))
     errors = O.chunk_errors(outcomes)
     native = P.ordered_text(T.native_pages(spark, sf_dir), ["file_id"], "page_number", "text", "\n\n").withColumnRenamed("text", "native")
-    merged = P.ordered_text(_overlaid(spark, sf_dir), ["file_id"], "page_number", "text", "\n\n")
-    counts = P.page_counts(_decided(spark, sf_dir), "file_id").select("file_id", "ocr_pages")
+    merged = P.ordered_text(_overlaid(spark, sf_dir, decided), ["file_id"], "page_number", "text", "\n\n")
+    counts = P.page_counts(decided, "file_id").select("file_id", "ocr_pages")
     told = merged.join(counts, "file_id").join(native, "file_id", "left").join(errors, "file_id", "left").fillna(0, ["chunks", "failed_chunks"])
     result = P.mixed_result(F.coalesce("native", F.lit("")), F.col("text"), F.col("ocr_pages"), F.col("ocr_error"))
     return told.withColumn("r", result).select("file_id", "chunks", "failed_chunks", "r.value", "r.error")

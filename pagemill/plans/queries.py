@@ -17,7 +17,7 @@ from ..operators import messages as M
 from ..operators import ocr as O
 from ..operators import pages as P
 from ..operators import sheets as S
-from ..sources.folders import scratch_path
+from ..sources.folders import kept, scratch_path
 from ..streaming.jobs import hourly_counts, run_once, table_stream
 from . import tables as T
 
@@ -317,8 +317,8 @@ _OVERLAY = (
 )
 
 
-def _overlaid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _decided(spark, sf_dir)
+def _overlaid(spark: SparkSession, sf_dir: str, decided: DataFrame | None = None) -> DataFrame:
+    pages = _decided(spark, sf_dir) if decided is None else decided
     # the recogniser is asked for selected pages alone
     ocr = T.ocr_texts(spark, sf_dir).join(pages.where("should_ocr").select("file_id", "page_number"), ["file_id", "page_number"], "left_semi")
     return P.ocr_overlay(pages, ocr)
@@ -344,8 +344,8 @@ _BUDGET = """, requests_ AS (SELECT file_id // 10 AS job_id, file_id AS file_ord
     )"""
 
 
-def _budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = P.page_counts(_decided(spark, sf_dir), "file_id")
+def _budget(spark: SparkSession, sf_dir: str, decided: DataFrame | None = None) -> DataFrame:
+    counts = P.page_counts(_decided(spark, sf_dir) if decided is None else decided, "file_id")
     requests = counts.select(F.floor(F.col("file_id") / 10).alias("job_id"), F.col("file_id").alias("file_order"), "ocr_pages")
     return P.reserve_pages(requests, 20)
 
@@ -369,10 +369,12 @@ def ocr_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM counts_ c JOIN fold_ f ON f.file_order = c.file_id JOIN merged_ m ON m.file_id = c.file_id"""
 )
 def mixed_page_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole flow page by page: spine, diagnostics, choice of pages, budget of a job, overlay and merged text, or the error."""
-    counts = P.page_counts(_decided(spark, sf_dir), "file_id").select("file_id", "total_pages", "ocr_pages")
-    budget = _budget(spark, sf_dir).select(F.col("file_order").alias("file_id"), "accepted", "remaining")
-    merged = P.ordered_text(_overlaid(spark, sf_dir), ["file_id"], "page_number", "text", "\n\n")
+    """The whole flow page by page: spine, diagnostics, choice of pages, budget of a job, overlay and merged text, or the error. What is decided of pages
+    is computed once and kept."""
+    decided = kept(_decided(spark, sf_dir).select("file_id", "page_number", "text", "should_ocr", "has_visual_content", "embedded_image_count", "table_count"))
+    counts = P.page_counts(decided, "file_id").select("file_id", "total_pages", "ocr_pages")
+    budget = _budget(spark, sf_dir, decided).select(F.col("file_order").alias("file_id"), "accepted", "remaining")
+    merged = P.ordered_text(_overlaid(spark, sf_dir, decided), ["file_id"], "page_number", "text", "\n\n")
     error = F.coalesce(P.page_limit_error(F.col("total_pages"), 7), P.budget_error(F.col("ocr_pages"), F.col("remaining"), F.col("accepted")))
     told = counts.join(budget, "file_id").join(merged, "file_id").withColumn("error", error)
     return told.select("file_id", "total_pages", "ocr_pages", "error", F.when(F.col("error").isNull(), X.sanitize(F.col("text"))).alias("text"))
