@@ -5,20 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.folders import scratch_path
-
-
-def kept(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
-    """df written as Parquet in the shared folder and read again: its lineage ends here, and a lost executor takes none of it.
-
-    It stays until the end of the scratch() that it is made in, if any."""
-    spark = df.sparkSession
-    path = scratch_path(spark, "tables")
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..sources.folders import kept  # noqa: F401  the operators take it from here
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -2,6 +2,7 @@ import pytest
 
 import corpus_pipeline
 from pagemill.llm.queries import ORACLE_SQL, QUERIES
+from pagemill.llm.tables import kept
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
@@ -22,7 +23,7 @@ def test_pipeline_stages(spark, sf):
     steps = {}
     for name, stage in corpus_pipeline.STAGES:
         before = docs
-        docs = corpus_pipeline.kept(stage(spark, docs, sf))
+        docs = kept(stage(spark, docs, sf))
         steps[name] = (before, docs)
     ids = lambda df: sorted(r.doc_id for r in df.select("doc_id").collect())
     before, after = steps["language id"]
