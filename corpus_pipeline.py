@@ -10,8 +10,9 @@ from pagemill.llm.language import UNDETERMINED, identify_language
 from pagemill.llm.mixing import mix_sources
 from pagemill.llm.ngram_join import drop_near
 from pagemill.llm.packing import pack
-from pagemill.llm.tables import kept, table
+from pagemill.llm.tables import table
 from pagemill.plans.tables import spread
+from pagemill.sources.folders import remove, scratch, scratch_path
 
 #: A document whose pooled language probability is below this is in none of the learnt languages.
 LEAST_SCORE = 0.4
@@ -56,9 +57,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over documents, each one's rows written before the next reads them. What a stage keeps on its way, and the rows that it was given, are
+    removed when its own are written; those of the last one stay, as its rows are read later."""
     docs = spread(table(spark, sf_dir, "documents"))
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = kept(docs)
-    return docs
+    before = None
+    for _, stage in STAGES[:-1]:
+        path = scratch_path(spark, "pipeline")
+        with scratch(spark):
+            rows = stage(spark, docs, sf_dir)
+            rows.write.parquet(path)
+        docs = spark.read.schema(rows.schema).parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -32,3 +32,24 @@ def test_what_is_kept_in_a_scope_is_removed(spark):
             raise ValueError
         assert not os.path.exists(nested.removeprefix("file://")) and spark.read.parquet(inside).count() == 3
     assert not os.path.exists(inside.removeprefix("file://")) and spark.read.parquet(outside).count() == 3
+
+
+def test_threads_have_scopes_of_their_own(spark):
+    from concurrent.futures import ThreadPoolExecutor
+    from threading import Barrier
+
+    both = Barrier(2)
+
+    def one(k):
+        with scratch(spark):
+            path = scratch_path(spark, "tables")
+            spark.range(k + 1).write.parquet(path)
+            both.wait(60)
+            if k:  # the other scope ends first
+                both.wait(60)
+                return spark.read.parquet(path).count()
+        both.wait(60)
+        return os.path.exists(path.removeprefix("file://"))
+
+    with ThreadPoolExecutor(2) as pool:
+        assert list(pool.map(one, range(2))) == [False, 2]
