@@ -8,15 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Limits, OcrKnobs
+from ..functions.ocr_score import pages_in_probe, rotation_angles, version_in_probe
 from ..operators import jobs as J
 from ..operators import messages as M
 from ..operators import ocr as O
 from ..operators import pages as P
 from ..operators.attempts import climbed
-from ..sources.extract import extract_texts, plain_text, registry
+from ..sources.engines import extract_pages, probe_files, recognise_pages
+from ..sources.extract import extract_sheets, extract_texts, plain_text, registry
 from ..sources.folders import kept, scratch_path
 from ..sources.joblog import JobLog
-from ..sources.sinks import write_texts
+from ..sources.ladder import Rung
+from ..sources.readers import list_outputs, read_job_files
+from ..sources.sinks import write_files, write_texts
 from ..streaming.jobs import follow_jobs, merge_requests, sink_batch, table_stream
 from . import tables as T
 from .queries import _ATTEMPTS, _BLOCKS, _CHUNKS, _FILES, _JOBS, _JOINED, _MESSAGES, _OVERLAY, _ROUTED, _STATUS, MIXED
@@ -177,3 +181,169 @@ def written_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_texts(M.assembled(_processed(spark, sf_dir), T.NOW_MS, "files.example.com").select("conversation_id", "text"), path, T.NOW_MS)
     files = spark.read.text(path, wholetext=True, pathGlobFilter="*.txt", recursiveFileLookup=True).select("value", F.split(F.input_file_name(), "/").alias("parts"))
     return files.select(F.element_at("parts", -2).alias("conversation_id"), F.element_at("parts", -1).alias("file_name"), F.sha2("value", 256).alias("text_sha256"))
+
+
+_TURN_FILES = """turns_ AS (SELECT 't-' || conv_id || '-' || turn AS file_id, CASE WHEN turn % 2 = 0 THEN text ELSE replace(text, chr(10), chr(10) || chr(10)) END AS raw FROM conversations),
+    books_ AS (SELECT 'b-' || c_custkey // 50 AS file_id, count(*) AS n, string_agg(c_name || chr(9) || c_custkey || chr(9) || c_mktsegment, chr(10) ORDER BY c_custkey) AS body FROM customer GROUP BY 1),
+    raw_ AS (SELECT file_id, raw FROM turns_ UNION ALL SELECT file_id, '=== ARQUIVO EXCEL ===' || chr(10) || 'Resumo: Planilha Excel com 1 aba(s): Clientes' || chr(10) || 'Total de abas: 1' || chr(10)
+        || 'Total de células: ' || 3 * n || chr(10) || chr(10) || '=== ABA 1: Clientes ===' || chr(10) || body || chr(10) || chr(10) FROM books_)"""
+
+
+@query(f"WITH {_TURN_FILES} SELECT file_id, {_sanitize('raw')} AS value, CAST(NULL AS VARCHAR) AS error FROM raw_")
+def extracted_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text files, word-processing documents and workbooks read by the extractors of their kinds."""
+    return extract_texts(T.staged_files(spark, sf_dir), registry()).select("file_id", "value", "error")
+
+
+@query("SELECT 'b-' || c_custkey // 50 AS file_id, row_number() OVER (PARTITION BY c_custkey // 50 ORDER BY c_custkey) - 1 AS row_index, 'Clientes' AS sheet, c_name || '|' || c_custkey || '|' || c_mktsegment AS cells FROM customer")
+def workbook_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of workbooks as their files hold them."""
+    books = T.staged_files(spark, sf_dir).where("extractor = 'xlsx'")
+    return extract_sheets(books).select("file_id", F.col("row_index").cast("long").alias("row_index"), "sheet", F.array_join("cells", "|").alias("cells"))
+
+
+def _paged_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """file_id, content: the turns of a conversation as the pages of a file, a form feed between them; every ninth file can't be read."""
+    listed = F.array_sort(F.collect_list(F.struct("page_number", "text")))
+    text = F.array_join(F.transform(listed, lambda p: p["text"]), "\f")
+    files = T.native_pages(spark, sf_dir).groupBy("file_id").agg(text.alias("text"))
+    return files.select("file_id", F.encode(F.when(F.col("file_id") % 9 == 4, "broken").otherwise(F.col("text")), "UTF-8").alias("content"))
+
+
+def _pages_of(content: bytes) -> list[tuple[str, int, int]]:
+    if content == b"broken":
+        raise ValueError("no pages")
+    return [(t, t.count("la"), t.count("en") // 5) for t in content.decode().split("\f")]
+
+
+@query(
+    """SELECT conv_id AS file_id, turn + 1 AS page_number, sha256(text) AS text_sha256, (length(text) - length(replace(text, 'la', ''))) // 2 AS embedded_image_count,
+    (length(text) - length(replace(text, 'en', ''))) // 2 // 5 AS table_count, max(turn + 1) OVER (PARTITION BY conv_id) AS total_pages, CAST(NULL AS VARCHAR) AS error FROM conversations WHERE conv_id % 9 <> 4
+    UNION ALL SELECT DISTINCT conv_id, NULL, NULL, NULL, NULL, NULL, 'no pages' FROM conversations WHERE conv_id % 9 = 4"""
+)
+def engine_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an engine of pages tells of each page of files; those that it fails on are a row with the error."""
+    told = extract_pages(_paged_files(spark, sf_dir), _pages_of)
+    return told.select("file_id", *[F.col(c).cast("long").alias(c) for c in ("page_number", "embedded_image_count", "table_count", "total_pages")], F.sha2("text", 256).alias("text_sha256"), "error")
+
+
+@query("SELECT conv_id AS file_id, conv_id % 9 <> 4 AS valid, CASE WHEN conv_id % 9 = 4 THEN 0 ELSE max(turn + 1) END AS page_count FROM conversations GROUP BY conv_id")
+def file_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a probe finds a file sound, and its number of pages."""
+    return probe_files(_paged_files(spark, sf_dir), lambda content: (True, len(_pages_of(content))))
+
+
+#: Bytes of a page of the files that recognised_pages reads.
+PAGE_BYTES = 8192
+
+
+def _raster(file, first: int, last: int) -> list[bytes]:
+    """Pages first to last of a file of pages of one size, and nothing else of it."""
+    pages = []
+    for page in range(first, last + 1):
+        file.seek((page - 1) * PAGE_BYTES)
+        pages.append(file.read(PAGE_BYTES))
+    if any(page.startswith(b"X") for page in pages):
+        raise ValueError("no raster")
+    return pages
+
+
+def _recogniser(image: bytes, rung: Rung) -> str:
+    """Every word of a page in a line for each of its lines; a look at a prepared image is surer."""
+    if rung.label == "orig" and image.startswith(b"E"):
+        raise ValueError("no reading")
+    sure = 60 if rung.label == "orig" else 90
+    lines = image.decode().rstrip(" ").split("\n")
+    return "\n".join("\t".join(["5", "1", "1", "1", str(k), "0", "0", "0", "9", "9", str(sure), w]) for k, line in enumerate(lines) for w in line.split(" ") if w)
+
+
+_WORDS = r"array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda l: trim(regexp_replace(l, ' +', ' ', 'g'))), lambda l: l <> ''), chr(10))"
+
+
+@query(
+    f"""WITH pages_ AS (SELECT conv_id AS file_id, turn + 1 AS page_number, turn // 2 AS chunk, text, starts_with(text, 'X') AS fails, starts_with(text, 'E') AS unread, {_WORDS} AS read FROM conversations),
+    counted_ AS (SELECT *, bool_or(fails) OVER (PARTITION BY file_id, chunk) AS broken, len(string_split(replace(read, chr(10), ' '), ' ')) AS n FROM pages_)
+    SELECT file_id, page_number, read AS text, 90.0::DOUBLE AS confidence, CAST(n AS BIGINT) AS words, 'prep' AS rung, 2 AS attempts, CAST(NULL AS VARCHAR) AS error FROM counted_ WHERE NOT broken AND NOT unread AND read <> ''
+    UNION ALL SELECT DISTINCT file_id, NULL::BIGINT, NULL, NULL, NULL, NULL, NULL, 'no raster' FROM counted_ WHERE broken GROUP BY file_id, chunk
+    UNION ALL SELECT file_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM counted_ WHERE NOT broken GROUP BY file_id, chunk HAVING bool_and(unread OR read = '')"""
+)
+def recognised_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages recognised chunk by chunk: tasks read the files' ranges by path, look twice at each page, and chunks that fail are told."""
+    path = scratch_path(spark, "files")
+    pages = T.native_pages(spark, sf_dir)
+    padded = F.rpad(F.encode("text", "UTF-8"), PAGE_BYTES, F.encode(F.lit(" "), "UTF-8"))
+    files = pages.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("page_number", padded.alias("page")))).alias("p"), F.max("page_number").alias("last"))
+    text = F.decode(F.aggregate("p", F.encode(F.lit(""), "UTF-8"), lambda acc, x: F.concat(acc, x["page"])), "UTF-8")
+    write_files(files.select(F.concat(F.col("file_id").cast("string"), F.lit(".bin")).alias("name"), text.alias("text")), path)
+    chunks = pages.groupBy("file_id", F.floor((F.col("page_number") - 1) / 2).alias("k")).agg(F.min("page_number").alias("first"), F.max("page_number").alias("last"))
+    asked = chunks.select("file_id", F.concat(F.lit(f"{path}/"), F.col("file_id").cast("string"), F.lit(".bin")).alias("path"), "first", "last")
+    return recognise_pages(asked, _raster, _recogniser, lambda image, rung: image).select("file_id", "page_number", "text", "confidence", "words", "rung", "attempts", "error")
+
+
+@query(
+    _JOBS
+    + """, users_ AS (SELECT user_id, arg_max(status, (created_ms, id)) AS status, max(created_ms) AS created_ms, md5('job-' || user_id) AS h FROM jobs_ GROUP BY user_id)
+    SELECT h[1:8] || '-' || h[9:12] || '-4' || h[14:16] || '-a' || h[18:20] || '-' || h[21:32] AS id, status, created_ms FROM users_"""
+)
+def job_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records written as a JSON file each and read from the folder again."""
+    path = scratch_path(spark, "jobs")
+    h = F.md5(F.concat(F.lit("job-"), F.col("user_id").cast("string")))
+    own = F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("4"), F.substring(h, 14, 3)), F.concat(F.lit("a"), F.substring(h, 18, 3)), F.substring(h, 21, 12))
+    users = T.job_records(spark, sf_dir).groupBy("user_id").agg(F.max_by("status", F.struct("created_ms", "id")).alias("status"), F.max("created_ms").alias("created_ms"))
+    record = users.select(own.alias("id"), "status", "created_ms")
+    write_files(record.select(F.concat("id", F.lit(".json")).alias("name"), F.to_json(F.struct("id", "status", "created_ms")).alias("text")), path)
+    return read_job_files(spark, path).select("id", "status", "created_ms")
+
+
+@query(
+    f"""WITH {_FILES} SELECT conversation_id, conversation_id || '-{T.NOW_MS}.txt' AS file_name FROM files_ GROUP BY conversation_id"""
+)
+def output_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files in a folder of outputs."""
+    path = scratch_path(spark, "texts")
+    write_texts(T.message_files(spark, sf_dir).groupBy("conversation_id").agg(F.min("html").alias("text")), path, T.NOW_MS)
+    return list_outputs(spark, path)
+
+
+@query(
+    r"""WITH h_ AS (SELECT page_id, md5(url) AS h FROM pages), ids_ AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32]
+        WHEN 1 THEN upper(h[1:8] || '-' || h[9:12] || '-4' || h[14:16] || '-9' || h[18:20] || '-' || h[21:32]) WHEN 2 THEN h WHEN 3 THEN h[1:8] || '-' || h[9:12] || '-1' || h[14:16] || '-b' || h[18:20] || '-' || h[21:32] || 'x' ELSE '' END AS id FROM h_)
+    SELECT page_id, regexp_full_match(id, '(?i)[0-9a-f]{8}-[0-9a-f]{4}-[1-5][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}') AS valid FROM ids_"""
+)
+def job_id_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which strings are ids of jobs."""
+    h, kind = F.md5("url"), F.col("page_id") % 5
+    part = lambda *p: F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), *p, F.substring(h, 21, 12))
+    plain = part(F.substring(h, 13, 4), F.substring(h, 17, 4))
+    four = F.upper(part(F.concat(F.lit("4"), F.substring(h, 14, 3)), F.concat(F.lit("9"), F.substring(h, 18, 3))))
+    longer = F.concat(part(F.concat(F.lit("1"), F.substring(h, 14, 3)), F.concat(F.lit("b"), F.substring(h, 18, 3))), F.lit("x"))
+    own = F.when(kind == 0, plain).when(kind == 1, four).when(kind == 2, h).when(kind == 3, longer).otherwise("")
+    return T.table(spark, sf_dir, "pages").select("page_id", J.valid_job_id(own).alias("valid"))
+
+
+@query(
+    r"""WITH told_ AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'Title: x' || chr(10) || 'Pages:   ' || page_id || chr(10) || 'poppler 22.' || page_id || '.0' WHEN 1 THEN 'Pages: none' WHEN 2 THEN 'version 1.2' ELSE 'Pages: ' || page_id || ' Pages: 7 0.1.2 3.4.5' END AS out,
+        ['90,270', ' 180 , 90deg,90,x', '45,,360', '270,180,-90'][1 + page_id % 4] AS setting FROM pages)
+    SELECT page_id, TRY_CAST(nullif(regexp_extract(out, 'Pages:\s+(\d+)', 1), '') AS INTEGER) AS pages, nullif(regexp_extract(out, '(\d+\.\d+\.\d+)', 1), '') AS version,
+    ['90,270', '180,90', '', '270,180'][1 + page_id % 4] AS angles FROM told_"""
+)
+def probe_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page counts and versions in what probes print, and the quarter turns that settings name."""
+    page, kind = F.col("page_id").cast("string"), F.col("page_id") % 4
+    out = (
+        F.when(kind == 0, F.concat(F.lit("Title: x\nPages:   "), page, F.lit("\npoppler 22."), page, F.lit(".0")))
+        .when(kind == 1, "Pages: none").when(kind == 2, "version 1.2").otherwise(F.concat(F.lit("Pages: "), page, F.lit(" Pages: 7 0.1.2 3.4.5")))
+    )
+    setting = F.element_at(F.array(*map(F.lit, ("90,270", " 180 , 90deg,90,x", "45,,360", "270,180,-90"))), (kind + 1).cast("int"))
+    return T.table(spark, sf_dir, "pages").select("page_id", pages_in_probe(out).alias("pages"), version_in_probe(out).alias("version"), F.array_join(rotation_angles(setting), ",").alias("angles"))
+
+
+@query(
+    """SELECT page_id, CASE page_id % 3 WHEN 0 THEN '{"name":"TypeError","message":"page ' || page_id || '","stack":"at ' || page_id || '"}' WHEN 1 THEN '{"name":"Error","message":"page ' || page_id || '"}'
+    ELSE '{"value":"page ' || page_id || '"}' END AS json FROM pages"""
+)
+def errors_as_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    page, kind = F.col("page_id").cast("string"), F.col("page_id") % 3
+    told = J.error_json(F.when(kind == 0, "TypeError").when(kind == 1, "Error"), F.concat(F.lit("page "), page), F.when(kind == 0, F.concat(F.lit("at "), page)))
+    return T.table(spark, sf_dir, "pages").select("page_id", told.alias("json"))

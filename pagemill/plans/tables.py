@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+from collections.abc import Iterator
+from xml.sax.saxutils import escape
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -193,3 +199,46 @@ def odd_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("page_id") % 8
     url = F.coalesce(*[F.when(kind == k, v) for k, v in odd.items()], u)
     return table(spark, sf_dir, "pages").select("page_id", url.alias("url"))
+
+
+def staged_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """file_id, extractor, content: the lines of a turn as the bytes of a text file or of a word-processing document, and rows of customers as workbooks."""
+    turns = table(spark, sf_dir, "conversations").select(F.concat_ws("-", F.lit("t"), "conv_id", "turn").alias("file_id"), F.when(F.col("turn") % 2 == 0, "txt").otherwise("docx").alias("extractor"), F.split("text", "\n").alias("rows"))
+    cells = F.concat_ws("\t", "c_name", F.col("c_custkey").cast("string"), "c_mktsegment")
+    books = table(spark, sf_dir, "customer").groupBy(F.floor(F.col("c_custkey") / 50).alias("book")).agg(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", cells.alias("cells")))), lambda x: x["cells"]).alias("rows"))
+    every = turns.unionByName(books.select(F.concat(F.lit("b-"), F.col("book").cast("string")).alias("file_id"), F.lit("xlsx").alias("extractor"), "rows"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            content = [FILE_BYTES[kind](list(rows)) for kind, rows in zip(batch["extractor"], batch["rows"], strict=True)]
+            yield pd.DataFrame({"file_id": batch["file_id"], "extractor": batch["extractor"], "content": content})
+
+    return spread(every).mapInPandas(run, "file_id string, extractor string, content binary")
+
+
+def _zipped(parts: dict[str, str]) -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, text in parts.items():
+            z.writestr(name, text)
+    return out.getvalue()
+
+
+def _docx(rows: list[str]) -> bytes:
+    body = "".join(f"<w:p><w:r><w:t>{escape(x)}</w:t></w:r></w:p>" for x in rows)
+    return _zipped({"word/document.xml": f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{body}</w:body></w:document>'})
+
+
+def _xlsx(rows: list[str]) -> bytes:
+    cells = lambda k, x: "".join(f'<c r="{"ABC"[i]}{k}" t="inlineStr"><is><t>{escape(v)}</t></is></c>' for i, v in enumerate(x.split("\t")))
+    sheet = "".join(f"<row>{cells(k, x)}</row>" for k, x in enumerate(rows, 1))
+    return _zipped(
+        {
+            "xl/workbook.xml": '<workbook xmlns:r="http://r"><sheets><sheet name="Clientes" sheetId="1" r:id="r1"/></sheets></workbook>',
+            "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>',
+            "xl/worksheets/sheet1.xml": f"<worksheet><sheetData>{sheet}</sheetData></worksheet>",
+        }
+    )
+
+
+FILE_BYTES = {"txt": lambda rows: "\n".join(rows).encode(), "docx": _docx, "xlsx": _xlsx}

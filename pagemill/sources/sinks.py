@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyarrow import fs
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
@@ -21,11 +21,18 @@ SAFE_ID = r"^[A-Za-z0-9][A-Za-z0-9._-]*$"
 
 def write_texts(texts: DataFrame, path: str, run_ms: int) -> None:
     """The text of each conversation of texts (conversation_id, text) as {conversation}/{conversation}-{run_ms}.txt under path; rows with an unsafe id
-    aren't written. Tasks write the files under their names; of a conversation's further rows the names end in -1, -2 and so on."""
-    texts.sparkSession.dataSource.register(TextFiles)
-    safe = texts.where(F.col("conversation_id").rlike(SAFE_ID)).select("conversation_id", F.coalesce("text", F.lit("")).alias("text"))
-    dealt = safe.repartition("conversation_id").sortWithinPartitions("conversation_id", "text")
-    dealt.write.format(TextFiles.name()).mode("append").option("run_ms", run_ms).save(path)
+    aren't written. Of a conversation's further rows the names end in -1, -2 and so on."""
+    safe = texts.where(F.col("conversation_id").rlike(SAFE_ID))
+    k = F.row_number().over(Window.partitionBy("conversation_id").orderBy("text")) - 1
+    more = F.when(k > 0, F.concat(F.lit("-"), k.cast("string"))).otherwise("")
+    c = F.col("conversation_id")
+    write_files(safe.select(F.concat(c, F.lit("/"), c, F.lit(f"-{run_ms}"), more, F.lit(".txt")).alias("name"), "text"), path)
+
+
+def write_files(files: DataFrame, path: str) -> None:
+    """files (name, text) as files of UTF-8 text under path, written by tasks under their names; a null text is empty. Names must be safe and differ."""
+    files.sparkSession.dataSource.register(NamedFiles)
+    files.select("name", F.coalesce("text", F.lit("")).alias("text")).write.format(NamedFiles.name()).mode("append").save(path)
 
 
 def opened(path: str) -> tuple[fs.FileSystem, str]:
@@ -33,15 +40,15 @@ def opened(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if ":" in path.split("/")[0] else (fs.LocalFileSystem(), path)
 
 
-class TextFiles(DataSource):
-    """A sink of text files that are named after their conversation and the run."""
+class NamedFiles(DataSource):
+    """A sink of text files whose names are a column."""
 
     @classmethod
     def name(cls) -> str:
-        return "conversation_texts"
+        return "named_files"
 
-    def writer(self, schema: StructType, overwrite: bool) -> TextWriter:
-        return TextWriter(self.options["path"], int(self.options["run_ms"]))
+    def writer(self, schema: StructType, overwrite: bool) -> FileWriter:
+        return FileWriter(self.options["path"])
 
 
 @dataclass
@@ -49,32 +56,30 @@ class Written(WriterCommitMessage):
     files: list[str]
 
 
-class TextWriter(DataSourceWriter):
+class FileWriter(DataSourceWriter):
     """Each task writes its files beside their places and moves each there when it is whole, so that a task that failed leaves no part of a text under
-    its name, and one that runs again replaces its own. Names depend on the rows alone. When the job fails, what tasks tell to have written goes."""
+    its name, and one that runs again replaces its own. When the job fails, what tasks tell to have written goes."""
 
-    def __init__(self, path: str, run_ms: int):
-        self.path, self.run_ms = path.rstrip("/"), run_ms
+    def __init__(self, path: str):
+        self.path = path.rstrip("/")
 
     def write(self, rows: Iterator[Row]) -> Written:
         system, root = opened(self.path)
         done: list[str] = []
-        before, k = None, 0
         for row in rows:
-            conversation, text = row["conversation_id"], row["text"]
-            before, k = conversation, k + 1 if conversation == before else 0
-            name = f"{conversation}/{conversation}-{self.run_ms}{f'-{k}' if k else ''}.txt"
-            draft = f"{root}/{conversation}/.{uuid.uuid4().hex}"
-            system.create_dir(f"{root}/{conversation}", recursive=True)
+            place = f"{root}/{row['name']}"
+            folder = place.rpartition("/")[0]
+            draft = f"{folder}/.{uuid.uuid4().hex}"
+            system.create_dir(folder, recursive=True)
             try:
                 with system.open_output_stream(draft) as out:
-                    out.write(text.encode())
-                system.move(draft, f"{root}/{name}")
+                    out.write(row["text"].encode())
+                system.move(draft, place)
             except BaseException:
                 with contextlib.suppress(OSError):
                     system.delete_file(draft)
                 raise
-            done.append(name)
+            done.append(row["name"])
         return Written(done)
 
     def commit(self, messages: list[Written | None]) -> None:

@@ -180,13 +180,13 @@ def test_texts_under_their_names(spark, tmp_path):
 
 
 def test_a_task_that_failed_leaves_no_part(tmp_path):
-    writer = sinks.TextWriter(str(tmp_path), 5)
+    writer = sinks.FileWriter(str(tmp_path))
 
     def rows(broken):
-        yield {"conversation_id": "a", "text": "first"}
+        yield {"name": "a/a-5.txt", "text": "first"}
         if broken:
             raise RuntimeError("lost")
-        yield {"conversation_id": "b", "text": "second"}
+        yield {"name": "b/b-5.txt", "text": "second"}
 
     with pytest.raises(RuntimeError):
         writer.write(rows(True))
@@ -195,7 +195,7 @@ def test_a_task_that_failed_leaves_no_part(tmp_path):
     writer.abort([told, None])
     assert not [p for p in tmp_path.rglob("*") if p.is_file()]
     with pytest.raises(AttributeError):
-        writer.write(iter([{"conversation_id": "a", "text": 5}]))
+        writer.write(iter([{"name": "a/a-5.txt", "text": 5}]))
     assert not [p for p in tmp_path.rglob("*") if p.is_file()]
 
 
