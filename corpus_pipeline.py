@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,15 +20,26 @@ from pagemill.sources.folders import remove, scratch, scratch_path
 LEAST_SCORE = 0.4
 
 
+#: What the operators read of a document. Its other columns go with it in one struct, so that none meets a result of its name.
+READ = ("doc_id", "text", "lang", "source")
+
+
+def _through(docs: DataFrame, operate: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows that operate leaves of docs, with the columns of docs as they were."""
+    others = [c for c in docs.columns if c not in READ]
+    packed = docs.select(*[c for c in docs.columns if c in READ], F.struct(F.lit(0).alias("0"), *[F.col(f"`{c}`").alias(str(k)) for k, c in enumerate(others, 1)]).alias("others_of_docs"))
+    place = {c: F.col("others_of_docs")[str(k)].alias(c) for k, c in enumerate(others, 1)}
+    return operate(packed).select(*[place.get(c, F.col(c)) for c in docs.columns])
+
+
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID: documents without a letter, or that the network puts in no language with LEAST_SCORE, go."""
-    told = identify_language(docs)
-    return told.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    return _through(docs, lambda d: identify_language(d).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE)))
 
 
 def drop_equal_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Exact dedup: of equal texts the row with the largest doc_id stays."""
-    return exact_dedup(docs).where("kept").select(*docs.columns)
+    return _through(docs, lambda d: exact_dedup(d).where("kept"))
 
 
 def drop_near_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,12 +49,12 @@ def drop_near_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing: each document comes as often as the mix takes it, from not at all to twice; one without words isn't taken."""
-    return mix_sources(docs).where("taken > 0").withColumn("taken", F.explode(F.sequence(F.lit(1).cast("long"), F.expr("taken div size")))).select(*docs.columns)
+    return _through(docs, lambda d: mix_sources(d).where("taken > 0").withColumn("taken", F.explode(F.sequence(F.lit(1).cast("long"), F.expr("taken div size")))))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packing: the pieces of sequences of 1024 tokens."""
-    return pack(docs)
+    return pack(docs.select(*[c for c in docs.columns if c in READ]))
 
 
 STAGES = [
