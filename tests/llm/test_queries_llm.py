@@ -46,6 +46,25 @@ def test_pipeline_stages(spark, sf):
     assert max(r.n for r in after.groupBy("sequence_id").agg({"length": "sum"}).toDF("s", "n").collect()) <= 1024
 
 
+def test_pipeline_on_an_empty_table_and_with_clashing_columns(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs.where("false").write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+    names = ["score", "Kept", "class_id", "taken", "id_", "size", "keep_id", "lang_pred", "start", "result_", "place_", "uid_"]
+    odd = docs.selectExpr("*", *[f"'{n}' AS {n}" for n in names])
+    odd.write.parquet(str(tmp_path / "odd" / "documents.parquet"))
+    folder = spark.read.parquet(str(tmp_path / "odd" / "documents.parquet"))
+    rows = folder
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        rows = kept(stage(spark, rows, str(tmp_path / "odd")))
+        assert rows.columns == folder.columns, name
+        assert {tuple(r) for r in rows.select(*names).distinct().collect()} == {tuple(names)}, name
+    plain = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        plain = kept(stage(spark, plain, sf))
+    assert sorted(r.doc_id for r in rows.select("doc_id").collect()) == sorted(r.doc_id for r in plain.select("doc_id").collect())
+
+
 def by_source(df):
     out = {}
     for r in df.collect():
