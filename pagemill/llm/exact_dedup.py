@@ -20,7 +20,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keep_id is its id. A null id is less than any other. Of several equal texts that share the largest id, one row stays.
     An empty table gives an empty table. Columns of docs that have the name of a result are replaced by it.
 
-    Pass one sets each row's two bits in one block of a Bloom filter and keeps the bits that two rows or more have set. Pass two
+    Pass one sets each row's two bits in one block of a Bloom filter and keeps the bits that two rows or more have set; it shuffles two pairs of
+    numbers (block and bit) for each row, partly counted before, and no text. Pass two
     probes each row: only rows whose bits were both set again can have an equal, and only those are shuffled by their
     digest; the others pass straight through. The filter is broadcast, broadcast_bytes at most. Where that leaves fewer than
     LEAST_BITS_A_ROW bits a row, pass one counts eight bytes of each digest in a shuffle of those alone, and the filter

@@ -245,7 +245,8 @@ def identify_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     The network learns from documents with a language whose crc32(id as text) mod 4 is not 2; held_out says that it is 2. A document
     with a null id is neither. Every byte of the text counts; both directions begin anew every STRETCH bytes, which may cut a character, so
     memory doesn't grow with the text; language, source and id have no part in a prediction. A text that is
-    null or has no letter is 'und' with score 0, and so is every text if nothing can be learnt. Repeated rows are predicted
+    null or has no letter is 'und' with score 0, and so is every text if nothing can be learnt. Of more than MOST_LANGUAGES languages the
+    rarest aren't learnt, and so never predicted. Repeated rows are predicted
     alike. Columns of docs that have the name of a result are replaced by it, but a result may not be called like lang_col.
     """
     fold = F.crc32(F.col(id_col).cast("string")) % 4
