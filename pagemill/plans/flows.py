@@ -14,7 +14,7 @@ from ..operators import messages as M
 from ..operators import ocr as O
 from ..operators import pages as P
 from ..operators.attempts import climbed
-from ..sources.engines import extract_pages, probe_files, recognise_pages
+from ..sources.engines import extract_pages, native_pages, probe_files, recognise_pages
 from ..sources.extract import extract_sheets, extract_texts, plain_text, registry
 from ..sources.folders import kept, scratch_path
 from ..sources.joblog import JobLog
@@ -347,3 +347,29 @@ def errors_as_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     page, kind = F.col("page_id").cast("string"), F.col("page_id") % 3
     told = J.error_json(F.when(kind == 0, "TypeError").when(kind == 1, "Error"), F.concat(F.lit("page "), page), F.when(kind == 0, F.concat(F.lit("at "), page)))
     return T.table(spark, sf_dir, "pages").select("page_id", told.alias("json"))
+
+
+def _page_texts(content: bytes) -> list[str]:
+    return [t for t, _, _ in _pages_of(content)]
+
+
+def _page_images(content: bytes) -> dict[int, int]:
+    if content.startswith(b"E"):
+        raise ValueError("no images")
+    return {k: n for k, (_, n, _) in enumerate(_pages_of(content), 1) if n}
+
+
+def _page_tables(content: bytes) -> dict[int, int]:
+    return {k: n for k, (_, _, n) in enumerate(_pages_of(content), 1)}
+
+
+@query(
+    """WITH first_ AS (SELECT conv_id, starts_with(arg_min(text, turn), 'E') AS fails FROM conversations GROUP BY conv_id)
+    SELECT c.conv_id AS file_id, turn + 1 AS page_number, sha256(text) AS text_sha256, CASE WHEN fails THEN 0 ELSE (length(text) - length(replace(text, 'la', ''))) // 2 END AS embedded_image_count,
+    (length(text) - length(replace(text, 'en', ''))) // 2 // 5 AS table_count, max(turn + 1) OVER (PARTITION BY c.conv_id) AS total_pages, CAST(NULL AS VARCHAR) AS error FROM conversations c JOIN first_ f ON f.conv_id = c.conv_id WHERE c.conv_id % 9 <> 4
+    UNION ALL SELECT DISTINCT conv_id, NULL, NULL, NULL, NULL, NULL, 'Erro ao extrair texto do PDF: no pages' FROM conversations WHERE conv_id % 9 = 4"""
+)
+def native_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of pages by one engine, images and tables by others under limits of their own; where counting fails there are none, and the text stands."""
+    told = native_pages(_paged_files(spark, sf_dir), _page_texts, _page_images, _page_tables)
+    return told.withColumn("text_sha256", F.sha2("text", 256)).drop("text")

@@ -6,7 +6,7 @@ A file that an engine fails on gets a row with the error and fails nothing else.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from typing import BinaryIO
 
 import pandas as pd
@@ -57,19 +57,70 @@ def extract_pages(files: DataFrame, engine: PageEngine) -> DataFrame:
     )
 
 
-def probe_files(files: DataFrame, probe: Probe) -> DataFrame:
-    """(file_id, valid, page_count) of files (file_id, content); one that the probe fails on is invalid."""
+#: Seconds that the native text of a file may take, its images and its tables each, and a probe. Fixed values.
+TEXT_SECONDS, METADATA_SECONDS, PROBE_SECONDS = 120.0, 30.0, 10.0
+
+
+def native_pages(
+    files: DataFrame,
+    text: Callable[[bytes], Sequence[str]],
+    images: Callable[[bytes], Mapping[int, int]] | None = None,
+    tables: Callable[[bytes], Mapping[int, int]] | None = None,
+    text_seconds: float | None = TEXT_SECONDS,
+    metadata_seconds: float | None = METADATA_SECONDS,
+) -> DataFrame:
+    """(file_id, page_number, text, embedded_image_count, table_count, total_pages, error) of files (file_id, content), as extract_pages has them, by
+    an engine of the texts of pages and others that count images and tables by page number.
+
+    Each call has a time limit and runs in a child process that is ended then. A file whose text fails or is late is one row with the error; images
+    or tables that fail or are late are none, and the file's text stands.
+    """
+    names = ["file_id", "page_number", "text", "embedded_image_count", "table_count", "total_pages", "error"]
+    calls = {"native PDF text extraction": text} | {k: f for k, f in (("images", images), ("tables", tables)) if f}
+
+    def counted(guard: Guard, kind: str, content: bytes) -> Mapping[int, int]:
+        try:
+            return guard.call(kind, content, seconds=metadata_seconds) if kind in calls else {}
+        except (Overdue, Failed):
+            return {}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for file_id, content in zip(batch["file_id"], batch["content"], strict=True):
-                try:
-                    valid, pages = probe(bytes(content))
-                except Exception:
-                    valid, pages = False, 0
-                rows.append((file_id, bool(valid), int(pages)))
-            yield pd.DataFrame(rows, columns=["file_id", "valid", "page_count"])
+        with Guard(calls) as guard:
+            for batch in batches:
+                for file_id, content in zip(batch["file_id"], batch["content"], strict=True):
+                    try:
+                        pages = list(guard.call("native PDF text extraction", bytes(content), seconds=text_seconds))
+                    except Overdue:
+                        rows = [(file_id, *[None] * 5, f"{TEXT_ERROR}native PDF text extraction exceeded timeout of {text_seconds * 1000:.0f}ms")]
+                    except Failed as e:
+                        rows = [(file_id, *[None] * 5, f"{TEXT_ERROR}{e}")]
+                    else:
+                        seen = [counted(guard, kind, bytes(content)) for kind in ("images", "tables")]
+                        rows = [(file_id, k, t, *(c.get(k, 0) for c in seen), len(pages), None) for k, t in enumerate(pages, 1)] or [(file_id, *[None] * 4, 0, None)]
+                    yield pd.DataFrame(rows, columns=names).astype({c: "Int64" for c in names[1:6] if c != "text"})
+
+    kind = files.schema["file_id"].dataType.simpleString()
+    return files.select("file_id", "content").mapInPandas(run, f"file_id {kind}, page_number long, text string, embedded_image_count long, table_count long, total_pages long, error string")
+
+
+#: How a file is told that its native text couldn't be read. Fixed value.
+TEXT_ERROR = "Erro ao extrair texto do PDF: "
+
+
+def probe_files(files: DataFrame, probe: Probe, seconds: float | None = PROBE_SECONDS) -> DataFrame:
+    """(file_id, valid, page_count) of files (file_id, content); one that the probe fails on or is late with, is invalid and has no page."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with Guard({"probe": probe}) as guard:
+            for batch in batches:
+                rows = []
+                for file_id, content in zip(batch["file_id"], batch["content"], strict=True):
+                    try:
+                        valid, pages = guard.call("probe", bytes(content), seconds=seconds)
+                    except (Overdue, Failed):
+                        valid, pages = False, 0
+                    rows.append((file_id, bool(valid), int(pages)))
+                yield pd.DataFrame(rows, columns=["file_id", "valid", "page_count"])
 
     return files.select("file_id", "content").mapInPandas(run, f"file_id {files.schema['file_id'].dataType.simpleString()}, valid boolean, page_count long")
 

@@ -229,3 +229,23 @@ def test_attempts_and_chunks_that_fail(spark, tmp_path, raster):
     assert {(r.file_id, r.first, r.error) for r in rows} == {("a", 1, None), ("a", 3, "OCR processing timed out after 0.02 minutes"), ("b", 1, None)}
     outcomes = spark.createDataFrame([(r.file_id, r.first, r.error) for r in rows], "file_id string, first long, error string")
     assert {tuple(r) for r in chunk_errors(outcomes).collect()} == {("a", 2, 1, "Erro no processamento OCR: OCR processing timed out after 0.02 minutes"), ("b", 1, 0, None)}
+
+
+def test_text_and_counts_have_limits_of_their_own(spark):
+    def late(content, kind):
+        while kind in content:
+            time.sleep(1)
+        return content
+
+    text = lambda c: late(c, b"slow text").decode().split("|")
+    images = lambda c: {1: len(late(c, b"slow images"))}
+    tables = lambda c: {2: 1 // (b"bad tables" not in c)}
+    names = ["a|b", "slow text", "slow images|x", "bad tables|y", ""]
+    files = spark.createDataFrame([(n, bytearray(n.encode())) for n in names], "file_id string, content binary").coalesce(1)
+    rows = [tuple(r) for r in engines.native_pages(files, text, images, tables, text_seconds=0.7, metadata_seconds=0.7).collect()]
+    assert sorted(r for r in rows if r[6] is None) == sorted(
+        [("a|b", 1, "a", 3, 0, 2, None), ("a|b", 2, "b", 0, 1, 2, None), ("slow images|x", 1, "slow images", 0, 0, 2, None), ("slow images|x", 2, "x", 0, 1, 2, None), ("bad tables|y", 1, "bad tables", 12, 0, 2, None), ("bad tables|y", 2, "y", 0, 0, 2, None), ("", 1, "", 0, 0, 1, None)]
+    )
+    assert [r for r in rows if r[6]] == [("slow text", None, None, None, None, None, "Erro ao extrair texto do PDF: native PDF text extraction exceeded timeout of 700ms")]
+    probes = engines.probe_files(files, lambda c: (True, len(late(c, b"slow images"))), seconds=0.7)
+    assert {r.file_id: (r.valid, r.page_count) for r in probes.collect()} == {"a|b": (True, 3), "slow text": (True, 9), "slow images|x": (False, 0), "bad tables|y": (True, 12), "": (True, 0)}
