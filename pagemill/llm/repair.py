@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -99,17 +100,50 @@ def advanced(symbol: Symbol, rows: int, v: Vector) -> Vector:
     return v
 
 
-def runs_of(symbols: list[tuple[Symbol, int]]) -> tuple[int, list[Vector]]:
-    """The least cost of all, and the cost to the end after each run of equal symbols (symbol, rows)."""
-    after = [END]
-    for symbol, rows in reversed(symbols):
-        after.append(advanced(symbol, rows, after[-1]))
-    return after[-1][START], after[-2::-1] if symbols else []
+#: All symbols; a run's is one byte.
+SYMBOLS: tuple[Symbol, ...] = tuple((i, f) for i in ("s", "u", "a", "") for f in (BLANK, DUPLICATE, CUT, SOUND))
+_CODE = {s: k for k, s in enumerate(SYMBOLS)}
+#: Costs are kept after every so many runs, and computed again between when these are unrolled.
+MARKED = 512
 
 
-def edits(symbols: list[tuple[Symbol, int]], after: list[Vector]) -> Iterator[tuple[str, int]]:
+class Runs:
+    """Rows as runs of equal symbols, a few bytes each."""
+
+    def __init__(self, symbols: Iterable[Symbol] = ()) -> None:
+        self.codes, self.counts = bytearray(), array("Q")
+        for symbol in symbols:
+            self.add(symbol)
+
+    def add(self, symbol: Symbol) -> None:
+        code = _CODE[symbol]
+        if self.codes and self.codes[-1] == code:
+            self.counts[-1] += 1
+        else:
+            self.codes.append(code)
+            self.counts.append(1)
+
+    def __len__(self) -> int:
+        return len(self.codes)
+
+    def __getitem__(self, k: int) -> tuple[Symbol, int]:
+        return SYMBOLS[self.codes[k]], self.counts[k]
+
+
+def costs(runs: Runs) -> tuple[int, list[Vector]]:
+    """The least cost of all, and the cost to the end after each MARKED runs and after the last."""
+    v, marks = END, []
+    for k in range(len(runs) - 1, -1, -1):
+        if k == len(runs) - 1 or (k + 1) % MARKED == 0:
+            marks.append(v)
+        v = advanced(*runs[k], v)
+    return v[START], marks[::-1]
+
+
+def edits(runs: Runs, marks: list[Vector]) -> Iterator[tuple[str, int]]:
     """(edit, state after it) in order: of the cheapest edits those whose letters come first. The letters and the rows tell all else, as a
-    role is given by what stands before it. Costs within a run are those of its halves, so that a long one isn't held."""
+    role is given by what stands before it. Costs between two marks, and within a run those of its halves, are computed when they are reached, so that
+    neither many runs nor a long one are held."""
     state = START
 
     def inserted(v: Vector, symbol: Symbol | None) -> Iterator[tuple[str, int]]:
@@ -149,8 +183,13 @@ def edits(symbols: list[tuple[Symbol, int]], after: list[Vector]) -> Iterator[tu
         for cost in reversed(costs):
             yield from inserted(cost, symbol)
 
-    for (symbol, rows), v in zip(symbols, after, strict=True):
-        yield from run(symbol, rows, v)
+    for k, mark in enumerate(marks):
+        begin, end = k * MARKED, min((k + 1) * MARKED, len(runs))
+        after = [mark]
+        for i in range(end - 1, begin, -1):
+            after.append(advanced(*runs[i], after[-1]))
+        for i in range(begin, end):
+            yield from run(*runs[i], after[end - 1 - i])
     yield from inserted(END, None)
 
 
@@ -158,10 +197,10 @@ class _Conversation:
     """One conversation that streams by: first what its rows are, from which the edits follow, then the rows themselves."""
 
     def __init__(self, key) -> None:
-        self.key, self.runs, self.faults = key, [], dict.fromkeys((BLANK, DUPLICATE, CUT, SOUND), 0)
+        self.key, self.runs, self.faults = key, Runs(), dict.fromkeys((BLANK, DUPLICATE, CUT, SOUND), 0)
         self.illegal = self.rows = self.distinct = 0
         self.before = self.turn = self.first = None
-        self.audit, self.hash, self.repaired, self.steps = [], hashlib.sha256(), 0, None
+        self.audit, self.hash, self.repaired, self.steps = bytearray(), hashlib.sha256(), 0, None
 
     def seen(self, turn: int | None, initial: str, fault: str) -> None:
         self.rows += 1
@@ -171,11 +210,7 @@ class _Conversation:
         if turn is not None and (self.distinct == 0 or turn != self.turn):
             self.first = turn if self.distinct == 0 else self.first
             self.turn, self.distinct = turn, self.distinct + 1
-        symbol = (initial if initial in ("s", "u", "a") else "", fault)
-        if self.runs and self.runs[-1][0] == symbol:
-            self.runs[-1] = (symbol, self.runs[-1][1] + 1)
-        else:
-            self.runs.append((symbol, 1))
+        self.runs.add((initial if initial in ("s", "u", "a") else "", fault))
 
     def _put(self, role: bytes, text: bytes) -> None:
         self.hash.update((b"\n" if self.repaired else b"") + role + b":" + text)
@@ -183,10 +218,10 @@ class _Conversation:
 
     def _next(self) -> tuple[str, int] | None:
         if self.steps is None:
-            self.cost, after = runs_of(self.runs)
-            self.steps = edits(self.runs, after)
+            self.cost, marks = costs(self.runs)
+            self.steps = edits(self.runs, marks)
         for edit, state in self.steps:
-            self.audit.append(edit)
+            self.audit += edit.encode()
             if edit != "I":
                 return edit, state
             self._put(NAMES[state].encode(), b"")
@@ -201,7 +236,7 @@ class _Conversation:
         self._next()
         gaps = self.turn - self.first + 1 - self.distinct if self.distinct else 0
         f = self.faults
-        return (self.key, gaps, f[BLANK], f[DUPLICATE], f[CUT], self.illegal, self.cost, "".join(self.audit), self.hash.hexdigest(), self.rows, self.repaired)
+        return (self.key, gaps, f[BLANK], f[DUPLICATE], f[CUT], self.illegal, self.cost, self.audit.decode(), self.hash.hexdigest(), self.rows, self.repaired)
 
 
 def first_fault(role: Column, text: Column, again: Column) -> Column:
@@ -225,7 +260,7 @@ def repair_conversations(rows: DataFrame, conv_col: str = "conv_id", turn_col: s
 
     Equal neighbours are runs of a symbol; min-plus powers of the symbol's transition, kept for each binary power, carry the cost back over a run,
     whatever its length. Rows are shuffled once, by conversation, and stream by in order: first what each row is, then the rows themselves, so
-    that a task holds runs, the audit and the digest's state, and neither a conversation's texts nor a batch of conversations.
+    that a task holds some bytes for each run and edit and the digest's state, and neither a conversation's texts nor a batch of conversations.
     """
     times = F.coalesce(F.col(times_col), F.lit(1)) if times_col else F.lit(1)
     space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))

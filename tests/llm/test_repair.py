@@ -5,9 +5,8 @@ import random
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from pagemill.llm.repair import BLANK, CUT, DUPLICATE, SOUND, _times, advanced, edits, power, repair_conversations, runs_of
-
-SYMBOLS = [(i, f) for i in ("s", "u", "a", "") for f in (BLANK, DUPLICATE, CUT, SOUND)]
+from pagemill.llm import repair
+from pagemill.llm.repair import BLANK, CUT, DUPLICATE, SOUND, SYMBOLS, Runs, _times, advanced, costs, edits, power, repair_conversations
 
 
 def legal(roles):
@@ -40,9 +39,10 @@ def brute(rows):
 
 
 def ours(rows):
-    runs = [(k, len(list(g))) for k, g in itertools.groupby(rows)]
-    cost, after = runs_of(runs)
-    return cost, "".join(e for e, _ in edits(runs, after))
+    runs = Runs(rows)
+    assert [runs[k] for k in range(len(runs))] == [(k, len(list(g))) for k, g in itertools.groupby(rows)]
+    cost, marks = costs(runs)
+    return cost, "".join(e for e, _ in edits(runs, marks))
 
 
 def viterbi(rows):
@@ -91,6 +91,15 @@ def test_long_runs():
         assert ours(rows) == viterbi(rows)
 
 
+def test_marks_between_runs(monkeypatch):
+    r = random.Random(6)
+    for marked in (1, 2, 7):
+        monkeypatch.setattr(repair, "MARKED", marked)
+        for n in (0, 1, 6, 7, 8, 14, 100):
+            rows = [r.choice(SYMBOLS) for _ in range(n)]
+            assert ours(rows) == viterbi(rows)
+
+
 def test_powers_are_products():
     for symbol in SYMBOLS:
         m = power(symbol, 0)
