@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .bloom import likely_in
 from .cells import BLOCK, blocks_of, compare, distinct_cells, groups_of, in_pairs, met_here
 from .components import connected_components
+from .memory import in_parts, lean
 from .shingles import intersections, mix, shingle_sets
 from .tables import free_name, join_by_id, join_groups, kept
 
@@ -57,7 +58,7 @@ def _sets(docs: DataFrame, runs: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roots = mix(np.arange(1, runs + 1, dtype=np.uint64))
-        for batch in batches:
+        for batch in in_parts(batches):
             sets = shingle_sets(_texts(batch.column(1)))
             x = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
             y = np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
@@ -65,14 +66,14 @@ def _sets(docs: DataFrame, runs: int) -> DataFrame:
             arrays = [batch.column(0), pa.array(np.array([len(s) for s in sets], np.int64)), pa.array(x), pa.array(y), pa.array(nodes, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(arrays, names=["id", "n", "x", "y", "nodes"])
 
-    return docs.mapInArrow(run, "id long, n long, x long, y long, nodes array<long>")
+    return docs.mapInArrow(lean(run), "id long, n long, x long, y long, nodes array<long>")
 
 
 def _split(texts: DataFrame) -> DataFrame:
     """(node, key, above) one level below: texts has node, text and buckets, the (key, count) to split; above is the count of the bucket split."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches):
             sets = shingle_sets(_texts(batch.column(1)))
             children = [
                 [{"key": int(k), "above": b["count"]} for b in own for k in chosen(s, np.array([b["key"]], np.int64).view(np.uint64)).view(np.int64)]
@@ -81,7 +82,7 @@ def _split(texts: DataFrame) -> DataFrame:
             kind = pa.list_(pa.struct([pa.field("key", pa.int64()), pa.field("above", pa.int64())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(children, kind)], names=["node", "children"])
 
-    split = texts.select("node", "text", "buckets").mapInArrow(run, "node long, children array<struct<key:long,above:long>>")
+    split = texts.select("node", "text", "buckets").mapInArrow(lean(run), "node long, children array<struct<key:long,above:long>>")
     return split.select("node", F.explode("children").alias("c")).select("node", "c.key", "c.above")
 
 
@@ -132,7 +133,7 @@ def _packed(dealt: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=["cell", "own", "blocks", "nodes", "weights", "cells", "shingles", "dense", "members"])
 
     columns = dealt.select("cell", "own", "blocks", "node", "weight", "cells", "text")
-    return columns.repartition("cell", "own").sortWithinPartitions("cell", "own").mapInArrow(run, PACKED)
+    return columns.repartition("cell", "own").sortWithinPartitions("cell", "own").mapInArrow(lean(run), PACKED)
 
 
 def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -182,7 +183,7 @@ def _compared(pairs: DataFrame, threshold: float) -> DataFrame:
             found = met_here(links, a, b, same, [c for r in blocks for c in r["cells"]], blocks[0]["cell"], node, weight)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["node", "links", "joined"])
 
-    return pairs.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j").mapInArrow(run, "node long, links long, joined long")
+    return pairs.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j").mapInArrow(lean(run), "node long, links long, joined long")
 
 
 def near_texts(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", small: int = SMALL, depth: int = DEPTH, miss: float = MISS) -> DataFrame:
