@@ -51,8 +51,7 @@ def test_groups_hold_all_occurrences_and_are_maximal(spark, hot):
     assert marks == want
 
 
-@pytest.mark.parametrize("hot", [65536, 1])
-@pytest.mark.parametrize("first", [1024, 16])
+@pytest.mark.parametrize("hot, first", [(65536, 16), (1, 1024)])
 def test_a_long_passage_is_one_group(spark, monkeypatch, hot, first):
     monkeypatch.setattr(repeats, "FIRST_CHUNK", first)
     r = random.Random(8)
