@@ -32,3 +32,30 @@ def test_groups_meet_their_rows_however_heavy(spark):
     groups = rows.groupBy("key").agg(F.count("*").alias("n"), F.max("id").alias("most"))
     got = join_groups(rows, groups, ["key"], "n", 5000)
     assert sorted(map(tuple, got.select("key", "id", "n", "most").collect())) == sorted(map(tuple, rows.join(groups, "key").select("key", "id", "n", "most").collect()))
+
+
+def test_rows_without_an_id_meet_nothing(spark):
+    from pagemill.llm.tables import join_by_id
+
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c"), (None, "c")], "i long, x string")
+    found = spark.createDataFrame([(1, (5,)), (7, (6,))], "k long, r struct<n:int>")
+    joined = join_by_id(rows, found, "i", "k", "r")
+    assert sorted(((x.i, x.x, x.r and x.r.n) for x in joined.collect()), key=repr) == sorted([(1, "a", 5), (2, "b", None), (None, "c", None), (None, "c", None)], key=repr)
+    assert joined.columns == ["i", "x", "r"]
+
+
+def test_left_rows_of_groups(spark):
+    rows = spark.range(5000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("key"), "id")
+    groups = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1 OR key % 2 = 0")
+    got = join_groups(rows, groups, ["key"], "n", 5000, "left").select("key", "id", "n")
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, rows.join(groups, "key", "left").select("key", "id", "n").collect()), key=repr)
+
+
+def test_parts_of_batches():
+    import pyarrow as pa
+
+    from pagemill.llm.memory import in_parts, lean
+
+    batches = [pa.record_batch({"x": list(range(n))}) for n in (0, 5, 2300)]
+    assert [b.num_rows for b in in_parts(iter(batches))] == [5, 1000, 1000, 300]
+    assert [b["x"].to_pylist() for b in lean(in_parts)(iter(batches))] == [b["x"].to_pylist() for b in in_parts(iter(batches))]
