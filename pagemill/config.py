@@ -30,11 +30,16 @@ class Limits:
 
 @dataclass(frozen=True)
 class OcrKnobs:
-    """Fixed values that choose among OCR attempts and rotations."""
+    """Fixed values that choose among OCR attempts and rotations, and settings of what prepares images."""
 
     max_attempts: int = 2
     mode: int = 4
     second_mode: int = 6
+    scale: int = 100
+    deskew: float = 40.0
+    adaptive_threshold: str = "35x35+10%"
+    lat: str = "20x20+10%"
+    threshold: str = "55%"
     good_confidence: float = 78.0
     good_words: int = 30
     good_chars: int = 300

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..config import OcrKnobs
+from .text import SPACE, js_trim
 
 
 def ocr_score(confidence: Column, words: Column, chars: Column) -> Column:
@@ -35,3 +36,16 @@ def pages_in_probe(output: Column) -> Column:
 def version_in_probe(output: Column) -> Column:
     found = F.regexp_extract(output, r"(\d+\.\d+\.\d+)", 1)
     return F.when(found != "", found)
+
+
+def languages_listed(output: Column) -> Column:
+    """The languages that a recogniser lists, one to a line after a heading; none where it printed nothing."""
+    lines = F.transform(F.split(F.coalesce(output, F.lit("")), r"\r?\n"), js_trim)
+    told = F.filter(lines, lambda x: (x != "") & ~F.lower(x).contains("list of available languages"))
+    return F.array_distinct(F.transform(told, lambda x: F.element_at(F.split(x, SPACE + "+"), 1)))
+
+
+def ocr_language(output: Column, preferred: Column) -> Column:
+    """The language to recognise in: the one that is set, else Portuguese, with English where both are listed."""
+    own, listed = js_trim(F.coalesce(preferred, F.lit(""))), languages_listed(output)
+    return F.when(own != "", own).when(F.array_contains(listed, "por") & F.array_contains(listed, "eng"), "por+eng").otherwise("por")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Limits, OcrKnobs
-from ..functions.ocr_score import pages_in_probe, rotation_angles, version_in_probe
+from ..functions.ocr_score import languages_listed, ocr_language, pages_in_probe, rotation_angles, version_in_probe
 from ..operators import jobs as J
 from ..operators import messages as M
 from ..operators import ocr as O
@@ -373,3 +373,17 @@ def native_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts of pages by one engine, images and tables by others under limits of their own; where counting fails there are none, and the text stands."""
     told = native_pages(_paged_files(spark, sf_dir), _page_texts, _page_images, _page_tables)
     return told.withColumn("text_sha256", F.sha2("text", 256)).drop("text")
+
+
+@query(
+    r"""WITH told_ AS (SELECT page_id, ['List of available languages in "/t/" (3):' || chr(10) || 'eng' || chr(10) || ' por ' || chr(10) || 'osd', 'por' || chr(13) || chr(10), NULL, 'deu por' || chr(10) || 'eng x', 'eng' || chr(10) || chr(10) || 'por+eng', 'por eng'][1 + page_id % 6] AS out,
+        CASE WHEN page_id % 7 = 0 THEN ' deu ' WHEN page_id % 7 = 1 THEN '  ' END AS preferred FROM pages)
+    SELECT page_id, CASE WHEN page_id % 7 = 0 THEN 'deu' WHEN page_id % 6 = 0 THEN 'por+eng' ELSE 'por' END AS language, ['eng,por,osd', 'por', '', 'deu,eng', 'eng,por+eng', 'por'][1 + page_id % 6] AS listed FROM told_"""
+)
+def ocr_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language that pages are recognised in, by what a recogniser lists and what is set."""
+    page = F.col("page_id")
+    told = ('List of available languages in "/t/" (3):\neng\n por \nosd', "por\r\n", None, "deu por\neng x", "eng\n\npor+eng", "por eng")
+    out = F.element_at(F.array(*map(F.lit, told)), (page % 6 + 1).cast("int"))
+    preferred = F.when(page % 7 == 0, " deu ").when(page % 7 == 1, "  ")
+    return T.table(spark, sf_dir, "pages").select("page_id", ocr_language(out, preferred).alias("language"), F.array_join(languages_listed(out), ",").alias("listed"))

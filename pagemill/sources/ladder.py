@@ -68,6 +68,23 @@ def later_rungs(knobs: OcrKnobs) -> tuple[Rung, ...]:
     return (Rung("prep", knobs.mode), Rung("orig", knobs.second_mode), Rung("prep_thr", knobs.second_mode))
 
 
+def preparation(rung: Rung, knobs: OcrKnobs = OcrKnobs(), tools: str = "") -> tuple[tuple[str, str], ...]:
+    """The steps, with their settings, by which the image of a rung is prepared: grey, without transparency, straightened, normalised, resized if it is
+    scaled, and for the last rung made black and white by the best way that tools, the help text of an image program, names."""
+    if rung.label == "rotated":
+        return (("rotate", str(rung.angle)),)
+    if rung.label == "orig":
+        return ()
+    steps = [("colorspace", "Gray"), ("alpha", "off"), ("deskew", f"{knobs.deskew:g}%"), ("normalize", "")]
+    if knobs.scale != 100:
+        steps += [("filter", "Lanczos"), ("resize", f"{knobs.scale}%")]
+    if rung.label == "prep_thr":
+        named = {"adaptive-threshold": knobs.adaptive_threshold, "lat": knobs.lat, "threshold": knobs.threshold}
+        way = next((k for k in ("adaptive-threshold", "lat") if re.search(rf"-{k}\b", tools, re.IGNORECASE)), "threshold")
+        steps.append((way, named[way]))
+    return tuple(steps)
+
+
 def climb(attempt: Attempt, ready: Ready = lambda rung: True, knobs: OcrKnobs = OcrKnobs(), angles: Sequence[int] = ()) -> Climbed:
     """Attempts in order, up to max_attempts; the first that is good enough is taken and ends them, else the best score, and the first of equals.
 

@@ -11,7 +11,7 @@ from pagemill.operators.messages import TIMEOUT_SECONDS, timeout_error
 from pagemill.operators.ocr import best_attempt, chunk_errors, rotation_choice, tsv_text, tsv_words
 from pagemill.sources import engines, extract
 from pagemill.sources.deadline import Failed, Guard, Overdue
-from pagemill.sources.ladder import Reading, Rung, climb, reading_of
+from pagemill.sources.ladder import Reading, Rung, climb, preparation, reading_of
 
 
 def sleepy(x):
@@ -249,3 +249,13 @@ def test_text_and_counts_have_limits_of_their_own(spark):
     assert [r for r in rows if r[6]] == [("slow text", None, None, None, None, None, "Erro ao extrair texto do PDF: native PDF text extraction exceeded timeout of 700ms")]
     probes = engines.probe_files(files, lambda c: (True, len(late(c, b"slow images"))), seconds=0.7)
     assert {r.file_id: (r.valid, r.page_count) for r in probes.collect()} == {"a|b": (True, 3), "slow text": (True, 9), "slow images|x": (False, 0), "bad tables|y": (True, 12), "": (True, 0)}
+
+
+def test_how_images_are_prepared():
+    grey = (("colorspace", "Gray"), ("alpha", "off"), ("deskew", "40%"), ("normalize", ""))
+    assert preparation(Rung("orig", 4)) == () and preparation(Rung("rotated", 4, 90)) == (("rotate", "90"),)
+    assert preparation(Rung("prep", 4)) == grey
+    assert preparation(Rung("prep", 4), OcrKnobs(scale=150)) == (*grey, ("filter", "Lanczos"), ("resize", "150%"))
+    ways = {"": ("threshold", "55%"), "  -lat geometry": ("lat", "20x20+10%"), " -adaptive-threshold g\n -lat g": ("adaptive-threshold", "35x35+10%"), "-later": ("threshold", "55%")}
+    for tools, way in ways.items():
+        assert preparation(Rung("prep_thr", 6), tools=tools) == (*grey, way)
