@@ -79,3 +79,19 @@ def env_bool(env: Mapping[str, str], name: str, default: bool) -> bool:
 def limits_from_env(env: Mapping[str, str] | None = None, prefix: str = "PAGEMILL_") -> Limits:
     env = os.environ if env is None else env
     return Limits(**{f.name: env_int(env, prefix + f.name.upper(), f.default) for f in fields(Limits)})
+
+
+def knobs_from_env(env: Mapping[str, str] | None = None, prefix: str = "PAGEMILL_OCR_") -> OcrKnobs:
+    """Whole numbers must be above 0, as env_int has it; a text that is blank is the default."""
+    env = os.environ if env is None else env
+
+    def value(name: str, default):
+        if isinstance(default, bool):
+            return env_bool(env, name, default)
+        if isinstance(default, int):
+            return env_int(env, name, default)
+        if isinstance(default, float):
+            return env_float(env, name, default)
+        return env.get(name, "").strip() or default
+
+    return OcrKnobs(**{f.name: value(prefix + f.name.upper(), f.default) for f in fields(OcrKnobs)})

@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 from pyspark.sql.types import StructType
 
-from ..config import Limits
+from ..config import Limits, limits_from_env
 from ..operators.jobs import FINISHED, OPEN, RECORD_SCHEMA, ROOM_BROADCAST, admitted, dispatched, expire_stale, is_past_retention, new_jobs
 from ..sources.joblog import JobLog
 from ..sources.readers import parsed_requests
@@ -61,8 +61,10 @@ def merge_arrivals(log: JobLog, batch: int, arrivals: DataFrame, now_ms: int, li
     log.write(batch, after.where("changed OR starts").withColumns(begun))
 
 
-def job_stream(spark: SparkSession, arrivals_path: str, log_path: str, checkpoint: str, limits: Limits = Limits(), clock: Callable[[], int] | None = None, once: bool = False, rejections: str | None = None) -> StreamingQuery:
-    """Job files that arrive in a folder, merged into the job log; the checkpoint makes the queue survive a restart. Rejections are partitioned by batch."""
+def job_stream(spark: SparkSession, arrivals_path: str, log_path: str, checkpoint: str, limits: Limits | None = None, clock: Callable[[], int] | None = None, once: bool = False, rejections: str | None = None) -> StreamingQuery:
+    """Job files that arrive in a folder, merged into the job log; the checkpoint makes the queue survive a restart. Rejections are partitioned by batch.
+    Without limits those of the environment hold."""
+    limits = limits or limits_from_env()
     log = JobLog(spark, log_path, RECORD_SCHEMA)
     arrivals = spark.readStream.schema(RECORD_SCHEMA).option("maxFilesPerTrigger", 1000).json(arrivals_path)
 
@@ -94,9 +96,10 @@ def request_id(place: Column) -> Column:
     return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(F.lit("8"), F.substring(h, 18, 3)), F.substring(h, 21, 12))
 
 
-def request_stream(spark: SparkSession, requests_path: str, log_path: str, checkpoint: str, host: str, quarantine: str, rejections: str, limits: Limits = Limits(), clock: Callable[[], int] | None = None, once: bool = False) -> StreamingQuery:
+def request_stream(spark: SparkSession, requests_path: str, log_path: str, checkpoint: str, host: str, quarantine: str, rejections: str, limits: Limits | None = None, clock: Callable[[], int] | None = None, once: bool = False) -> StreamingQuery:
     """Requests that arrive as JSON files in a folder, as merge_requests has it. Ended at any point, also between two sinks, and started again, it
-    goes on where it was: the batch runs again, with the time that it had."""
+    goes on where it was: the batch runs again, with the time that it had. Without limits those of the environment hold."""
+    limits = limits or limits_from_env()
     log = JobLog(spark, log_path, RECORD_SCHEMA)
     arrived = spark.readStream.option("wholetext", "true").option("maxFilesPerTrigger", 1000).text(requests_path).select(F.input_file_name().alias("source_file"), "value")
 

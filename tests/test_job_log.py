@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from pagemill.config import Limits, limits_from_env
+from pagemill.config import Limits, OcrKnobs, knobs_from_env, limits_from_env
 from pagemill.operators.jobs import RECORD_SCHEMA
 from pagemill.operators.pages import reserve_pages
 from pagemill.sources import readers, sinks
@@ -236,3 +236,6 @@ def test_a_budget_over_a_million_files(spark):
 
 def test_limits_of_the_environment():
     assert limits_from_env({"PAGEMILL_MAX_PDF_PAGES": "7x", "PAGEMILL_JOBS_MAX_QUEUE": "-3", "PAGEMILL_OCR_ALWAYS_PAGES": " 9 "}) == Limits(max_pdf_pages=7, ocr_always_pages=9)
+    env = {"PAGEMILL_OCR_MODE": "3", "PAGEMILL_OCR_ROTATE": " Yes ", "PAGEMILL_OCR_ROTATE_MIN_GAIN": "2.5", "PAGEMILL_OCR_LAT": " 5x5 ", "PAGEMILL_OCR_THRESHOLD": " ", "PAGEMILL_OCR_SCALE": "0", "PAGEMILL_OCR_DESKEW": "x"}
+    assert knobs_from_env(env) == OcrKnobs(mode=3, rotate=True, rotate_min_gain=2.5, lat="5x5")
+    assert knobs_from_env({}) == OcrKnobs()
