@@ -7,12 +7,15 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 
+from .shingles import forget
+
 #: Rows of a batch that are worked on together.
 TOGETHER = 1000
 
 
 def give_back() -> None:
     """Returns what is free in this process to the system, as far as its allocators can."""
+    forget()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

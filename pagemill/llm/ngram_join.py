@@ -25,6 +25,8 @@ SMALL, DEPTH = 64, 3
 CHOSEN = 2.0
 #: The probability that a pair just at the threshold shares no bucket in any run.
 MISS = 1e-4
+#: Bytes of texts that are shingled at once.
+SHINGLED = 1 << 19
 
 
 def runs_needed(threshold: float = THRESHOLD, depth: int = DEPTH, miss: float = MISS) -> int:
@@ -59,7 +61,7 @@ def _sets(docs: DataFrame, runs: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roots = mix(np.arange(1, runs + 1, dtype=np.uint64))
         for batch in in_parts(batches):
-            sets = shingle_sets(_texts(batch.column(1)))
+            sets = shingle_sets(_texts(batch.column(1)), SHINGLED)
             x = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
             y = np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
             nodes = [chosen(s, roots).view(np.int64) for s in sets]
@@ -74,7 +76,7 @@ def _split(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_parts(batches):
-            sets = shingle_sets(_texts(batch.column(1)))
+            sets = shingle_sets(_texts(batch.column(1)), SHINGLED)
             children = [
                 [{"key": int(k), "above": b["count"]} for b in own for k in chosen(s, np.array([b["key"]], np.int64).view(np.uint64)).view(np.int64)]
                 for s, own in zip(sets, batch.column(2).to_pylist(), strict=True)
@@ -116,7 +118,7 @@ def _packed(dealt: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in groups_of(batches, ("cell", "own")):
-            sets = shingle_sets(_texts(rows["text"].combine_chunks()))
+            sets = shingle_sets(_texts(rows["text"].combine_chunks()), SHINGLED)
             shingles, place = np.unique(np.concatenate(sets), return_inverse=True)
             owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
             dense = len(sets) * len(shingles) // 8 < 4 * len(place)
@@ -237,7 +239,7 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "d
     weights = nodes.select("node", "weight")
 
     def linked(rows: pa.Table, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        sets = shingle_sets(_texts(rows["text"].combine_chunks()))
+        sets = shingle_sets(_texts(rows["text"].combine_chunks()), SHINGLED)
         sizes = np.array([len(s) for s in sets], np.float64)
         both = intersections(sets, a, b)
         return both / (sizes[a][:, None] + sizes[b][None] - both) >= threshold

@@ -34,6 +34,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
 
 
+def forget() -> None:
+    """Frees the powers."""
+    _powers.cache_clear()
+
+
 def range_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A hash of each data[begin:end], equal for equal bytes."""
     size = 1 << max(10, int(len(data)).bit_length())
@@ -68,13 +73,14 @@ def _word_shingles(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tu
     return value, of
 
 
-def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text: of five words in a row, or of all words where there are fewer."""
+def shingle_sets(texts: list[bytes], together: int = SIDE_BY_SIDE) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text: of five words in a row, or of all words where there are fewer. So many bytes are hashed at once,
+    which takes some sixty times as much memory; a longer text is hashed by itself."""
     out: list[np.ndarray] = []
     k = 0
     while k < len(texts):
         group, size = [], 0
-        while k < len(texts) and (not group or size + len(texts[k]) <= SIDE_BY_SIDE):
+        while k < len(texts) and (not group or size + len(texts[k]) <= together):
             group.append(texts[k])
             size += len(texts[k])
             k += 1
