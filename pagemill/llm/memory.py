@@ -41,3 +41,10 @@ def in_parts(batches: Iterator[pa.RecordBatch], rows: int = TOGETHER) -> Iterato
     for batch in batches:
         for k in range(0, batch.num_rows, rows):
             yield batch.slice(k, rows)
+
+
+def by_parts(of: Callable[..., pa.Array], batches: Iterator[tuple[pa.Array, ...]], kind: pa.DataType, rows: int = TOGETHER) -> Iterator[pa.Array]:
+    """of, which makes an array of kind, on each batch of columns for so many rows at a time: only Arrow's own form of a whole batch is held."""
+    for columns in batches:
+        parts = [of(*[c.slice(k, rows) for c in columns]) for k in range(0, len(columns[0]), rows)]
+        yield pa.concat_arrays(parts) if parts else pa.array([], kind)

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import likely_in
+from .memory import by_parts, lean
 from .tables import free_name, join_groups, kept
 
 #: Units follow one another without a gap: a line, cut again after each run of sentence ends.
@@ -64,7 +65,7 @@ def _units(docs: DataFrame, pattern: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
                 row, units, counts, held = [], [], [], 0
 
-    return docs.mapInArrow(run, "doc long, h long, pos int, start int, end int, words int, x long, y long")
+    return docs.mapInArrow(lean(run), "doc long, h long, pos int, start int, end int, words int, x long, y long")
 
 
 def runs_of(again: pa.Array, least_words: int) -> pa.Array:
@@ -85,7 +86,7 @@ def runs_of(again: pa.Array, least_words: int) -> pa.Array:
 
 
 def _without(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-    for texts, spans in batches:
+    def of(texts: pa.Array, spans: pa.Array) -> pa.Array:
         out = []
         for text, cut in zip(texts.to_pylist(), spans.to_pylist(), strict=True):
             at, parts = 0, []
@@ -93,7 +94,9 @@ def _without(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]
                 parts.append(text[at : s["start"]])
                 at = s["end"]
             out.append(text if not cut else "".join([*parts, text[at:]]))
-        yield pa.array(out, pa.string())
+        return pa.array(out, pa.string())
+
+    return by_parts(of, batches, pa.string())
 
 
 def repeated_runs(docs: DataFrame, pattern: str = SENTENCES, least_words: int = LEAST_WORDS) -> DataFrame:
