@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from ..sources.folders import shared_folder
 from .bloom import likely_in
-from .shingles import SIDE_BY_SIDE, mix, range_hashes
+from .memory import by_parts, in_parts, lean
+from .shingles import mix, range_hashes
 from .tables import free_name, join_groups, kept
 
 #: Bytes of a string that may not occur again, and of the gram at an anchor.
@@ -36,6 +37,8 @@ WHOLE, PARTS = 8192, 16
 STRETCH = 4096
 #: Contexts of very common grams in a partition, about.
 IN_PART = 16384
+#: Bytes of texts whose grams are hashed at once, which takes some hundred times as much memory; a longer text is hashed by itself.
+HASHED = 1 << 19
 
 _MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -75,7 +78,7 @@ def _batches_of(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarra
     k = 0
     while k < len(texts):
         first, size = k, 0
-        while k < len(texts) and (k == first or size + len(texts[k]) <= SIDE_BY_SIDE):
+        while k < len(texts) and (k == first or size + len(texts[k]) <= HASHED):
             size += len(texts[k])
             k += 1
         ends = np.cumsum([len(x) for x in texts[first:k]])
@@ -88,7 +91,7 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
     names = ["doc", "text_hash", "pos", "before", "after", "gram", "context"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches):
             texts = batch.column(2).to_pylist()
             for first, data, starts, ends in _batches_of(texts):
                 text, place, gram = anchors(data, starts, ends)
@@ -99,14 +102,14 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
                 arrays = [batch.column(0).take(rows), batch.column(1).take(rows), pa.array((place - starts[text]).astype(np.int32)), *sizes, *(pa.array(x.view(np.int64)) for x in (gram, context))]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return docs.mapInArrow(run, "doc long, text_hash int, pos int, before short, after short, gram long, context long")
+    return docs.mapInArrow(lean(run), "doc long, text_hash int, pos int, before short, after short, gram long, context long")
 
 
 def _contexts(wanted: DataFrame) -> DataFrame:
     """(gram, context, times, before, after), the last two as bytes and the left one backwards, of (bytes, wanted: array of pos, gram, context, times)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches):
             rows = [
                 (w["gram"], w["context"], w["times"], text[max(0, w["pos"] - REACH) : w["pos"]][::-1], text[w["pos"] : w["pos"] + LENGTH])
                 for text, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
@@ -115,7 +118,7 @@ def _contexts(wanted: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["gram", "context", "times", "before", "after"])
 
-    return wanted.mapInArrow(run, "gram long, context long, times long, before binary, after binary")
+    return wanted.mapInArrow(lean(run), "gram long, context long, times long, before binary, after binary")
 
 
 def common_prefixes(strings: list[bytes]) -> np.ndarray:
@@ -396,7 +399,7 @@ def _within(rows: DataFrame, twins: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        for batch in batches:
+        for batch in in_parts(batches, TOGETHER):
             if not batch.num_rows:
                 continue
             held.append(batch)
@@ -412,7 +415,7 @@ def _within(rows: DataFrame, twins: bool) -> DataFrame:
             yield matched(pa.Table.from_batches(held).combine_chunks())
 
     dealt = rows.repartition("gram").sortWithinPartitions("gram")
-    return dealt.mapInArrow(run, "group long, gram long, context long, left int, right int")
+    return dealt.mapInArrow(lean(run), "group long, gram long, context long, left int, right int")
 
 
 def _across(rows: DataFrame, side: str, twins: bool = False) -> DataFrame:
@@ -628,7 +631,8 @@ def merged(spans: list[dict] | None, size: int) -> list[tuple[int, int]]:
 
 def _cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     kind = pa.struct([pa.field("removed", pa.list_(pa.struct([pa.field("start", pa.int64()), pa.field("end", pa.int64())]))), pa.field("kept_bytes", pa.binary()), pa.field("sha", pa.string())])
-    for texts, spans in batches:
+
+    def of(texts: pa.Array, spans: pa.Array) -> pa.Array:
         out = []
         for text, own in zip(texts.to_pylist(), spans.to_pylist(), strict=True):
             runs, parts, at = merged(own, len(text)), [], 0
@@ -637,7 +641,9 @@ def _cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
                 at = end
             left = b"".join([*parts, text[at:]])
             out.append({"removed": [{"start": a, "end": b} for a, b in runs], "kept_bytes": left, "sha": hashlib.sha256(left).hexdigest()})
-        yield pa.array(out, kind)
+        return pa.array(out, kind)
+
+    return by_parts(of, batches, kind)
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
