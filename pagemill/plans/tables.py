@@ -71,7 +71,9 @@ def native_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page, attempt, confidence, words, chars: the lines of an order are attempts at a page."""
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("attempt")).agg(
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("attempt"), "l_quantity", "l_partkey", "l_suppkey")
+    # dealt by page, what follows is grouped by page without another shuffle
+    return lines.repartition("page").groupBy("page", "attempt").agg(
         (F.max("l_quantity") * 2).alias("confidence"), (F.max("l_partkey") % 200).alias("words"), (F.max("l_suppkey") * 37 % 900).alias("chars")
     )
 
