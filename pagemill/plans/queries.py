@@ -162,8 +162,10 @@ def sanitize_text_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT page_id, CAST({_len('html')} - {_len(_sanitize_text('html'))} AS BIGINT) AS removed_chars FROM pages WHERE {_len('html')} - {_len(_sanitize_text('html'))} > 100")
 def sidecar_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts of which sanitizing removes more than 100 characters get a side file."""
-    p = T.table(spark, sf_dir, "pages").select("page_id", (X.js_length(F.col("html")) - X.js_length(X.sanitize_text(F.col("html")))).alias("removed_chars"))
-    return p.where("removed_chars > 100")
+    p = T.spread(T.table(spark, sf_dir, "pages").select("page_id", "html"))
+    # a filter on the number would sanitize once for the filter and again for the number; in an array it is worked out once
+    removed = F.transform(F.array(X.sanitize_text(F.col("html"))), lambda x: X.js_length(F.col("html")) - X.js_length(x))
+    return p.select("page_id", F.explode(F.filter(removed, lambda n: n > 100)).alias("removed_chars"))
 
 
 @query(f"SELECT conv_id, turn, upper({_trim('text')}) = 'TEXTO' AS redundant FROM conversations")
