@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ SPACES = "\t\n\v\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) +
 WORD = f"[^{SPACE_SET}]+"
 ASTRAL = r"[\x{10000}-\x{10FFFF}]"
 LETTERS_DIGITS = r"[A-Za-z0-9\x{00C0}-\x{00FF}]"
+#: The same, character by character.
+LETTERS_DIGITS_SET = string.ascii_letters + string.digits + "".join(map(chr, range(0xC0, 0x100)))
 NO_LETTERS_DIGITS = r"[^A-Za-z0-9\x{00C0}-\x{00FF}]++"
 #: Whether an ASCII word character comes before, or after; Java's own boundary knows more letters.
 NOT_AFTER_WORD, NOT_BEFORE_WORD = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
@@ -56,6 +60,11 @@ def count_without(text: Column, others: str) -> Column:
     return F.length(replace(text, others, "")).cast("long")
 
 
+def letter_digit_count(text: Column) -> Column:
+    """count_without(text, NO_LETTERS_DIGITS), without a match for each run of others."""
+    return (F.length(text) - F.length(F.translate(text, LETTERS_DIGITS_SET, ""))).cast("long")
+
+
 def blank_count(text: Column) -> Column:
     return (F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))).cast("long")
 
