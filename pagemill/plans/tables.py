@@ -7,10 +7,12 @@ import zipfile
 from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Files that a task makes at once.
+TOGETHER = 500
 NOW_MS = 1706745600000  # 2024-02-01T00:00:00Z
 #: What a core reads at a time, as Spark has it by default.
 PART_BYTES = 128 << 20
@@ -210,12 +212,14 @@ def staged_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     books = table(spark, sf_dir, "customer").groupBy(F.floor(F.col("c_custkey") / 50).alias("book")).agg(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", cells.alias("cells")))), lambda x: x["cells"]).alias("rows"))
     every = turns.unionByName(books.select(F.concat(F.lit("b-"), F.col("book").cast("string")).alias("file_id"), F.lit("xlsx").alias("extractor"), "rows"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            content = [FILE_BYTES[kind](list(rows)) for kind, rows in zip(batch["extractor"], batch["rows"], strict=True)]
-            yield pd.DataFrame({"file_id": batch["file_id"], "extractor": batch["extractor"], "content": content})
+            for k in range(0, batch.num_rows, TOGETHER):
+                file_id, extractor, rows = batch.slice(k, TOGETHER).columns
+                content = [FILE_BYTES[kind](own) for kind, own in zip(extractor.to_pylist(), rows.to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([file_id, extractor, pa.array(content, pa.binary())], names=["file_id", "extractor", "content"])
 
-    return spread(every).mapInPandas(run, "file_id string, extractor string, content binary")
+    return spread(every).mapInArrow(run, "file_id string, extractor string, content binary")
 
 
 def _zipped(parts: dict[str, str]) -> bytes:
