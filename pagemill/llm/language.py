@@ -17,6 +17,8 @@ EMBED, HIDDEN = 8, 16
 STRETCH = 128
 #: Stretches that are read side by side.
 SIDE_BY_SIDE = 1024
+#: Places whose labels are computed at once.
+AT_ONCE = 8
 #: The sample to learn from: so many documents of each language, so many windows of each, so many characters of a window.
 DOCS_A_LANGUAGE, WINDOWS_A_DOC, WINDOW_CHARS = 400, 3, 96
 #: Languages that are learnt, the most frequent ones.
@@ -144,46 +146,83 @@ def pooled(w: Weights, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray
 
 
 def _read(w: Weights, data: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    steps, n = int(length[0]), len(begin)
-    at = begin[None] + np.arange(steps)[:, None]
-    texts = data[np.minimum(at, len(data) - 1)]
-    states = np.zeros((steps, HIDDEN, n), np.float32)
-    into, reset, rz, new, gap = (np.ones((k, n), np.float32) for k in (HIDDEN + EMBED + 1, HIDDEN + EMBED + 1, 2 * HIDDEN, HIDDEN, HIDDEN))
-    sums, votes = np.zeros((w["out"].shape[0], n), np.float32), np.zeros((w["out"].shape[0], n), np.float32)
-    both = np.ones((2 * HIDDEN + 1, n), np.float32)
-    half = {d: 0.5 * w[f"gates_{d}"] for d in "fb"}
-    for d, order in (("f", range(steps)), ("b", range(steps - 1, -1, -1))):
-        into[:HIDDEN] = 0
-        for t in order:
-            np.take(w["embed"], texts[t], axis=1, out=into[HIDDEN:-1], mode="clip")
-            reset[HIDDEN:-1] = into[HIDDEN:-1]
-            np.tanh(np.matmul(half[d], into, out=rz), out=rz)
-            rz *= 0.5
-            rz += 0.5
-            h = into[:HIDDEN]
-            np.multiply(rz[:HIDDEN], h, out=reset[:HIDDEN])
-            np.tanh(np.matmul(w[f"new_{d}"], reset, out=new), out=new)
-            np.subtract(new, h, out=gap)
-            gap *= rz[HIDDEN:]
-            h += gap
-            live = length > t
-            whole = live.all()
-            if not whole:
-                h *= live
-            if d == "f":
-                states[t] = h
-                continue
-            both[:HIDDEN], both[HIDDEN:-1] = states[t], h
-            p = w["out"] @ both
+    """Sums over the positions of each stretch, the longest first: class probabilities, and labels of each class."""
+    steps, n, classes = int(length[0]), len(begin), w["out"].shape[0]
+    live = np.searchsorted(-length, -np.arange(steps)).tolist()  # at each place, so many stretches go on
+    texts = data[np.minimum(begin[None] + np.arange(steps)[:, None], len(data) - 1)]
+    rows = texts[:, None] + (256 * np.arange(3, dtype=np.int16))[:, None]
+    forth, back = np.zeros((steps, n, HIDDEN), np.float32), np.zeros((min(steps, AT_ONCE), n, HIDDEN), np.float32)
+    work = np.empty((2, 2 * n * HIDDEN), np.float32)
+    sums, votes = np.zeros((classes, n), np.float32), np.zeros((classes, n), np.float32)
+    out_f, out_b = (np.ascontiguousarray(w["out"][:, k : k + HIDDEN].T) for k in (0, HIDDEN))
+    read_f, read_b = (_by_byte(w, d) for d in "fb")
+    h = np.zeros((n, HIDDEN), np.float32)
+    with np.errstate(over="ignore"):  # 1 / (1 + inf) is the limit
+        _advance(*read_f, rows, live, range(steps), h, forth, work)
+        for first in range((steps - 1) // AT_ONCE * AT_ONCE, -1, -AT_ONCE):
+            part = slice(first, min(first + AT_ONCE, steps))
+            k, m = part.stop - first, live[first]
+            h = _advance(*read_b, rows[part], live[part], range(k - 1, -1, -1), h, back, work).copy()
+            logits = forth[part, :m].reshape(-1, HIDDEN) @ out_f
+            logits += back[:k, :m].reshape(-1, HIDDEN) @ out_b
+            p = np.ascontiguousarray(logits.T)
+            p += w["out"][:, -1:]
             p -= p.max(axis=0)
-            best = p == 0
+            best = (p == 0).reshape(classes, k, m)
             np.exp(p, out=p)
             p /= p.sum(axis=0)
-            sums += p if whole else p * live
-            votes += best if whole else best & live
+            p = p.reshape(classes, k, m)
+            if live[part.stop - 1] < m:
+                there = length[:m] > np.arange(first, part.stop)[:, None]
+                p *= there
+                best &= there
+            sums[:, :m] += p.sum(axis=1)
+            votes[:, :m] += best.sum(axis=1)
     return sums, votes
 
 
+def _by_byte(w: Weights, d: str) -> tuple[np.ndarray, np.ndarray]:
+    """A direction's weights for _advance: what each byte and the bias add to reset, update and new state (3 * 256, hidden), and the
+    factors of the state (3, hidden, hidden). Of opposite sign, those of the new state doubled, as exp needs them."""
+    signed = np.concatenate((-w[f"gates_{d}"], -2 * w[f"new_{d}"]))
+    own = signed[:, HIDDEN:-1] @ w["embed"] + signed[:, -1:]
+    by_byte = own.reshape(3, HIDDEN, 256).transpose(0, 2, 1).reshape(3 * 256, HIDDEN)
+    return by_byte, np.ascontiguousarray(signed[:, :HIDDEN].reshape(3, HIDDEN, HIDDEN).transpose(0, 2, 1))
+
+
+def _advance(by_byte: np.ndarray, factors: np.ndarray, rows: np.ndarray, live: list[int], order: range, h: np.ndarray, states: np.ndarray, work: np.ndarray) -> np.ndarray:
+    """Writes the states of a direction at the places in order, from h before them, and gives the last one.
+
+    The same unit as _step's, by 1 / (1 + exp(-x)) for the gates and 2 / (1 + exp(-2 x)) - 1 for tanh, which takes about twice as long
+    as exp. Stretches that have ended are at the end of each place and left out; their states stay as they are, zero.
+    """
+    one, two, width = np.float32(1), np.float32(2), -1
+    for t in order:
+        if live[t] != width:
+            width = live[t]
+            seen, gates = (x[: 2 * width * HIDDEN].reshape(2, width, HIDDEN) for x in work)
+            r, z = gates
+        before, new = h[:width], states[t, :width]
+        np.take(by_byte, rows[t, :2, :width], axis=0, out=seen, mode="clip")
+        np.matmul(before, factors[:2], out=gates)
+        gates += seen
+        np.exp(gates, out=gates)
+        gates += one
+        np.divide(before, r, out=r)
+        np.matmul(r, factors[2], out=new)
+        np.take(by_byte, rows[t, 2, :width], axis=0, out=r, mode="clip")
+        new += r
+        np.exp(new, out=new)
+        new += one
+        np.divide(two, new, out=new)
+        new -= one
+        new -= before
+        new /= z
+        new += before
+        h = states[t]
+    return h
+
+
 def sample_windows(docs: DataFrame, learn: Column, id_col: str, text_col: str, lang_col: str, docs_a_language: int = DOCS_A_LANGUAGE) -> tuple[list[bytes], list[int], list[str]]:
     """Windows of text to learn from, their labels and the languages in order. Chosen by a hash of id and text, about docs_a_language
     documents of each language and at most twice as many, those of the least hashes, of MOST_LANGUAGES languages at most: that bounds what comes to the driver."""

@@ -45,6 +45,42 @@ def test_reading_in_stretches_is_the_network():
     assert np.allclose(votes.sum(axis=0), 1)
 
 
+def test_reading_works_on_bytes_alone(monkeypatch):
+    w = {k: v.astype(np.float32) for k, v in L.initial(3, 5).items()}
+    cost = {"exp": 0, "tanh": 0}
+    plain = {k: getattr(np, k) for k in cost}
+    for name in cost:
+        monkeypatch.setattr(np, name, lambda x, out=None, name=name: (cost.__setitem__(name, cost[name] + x.size), plain[name](x, out=out))[1])
+    for lengths in (np.full(1000, 128), np.array([128] + [1] * 999)):
+        cost |= {"exp": 0, "tanh": 0}
+        L.pooled(w, np.full(lengths.sum(), 97, np.uint8), np.cumsum(lengths) - lengths, lengths)
+        # three values a unit, in two directions; labels are computed for some places at once. tanh takes as long as two exp
+        assert cost["exp"] + 2 * cost["tanh"] <= lengths.sum() * 2 * 3 * L.HIDDEN + 3 * (lengths.sum() + L.AT_ONCE * len(lengths))
+
+
+def test_reading_saturated_and_ragged_texts_is_the_network():
+    w = {k: (v * (40 if k != "out" else 1)).astype(np.float32) for k, v in L.initial(3, 5).items()}
+    r = np.random.default_rng(2)
+    lengths = np.array([1, 200, 7, 128, 8, 9, 127, 1, 64])
+    texts = [r.integers(0, 256, n).astype(np.uint8) for n in lengths]
+    p, votes = L.pooled(w, np.concatenate(texts), np.cumsum(lengths) - lengths, lengths)
+    for k, text in enumerate(texts):
+        alone, own = L.pooled(w, text, np.array([0]), lengths[k : k + 1])
+        assert np.allclose(p[:, k], alone[:, 0], atol=1e-6) and np.allclose(votes[:, k], own[:, 0])
+        want = np.zeros(3)
+        for at in range(0, len(text), L.STRETCH):
+            part = text[at : at + L.STRETCH]
+            states = {d: {} for d in "fb"}
+            for d, order in (("f", range(len(part))), ("b", range(len(part) - 1, -1, -1))):
+                h = np.zeros((L.HIDDEN, 1))
+                for t in order:
+                    h = states[d][t] = L._step(w[f"gates_{d}"], w[f"new_{d}"], h, w["embed"][:, part[t : t + 1]])[0]
+            for t in range(len(part)):
+                z = w["out"] @ np.concatenate((states["f"][t], states["b"][t], [[1.0]]))
+                want += (np.exp(z - z.max()) / np.exp(z - z.max()).sum())[:, 0]
+        assert np.allclose(p[:, k], want / len(text), atol=1e-4)
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source")
     odd = spark.createDataFrame([(10**6, None, "en", "a"), (10**6 + 1, "12 !", "en", "a"), (10**6 + 2, "", None, None), (None, "Und der die", "de", "x"), (1, "x" * 300_000, "qq", "a")], docs.schema)
